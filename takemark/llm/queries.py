@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from takemark.llm import licenses, quality_rules
+from takemark.llm import licenses, mixing, packing, quality_rules
 from takemark.llm.common import table
 
+#: The tokenizer of the packing query.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op6_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.copies(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -18,6 +32,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_pivotal_mixing": op6_pivotal_mixing,
     "op8_quality_rules": op8_quality_rules,
     "op10_license_scan": op10_license_scan,
 }
