@@ -67,7 +67,7 @@ def _settle(pending: dict, held: dict, at_copies: int, at_share: int, at_draw: i
             wanted += (share - chosen) * size
             row[at_copies], row[at_share] = row[at_copies] + chosen, None
         for row, _, size in sorted(kept, key=lambda x: -x[2]):
-            chosen = int(wanted >= size / 2)
+            chosen = int(wanted >= size)
             wanted -= chosen * size
             row[at_copies], row[at_share] = row[at_copies] + chosen, None
 
