@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from takemark.llm import chat, language, licenses, mixing, packing, quality_gam, quality_rules
+from takemark.llm import chat, jaccard_join, language, licenses, mixing, packing, quality_gam, quality_rules
 from takemark.llm.common import table
 
 #: The tokenizer of the packing query.
@@ -45,6 +45,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op6_pivotal_mixing": op6_pivotal_mixing,
     "op7_language_mixture": op7_language_mixture,
     "op8_quality_rules": op8_quality_rules,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_license_scan": op10_license_scan,
 }
 
