@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from takemark.llm import ann, chat, jaccard_join, language, licenses, mixing, packing, quality_gam, quality_rules
+from takemark.llm import ann, chat, jaccard_join, language, licenses, mixing, packing, pii, quality_gam, quality_rules
 from takemark.llm.common import table
 
 #: The tokenizer of the packing query.
@@ -22,6 +22,10 @@ def op2_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op3_information_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.annotate(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
@@ -60,6 +64,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_gam": op1_quality_gam,
     "op2_hnsw_search": op2_hnsw_search,
+    "op3_information_pii": op3_information_pii,
     "op4_chat_format": op4_chat_format,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_pivotal_mixing": op6_pivotal_mixing,
