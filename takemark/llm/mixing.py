@@ -54,7 +54,6 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), ceiling: int
 #: Documents of a source that a partition holds back for the root.
 HELD = 32
 
-_ROW = "doc_id long, source string, size long, source_size long, target double, copies long, share double, draw double"
 
 
 def _settle(pending: dict, held: dict, at_copies: int, at_share: int, at_draw: int) -> None:
@@ -135,21 +134,21 @@ def _draw(seed: int, *by: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *by), F.lit(1 << 53)).cast("double") / float(1 << 53)
 
 
-def copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), ceiling: int = 3, seed: int = 7, rows_per_task: int = 50_000, fan_in: int = 16) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies for every row of docs."""
-    sizes = saved(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.size(words_of(F.col(text))).cast("long").alias("size")), "sizes")
+def copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), ceiling: int = 3, seed: int = 7, rows_per_task: int = 50_000, fan_in: int = 16, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, and the columns of carry, for every row of docs."""
+    sizes = saved(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.size(words_of(F.col(text))).cast("long").alias("size"), *carry), "sizes")
     per = saved(targets(sizes, weights, ceiling), "targets")
     few = per.count() <= 10_000
     wanted = F.least(F.col("target") / F.col("source_size"), F.lit(float(ceiling)))
     rows = sizes.join((F.broadcast(per) if few else per).withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").select(
-        "doc_id", "source", "size", "source_size", "target",
+        *carry, "doc_id", "source", "size", "source_size", "target",
         F.coalesce(F.floor(wanted), F.lit(0)).alias("copies"), F.coalesce(wanted - F.floor(wanted), F.lit(0.0)).alias("share"), _draw(seed, F.col("doc_id"), F.col("size")).alias("draw"),
     )
     n = max(1, -(-sizes.count() // rows_per_task))
     decided, level = None, 0
     while True:
         dealt = rows.repartition(n, F.xxhash64(F.lit(seed + level), "draw", "doc_id")).sortWithinPartitions("draw", "doc_id", "source", "size")
-        made = saved(dealt.mapInArrow(_pivotal(n == 1), _ROW), "mixed")
+        made = saved(dealt.mapInArrow(_pivotal(n == 1), rows.schema), "mixed")
         done = made.where("share is null")
         decided = done if decided is None else decided.unionByName(done)
         if n == 1:
