@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from takemark.llm.common import saved, words_of
 
@@ -145,10 +146,11 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source:
         F.coalesce(F.floor(wanted), F.lit(0)).alias("copies"), F.coalesce(wanted - F.floor(wanted), F.lit(0.0)).alias("share"), _draw(seed, F.col("doc_id"), F.col("size")).alias("draw"),
     )
     n = max(1, -(-sizes.count() // rows_per_task))
+    shape = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema])
     decided, level = None, 0
     while True:
         dealt = rows.repartition(n, F.xxhash64(F.lit(seed + level), "draw", "doc_id")).sortWithinPartitions("draw", "doc_id", "source", "size")
-        made = saved(dealt.mapInArrow(_pivotal(n == 1), rows.schema), "mixed")
+        made = saved(dealt.mapInArrow(_pivotal(n == 1), shape), "mixed")
         done = made.where("share is null")
         decided = done if decided is None else decided.unionByName(done)
         if n == 1:
