@@ -91,12 +91,19 @@ def _bitmap(hashes: np.ndarray, k: int) -> bytes:
     return np.packbits(bits).tobytes()
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that little of a batch stands as Python objects at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def _sketch(docs: DataFrame, width: int) -> np.ndarray:
     """How often shingles of each sketch bucket occur in all documents; partial sketches are added in a tree of tasks."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
-        for batch in batches:
+        for batch in _slices(batches):
             for text in batch.column(0).to_pylist():
                 total += np.bincount(shingles(text, width) >> np.uint64(48), minlength=SKETCH)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["counts"])
@@ -130,7 +137,7 @@ def _signed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = order.value
-        for batch in batches:
+        for batch in _slices(batches):
             columns: list[list] = [[], [], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 hashes = shingles(text, width)
@@ -170,10 +177,13 @@ class _Forest:
 
     def pairs(self, roots: list[tuple[np.ndarray, np.ndarray]], num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Entry pairs (a, b, largest possible overlap) that no bound excludes, from pairs of root nodes down."""
-        most = max(1024, (1 << 22) // max(1, self.levels[0]["bits"].shape[1]))
+        most = max(256, (1 << 20) // max(1, self.levels[0]["bits"].shape[1]))
         stack = [(len(self.levels) - 1, a, b) for a, b in roots]
         while stack:
             k, a, b = stack.pop()
+            if k < 0:  # tested before, not opened yet
+                self._open(stack, -k, a, b)
+                continue
             if len(a) > most:
                 half = len(a) // 2
                 stack += [(k, a[:half], b[:half]), (k, a[half:], b[half:])]
@@ -188,15 +198,24 @@ class _Forest:
             if k == 0:
                 yield a, b, overlap
                 continue
-            ca, cb = x["count"][a], x["count"][b]
-            size = ca * cb
-            offset = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            wide = np.repeat(cb, size)
-            i, j = np.repeat(x["first"][a], size) + offset // wide, np.repeat(x["first"][b], size) + offset % wide
-            same = np.repeat(a == b, size)
-            ok = ~same | (i < j if k == 1 else i <= j)
-            if len(i[ok]):
-                stack.append((k - 1, i[ok], j[ok]))
+            # A pair has up to _FAN ** 2 pairs of children, so few are opened at a time.
+            if len(a) > 2048:
+                stack += [(-k, a[c : c + 2048], b[c : c + 2048]) for c in range(2048, len(a), 2048)]
+                a, b = a[:2048], b[:2048]
+            self._open(stack, k, a, b)
+
+    def _open(self, stack: list, k: int, a: np.ndarray, b: np.ndarray) -> None:
+        """Pushes the children of node pairs at level k."""
+        x = self.levels[k]
+        ca, cb = x["count"][a], x["count"][b]
+        size = ca * cb
+        offset = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        wide = np.repeat(cb, size)
+        i, j = np.repeat(x["first"][a], size) + offset // wide, np.repeat(x["first"][b], size) + offset % wide
+        same = np.repeat(a == b, size)
+        ok = ~same | (i < j if k == 1 else i <= j)
+        if len(i[ok]):
+            stack.append((k - 1, i[ok], j[ok]))
 
 
 def _traversal(num: int, den: int, forest_only: bool):
@@ -316,7 +335,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, n
     wanted = docs.sparkSession.sparkContext.broadcast(table)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             v = np.asarray(batch.column(2))
             # Bucket 1 of bitmap_bucket_number holds values from 1 to 32768, and bit 0 is value 1.
             number, bit = np.where(v > 0, (v - 1) // 32768 + 1, 0), np.where(v > 0, (v - 1) % 32768, 0)
@@ -328,7 +347,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, n
     known = saved(known.join(ids, "id", "left_semi"), "sets")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             a, b, ha, hb = (batch.column(k).to_pylist() for k in range(4))
             keep = []
             for i in range(len(a)):
