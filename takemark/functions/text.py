@@ -1,0 +1,112 @@
+"""Text functions as Column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Words that carry no topic.
+STOPWORDS = tuple(sorted(set(
+    """a an and are as at be because been but by can could did do does for from get got had has have he her here him his
+    how i if in into is it its just like me more most my no not of on one or our out she so some than that the their
+    them then there these they this to up us very was we were what when which who will with would you your okay right going
+    want really actually thing things lot kind sort yeah uh um said say says let now about all also any being own""".split()
+)))
+
+#: Number words.
+NUMBER_WORDS = {"zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12}
+
+#: Suffixes, tried in this order, that a stem of four letters or more may lose.
+SUFFIXES = ("ingly", "edly", "ing", "ers", "er", "ed", "es", "s", "ly")
+
+#: Words too common to prove that a line was spoken.
+WEAK = ("lesson", "step", "part", "point", "rule", "key", "tip", "note", "the", "and", "your", "you", "how", "why", "what", "when", "who", "new", "next", "more")
+
+TOKEN = "[a-z][a-z'-]*|[0-9]+(?:[.,][0-9]+)?%?"
+NUMBER = "[0-9]+(?:[.,][0-9]+)?%?"
+
+
+def literals(values) -> Column:
+    return F.array(*(F.lit(v) for v in values))
+
+
+def matches(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+
+def stem(word: Column) -> Column:
+    out = None
+    for suffix in SUFFIXES:
+        n = len(suffix)
+        fits = word.endswith(suffix) & (F.length(word) - n >= 4)
+        cut = F.substring(word, F.lit(1), F.length(word) - n)
+        out = F.when(fits, cut) if out is None else out.when(fits, cut)
+    return out.otherwise(word)
+
+
+def tokenize(text: Column) -> Column:
+    """Stemmed tokens in order, with repeats; stop words and single characters go before stemming."""
+    kept = F.filter(matches(F.lower(text), TOKEN), lambda w: ~w.isin(*STOPWORDS) & (F.length(w) >= 2))
+    return F.transform(kept, stem)
+
+
+def numerals(text: Column) -> Column:
+    """Distinct numbers of a text as strings, number words included."""
+    low = F.lower(text)
+    named = F.filter(
+        F.array(*(F.when(low.rlike(f"\\b{w}\\b"), F.lit(str(n))) for w, n in NUMBER_WORDS.items())), lambda x: x.isNotNull()
+    )
+    return F.array_distinct(F.concat(matches(low, NUMBER), named))
+
+
+def claims(numbers: Column) -> Column:
+    """Numbers that state something: percentages, and plain integers from ten on."""
+    return F.filter(numbers, lambda x: x.contains("%") | (x.rlike("^[0-9]+$") & (F.length(F.regexp_replace(x, "^0+", "")) >= 2)))
+
+
+def timecode(seconds: Column) -> Column:
+    """HH:MM:SS, half a second rounded to the even one; --:--:-- for null."""
+    s = F.bround(seconds).cast("long")
+    return F.when(seconds.isNull(), F.lit("--:--:--")).otherwise(F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60))
+
+
+def _base60(text: Column) -> Column:
+    parts = F.transform(F.split(F.trim(text), ":"), lambda p: p.try_cast("double"))
+    return F.when(F.exists(parts, lambda p: p.isNull()), None).otherwise(F.aggregate(parts, F.lit(0.0), lambda a, p: a * 60 + p))
+
+
+def duration(text: Column) -> Column:
+    """Seconds of ``M:SS`` or ``H:MM:SS``; a bare number is minutes; null if it is none."""
+    return F.when(text.contains(":"), _base60(text)).otherwise(F.trim(text).try_cast("double") * 60)
+
+
+def clock(text: Column) -> Column:
+    """Seconds of a timecode; a bare number is seconds."""
+    return _base60(text)
+
+
+def html_escape(text: Column) -> Column:
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(char), F.lit(entity))
+    return text
+
+
+def excerpt(summary: Column, body: Column, length: int = 70) -> Column:
+    """The summary, or else the body without tags, on one line and cut at length."""
+    raw = F.when(F.coalesce(summary, F.lit("")) != "", summary).otherwise(F.regexp_replace(body, "<[^>]*>", ""))
+    flat = F.trim(F.regexp_replace(raw, "[ \\t\\n\\r\\f\\x0B]+", " "))
+    return F.when(F.length(flat) > length, F.concat(F.substring(flat, 1, length), F.lit("…"))).otherwise(flat)
+
+
+def sanitize(text: Column) -> Column:
+    """Without tags, runs of line ends and tabs as one blank, trimmed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, "<[^>]*>", ""), "[\\r\\n\\t]+", " "))
+
+
+def zip_digits(text: Column) -> Column:
+    """Digits of a zip code, full-width ones as ASCII."""
+    return F.regexp_replace(F.translate(text, "０１２３４５６７８９", "0123456789"), "[^0-9]", "")
+
+
+def zip_display(digits: Column) -> Column:
+    return F.when(F.length(digits) == 7, F.concat(F.substring(digits, 1, 3), F.lit("-"), F.substring(digits, 4, 4))).otherwise(digits)
