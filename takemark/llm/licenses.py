@@ -72,7 +72,7 @@ def _plain_lines(text: Column) -> Column:
     """The lines of a text in lower case, runs of anything but letters and digits as one space; copyright lines are empty."""
     kept = F.regexp_replace(text, _COPYRIGHT_LINE, "")
     plain = F.regexp_replace(F.lower(kept), "[^\\p{L}\\p{N}\\n]+", " ")
-    return F.transform(F.split(plain, "\n", -1), F.trim)
+    return F.transform(F.split(plain, "\n", -1), lambda x: F.trim(x))
 
 
 def _unified(plain: Column) -> Column:
