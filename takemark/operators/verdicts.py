@@ -74,7 +74,7 @@ def verdicts(alignment: Alignment, rows: DataFrame | None = None) -> DataFrame:
             F.when(place >= 0, place).alias("actual_order"),
             F.array_max(F.transform(F.sequence(F.lit(0), n - 1), lambda i: score[i * nb + b])).alias("peak"),
             F.when(place < 0, host(b)).alias("host"),
-            F.when((place >= 0) & ~F.array_contains("kept", place), F.struct(F.element_at(F.filter(F.col("kept"), lambda k: k < place), F.when(F.exists(F.col("kept"), lambda k: k < place), -1).otherwise(1)).alias("after_at"), F.exists(F.col("kept"), lambda k: k < place).alias("has"))).alias("moved"),
+            F.when((place >= 0) & ~F.array_contains("kept", place), F.struct(F.try_element_at(F.filter(F.col("kept"), lambda k: k < place), F.lit(-1)).alias("after_at"), F.exists(F.col("kept"), lambda k: k < place).alias("has"))).alias("moved"),
         )
 
     each = rows.select(*TAKE, "segs", "beats", "tape", F.explode(F.transform("beats", one)).alias("v")).select(*TAKE, "segs", "beats", "tape", "v.*")

@@ -3,11 +3,212 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from takemark.functions import text as X
+from takemark.operators import impact, site, verdicts
+from takemark.operators.alignment import Alignment
+from takemark.operators.vectors import TAKE
+from takemark.plans import inputs, sql
+from takemark.plans.inputs import table
+from takemark.storage import saved
+
+
+def _alignment(spark: SparkSession, d: str) -> Alignment:
+    return Alignment(inputs.beats(spark, d), inputs.segments(spark, d))
+
+
+def _scaled(c) -> F.Column:
+    return F.floor(F.col(c) * 1e6 + 0.5).cast("long").alias(c)
+
+
+def q_tokenize(spark, d):
+    return inputs.segments(spark, d).select("take_id", "seg_idx", F.array_join(X.tokenize(F.col("text")), " ").alias("tokens"))
+
+
+def q_numerals(spark, d):
+    n = X.numerals(F.col("text"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(F.array_sort(n), ",").alias("numerals"), F.array_join(F.array_sort(X.claims(n)), ",").alias("claims"))
+
+
+def q_timecodes(spark, d):
+    s = F.col("value") * 37
+    return table(spark, d, "events").select("event_id", X.timecode(s).alias("tc"))
+
+
+def q_durations(spark, d):
+    text = F.concat_ws(":", (F.col("l_linenumber") % 3).cast("string"), F.lpad((F.col("l_partkey") % 60).cast("string"), 2, "0"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", X.duration(text).cast("long").alias("minutes_form"), X.duration(F.col("l_linenumber").cast("string")).cast("long").alias("bare"), X.clock(text).cast("long").alias("clock"))
+
+
+def q_segment_close(spark, d):
+    return inputs.segments(spark, d).select("take_id", "seg_idx", F.col("start").cast("long").alias("start_s"), F.col("end").cast("long").alias("end_s"))
+
+
+def q_beats(spark, d):
+    return inputs.beats(spark, d).select("lesson_id", "beat_idx", "beat_id", "title", _scaled("est_seconds"))
+
+
+def q_idf(spark, d):
+    return _alignment(spark, d).model.select("take_id", "term", "df", _scaled("idf"))
+
+
+def q_segment_beat_cosine(spark, d):
+    return _alignment(spark, d).scores().where("sim > 0").select("take_id", "seg_idx", "beat_idx", F.floor(F.col("sim") * 1e4 + 0.5).cast("long").alias("sim"))
+
+
+def q_gap_similarity(spark, d):
+    return _alignment(spark, d).gaps().select("take_id", "gap", F.floor(F.col("sim") * 1e4 + 0.5).cast("long").alias("sim"))
+
+
+def q_blocks(spark, d):
+    return _alignment(spark, d).blocks().select("take_id", "block", "lo", "hi")
+
+
+def q_spoken_coverage(spark, d):
+    a = _alignment(spark, d)
+    spoken = a.segment_terms.select(*TAKE, "term").distinct()
+    plan = a.takes.select(*TAKE).join(a.beat_terms.distinct(), "lesson_id")
+    met = plan.join(spoken.withColumn("said", F.lit(1)), [*TAKE, "term"], "left")
+    return met.groupBy("take_id", "beat_idx").agg(F.count(F.lit(1)).alias("planned"), F.count("said").alias("said"))
+
+
+def _verdicts(spark, d):
+    a = _alignment(spark, d)
+    rows = a.assigned()
+    return a, rows, saved(verdicts.verdicts(a, rows), "verdicts")
+
+
+def q_verdicts(spark, d):
+    v = _verdicts(spark, d)[2]
+    kinds = F.array_join(F.transform("findings", lambda f: f["kind"]), ",")
+    return v.select("take_id", "beat_id", "status", "actual_order", F.col("start").cast("long").alias("start_s"), F.col("end").cast("long").alias("end_s"), kinds.alias("findings"))
+
+
+def q_verdict_counts(spark, d):
+    return _verdicts(spark, d)[2].groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_unplanned(spark, d):
+    a, rows, _ = _verdicts(spark, d)
+    return verdicts.unplanned(a, rows).select("take_id", "id", "title", "lo", "hi", "confidence")
+
+
+def _orders(spark, d):
+    a, rows, v = _verdicts(spark, d)
+    return saved(impact.change_orders(inputs.assets(spark, d), v, verdicts.unplanned(a, rows), a.segments), "orders")
+
+
+def q_change_orders(spark, d):
+    return _orders(spark, d).select("take_id", "asset_id", "owner", "action", "severity", "reason", F.size("conflicts").alias("n_conflicts"), F.col("start").cast("long").alias("start_s"), F.col("end").cast("long").alias("end_s"))
+
+
+def q_action_summary(spark, d):
+    o = _orders(spark, d)
+    takes = o.select("take_id").distinct()
+    every = spark.createDataFrame([(a,) for a in impact.SEVERITY], "action string")
+    return takes.crossJoin(F.broadcast(every)).join(o.groupBy("take_id", "action").agg(F.count(F.lit(1)).alias("n")), ["take_id", "action"], "left").fillna(0, ["n"])
+
+
+def q_owner_worklist(spark, d):
+    o = _orders(spark, d).where("action <> 'KEEP'")
+    line = F.concat_ws(" ", F.lpad(F.lit(3) - F.col("severity"), 1, "0"), "asset_id", "action")
+    return o.groupBy("take_id", "owner").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: F.substring(x, 3, 1 << 20)), "\n").alias("worklist"))
+
+
+def q_onscreen_never_said(spark, d):
+    """Which words of an asset's on-screen text occur nowhere in a take."""
+    s = saved(inputs.segments(spark, d).select("lesson_id", "take_id", X.tokenize(F.col("text")).alias("t")), "tokens")
+    spoken = s.select(*TAKE, F.explode("t").alias("term")).distinct()
+    shown = inputs.assets(spark, d).where("verify_text").select("lesson_id", "asset_id", F.explode(F.flatten(F.transform("on_screen_text", X.tokenize))).alias("term")).where(~F.col("term").isin(*X.WEAK) & (F.length("term") > 2)).distinct()
+    return s.select(*TAKE).distinct().join(shown, "lesson_id").join(spoken, [*TAKE, "term"], "left_anti").groupBy("take_id", "asset_id").agg(F.array_join(F.array_sort(F.collect_list("term")), ",").alias("never"))
+
+
+def q_html_escape(spark, d):
+    return table(spark, d, "pages").select("page_id", F.md5(X.html_escape(F.col("html"))).alias("escaped"))
+
+
+def q_excerpt(spark, d):
+    return table(spark, d, "pages").select("page_id", X.excerpt(F.lit(""), F.col("html")).alias("excerpt"))
+
+
+def q_sanitize(spark, d):
+    return table(spark, d, "pages").select("page_id", F.md5(X.sanitize(F.col("html"))).alias("clean"))
+
+
+def q_zip(spark, d):
+    raw = F.concat(F.lit("〒"), F.translate(F.lpad(F.col("c_custkey").cast("string"), 7, "0"), "01234", "０１２３４"), F.lit("-"))
+    return table(spark, d, "customer").select("c_custkey", X.zip_digits(raw).alias("zip"), X.zip_display(X.zip_digits(raw)).alias("shown"))
+
+
+def q_form_errors(spark, d):
+    c = table(spark, d, "customer")
+    errors = site.first_errors({
+        "name": [(F.coalesce("c_name", F.lit("")) == "", "required"), (F.length("c_name") > 18, "too long")],
+        "segment": [(F.coalesce("c_mktsegment", F.lit("")) == "", "required"), (~F.col("c_mktsegment").isin("BUILDING", "MACHINERY", "HOUSEHOLD"), "not an option")],
+        "tel": [(~F.concat(F.lit("03-"), F.col("c_custkey").cast("string")).rlike("\\A[0-9０-９\\-－\\(\\)\\s]{7,20}\\z"), "not a number")],
+    })
+    return c.select("c_custkey", F.array_join(F.transform(F.array_sort(F.map_entries(errors)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("errors"))
+
+
+def _news(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("post_id"), F.col("o_orderdate").alias("post_date"), F.col("o_orderpriority").alias("category"), F.col("o_orderstatus").alias("status"), "o_custkey")
+
+
+def q_news_top4(spark, d):
+    return site.top(_news(spark, d).where("status = 'F'"), 4, "post_date", "post_id").select("post_id", "category", F.date_format("post_date", "yyyy.MM.dd").alias("shown"))
+
+
+def q_news_by_category(spark, d):
+    return site.top(_news(spark, d).where("category = '1-URGENT'"), 3, "post_date", "post_id").select("post_id")
+
+
+def q_news_pages(spark, d):
+    return site.paged(_news(spark, d), ["category", "o_custkey"], "post_date", "post_id").select("post_id", "place", "page")
+
+
+def q_news_neighbours(spark, d):
+    return site.neighbours(_news(spark, d), ["o_custkey"], "post_date", "post_id").select("post_id", "previous", "next")
+
+
+def q_terms_nonempty(spark, d):
+    terms = table(spark, d, "nation")
+    return terms.join(table(spark, d, "supplier"), F.col("n_nationkey") == F.col("s_nationkey"), "left_semi").select("n_nationkey", "n_name")
+
+
+def q_seed_missing(spark, d):
+    have = table(spark, d, "orders").select(F.col("o_orderpriority").alias("slug")).distinct()
+    seeds = table(spark, d, "customer").select(F.col("c_mktsegment").alias("slug")).distinct()
+    return site.seeded(have, seeds, "slug")
+
+
+def q_rate_limit(spark, d):
+    return site.rate_limited(table(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id").select("event_id", "allowed")
+
+
+def q_ttl_cache(spark, d):
+    e = table(spark, d, "events").withColumn("zip", F.col("event_id") % 400)
+    return site.cached(e, "zip", "ts", "event_id", F.when(F.col("zip") % 3 == 0, 3600).otherwise(30 * 86400))
+
+
+def q_request_dedupe(spark, d):
+    return site.changed(table(spark, d, "events"), "user_id", "ts", "event_id", "event_type").select("event_id", "event_type")
+
+
+def q_last_decision(spark, d):
+    return site.latest(table(spark, d, "events"), ["user_id", "event_type"], "ts", "event_id", "event_id")
+
+
+def q_accuracy(spark, d):
+    """Error statistics of one number against another, per group."""
+    e = F.abs(F.col("l_extendedprice") - F.col("l_quantity") * 1000).cast("long")
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.median(e).cast("double").alias("median"), F.max(e).alias("most"), F.count_if(e <= 15000).alias("near"))
+
+
+QUERIES = {name: f for name, f in globals().items() if name.startswith("q_")}
+ORACLE_SQL = {name: text for name, text in sql.ORACLES.items() if name in QUERIES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change orders of every take."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return q_change_orders(spark, sf_dir)
