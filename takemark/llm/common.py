@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,14 +29,41 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Paths written in each open scratch(), innermost last.
+_SCOPES: list[list[str]] = []
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """df, written once to the shared folder and read back: cuts lineage and outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes on leaving what saved() wrote inside. It yields keep(df, label): saves a result for the surroundings."""
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        inner = _SCOPES.pop()
+        try:
+            return saved(df, label)
+        finally:
+            _SCOPES.append(inner)
+
+    _SCOPES.append([])
+    try:
+        yield keep
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in _SCOPES.pop():
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once, however often body names it."""
     return F.transform(F.array(value), body)[0]

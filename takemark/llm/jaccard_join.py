@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from takemark.llm.common import saved
+from takemark.llm.common import saved, scratch
 from takemark.llm.components import connected_components
 
 _SPACE = np.zeros(256, bool)
@@ -40,7 +40,9 @@ _FACTOR = 0x9E3779B97F4A7C15
 _PLACE = np.random.default_rng(21).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Buckets of the count sketch.
 SKETCH = 1 << 16
-#: Classes of sizes: members of class k have at most 2 ** (k + 1) - 1 shingles, and bitmaps of 2 ** (k + 1) bits.
+#: Classes of sizes: members of class k have at most 2 ** (k + 1) - 1 shingles, and bitmaps of 2 ** (k + 1) bits;
+#: wide bitmaps, for the second traversal and ahead of exact checks, have _WIDE times as many.
+_WIDE = 4
 _LEAST_CLASS = 8
 _FAN = 8
 _powers = np.ones(1, np.uint64)
@@ -85,9 +87,10 @@ def _classes(n: int, num: int, den: int) -> tuple[int, bool]:
     return k, den * n >= num << (k + 1)
 
 
-def _bitmap(hashes: np.ndarray, k: int) -> bytes:
-    bits = np.zeros(2 << k, np.uint8)
-    bits[(hashes >> np.uint64(7)) & np.uint64((2 << k) - 1)] = 1
+def _bitmap(hashes: np.ndarray, k: int, wide: int = 1) -> bytes:
+    size = (2 << k) * wide
+    bits = np.zeros(size, np.uint8)
+    bits[(hashes >> np.uint64(7)) & np.uint64(size - 1)] = 1
     return np.packbits(bits).tobytes()
 
 
@@ -126,7 +129,7 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
     return np.where(counts > usual, counts, 0)
 
 
-_SIGNED = "doc_id long, n long, digest binary, keys array<long>, bits binary, bits_up binary"
+_SIGNED = "doc_id long, n long, digest binary, keys array<long>, bits binary, bits_up binary, wide binary, wide_up binary"
 
 
 def _signed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -138,21 +141,21 @@ def _signed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = order.value
         for batch in _slices(batches):
-            columns: list[list] = [[], [], [], [], [], []]
+            columns: list[list] = [[] for _ in range(8)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 hashes = shingles(text, width)
                 n = len(hashes)
-                row: tuple = (doc, 0, None, [], None, None)
+                row: tuple = (doc, 0, None, [], None, None, None, None)
                 if n:
                     level = rare[hashes >> np.uint64(48)]
                     keys = hashes[np.argsort(level, kind="stable")[: n - -(-num * n // den) + 1]]
                     k, both = _classes(n, num, den)
                     digest = hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
-                    row = (doc, n, digest, keys.view(np.int64), _bitmap(hashes, k), _bitmap(hashes, k + 1) if both else None)
+                    row = (doc, n, digest, keys.view(np.int64), _bitmap(hashes, k), _bitmap(hashes, k + 1) if both else None, _bitmap(hashes, k, _WIDE), _bitmap(hashes, k + 1, _WIDE) if both else None)
                 for column, x in zip(columns, row, strict=True):
                     column.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "n", "digest", "keys", "bits", "bits_up"])
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), *[pa.binary()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "n", "digest", "keys", "bits", "bits_up", "wide", "wide_up"])
 
     return docs.select("doc_id", "text").mapInArrow(signed, _SIGNED)
 
@@ -302,18 +305,19 @@ def _entries(shared: DataFrame, nodes: DataFrame, num: int, den: int, block: int
         rows = rows.withColumn("x", F.col("own"))
     rows = rows.select("key", "id", *(["component"] if cross else [F.lit(0).cast("long").alias("component")]), F.least("own", "x").alias("p"), F.greatest("own", "x").alias("q"), F.when(F.col("own") > F.col("x"), 1).otherwise(0).cast("long").alias("side"))
     base = F.greatest(F.lit(_LEAST_CLASS), F.floor(F.log2(F.col("n").cast("double") + 0.5)).cast("int"))
-    shaped = nodes.select(F.col("id").alias("_id"), "n", F.explode_outer(F.array_compact(F.array(F.struct(base.alias("class"), F.col("bits")), F.when(F.col("bits_up").isNotNull(), F.struct((base + 1).alias("class"), F.col("bits_up").alias("bits")))))).alias("s"))
+    bits, up = (F.col("wide"), F.col("wide_up")) if cross else (F.col("bits"), F.col("bits_up"))
+    shaped = nodes.select(F.col("id").alias("_id"), "n", F.explode_outer(F.array_compact(F.array(F.struct(base.alias("class"), bits.alias("bits")), F.when(up.isNotNull(), F.struct((base + 1).alias("class"), up.alias("bits")))))).alias("s"))
     out = rows.join(shaped, F.col("id") == F.col("_id")).select(F.col("s.class").alias("class"), "key", "p", "q", "side", "id", "n", "component", F.col("s.bits").alias("bits"))
     return out.repartition("class", "key", "p", "q").sortWithinPartitions("class", "key", "p", "q", "side", "n", "id")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def _verified_rows(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose exact similarity reaches the threshold.
 
     A bitmap bound comes first. Then the documents in question, which a filter of
     bounded size picks from the table in a scan, send their shingle sets to their pairs.
     """
-    small = nodes.select(F.col("id"), "n", "bits")
+    small = nodes.select(F.col("id"), "n", F.col("wide").alias("bits"))
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -361,6 +365,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, n
     return pairs.select("a", "b", "ha", "hb").mapInArrow(exact, "node long, low long")
 
 
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """_verified_rows, saved; its own tables go."""
+    with scratch(docs.sparkSession) as keep:
+        return keep(_verified_rows(pairs, docs, nodes, width, num, den), "links")
+
+
 def _may_link(na: int, nb: int, xa: bytes, xb: bytes, num: int, den: int) -> bool:
     if den * min(na, nb) < num * max(na, nb):
         return False
@@ -380,30 +390,31 @@ def _may_link(na: int, nb: int, xa: bytes, xb: bytes, num: int, den: int) -> boo
 def near_duplicates(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, block: int = 1024, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row; documents link at a Jaccard similarity of num / den or more."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = saved(_signed(docs, width, num, den), "signed")
-    full = signed.where("n > 0 and doc_id is not null")
-    classes = saved(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    ids = classes.select(F.col("rep").alias("doc_id")).distinct()
-    nodes = saved(full.join(ids, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.max_by(F.struct("n", "keys", "bits", "bits_up"), "n").alias("s")).select("id", "s.*"), "nodes")
-
-    keyed = nodes.select(F.explode_outer("keys").alias("key"), "id")
-    buckets = saved(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("a"), F.max("id").alias("b")).where("c > 1"), "buckets")
-    larger = buckets.where("c > 2").select("key", "c")
-    shared = saved(keyed.join(larger, "key"), "shared")
-    first = _entries(shared, nodes, num, den, block, cross=False).mapInArrow(_traversal(num, den, True), "a long, b long")
-    pairs = saved(buckets.where("c = 2").select("a", "b").union(first).distinct(), "pairs")
-    links = saved(_verified(pairs, docs, nodes, width, num, den), "links")
-
-    found = saved(connected_components(links), "components")
-    labelled = saved(shared.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
-    mixed = saved(labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "mixed")
-    open_rows = labelled.join(mixed, "key", "left_semi")
-    second = _entries(open_rows, nodes, num, den, block, cross=True).mapInArrow(_traversal(num, den, False), "a long, b long").distinct()
-    more = saved(_verified(second.join(pairs, ["a", "b"], "left_anti"), docs, nodes, width, num, den), "links")
-
-    # A repeated doc_id may stand for several sets, so ids link to the classes of all their sets.
-    whole = signed.select("doc_id", "n", "digest").join(classes, "digest", "left")
-    own = whole.where("doc_id <> rep").select(F.col("doc_id").alias("node"), F.col("rep").alias("low"))
-    repeated = own.join(classes.select(F.col("rep").alias("node")).distinct(), "node", "left_semi")
-    final = saved(connected_components(links.unionByName(more).unionByName(repeated)), "components")
-    return whole.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    with scratch(docs.sparkSession) as keep:
+        signed = saved(_signed(docs, width, num, den), "signed")
+        full = signed.where("n > 0 and doc_id is not null")
+        classes = saved(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
+        ids = classes.select(F.col("rep").alias("doc_id")).distinct()
+        nodes = saved(full.join(ids, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.max_by(F.struct("n", "keys", "bits", "bits_up", "wide", "wide_up"), "n").alias("s")).select("id", "s.*"), "nodes")
+
+        keyed = nodes.select(F.explode_outer("keys").alias("key"), "id")
+        buckets = saved(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("a"), F.max("id").alias("b")).where("c > 1"), "buckets")
+        larger = buckets.where("c > 2").select("key", "c")
+        shared = saved(keyed.join(larger, "key"), "shared")
+        first = _entries(shared, nodes, num, den, block, cross=False).mapInArrow(_traversal(num, den, True), "a long, b long")
+        pairs = saved(buckets.where("c = 2").select("a", "b").union(first).distinct(), "pairs")
+        links = _verified(pairs, docs, nodes, width, num, den)
+
+        found = saved(connected_components(links), "components")
+        labelled = saved(shared.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
+        mixed = saved(labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "mixed")
+        open_rows = labelled.join(mixed, "key", "left_semi")
+        second = _entries(open_rows, nodes, num, den, block, cross=True).mapInArrow(_traversal(num, den, False), "a long, b long").distinct()
+        more = _verified(second.join(pairs, ["a", "b"], "left_anti"), docs, nodes, width, num, den)
+
+        # A repeated doc_id may stand for several sets, so ids link to the classes of all their sets.
+        whole = signed.select("doc_id", "n", "digest").join(classes, "digest", "left")
+        own = whole.where("doc_id <> rep").select(F.col("doc_id").alias("node"), F.col("rep").alias("low"))
+        repeated = own.join(classes.select(F.col("rep").alias("node")).distinct(), "node", "left_semi")
+        final = saved(connected_components(links.unionByName(more).unionByName(repeated)), "components")
+        return keep(whole.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id")), "near")
