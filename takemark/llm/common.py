@@ -43,6 +43,20 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Arrow batches of few rows for what runs inside, since rows here are whole texts or sets."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 @contextmanager
 def scratch(spark: SparkSession):
     """Deletes on leaving what saved() wrote inside. It yields keep(df, label): saves a result for the surroundings."""

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from takemark.llm.common import saved, scratch
+from takemark.llm.common import saved, scratch, small_batches
 from takemark.llm.components import connected_components
 
 _SPACE = np.zeros(256, bool)
@@ -274,7 +274,7 @@ def _traversal(num: int, den: int, forest_only: bool):
         for batch in batches:
             t = pa.Table.from_batches([batch])
             rest = t if rest is None else pa.concat_tables([rest, t])
-            if rest.num_rows < 20_000:
+            if rest.num_rows < 20_000 and rest.nbytes < 8 << 20:
                 continue
             starts = np.flatnonzero(_changes(*(np.asarray(rest[c].combine_chunks()) for c in ("class", "key", "p", "q"))))
             if len(starts) > 1:
@@ -390,7 +390,7 @@ def _may_link(na: int, nb: int, xa: bytes, xb: bytes, num: int, den: int) -> boo
 def near_duplicates(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, block: int = 1024, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row; documents link at a Jaccard similarity of num / den or more."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    with scratch(docs.sparkSession) as keep:
+    with small_batches(docs.sparkSession), scratch(docs.sparkSession) as keep:
         signed = saved(_signed(docs, width, num, den), "signed")
         full = signed.where("n > 0 and doc_id is not null")
         classes = saved(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
