@@ -48,7 +48,7 @@ def rate_limited(events: DataFrame, key: str, at: str, order: str, most: int = 5
     Rejected events change nothing; a null key is always allowed. After a pause of
     ``seconds`` no state is left, so each burst between pauses is a fold of its own.
     """
-    t = F.unix_micros(at) / 1_000_000.0
+    t = F.unix_micros(F.col(at).cast("timestamp")) / 1_000_000.0
     w = Window.partitionBy(key).orderBy(at, order)
     keyed = events.where(F.col(key).isNotNull()).withColumn("_t", t)
     keyed = keyed.withColumn("_new", (F.coalesce(F.col("_t") - F.lag("_t").over(w), F.lit(float(seconds))) >= seconds).cast("int")).withColumn("_burst", F.sum("_new").over(w))
@@ -84,7 +84,7 @@ def cached(lookups: DataFrame, key: str, at: str, order: str, ttl: Column) -> Da
                 hits.append(fresh)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits)], ["key", "id", "hit"])
 
-    rows = lookups.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(order).cast("long").alias("id"), (F.unix_micros(at) / 1_000_000.0).alias("t"), ttl.cast("double").alias("life"))
+    rows = lookups.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(order).cast("long").alias("id"), (F.unix_micros(F.col(at).cast("timestamp")) / 1_000_000.0).alias("t"), ttl.cast("double").alias("life"))
     return rows.repartition("key").sortWithinPartitions("key", "t", "id").mapInArrow(walk, "key long, id long, hit boolean").select(F.col("key").alias(key), F.col("id").alias(order), "hit")
 
 

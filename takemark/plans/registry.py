@@ -168,7 +168,7 @@ def q_news_pages(spark, d):
 
 
 def q_news_neighbours(spark, d):
-    return site.neighbours(_news(spark, d), ["o_custkey"], "post_date", "post_id").select("post_id", "previous", "next")
+    return site.neighbours(_news(spark, d), ["o_custkey"], "post_date", "post_id").select("post_id", F.coalesce("previous", F.lit(-1)).alias("previous"), F.coalesce("next", F.lit(-1)).alias("next"))
 
 
 def q_terms_nonempty(spark, d):

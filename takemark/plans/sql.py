@@ -114,7 +114,7 @@ SELECT c_custkey, zip, left(zip, 3) || '-' || substr(zip, 4, 4) AS shown FROM z"
     "q_news_top4": f"WITH {_NEWS} SELECT post_id, category, strftime(post_date, '%Y.%m.%d') AS shown FROM news WHERE status = 'F' ORDER BY post_date DESC, post_id DESC LIMIT 4",
     "q_news_by_category": f"WITH {_NEWS} SELECT post_id FROM news WHERE category = '1-URGENT' ORDER BY post_date DESC, post_id DESC LIMIT 3",
     "q_news_pages": f"WITH {_NEWS}, r AS (SELECT post_id, CAST(row_number() OVER (PARTITION BY category, o_custkey ORDER BY post_date DESC, post_id DESC) AS INT) AS place FROM news) SELECT post_id, place, CAST((place - 1) // 10 + 1 AS BIGINT) AS page FROM r",
-    "q_news_neighbours": f"WITH {_NEWS} SELECT post_id, lag(post_id) OVER w AS previous, lead(post_id) OVER w AS next FROM news WINDOW w AS (PARTITION BY o_custkey ORDER BY post_date, post_id)",
+    "q_news_neighbours": f"WITH {_NEWS} SELECT post_id, coalesce(lag(post_id) OVER w, -1) AS previous, coalesce(lead(post_id) OVER w, -1) AS next FROM news WINDOW w AS (PARTITION BY o_custkey ORDER BY post_date, post_id)",
     "q_terms_nonempty": "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)",
     "q_seed_missing": "SELECT o_orderpriority AS slug FROM orders UNION SELECT c_mktsegment FROM customer",
     "q_rate_limit": """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE user_id IS NOT NULL
