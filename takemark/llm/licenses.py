@@ -113,3 +113,29 @@ def scan(docs: DataFrame, notices=NOTICES, id_col: str = "doc_id", text: str = "
         .groupBy(id_col, "license", "scope")
         .agg(F.count(F.lit(1)).alias("n_units"), F.min("unit").cast("long").alias("first_unit"))
     )
+
+
+def oracle_sql(notices=NOTICES) -> str:
+    """DuckDB SQL for scan over documents."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+
+    def unified(x: str) -> str:
+        out = x
+        for pattern, form in SPELLINGS:
+            out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(form.replace('$1', chr(92) + '1'))}, 'g')"
+        return f"CASE WHEN regexp_matches({x}, {quoted(_ANY_SPELLING)}) THEN {out} ELSE {x} END"
+
+    plain = "trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    copyright_line = "'(?i)^[^a-z0-9]*(copyright|\\(c\\)|©|all rights reserved)'"
+    known = " UNION ALL ".join(f"SELECT {quoted(name)} AS license, {plain.format(x=quoted(notice))} AS p" for name, notice in notices)
+    return f"""WITH known AS (SELECT min(license) AS license, c FROM (SELECT license, {unified('p')} AS c FROM ({known})) GROUP BY c
+), parts AS (
+  SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: CASE WHEN regexp_matches(x, {copyright_line}) THEN '' ELSE {plain.format(x='x')} END) AS lines
+  FROM documents WHERE text IS NOT NULL
+), units AS (
+  SELECT doc_id, 'line' AS scope, unnest(lines) AS p, unnest(range(len(lines))) AS unit FROM parts
+  UNION ALL SELECT doc_id, 'document', array_to_string(list_filter(lines, lambda x: x <> ''), ' '), 0 FROM parts
+)
+SELECT doc_id, license, scope, count(*) AS n_units, min(unit) AS first_unit
+FROM (SELECT doc_id, scope, unit, {unified('p')} AS c FROM units WHERE length(p) BETWEEN 1 AND {_SHRINK * max(len(x) for _, x in notices)}) u JOIN known USING (c)
+GROUP BY ALL"""

@@ -75,6 +75,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op10_license_scan": licenses.oracle_sql(),
     "op4_chat_format": r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
