@@ -317,17 +317,18 @@ def _verified_rows(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: i
     A bitmap bound comes first. Then the documents in question, which a filter of
     bounded size picks from the table in a scan, send their shingle sets to their pairs.
     """
-    small = nodes.select(F.col("id"), "n", F.col("wide").alias("bits"))
-
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, na, nb, xa, xb = (batch.column(k).to_pylist() for k in range(6))
             keep = [i for i in range(len(a)) if _may_link(na[i], nb[i], xa[i], xb[i], num, den)]
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
 
-    left = small.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
-    right = small.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
-    likely = saved(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(possible, "a long, b long"), "likely")
+    # The narrow bitmaps leave few pairs for the wide ones.
+    likely = pairs
+    for bits in ("bits", "wide"):
+        left = nodes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col(bits).alias("xa"))
+        right = nodes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col(bits).alias("xb"))
+        likely = saved(likely.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(possible, "a long, b long"), "likely")
 
     ids = saved(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct(), "ids")
     size = min(1 << 28, max(1 << 16, 16 * ids.count()))
