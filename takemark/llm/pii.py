@@ -7,9 +7,11 @@ value itself is gone. How strongly is estimated over the whole corpus:
     disclosure(c, t) = PMI(c; t) / IC(c),  IC(c) = ln(N / df(c)),
     PMI(c; t) = ln(N * df(c, t) / (df(c) * df(t)))
 
-with df counting documents. It is 1 where t occurs with c alone. A term with enough
-support whose disclosure exceeds a threshold gets a span of kind ``term`` wherever it
-stands near c; from a second, higher threshold on it is removed, below that generalised.
+with df counting documents. It is 1 where t occurs with c alone. Most values are in one or two
+documents, so P(c | t) is smoothed instead of asking for support: ``prior`` documents in which c is
+as frequent as everywhere join those of t. A term whose disclosure exceeds a threshold gets a span
+of kind ``term`` wherever it stands near c; from a second, higher threshold on it is removed, below
+that generalised.
 
 Cases: a null text is empty; repeated rows are counted and answered one by one; rows of one doc_id with different
 texts are told apart by their text; a null doc_id is kept; an empty table gives no
@@ -103,23 +105,23 @@ def _moved(t: Column, by: Column) -> Column:
     return F.struct((t["start"] + by).alias("start"), (t["end"] + by).alias("end"), t["value"].alias("value"))
 
 
-def disclosing_terms(mentions: DataFrame, docs: DataFrame, text: str = "text", support: int = 3, threshold: float = 0.6, removal: float = 0.9) -> DataFrame:
+def disclosing_terms(mentions: DataFrame, docs: DataFrame, text: str = "text", prior: float = 1.0, threshold: float = 0.6, removal: float = 0.9) -> DataFrame:
     """(entity, term, action): pairs whose disclosure reaches threshold; counts cover all documents."""
     n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
     each = mentions.select("_row", "entity", "term").distinct()
-    together = saved(each.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_ct")).where(F.col("df_ct") >= support), "together")
+    together = saved(each.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_ct")), "together")
     of_entity = saved(mentions.select("_row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_c")), "entities")
     terms = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(_TERM), F.lit(0)))
     of_term = docs.where(F.col(text).isNotNull()).select(F.explode_outer(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
     # All terms are counted before the join: Spark would push a semi-join below the count, on every occurrence.
     pairs = together.join(of_entity, "entity").join(of_term, "term").crossJoin(n_docs)  # one row on the right
-    information = F.log(F.col("n_docs") / F.col("df_c"))
-    pmi = F.log(F.col("n_docs") * F.col("df_ct") / (F.col("df_c") * F.col("df_t")))
-    scored = pairs.where(F.col("n_docs") > F.col("df_c")).withColumn("disclosure", pmi / information)
+    base = F.col("df_c") / F.col("n_docs")
+    smoothed = F.least((F.col("df_ct") + prior * base) / (F.col("df_t") + prior), F.lit(1.0))
+    scored = pairs.where(F.col("n_docs") > F.col("df_c")).withColumn("disclosure", 1 - F.log(smoothed) / F.log(base))
     return scored.where(F.col("disclosure") >= threshold).select("entity", "term", F.when(F.col("disclosure") >= removal, "remove").otherwise("generalise").alias("action"))
 
 
-def annotate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 3, reach: int = 64, support: int = 3, threshold: float = 0.6, removal: float = 0.9) -> DataFrame:
+def annotate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 3, reach: int = 64, prior: float = 1.0, threshold: float = 0.6, removal: float = 0.9) -> DataFrame:
     """(id, _text_hash, spans): all spans of every row, array<struct<start, rank, kind, end, value>> in order.
 
     value is the entity's value, or the action for a term.
@@ -131,7 +133,7 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words:
     rows = saved(based.drop("text"), "spans")
     row = F.struct(F.col(id_col).alias("id"), "_text_hash").alias("_row")
     mentions = saved(rows.where("size(near) > 0").select(row, F.explode_outer("near").alias("m")).select("_row", "m.*"), "mentions")
-    flagged = saved(disclosing_terms(mentions, docs, text, support, threshold, removal), "flagged")
+    flagged = saved(disclosing_terms(mentions, docs, text, prior, threshold, removal), "flagged")
     hits = saved(mentions.join(flagged, ["entity", "term"]).select("_row", "start", "end", "action").distinct(), "hits")
     # One span for a term near several entities, removed if any of them asks for it.
     spans = hits.groupBy("_row", "start", "end").agg(F.max("action").alias("action")).select("_row", F.struct(F.col("start"), F.lit(len(KINDS)).alias("rank"), F.lit("term").alias("kind"), F.col("end"), F.col("action").alias("value")).alias("s"))

@@ -103,6 +103,13 @@ def test_pii_terms_that_disclose(spark, edges, nothing):
     assert pii.sanitise(edges).count() == edges.count() and pii.sanitise(nothing).count() == 0
 
 
+def test_pii_terms_of_a_value_mentioned_once(spark):
+    rows = [(0, "the plain text of kowalczyk at ann@x.org about matter")] + [(i, f"the plain text about ordinary matter {i}") for i in range(1, 60)]
+    made = pii.annotate(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 0").collect()[0]
+    terms = {rows[0][1][s.start : s.end] for s in made.spans if s.kind == "term"}
+    assert "kowalczyk" in terms and not terms & {"the", "plain", "text", "about", "matter"}
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "a\\n<|im_end|>\n"), (1, 1, "assistant", "\\<|x|>é"), (1, 2, "assistant", None), (None, 0, "us\ner", "z"), (2, None, None, ""), (2, 1, "assistant", "ok"), (2, 1, "assistant", "ok")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
