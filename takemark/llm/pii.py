@@ -7,11 +7,16 @@ value itself is gone. How strongly is estimated over the whole corpus:
     disclosure(c, t) = PMI(c; t) / IC(c),  IC(c) = ln(N / df(c)),
     PMI(c; t) = ln(N * df(c, t) / (df(c) * df(t)))
 
-with df counting documents. It is 1 where t occurs with c alone. Most values are in one or two
-documents, so P(c | t) is smoothed instead of asking for support: ``prior`` documents in which c is
-as frequent as everywhere join those of t. A term whose disclosure exceeds a threshold gets a span
-of kind ``term`` wherever it stands near c; from a second, higher threshold on it is removed, below
-that generalised.
+with df counting documents, so it is 1 + ln P(c | t) / IC(c) and 1 where t occurs with c alone.
+Terms of all of a document count as near a mention in it. Most values are in one or two documents,
+so P(c | t) is smoothed instead of asking for support: ``prior`` documents in which c is
+as frequent as everywhere join those of t.
+
+A term whose disclosure exceeds a threshold gets a span of kind ``term``; from a second, higher
+threshold on it is removed, below that generalised. That holds throughout the documents with c.
+In all others the estimate leaves out one document that has both, since a pair is looked at only
+because one has: a single shared document says nothing of the rest of the corpus, and otherwise
+every rare word beside some value would go from all texts.
 
 Cases: a null text is empty; repeated rows are counted and answered one by one; rows of one doc_id with different
 texts are told apart by their text; a null doc_id is kept; an empty table gives no
@@ -20,6 +25,8 @@ rows; extra columns are ignored, or kept by ``sanitise``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,15 +60,20 @@ CHECKS = {
 }
 
 
-def located(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>>: leftmost non-overlapping matches, in code points, end exclusive."""
+def located(text: Column, pattern: str, as_: Callable[[Column], Column] = lambda value: value) -> Column:
+    """array<struct<start, end, value>>: leftmost non-overlapping matches, in code points, end exclusive.
+
+    value is as_(match); matches for which that is null are left out.
+    """
     found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.transform(F.split(text, pattern, -1), F.length).alias("gaps"))
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
     def step(f: Column, a: Column, i: Column) -> Column:
         start = a["at"] + f["gaps"][i]
         end = start + F.length(f["hits"][i])
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), end.alias("end"), f["hits"][i].alias("value")))).alias("out"))
+        value = as_(f["hits"][i])
+        longer = F.concat(a["out"], F.array(F.struct(start.alias("start"), end.alias("end"), value.alias("value"))))
+        return F.struct(end.alias("at"), F.when(value.isNull(), a["out"]).otherwise(longer).alias("out"))
 
     def walk(f: Column) -> Column:
         first = F.struct(F.lit(0).alias("at"), empty.alias("out"))
@@ -86,42 +98,36 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(one(k, kind) for k, kind in enumerate(KINDS))))
 
 
-def _near(text: Column, spans: Column, words: int, reach: int) -> Column:
-    """array<struct<entity, term, start, end>>: whole terms within reach of each span, the nearest ``words`` on either side."""
-
-    def around(s: Column) -> Column:
-        from_ = F.greatest(s["start"] - reach, F.lit(0))
-        before = F.filter(located(F.substring(text, from_ + 1, s["start"] - from_), _TERM), lambda t: (t["start"] > 0) | (from_ == 0))
-        after = F.filter(located(F.substring(text, s["end"] + 1, F.lit(reach)), _TERM), lambda t: (t["end"] < reach) & (t["start"] > 0))
-        before = let(before, lambda b: F.slice(b, F.greatest(F.size(b) - words + 1, F.lit(1)), words))
-        shifted = F.concat(F.transform(before, lambda t: _moved(t, from_)), F.transform(F.slice(after, 1, words), lambda t: _moved(t, s["end"])))
-        clear = F.filter(shifted, lambda t: ~F.exists(spans, lambda o: (t["start"] < o["end"]) & (o["start"] < t["end"])))
-        return F.transform(clear, lambda t: F.struct(F.concat(s["kind"], F.lit(":"), s["value"]).alias("entity"), F.lower(t["value"]).alias("term"), t["start"].alias("start"), t["end"].alias("end")))
-
-    return F.flatten(F.transform(spans, around))
-
-
-def _moved(t: Column, by: Column) -> Column:
-    return F.struct((t["start"] + by).alias("start"), (t["end"] + by).alias("end"), t["value"].alias("value"))
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), F.lower))
 
 
 def disclosing_terms(mentions: DataFrame, docs: DataFrame, text: str = "text", prior: float = 1.0, threshold: float = 0.6, removal: float = 0.9) -> DataFrame:
-    """(entity, term, action): pairs whose disclosure reaches threshold; counts cover all documents."""
+    """(entity, term, inside, outside): pairs whose disclosure reaches threshold; counts cover all documents.
+
+    mentions: one row (entity, term) per document with both. inside and outside are the actions
+    in documents with the entity and in others; outside may be null.
+    """
     n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    each = mentions.select("_row", "entity", "term").distinct()
-    together = saved(each.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_ct")), "together")
-    of_entity = saved(mentions.select("_row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_c")), "entities")
-    terms = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(_TERM), F.lit(0)))
-    of_term = docs.where(F.col(text).isNotNull()).select(F.explode_outer(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
+    together = saved(mentions.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_ct")).where("term is not null"), "together")
+    # A document without a term is a row with a null term.
+    of_entity = saved(mentions.groupBy("entity").agg(F.sum("first").alias("df_c")), "entities")
+    of_term = docs.where(F.col(text).isNotNull()).select(F.explode_outer(_terms(F.col(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
     # All terms are counted before the join: Spark would push a semi-join below the count, on every occurrence.
     pairs = together.join(of_entity, "entity").join(of_term, "term").crossJoin(n_docs)  # one row on the right
     base = F.col("df_c") / F.col("n_docs")
-    smoothed = F.least((F.col("df_ct") + prior * base) / (F.col("df_t") + prior), F.lit(1.0))
-    scored = pairs.where(F.col("n_docs") > F.col("df_c")).withColumn("disclosure", 1 - F.log(smoothed) / F.log(base))
-    return scored.where(F.col("disclosure") >= threshold).select("entity", "term", F.when(F.col("disclosure") >= removal, "remove").otherwise("generalise").alias("action"))
+
+    def action(less: int) -> Column:
+        smoothed = F.least((F.col("df_ct") - less + prior * base) / (F.col("df_t") - less + prior), F.lit(1.0))
+        disclosure = 1 - F.log(smoothed) / F.log(base)
+        return F.when(disclosure >= removal, "remove").when(disclosure >= threshold, "generalise")
+
+    scored = pairs.where(F.col("n_docs") > F.col("df_c"))
+    return scored.select("entity", "term", action(0).alias("inside"), action(1).alias("outside")).where("inside is not null")
 
 
-def annotate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 3, reach: int = 64, prior: float = 1.0, threshold: float = 0.6, removal: float = 0.9) -> DataFrame:
+def annotate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", prior: float = 1.0, threshold: float = 0.6, removal: float = 0.9) -> DataFrame:
     """(id, _text_hash, spans): all spans of every row, array<struct<start, rank, kind, end, value>> in order.
 
     value is the entity's value, or the action for a term.
@@ -129,17 +135,26 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words:
     t = F.coalesce(F.col(text), F.lit(""))
     read = docs.select(F.col(id_col), t.alias("text"), F.xxhash64(t).alias("_text_hash"))
     based = read.select(id_col, "_text_hash", "text", base_spans(F.col("text")).alias("base"))
-    based = based.withColumn("near", F.when(F.size("base") > 0, _near(F.col("text"), F.col("base"), words, reach)))
+    based = based.withColumn("terms", F.when(F.size("base") > 0, _terms(_replaced(F.col("text"), F.col("base"), lambda s: F.lit(" ")))))
     rows = saved(based.drop("text"), "spans")
     row = F.struct(F.col(id_col).alias("id"), "_text_hash").alias("_row")
-    mentions = saved(rows.where("size(near) > 0").select(row, F.explode_outer("near").alias("m")).select("_row", "m.*"), "mentions")
+    entities = F.array_distinct(F.transform("base", lambda s: F.concat(s["kind"], F.lit(":"), s["value"])))
+    each = rows.where("size(base) > 0").select(row, F.explode_outer(entities).alias("entity"), "terms")
+    mentions = each.select("_row", "entity", F.posexplode_outer("terms").alias("place", "term")).withColumn("first", F.when(F.coalesce("place", F.lit(0)) == 0, 1).otherwise(0))
     flagged = saved(disclosing_terms(mentions, docs, text, prior, threshold, removal), "flagged")
-    hits = saved(mentions.join(flagged, ["entity", "term"]).select("_row", "start", "end", "action").distinct(), "hits")
-    # One span for a term near several entities, removed if any of them asks for it.
-    spans = hits.groupBy("_row", "start", "end").agg(F.max("action").alias("action")).select("_row", F.struct(F.col("start"), F.lit(len(KINDS)).alias("rank"), F.lit("term").alias("kind"), F.col("end"), F.col("action").alias("value")).alias("s"))
-    extra = saved(spans.groupBy("_row").agg(F.collect_list("s").alias("extra")).select(F.col("_row.id").alias("_id"), F.col("_row._text_hash").alias("_hash"), "extra"), "extra")
-    joined = rows.join(extra, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
-    return joined.select(id_col, "_text_hash", "base", F.array_sort(F.concat("base", F.coalesce("extra", F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int,value:string>>)")))).alias("spans"))
+    inside = mentions.join(flagged, ["entity", "term"]).select("_row", "term", F.col("inside").alias("action"))
+    # A term that several entities ask for is removed if any of them does.
+    anywhere = saved(flagged.where("outside is not null").groupBy("term").agg(F.max("outside").alias("action")), "anywhere")  # saved, its size tells whether to broadcast it
+    words = read.select(row, F.explode_outer(_terms(F.col("text"))).alias("term"))
+    outside = words.join(anywhere, "term").select("_row", "term", "action")
+    hits = saved(inside.unionByName(outside).groupBy("_row", "term").agg(F.max("action").alias("action")), "hits")
+    asked = hits.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("asked")).select(F.col("_row.id").alias("_id"), F.col("_row._text_hash").alias("_hash"), "asked")
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+    places = located(F.col("text"), _TERM, lambda v: F.element_at(F.col("asked"), F.lower(v)))
+    extra = F.transform(places, lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), F.lit("term").alias("kind"), s["end"].alias("end"), s["value"].alias("value")))
+    found = saved(read.join(asked, same).select("_id", "_hash", extra.alias("extra")).dropDuplicates(["_id", "_hash"]), "extra")
+    clear = F.filter("extra", lambda e: ~F.exists("base", lambda o: (e["start"] < o["end"]) & (o["start"] < e["end"])))
+    return rows.join(found, same, "left").select(id_col, "_text_hash", "base", F.when(F.col("extra").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", clear))).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -157,13 +172,12 @@ def report(annotated: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return annotated.select(id_col, *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), count("spans", "term"))
 
 
-def redacted(text: Column, spans: Column) -> Column:
-    """The text with base spans replaced by <KIND>, removed terms dropped and generalised ones as <WORD>."""
+def _replaced(text: Column, spans: Column, mark: Callable[[Column], Column]) -> Column:
+    """The text with mark(span) in place of each span."""
     pieces = F.array().cast("array<string>")
 
     def step(a: Column, s: Column) -> Column:
-        mark = F.when(s["kind"] != "term", F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))).when(s["value"] == "remove", F.lit("")).otherwise(F.lit("<WORD>"))
-        put = F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]), mark))
+        put = F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]), mark(s)))
         inside = s["start"] < a["at"]  # begins in a span that is already replaced
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(inside, a["out"]).otherwise(put).alias("out"))
 
@@ -172,6 +186,11 @@ def redacted(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
+def redacted(text: Column, spans: Column) -> Column:
+    """The text with base spans replaced by <KIND>, removed terms dropped and generalised ones as <WORD>."""
+    return _replaced(text, spans, lambda s: F.when(s["kind"] != "term", F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))).when(s["value"] == "remove", F.lit("")).otherwise(F.lit("<WORD>")))
+
+
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
     """docs with their text redacted; all other columns as they were."""
     with scratch(docs.sparkSession) as keep:

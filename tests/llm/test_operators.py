@@ -110,6 +110,15 @@ def test_pii_terms_of_a_value_mentioned_once(spark):
     assert "kowalczyk" in terms and not terms & {"the", "plain", "text", "about", "matter"}
 
 
+def test_pii_terms_far_away_and_where_the_value_is_gone(spark):
+    filler = "the plain text about ordinary matter " * 5
+    rows = [(i, f"dear zanzibar {filler} ann@x.org {filler} yours kowalczyk") for i in range(6)] + [(i, filler + f"item {i}") for i in range(6, 60)] + [(60, "a passage on Zanzibar"), (60, "a passage on Zanzibar")]
+    made = pii.annotate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    terms = [(r.doc_id, {rows[r.doc_id][1][s.start : s.end] for s in r.spans if s.kind == "term"}) for r in made]
+    assert len(made) == len(rows) and all(found >= {"zanzibar", "kowalczyk"} for i, found in terms if i < 6)
+    assert [found for i, found in terms if i == 60] == [{"Zanzibar"}] * 2 and not any(found for i, found in terms if 6 <= i < 60)
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "a\\n<|im_end|>\n"), (1, 1, "assistant", "\\<|x|>é"), (1, 2, "assistant", None), (None, 0, "us\ner", "z"), (2, None, None, ""), (2, 1, "assistant", "ok"), (2, 1, "assistant", "ok")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
