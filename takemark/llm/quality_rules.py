@@ -1,13 +1,14 @@
 """Quality rules with risk-controlled cutoffs (operator 8). DataFrame functions only.
 
 Every rule rejects a document whose rate lies above (or below) a cutoff. The
-cutoffs aren't set by hand. Documents that labels call good are the holdout: for each
-stratum (language), rule and candidate cutoff, k of the n good documents of the
-stratum would be rejected. By the exact binomial (Clopper-Pearson) bound the true
-false-rejection rate is at most ``risk`` with confidence 1 - d exactly when
-P(Binomial(n, risk) <= k) <= d. With d = ``error`` / (number of tests), all
-certified cutoffs hold at once (Bonferroni). A stratum takes the strictest
-certified cutoff of each rule, and no cutoff where none is certified.
+cutoffs aren't set by hand. Documents that labels call good are the holdout. A setting is a
+cutoff or none for every rule; k of the n good documents of a stratum (language) would be
+rejected by any of its rules. By the exact binomial (Clopper-Pearson) bound the true
+false-rejection rate of the whole setting is at most ``risk`` with confidence 1 - d exactly when
+P(Binomial(n, risk) <= k) <= d. With d = ``error`` / (number of settings * number of strata), all
+certified settings hold at once (Bonferroni), however they are searched. In each stratum the rules
+tighten in turn, from the loosest cutoffs on; a rule stops where its next one isn't certified
+together with the others as they are by then.
 
 Cases: a null text is empty; null lang is a stratum of its own; label rows with
 null or repeated ids count once per id (good only if every one of its labels is
@@ -18,6 +19,7 @@ columns are ignored; repeated documents give repeated rows.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,20 +136,37 @@ def _rejects(rule: Rule, cutoff: Column) -> Column:
 
 
 def certified_cutoffs(holdout: DataFrame, risk: float = 0.01, error: float = 0.05, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per stratum, a column per rule: its strictest certified cutoff, or null.
+    """One row per stratum, a column per rule: its cutoff in the certified setting, or null.
 
     holdout: measures of good documents that passed the base rules, with ``stratum``.
     """
-    counts = holdout.groupBy("stratum").agg(
-        F.count(F.lit(1)).alias("n"),
-        *(F.count_if(_rejects(r, F.lit(c))).alias(f"{r.name}_{c}") for r in rules for c in r.cutoffs),
+    # How many of a rule's cutoffs reject: cutoffs are nested, so those from that place on don't.
+    place = [sum((_rejects(r, F.lit(c)).cast("int") for c in r.cutoffs), F.lit(0)).alias(f"_p{q}") for q, r in enumerate(rules)]
+    cells = holdout.select("stratum", *place).groupBy("stratum", *(f"_p{q}" for q in range(len(rules)))).agg(F.count(F.lit(1)).alias("c"))
+    # At most one cell per combination of places, so the size of a row here doesn't follow the input.
+    strata = cells.groupBy("stratum").agg(F.sum("c").alias("n"), F.collect_list(F.struct(F.array(*(f"_p{q}" for q in range(len(rules)))).alias("places"), "c")).alias("cells"))
+    strata = strata.crossJoin(strata.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n_strata")))  # one row on the right
+    level = F.lit(error) / (F.col("n_strata") * float(prod(len(r.cutoffs) + 1 for r in rules)))
+
+    def rejected(setting: Column) -> Column:
+        def hit(cell: Column) -> Column:
+            return F.exists(F.zip_with(cell["places"], setting, lambda p, s: p > s), lambda x: x)
+
+        return F.aggregate("cells", F.lit(0).cast("long"), lambda a, x: a + F.when(hit(x), x["c"]).otherwise(F.lit(0).cast("long")))
+
+    def tighten(setting: Column, step: Column) -> Column:
+        tried = F.transform(setting, lambda s, q: F.when((q == step["q"]) & (s == step["place"] + 1), step["place"]).otherwise(s))
+        certified = let(rejected(tried), lambda k: binomial_tail(k, F.col("n"), risk) <= level)
+        return F.when(certified, tried).otherwise(setting)
+
+    steps = [(i, q) for i in reversed(range(max(len(r.cutoffs) for r in rules))) for q, r in enumerate(rules) if i < len(r.cutoffs)]
+    walk = F.aggregate(
+        F.array(*(F.struct(F.lit(i).alias("place"), F.lit(q).alias("q")) for i, q in steps)),
+        F.array(*(F.lit(len(r.cutoffs)) for r in rules)),
+        tighten,
     )
-    tests = sum(len(r.cutoffs) for r in rules)
-    counts = counts.crossJoin(counts.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n_strata")))  # one row on the right
-    each = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(i).alias("place"), F.lit(c).alias("cutoff"), F.col(f"{r.name}_{c}").alias("k")) for r in rules for i, c in enumerate(r.cutoffs)))
-    tested = counts.select("stratum", "n", "n_strata", F.explode(each).alias("t")).select("stratum", "t.*", "n", (F.lit(error) / (F.col("n_strata") * tests)).alias("level"))
-    passed = tested.withColumn("ok", binomial_tail(F.col("k"), F.col("n"), risk) <= F.col("level"))
-    return passed.groupBy("stratum").agg(*(F.min_by(F.col("cutoff"), F.when(F.col("ok") & (F.col("rule") == r.name), F.col("place"))).alias(f"cut_{r.name}") for r in rules))
+    found = strata.select("stratum", walk.alias("setting"))
+    return found.select("stratum", *(F.get(F.array(*(F.lit(c) for c in r.cutoffs)), F.col("setting")[q]).alias(f"cut_{r.name}") for q, r in enumerate(rules)))
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", stratum: str = "lang", risk: float = 0.01, error: float = 0.05, rules: tuple[Rule, ...] = RULES, broadcast_rows: int = 10_000) -> DataFrame:

@@ -56,6 +56,19 @@ def test_quality_rules_bound(spark):
             assert abs(p - exact) < 1e-8
 
 
+def test_quality_rules_bound_the_union(spark):
+    """Five rules that each reject half a percent of the good documents, all others."""
+    plain = {"n_symbols": 0, "n_words": 100, "n_repeat_words": 0, "n_dup_lines": 0, "n_lines": 10, "word_chars": 500}
+    odd = [{"n_symbols": 150}, {"n_repeat_words": 48}, {"n_dup_lines": 9}, {"word_chars": 2500}, {"word_chars": 100}]
+    names = [*plain]
+    rows = [tuple((plain | (odd[i % 1000 // 5] if i % 1000 < 25 else {}))[c] for c in names) for i in range(20_000)]
+    holdout = spark.createDataFrame([("en", *r) for r in rows], "stratum string, " + ", ".join(f"{c} long" for c in names))
+    cuts = quality_rules.certified_cutoffs(holdout).collect()[0]
+    used = [(r, cuts[f"cut_{r.name}"]) for r in quality_rules.RULES if cuts[f"cut_{r.name}"] is not None]
+    lost = sum(any(r.sign * (r.scale * x[r.numerator] - c * x[r.denominator]) > 0 for r, c in used) for x in (dict(zip(names, v)) for v in rows))
+    assert used and lost <= 0.01 * len(rows)
+
+
 def test_quality_rules_edges(edges, labels, nothing):
     assert quality_rules.apply_rules(edges, labels).count() == edges.count()
     assert quality_rules.apply_rules(nothing, labels).count() == 0
