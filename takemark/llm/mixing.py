@@ -6,12 +6,11 @@ decides that extra copy. Two undecided documents meet and words of expected copy
 from one to the other, in a random direction that keeps both expectations, until
 one of them is decided; the other meets the next. So each partition decides
 all but one document per source, in one pass with one pending document per source in memory.
-Those residuals meet in a tree of ever fewer partitions. Each partition also holds
-back a few undecided documents per source; at the root the last residual is drawn and those held back make up
-the difference, longest first, so a source's words come as near its target as its
-shorter documents allow.
+Those residuals meet in a tree of ever fewer partitions, and at the root one draw with the
+share that is left decides the last one. So every document keeps its expected share, and a
+source's words miss its target by less than one document.
 
-Random directions come from hashes of ids, rows are dealt and ordered by hash and
+Random directions come from hashes of ids and the level of the tree, rows are dealt and ordered by hash and
 the number of partitions follows the number of rows: reruns agree on any cluster.
 
 Cases: a null text has size 0; null is a source of its own, after all others; a
@@ -52,35 +51,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), ceiling: int
     return per.select("source", "source_size", F.when(F.col("full"), (F.col("source_size") * ceiling).cast("double")).otherwise(left * F.col("w") / weight_left).alias("target"))
 
 
-#: Documents of a source that a partition holds back for the root.
-HELD = 32
-
-
-
-def _settle(pending: dict, held: dict, at_copies: int, at_share: int, at_draw: int) -> None:
-    """Draws each source's last residual, then lets the documents held back meet the words still wanted."""
-    for source, kept in held.items():
-        wanted = sum(share * size for _, share, size in kept)
-        if source in pending:
-            row, share, size = pending[source]
-            chosen = int(row[at_draw] < share)
-            wanted += (share - chosen) * size
-            row[at_copies], row[at_share] = row[at_copies] + chosen, None
-        for row, _, size in sorted(kept, key=lambda x: -x[2]):
-            chosen = int(wanted >= size)
-            wanted -= chosen * size
-            row[at_copies], row[at_share] = row[at_copies] + chosen, None
-
-
 def _pivotal(last: bool):
-    """A mapInArrow function: decides all rows but one and HELD more per source (all, if last). Undecided rows keep a share."""
+    """A mapInArrow function: decides all rows but one per source (all, if last). Undecided rows keep a share."""
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: dict = {}
-        held: dict = {}
         for batch in batches:
             cols = batch.to_pydict()
-            sizes, sources, shares, draws, copies = (cols[c] for c in ("size", "source", "share", "draw", "copies"))
+            sizes, sources, shares, turns, copies = (cols[c] for c in ("size", "source", "share", "turn", "copies"))
             out = {c: [] for c in cols}
 
             def emit(row) -> None:
@@ -96,9 +74,6 @@ def _pivotal(last: bool):
                     row[at_copies], row[at_share] = copies[i] + int(bool(share) and share >= 1.0), None
                     emit(row)
                     continue
-                if len(kept := held.setdefault(source, [])) < HELD:
-                    kept.append(([*row], share, size))
-                    continue
                 if source not in pending:
                     pending[source] = ([*row], share, size)
                     continue
@@ -106,7 +81,7 @@ def _pivotal(last: bool):
                 row = [*row]
                 # Words of expected copy that can move from the one to the other, and back.
                 forth, back = min(p * n, (1 - share) * size), min((1 - p) * n, share * size)
-                step = -forth if draws[i] * (forth + back) < back else back
+                step = -forth if turns[i] * (forth + back) < back else back
                 p, share = p + step / n, share - step / size
                 eps = 1e-9
                 done = 0
@@ -121,10 +96,10 @@ def _pivotal(last: bool):
             if out["doc_id"]:
                 yield pa.RecordBatch.from_pydict(out, schema=batch.schema)
             schema = batch.schema
-        if held:
-            rows = [x[0] for x in pending.values()] + [x[0] for kept in held.values() for x in kept]
-            if last:
-                _settle(pending, held, names.index("copies"), names.index("share"), names.index("draw"))
+        if pending:
+            rows = [x[0] for x in pending.values()]
+            for row, share, _ in pending.values() if last else ():
+                row[at_copies], row[at_share] = row[at_copies] + int(row[names.index("last")] < share), None
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return decide
@@ -144,15 +119,17 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source:
     rows = sizes.join((F.broadcast(per) if few else per).withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").select(
         *carry, "doc_id", "source", "size", "source_size", "target",
         F.coalesce(F.floor(wanted), F.lit(0)).alias("copies"), F.coalesce(wanted - F.floor(wanted), F.lit(0.0)).alias("share"), _draw(seed, F.col("doc_id"), F.col("size")).alias("draw"),
+        F.lit(0.0).alias("turn"), _draw(seed - 1, F.col("doc_id"), F.col("size")).alias("last"),
     )
     n = max(1, -(-sizes.count() // rows_per_task))
     shape = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema])
     decided, level = None, 0
     while True:
-        dealt = rows.repartition(n, F.xxhash64(F.lit(seed + level), "draw", "doc_id")).sortWithinPartitions("draw", "doc_id", "source", "size")
+        turned = rows.withColumn("turn", _draw(seed + 1 + level, F.col("doc_id"), F.col("size"), F.col("draw")))
+        dealt = turned.repartition(n, F.xxhash64(F.lit(seed + level), "draw", "doc_id")).sortWithinPartitions("draw", "doc_id", "source", "size")
         made = saved(dealt.mapInArrow(_pivotal(n == 1), shape), "mixed")
-        done = made.where("share is null")
+        done = made.where("share is null").drop("share", "draw", "turn", "last")
         decided = done if decided is None else decided.unionByName(done)
         if n == 1:
-            return decided.drop("share", "draw")
+            return decided
         rows, n, level = made.where("share is not null"), -(-n // fan_in), level + 1

@@ -189,6 +189,16 @@ def test_mixing(spark, edges, nothing):
     assert mixing.copies(edges).count() == edges.count() and mixing.copies(nothing).count() == 0
 
 
+def test_mixing_keeps_shares_in_small_sources(spark):
+    rows = [(4 * i + k, "w " * n, f"s{i:03}") for i in range(300) for k, n in enumerate((5, 10, 20, 40))]
+    taken, seen = Counter(), Counter()
+    for r in mixing.copies(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        if r.target != r.source_size:
+            seen[r.size] += 1
+            taken[r.size] += r.copies - int(r.target / r.source_size)
+    assert all(seen[n] == 200 and 0.35 < taken[n] / seen[n] < 0.65 for n in (5, 10, 20, 40))
+
+
 def test_mixing_ceiling(spark):
     sizes = spark.createDataFrame([("a", 1000), ("b", 10), ("c", 0), (None, 500)], "source string, size long")
     got = {r.source: r.target for r in mixing.targets(sizes).collect()}
