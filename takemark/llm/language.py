@@ -3,8 +3,8 @@
 Each language is a distribution over hashed letter trigrams, counted over all
 learning documents. A text is a mixture of languages: expectation-maximisation
 estimates the proportions from the likelihoods of its trigrams. The set of languages
-is chosen by penalised likelihood: starting with the best single language, the next
-one (by proportion) enters while the gain in log likelihood exceeds a penalty that grows with the log
+is chosen by penalised likelihood: starting with the best single language, of all others that
+with the largest gain enters while the gain in log likelihood exceeds a penalty that grows with the log
 of the text's length. The prediction is the language with the largest share.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; so is every text
@@ -70,18 +70,19 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
     return langs, np.log(table / table.sum(1, keepdims=True)) if langs else table
 
 
-def mixture(p: np.ndarray, counts: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
-    """Proportions of the rows of p that maximise the likelihood of counts, and that log likelihood."""
-    share = np.full(len(p), 1 / len(p))
+def mixtures(p: np.ndarray, more: np.ndarray, counts: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of more: the proportions of the rows of p and that one that maximise the likelihood of counts, and that log likelihood."""
+    p = np.concatenate([np.broadcast_to(p, (len(more), *p.shape)), more[:, None]], 1)
+    share = np.full(p.shape[:2], 1 / p.shape[1])
     for _ in range(rounds):
-        joint = share[:, None] * p
-        share = (joint / joint.sum(0)) @ counts
-        share /= share.sum()
-    return share, float(counts @ np.log(share @ p))
+        total = np.matmul(share[:, None], p)[:, 0]
+        share = share * np.matmul(p, (counts / total)[:, :, None])[:, :, 0]
+        share /= share.sum(1, keepdims=True)
+    return share, np.log(np.matmul(share[:, None], p)[:, 0]) @ counts
 
 
-def predict(text: str | None, langs: list[str], logp: np.ndarray, penalty: float = 4.0, rounds: int = 12, most: int = 3) -> tuple[str, float, list[str]]:
-    """Language with the largest share, that share, and the chosen set (at most ``most`` languages)."""
+def predict(text: str | None, langs: list[str], logp: np.ndarray, penalty: float = 4.0, rounds: int = 12) -> tuple[str, float, list[str]]:
+    """Language with the largest share, that share, and the chosen set."""
     grams = trigrams(text) if text else None
     if grams is None or not langs:
         return "und", 0.0, []
@@ -91,14 +92,16 @@ def predict(text: str | None, langs: list[str], logp: np.ndarray, penalty: float
     single = lp @ counts
     p = np.exp(lp - lp.max(0))
     base = float(counts @ lp.max(0))
-    share, _ = mixture(p, counts, rounds)
-    order = [int(np.argmax(single)), *(k for k in np.argsort(-share) if k != np.argmax(single))]
-    chosen, best, proportions = [order[0]], float(single[order[0]]) - base, np.ones(1)
-    for k in order[1:most]:
-        s, ll = mixture(p[[*chosen, k]], counts, rounds)
-        if ll - best <= penalty * np.log(counts.sum() + 1):
+    first = int(np.argmax(single))
+    chosen, best, proportions = [first], float(single[first]) - base, np.ones(1)
+    rest_of = [k for k in range(len(langs)) if k != first]
+    while rest_of:
+        shares, lls = mixtures(p[chosen], p[rest_of], counts, rounds)
+        k = int(np.argmax(lls))
+        if lls[k] - best <= penalty * np.log(counts.sum() + 1):
             break
-        chosen, best, proportions = [*chosen, int(k)], ll, s
+        best, proportions = float(lls[k]), shares[k]
+        chosen.append(rest_of.pop(k))
     top = int(np.argmax(proportions))
     rest = np.exp(np.clip((single - single[chosen[top]]) / max(1.0, counts.sum() ** 0.5), -50, 0)).sum() if len(chosen) == 1 else 1.0
     return langs[chosen[top]], float(proportions[top] / max(rest, 1.0)), [langs[k] for k in chosen]

@@ -230,6 +230,16 @@ def test_language(spark, edges, nothing):
     assert language.identify(edges, language.learn(nothing)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_sets_have_no_cap():
+    words = {"de": "der und die mit nicht", "en": "the with thing this when", "es": "los para como pero muy", "fr": "avec une être où était"}
+    table = np.full((4, language.BUCKETS), 0.5)
+    for row, w in zip(table, words.values()):
+        row += np.bincount(language.trigrams(w * 100), minlength=language.BUCKETS)
+    logp = np.log(table / table.sum(1, keepdims=True))
+    found = language.predict(" ".join(f"{w} " * 40 for w in words.values()), [*words], logp)
+    assert set(found[2]) == set(words) and found[1] < 0.34
+
+
 def brute_components(rows, width, num):
     sets = {}
     for i, text in rows:
