@@ -5,16 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or what setCheckpointDir was given.
+
+    Where the session names none, a local session gets a folder of its own; on a cluster that is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="takemark-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
-    """df, written to the folder that the session names in spark.checkpoint.dir and read back; a temporary folder only where it names none."""
+    """df, written to the shared folder and read back; it stays there, as a checkpoint does."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="takemark-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
