@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
@@ -10,6 +9,10 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from takemark.storage import saved, shared_dir
+
+__all__ = ["SPACE_CLASS", "Scratch", "let", "saved", "small_batches", "table", "words_of"]
+
 #: The white space of every word definition here: space and the five control characters from tab to carriage return.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]+"
 
@@ -18,29 +21,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="takemark-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+class Scratch:
+    """Tables of one call in the shared folder. Leaving the ``with`` block deletes them; keep() is for the result."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
 
+    def __exit__(self, *_) -> None:
+        self._delete(self.paths)
 
-#: Paths written in each open scratch(), innermost last.
-_SCOPES: list[list[str]] = []
+    def _delete(self, paths: list[str]) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
 
+    def saved(self, df: DataFrame, label: str) -> DataFrame:
+        """df, written once to the shared folder and read back: cuts lineage and outlives executors."""
+        path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """df, written once to the shared folder and read back: cuts lineage and outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    if _SCOPES:
-        _SCOPES[-1].append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        """saved(), for what the caller gets: it stays, as a checkpoint does."""
+        out = self.saved(df, label)
+        self.paths.pop()
+        return out
 
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -57,27 +67,6 @@ def small_batches(spark: SparkSession, rows: int = 1000):
         spark.conf.set(_BATCH, before)
 
 
-@contextmanager
-def scratch(spark: SparkSession):
-    """Deletes on leaving what saved() wrote inside. It yields keep(df, label): saves a result for the surroundings."""
-
-    def keep(df: DataFrame, label: str) -> DataFrame:
-        inner = _SCOPES.pop()
-        try:
-            return saved(df, label)
-        finally:
-            _SCOPES.append(inner)
-
-    _SCOPES.append([])
-    try:
-        yield keep
-    finally:
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for path in _SCOPES.pop():
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once, however often body names it."""
     return F.transform(F.array(value), body)[0]

@@ -3,34 +3,44 @@
 Documents are sets of word shingles. Two link when their Jaccard similarity reaches
 a threshold; components of links are the groups of near copies. The join is exact.
 
-1. Documents with equal sets are one class; the class's smallest doc_id stands for it.
-2. Sets that link must share one of their rarest ``n - ceil(t * n) + 1`` shingles, for
-   any fixed order of shingles. The order puts frequent ones (by a fixed-size count
-   sketch over all documents) last. Classes that share such a key form a bucket.
-3. In a bucket, signature trees hold the classes: every node has the OR of its members'
-   token bitmaps and their range of sizes. A dual traversal from root to leaves
-   drops pairs of nodes whose largest possible overlap is too small. Large buckets
-   are cut into blocks, and pairs of blocks go to different tasks.
-4. A first traversal keeps each member's best partners only. Their exact similarity
-   gives links, and links give components. A second traversal skips nodes that already lie in one
-   component and keeps all other pairs, which are verified in the same way. So
-   members of one component are never expanded into all their pairs.
+1. Documents with equal sets are one class, a node of the join.
+2. Sets that link share one of their rarest ``n - ceil(t * n) + 1`` shingles, for any fixed
+   order of shingles. The order puts frequent ones (by a fixed-size count sketch over all
+   documents) last. Nodes that share such a key form a bucket. Buckets with the
+   same members become one. Each row carries ``rest``, the number of shingles from the key on: at
+   the first key that two sets share, neither has more than ``rest`` left to share.
+3. In a bucket, signature trees hold the nodes: every tree node has the OR of its members'
+   token bitmaps, their range of sizes and their largest rest. A dual traversal from root to
+   leaves drops pairs of tree nodes whose largest possible overlap is too small.
+4. A first traversal takes the buckets of each node's first few keys and keeps each member's best
+   earlier partner only. Exact checks give links, and links give components.
+5. A second traversal covers all buckets, skips tree nodes that already lie in one component and keeps all
+   other pairs. It goes over sizes, rests and components alone first, and only rows with a possible partner
+   get bitmaps for the traversal proper. Its pairs are checked exactly. So members of one component
+   are never expanded into all their pairs.
+
+A bucket with more than ``block`` members is cut into blocks by size and, for large components,
+by component; pairs of blocks that sizes and components don't exclude go to different
+tasks, and only rows of such blocks are repeated.
 
 Cases: null, empty and blank texts have no shingles and link with nothing; a null
-doc_id takes no part and has no component; rows that repeat a doc_id are one node;
-an empty table gives no rows; extra columns are ignored.
+doc_id takes no part and has no component; rows that repeat a doc_id are one document, which has the links
+of all its texts; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from takemark.llm.common import saved, scratch, small_batches
+from takemark.llm.common import Scratch, small_batches
 from takemark.llm.components import connected_components
 
 _SPACE = np.zeros(256, bool)
@@ -40,10 +50,9 @@ _FACTOR = 0x9E3779B97F4A7C15
 _PLACE = np.random.default_rng(21).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Buckets of the count sketch.
 SKETCH = 1 << 16
-#: Classes of sizes: members of class k have at most 2 ** (k + 1) - 1 shingles, and bitmaps of 2 ** (k + 1) bits;
-#: wide bitmaps, for the second traversal and ahead of exact checks, have _WIDE times as many.
-_WIDE = 4
-_LEAST_CLASS = 8
+#: Classes of sizes: members of class k have at most 2 ** (k + 1) - 1 shingles and bitmaps of 8 * 2 ** k bits,
+#: whose halves are ORed for the trees of their own class and left as they are for those of the next.
+_LEAST_CLASS = 6
 _FAN = 8
 _powers = np.ones(1, np.uint64)
 
@@ -81,16 +90,9 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(_mixed(total + np.uint64(width)))
 
 
-def _classes(n: int, num: int, den: int) -> tuple[int, bool]:
-    """Class of a set of n, and whether partners in the next class are large enough to link."""
-    k = max(_LEAST_CLASS, n.bit_length() - 1)
-    return k, den * n >= num << (k + 1)
-
-
-def _bitmap(hashes: np.ndarray, k: int, wide: int = 1) -> bytes:
-    size = (2 << k) * wide
-    bits = np.zeros(size, np.uint8)
-    bits[(hashes >> np.uint64(7)) & np.uint64(size - 1)] = 1
+def _bitmap(hashes: np.ndarray, k: int) -> bytes:
+    bits = np.zeros(8 << k, np.uint8)
+    bits[(hashes >> np.uint64(7)) & np.uint64((8 << k) - 1)] = 1
     return np.packbits(bits).tobytes()
 
 
@@ -101,15 +103,33 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.
             yield batch.slice(k, rows)
 
 
-def _sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """How often shingles of each sketch bucket occur in all documents; partial sketches are added in a tree of tasks."""
+_SETS = "doc_id long, n long, digest binary, counts binary"
+
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _surveyed(docs: DataFrame, width: int) -> DataFrame:
+    """Size and digest of the set of every document; and, in one row a task with n = -1, its share of the count sketch."""
+
+    def surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
+
+        def rows(ids: list, sizes: list, digests: list, counts: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "n", "digest", "counts"])
+
         for batch in _slices(batches):
-            for text in batch.column(0).to_pylist():
-                total += np.bincount(shingles(text, width) >> np.uint64(48), minlength=SKETCH)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["counts"])
+            sizes, digests = [], []
+            for text in batch.column(1).to_pylist():
+                hashes = shingles(text, width)
+                total += np.bincount(hashes >> np.uint64(48), minlength=SKETCH)
+                sizes.append(len(hashes))
+                digests.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
+            yield rows(batch.column(0).to_pylist(), sizes, digests, [None] * len(sizes))
+        yield rows([None], [-1], [None], [total.tobytes()])
+
+    return docs.select("doc_id", "text").mapInArrow(surveyed, _SETS)
+
+
+def _frequent(surveyed: DataFrame, s: Scratch) -> np.ndarray:
+    """Counts of the sketch buckets that hold frequent shingles, 0 elsewhere; partial sketches are added in a tree of tasks."""
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
@@ -118,54 +138,130 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
                 total += np.frombuffer(data.as_py(), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["counts"])
 
-    parts = saved(docs.select("text").mapInArrow(counted, "counts binary"), "sketch")
+    parts = surveyed.where("n = -1").select("counts")
     n = parts.count()
     while n > 1:
         n = -(-n // 64)
-        parts = saved(parts.repartition(n).mapInArrow(added, "counts binary"), "sketch")
+        parts = s.saved(parts.repartition(n).mapInArrow(added, "counts binary"), "sketch")
     row = parts.first()
     counts = np.frombuffer(row[0], np.int64) if row else np.zeros(SKETCH, np.int64)
     usual = counts.mean() + 8 * np.sqrt(counts.mean() + 1)
     return np.where(counts > usual, counts, 0)
 
 
-_SIGNED = "doc_id long, n long, digest binary, keys array<long>, bits binary, bits_up binary, wide binary, wide_up binary"
-
-
-def _signed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Size, digest of the set, prefix keys and bitmaps of every document."""
-    import hashlib
-
-    order = docs.sparkSession.sparkContext.broadcast(_sketch(docs, width))
+def _signed(docs: DataFrame, order: Broadcast, width: int, num: int, den: int) -> DataFrame:
+    """Size, digest, prefix keys in order and bitmap of every set that isn't empty."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = order.value
         for batch in _slices(batches):
-            columns: list[list] = [[] for _ in range(8)]
+            columns: list[list] = [[] for _ in range(5)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 hashes = shingles(text, width)
                 n = len(hashes)
-                row: tuple = (doc, 0, None, [], None, None, None, None)
-                if n:
-                    level = rare[hashes >> np.uint64(48)]
-                    keys = hashes[np.argsort(level, kind="stable")[: n - -(-num * n // den) + 1]]
-                    k, both = _classes(n, num, den)
-                    digest = hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
-                    row = (doc, n, digest, keys.view(np.int64), _bitmap(hashes, k), _bitmap(hashes, k + 1) if both else None, _bitmap(hashes, k, _WIDE), _bitmap(hashes, k + 1, _WIDE) if both else None)
+                if not n:
+                    continue
+                keys = hashes[np.argsort(rare[hashes >> np.uint64(48)], kind="stable")[: n - -(-num * n // den) + 1]]
+                row = (doc, n, hashlib.blake2b(hashes.tobytes(), digest_size=16).digest(), keys.view(np.int64), _bitmap(hashes, max(_LEAST_CLASS, n.bit_length() - 1)))
                 for column, x in zip(columns, row, strict=True):
                     column.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), *[pa.binary()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "n", "digest", "keys", "bits", "bits_up", "wide", "wide_up"])
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "n", "digest", "keys", "bits"])
+
+    return docs.select("doc_id", "text").mapInArrow(signed, "doc_id long, n long, digest binary, keys array<long>, bits binary")
+
 
-    return docs.select("doc_id", "text").mapInArrow(signed, _SIGNED)
+class _Members:
+    """A bitmap that every task reads: may a number be among those of a table? Its size is bounded; with more numbers it lets more others through."""
+
+    def __init__(self, values: DataFrame, s: Scratch):
+        """values has one column ``v``, spread over all longs."""
+        self.size = 1 << max(16, min(28, (16 * values.count()).bit_length()))  # at most 32 MB
+        at = values.select(F.pmod("v", F.lit(self.size)).alias("v"))
+        chunks = at.groupBy(F.expr("bitmap_bucket_number(v)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(v))").alias("bits")).collect()
+        table = np.zeros((self.size // 32768 + 2, 4096), np.uint8)
+        for r in chunks:
+            table[r["k"]] = np.frombuffer(r["bits"], np.uint8)
+        self.table = s.spark.sparkContext.broadcast(table)
+
+    def tested(self):
+        """A function on the tasks: int64 values -> booleans."""
+        table, size = self.table, self.size
+
+        def test(values: np.ndarray) -> np.ndarray:
+            v = values & (size - 1)
+            # Bucket 1 of bitmap_bucket_number holds values from 1 to 32768, and bit 0 is value 1.
+            number, bit = np.where(v > 0, (v - 1) // 32768 + 1, 0), np.where(v > 0, (v - 1) % 32768, 0)
+            return ((table.value[number, bit >> 3] >> (bit & 7)) & 1).astype(bool)
+
+        return test
+
+
+def _buckets(nodes: DataFrame, s: Scratch) -> DataFrame:
+    """(key, id, n, rest): the members of all buckets of two or more; those with the same members are one, under their smallest key."""
+    keyed = nodes.select("id", F.explode("keys").alias("key"))
+    same = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("id").bitwiseAND(F.lit((1 << 40) - 1))).alias("members"), F.sum(F.xxhash64("id", F.lit(1)).bitwiseAND(F.lit((1 << 40) - 1))).alias("again")).where("c > 1")
+    same = s.saved(same, "same")
+    # Should two sets of members agree in count and sums, their bucket is their union, so no pair is lost.
+    kept = same.groupBy("c", "members", "again").agg(F.min("key").alias("one"))
+    mapped = s.saved(same.join(kept, ["c", "members", "again"]).select("key", "one"), "mapped")
+    test = _Members(mapped.select(F.col("key").alias("v")), s).tested()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(2)
+            flat, sizes = np.asarray(keys.flatten()), np.asarray(keys.value_lengths())
+            owner = np.repeat(np.arange(batch.num_rows), sizes)
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            hit = np.flatnonzero(test(flat))
+            ids, n = np.asarray(batch.column(0))[owner[hit]], np.asarray(batch.column(1))[owner[hit]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (flat[hit], ids, n, n - place[hit])], ["key", "id", "n", "rest"])
+
+    near = nodes.select("id", "n", "keys").mapInArrow(rows, "key long, id long, n long, rest long")
+    return s.saved(near.join(mapped, "key").groupBy(F.col("one").alias("key"), "id").agg(F.first("n").alias("n"), F.max("rest").alias("rest")), "buckets")
+
+
+def _blocked(rows: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """rows (key, id, n, rest, component, c) with p, q and side: the pair of blocks of its bucket that a row is in.
+
+    Buckets of up to ``block`` members are one block. Larger ones are cut by size, so that only blocks of
+    neighbouring sizes can link, and components of half a block or more get blocks of their own.
+    """
+    whole = rows.where(F.col("c") <= block).select("key", "id", "n", "rest", "component", *(F.lit(0).cast("long").alias(x) for x in ("p", "q", "side")))
+    step = log(den / num) * 1.0001 if num < den else 1.0
+    large = rows.where(F.col("c") > block).withColumn("band", F.floor(F.log("n") / step))
+    counts = large.groupBy("key", "band", "component").agg(F.count(F.lit(1)).alias("m"))
+    own = counts.where(F.col("m") >= block // 2).select("key", "band", "component", F.col("component").alias("own"))
+    large = large.join(own, ["key", "band", "component"], "left")
+    groups = counts.join(own, ["key", "band", "component"], "left").groupBy("key", "band", "own").agg(F.ceil(F.sum("m") / block).alias("parts"))
+    name = F.xxhash64("band", "own", "part")
+    same_group = [F.col(f"g.{c}").eqNullSafe(F.col(f"l.{c}")) for c in ("key", "band", "own")]
+    placed = large.alias("l").join(groups.alias("g"), same_group).select("l.*", F.pmod(F.xxhash64("l.id"), F.col("g.parts")).alias("part")).withColumn("b", name)
+    blocks = groups.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("b", name)
+    left = blocks.select("key", "band", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("other"), F.col("own").alias("own1"), F.col("b").alias("p"))
+    right = blocks.select("key", F.col("band").alias("other"), F.col("own").alias("own2"), F.col("b").alias("q"))
+    pairs = left.join(right, ["key", "other"]).where("(band <> other or p <= q) and not coalesce(own1 = own2, false)")
+    seats = pairs.select("key", F.col("p").alias("b"), "p", "q", F.lit(0).cast("long").alias("side")).unionByName(pairs.where("p <> q").select("key", F.col("q").alias("b"), "p", "q", F.lit(1).cast("long").alias("side")))
+    cut = placed.join(seats, ["key", "b"]).select("key", "id", "n", "rest", "component", "p", "q", "side")
+    return whole.unionByName(cut)
+
+
+def _shaped(rows: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """rows with bitmaps and the class of the trees that they join, dealt and sorted as the traversal takes them."""
+    base = F.greatest(F.lit(_LEAST_CLASS), F.floor(F.log2(F.col("n").cast("double") + 0.5)).cast("int"))
+    reaches = den * F.col("n") >= num * F.pow(F.lit(2.0), F.col("class") + 1)  # partners in the next class are large enough to link
+    out = rows.join(nodes.select("id", "bits"), "id").withColumn("class", base)
+    out = out.withColumn("class", F.explode(F.when(reaches, F.array(F.col("class"), F.col("class") + 1)).otherwise(F.array("class"))))
+    out = out.select("class", "key", "p", "q", "side", "id", "n", "rest", "component", "bits")
+    return out.repartition("class", "key", "p", "q").sortWithinPartitions("class", "key", "p", "q", "side", "n", "id")
 
 
 class _Forest:
-    """Signature trees over all subgroups of a batch at once. Level 0 are the entries, sorted by subgroup."""
+    """Signature trees over all subgroups of a batch at once. Level 0 are the entries, sorted by subgroup. bits may have no columns."""
 
-    def __init__(self, sub: np.ndarray, n: np.ndarray, component: np.ndarray, bits: np.ndarray):
+    def __init__(self, sub: np.ndarray, n: np.ndarray, rest: np.ndarray, component: np.ndarray, bits: np.ndarray):
         pop = np.bitwise_count(bits).sum(1, dtype=np.int64)
-        self.levels = [{"sub": sub, "bits": bits, "lo": n, "hi": n, "excess": n - pop, "cmin": component, "cmax": component}]
+        self.levels = [{"sub": sub, "bits": bits, "lo": n, "hi": n, "rest": rest, "excess": n - pop, "cmin": component, "cmax": component}]
         while True:
             below = self.levels[-1]
             starts = np.flatnonzero(np.diff(below["sub"], prepend=-1))
@@ -174,13 +270,14 @@ class _Forest:
             place = np.arange(len(below["sub"])) - np.repeat(starts, np.diff(np.append(starts, len(below["sub"]))))
             first = np.flatnonzero(place % _FAN == 0)
             level = {"sub": below["sub"][first], "first": first, "count": np.diff(np.append(first, len(below["sub"])))}
-            for name, f in (("bits", np.bitwise_or), ("lo", np.minimum), ("hi", np.maximum), ("excess", np.maximum), ("cmin", np.minimum), ("cmax", np.maximum)):
+            for name, f in (("bits", np.bitwise_or), ("lo", np.minimum), ("hi", np.maximum), ("rest", np.maximum), ("excess", np.maximum), ("cmin", np.minimum), ("cmax", np.maximum)):
                 level[name] = f.reduceat(below[name], first, axis=0)
             self.levels.append(level)
 
     def pairs(self, roots: list[tuple[np.ndarray, np.ndarray]], num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Entry pairs (a, b, largest possible overlap) that no bound excludes, from pairs of root nodes down."""
-        most = max(256, (1 << 20) // max(1, self.levels[0]["bits"].shape[1]))
+        words = self.levels[0]["bits"].shape[1]
+        most = max(256, (1 << 20) // max(16, words))
         stack = [(len(self.levels) - 1, a, b) for a, b in roots]
         while stack:
             k, a, b = stack.pop()
@@ -192,12 +289,16 @@ class _Forest:
                 stack += [(k, a[:half], b[:half]), (k, a[half:], b[half:])]
                 continue
             x = self.levels[k]
-            shared = np.bitwise_count(x["bits"][a] & x["bits"][b]).sum(1, dtype=np.int64)
-            overlap = np.minimum(np.minimum(x["hi"][a], x["hi"][b]), np.minimum(x["excess"][a], x["excess"][b]) + shared)
-            keep = (num + den) * overlap >= num * (x["lo"][a] + x["lo"][b])
-            keep &= (den * x["hi"][a] >= num * x["lo"][b]) & (den * x["hi"][b] >= num * x["lo"][a])
-            keep &= (np.minimum(x["cmin"][a], x["cmin"][b]) != np.maximum(x["cmax"][a], x["cmax"][b]))
+            overlap = np.minimum(x["rest"][a], x["rest"][b])
+            keep = (den * x["hi"][a] >= num * x["lo"][b]) & (den * x["hi"][b] >= num * x["lo"][a])
+            keep &= np.minimum(x["cmin"][a], x["cmin"][b]) != np.maximum(x["cmax"][a], x["cmax"][b])
+            keep &= (num + den) * overlap >= num * (x["lo"][a] + x["lo"][b])
             a, b, overlap = a[keep], b[keep], overlap[keep]
+            if words:
+                shared = np.bitwise_count(x["bits"][a] & x["bits"][b]).sum(1, dtype=np.int64)
+                overlap = np.minimum(overlap, np.minimum(x["excess"][a], x["excess"][b]) + shared)
+                keep = (num + den) * overlap >= num * (x["lo"][a] + x["lo"][b])
+                a, b, overlap = a[keep], b[keep], overlap[keep]
             if k == 0:
                 yield a, b, overlap
                 continue
@@ -221,69 +322,112 @@ class _Forest:
             stack.append((k - 1, i[ok], j[ok]))
 
 
+def _grown(col: dict, lo: int, hi: int, bits: np.ndarray) -> tuple[_Forest, list]:
+    """The forest of rows lo to hi, and the pairs of roots to start from: a block with itself, or the two blocks of a pair."""
+    p, q = col["p"][lo:hi], col["q"][lo:hi]
+    group = np.cumsum(_changes(col["key"][lo:hi], p, q)) - 1
+    sub = 2 * group + col["side"][lo:hi]
+    forest = _Forest(sub, col["n"][lo:hi], col["rest"][lo:hi], col["component"][lo:hi], bits)
+    top = forest.levels[-1]["sub"]
+    step = np.diff(top // 2)
+    alone = np.flatnonzero((np.append(step, 1) > 0) & (np.append(1, step) > 0))
+    at = np.searchsorted(sub, top[alone])
+    diagonal = alone[p[at] == q[at]]
+    cross = np.flatnonzero(step == 0)
+    if len(forest.levels) == 1:  # single entries only
+        diagonal = diagonal[:0]
+    return forest, [(x, y) for x, y in ((diagonal, diagonal), (cross, cross + 1)) if len(x)]
+
+
+def _columns(rows: pa.Table) -> dict:
+    return {c: np.asarray(rows[c].combine_chunks()) for c in rows.column_names if c != "bits"}
+
+
+def _in_groups(names: tuple[str, ...], work):
+    """A mapInArrow function: work(table) on parts of bounded size of rows sorted by names, none of which is cut inside a group."""
+
+    def worked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []
+        for batch in batches:
+            parts.append(batch)
+            if sum(b.num_rows for b in parts) < 20_000 and sum(b.nbytes for b in parts) < 8 << 20:
+                continue
+            held = pa.Table.from_batches(parts)
+            starts = np.flatnonzero(_changes(*(np.asarray(held[c].combine_chunks()) for c in names)))
+            if len(starts) > 1:
+                yield work(held.slice(0, int(starts[-1])).combine_chunks())
+                parts = held.slice(int(starts[-1])).to_batches()
+        if sum(b.num_rows for b in parts):
+            yield work(pa.Table.from_batches(parts).combine_chunks())
+
+    return worked
+
+
+def _possible(num: int, den: int):
+    """A mapInArrow function over rows sorted by (key, p, q, side, n, id): those that sizes, rests and components leave a partner."""
+
+    def block(rows: pa.Table) -> pa.RecordBatch:
+        col = _columns(rows)
+        forest, roots = _grown(col, 0, rows.num_rows, np.zeros((rows.num_rows, 0), np.uint64))
+        hit = np.zeros(rows.num_rows, bool)
+        for a, b, _ in forest.pairs(roots, num, den):
+            hit[a] = hit[b] = True
+        mask = pa.array(hit)
+        return pa.RecordBatch.from_arrays([rows[c].combine_chunks().filter(mask) for c in rows.column_names], rows.column_names)
+
+    return _in_groups(("key", "p", "q"), block)
+
+
 def _traversal(num: int, den: int, forest_only: bool):
-    """A mapInArrow function over rows (class, key, p, q, side, id, n, component, bits) sorted so; yields candidate pairs (a, b)."""
+    """A mapInArrow function over rows as _shaped() sorts them: candidate pairs (a, b, score), a < b.
+
+    With forest_only, of each entry (b) only the best earlier one (a) in its group.
+    """
 
     def block(rows: pa.Table) -> pa.RecordBatch:
-        col = {c: rows[c].combine_chunks() for c in rows.column_names}
-        get = lambda c: np.asarray(col[c])
-        size_class, ids, n = get("class"), get("id"), get("n")
-        component = ids if forest_only else get("component")
+        col = _columns(rows)
+        bitmaps = rows["bits"].combine_chunks()
         found: list[np.ndarray] = []
-        for c in np.unique(size_class):
-            at = np.flatnonzero(size_class == c)
-            lo, hi = int(at[0]), int(at[-1]) + 1  # sorted by class
-            bits = np.frombuffer(b"".join(col["bits"].slice(lo, hi - lo).to_pylist()), np.uint64).reshape(hi - lo, -1)
-            group = np.cumsum(_changes(get("key")[lo:hi], get("p")[lo:hi], get("q")[lo:hi])) - 1
-            side = get("side")[lo:hi]
-            sub = 2 * group + side
-            forest = _Forest(sub, n[lo:hi], component[lo:hi], bits)
-            top = forest.levels[-1]["sub"]
-            alone = np.flatnonzero(np.append(np.diff(top // 2), 1) * np.append(1, np.diff(top // 2)) > 0)
-            diagonal = alone[get("p")[lo:hi][np.searchsorted(sub, top[alone])] == get("q")[lo:hi][np.searchsorted(sub, top[alone])]]
-            cross = np.flatnonzero(np.diff(top // 2) == 0)
-            roots = [(x, y) for x, y in ((diagonal, diagonal), (cross, cross + 1)) if len(x)]
-            if len(forest.levels) == 1:  # single entries only
-                roots = roots[1:] if len(diagonal) else roots
-            best = np.zeros((2, hi - lo))
-            mate = np.full((2, hi - lo), -1)
+        scores: list[np.ndarray] = []
+        starts = np.append(np.flatnonzero(np.diff(col["class"], prepend=-1)), rows.num_rows)
+        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            ids, n, words = col["id"][lo:hi], col["n"][lo:hi], (4 << int(col["class"][lo])) // 64
+            raw = bitmaps.slice(lo, hi - lo).to_pylist()
+            # Members of the class below come with half the bits: as many as the trees have.
+            own = np.fromiter((len(x) == 16 * words for x in raw), bool, len(raw))
+            full = np.frombuffer(b"".join(x if o else x + bytes(len(x)) for x, o in zip(raw, own)), np.uint64).reshape(hi - lo, 2, words)
+            forest, roots = _grown(col, lo, hi, full[:, 0] | full[:, 1])
+            pop = np.bitwise_count(full).sum((1, 2), dtype=np.int64)
+            best = np.zeros(hi - lo)
+            mate = np.full(hi - lo, -1)
             for a, b, overlap in forest.pairs(roots, num, den):
-                own = ids[lo:hi]
-                a, b, overlap = (v[own[a] != own[b]] for v in (a, b, overlap))
+                both = np.flatnonzero(own[a] & own[b])
+                for c in range(0, len(both), 4096):  # all bits, where both have them
+                    at = both[c : c + 4096]
+                    shared = np.bitwise_count(full[a[at]] & full[b[at]]).sum((1, 2), dtype=np.int64)
+                    overlap[at] = np.minimum(overlap[at], np.minimum(n[a[at]] - pop[a[at]], n[b[at]] - pop[b[at]]) + shared)
+                keep = ((num + den) * overlap >= num * (n[a] + n[b])) & (ids[a] != ids[b])
+                a, b, overlap = a[keep], b[keep], overlap[keep]
                 if not len(a):
                     continue
+                score = overlap / (n[a] + n[b])
                 if not forest_only:
-                    found.append(np.unique(np.stack([np.minimum(own[a], own[b]), np.maximum(own[a], own[b])], 1), axis=0))
+                    found.append(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])], 1))
+                    scores.append(score)
                     continue
-                score = overlap / (n[lo:hi][a] + n[lo:hi][b])
-                for way, (one, other) in enumerate(((b, a), (a, b))):
-                    order = np.lexsort((other, score, one))
-                    last = order[np.append(one[order][1:] != one[order][:-1], True)]
-                    better = score[last] > best[way][one[last]]
-                    best[way][one[last][better]], mate[way][one[last][better]] = score[last][better], other[last][better]
+                order = np.lexsort((a, score, b))
+                last = order[np.append(b[order][1:] != b[order][:-1], True)]
+                better = last[score[last] > best[b[last]]]
+                best[b[better]], mate[b[better]] = score[better], a[better]
             if forest_only:
-                for way in (0, 1):
-                    one = np.flatnonzero(mate[way] >= 0)
-                    x, y = ids[lo:hi][one], ids[lo:hi][mate[way][one]]
-                    found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    def traversed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            rest = t if rest is None else pa.concat_tables([rest, t])
-            if rest.num_rows < 20_000 and rest.nbytes < 8 << 20:
-                continue
-            starts = np.flatnonzero(_changes(*(np.asarray(rest[c].combine_chunks()) for c in ("class", "key", "p", "q"))))
-            if len(starts) > 1:
-                yield block(rest.slice(0, int(starts[-1])).combine_chunks())
-                rest = rest.slice(int(starts[-1]))
-        if rest is not None and rest.num_rows:
-            yield block(rest.combine_chunks())
+                one = np.flatnonzero(mate >= 0)
+                found.append(np.stack([ids[mate[one]], ids[one]], 1))
+                scores.append(best[one])
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        pairs, first = np.unique(pairs, axis=0, return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.concatenate(scores)[first] if scores else np.zeros(0))], ["a", "b", "score"])
 
-    return traversed
+    return _in_groups(("class", "key", "p", "q"), block)
 
 
 def _changes(*columns: np.ndarray) -> np.ndarray:
@@ -294,128 +438,79 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def _entries(shared: DataFrame, nodes: DataFrame, num: int, den: int, block: int, cross: bool) -> DataFrame:
-    """Rows of buckets as the traversal takes them, dealt by bucket, class and pair of blocks."""
-    blocks = F.ceil(F.col("c") / block)
-    own = F.pmod(F.xxhash64("id"), blocks)
-    rows = shared.withColumn("blocks", blocks).withColumn("own", own)
-    if cross:
-        rows = rows.withColumn("x", F.explode_outer(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))).withColumn("x", F.col("x").cast("long"))
-    else:
-        rows = rows.withColumn("x", F.col("own"))
-    rows = rows.select("key", "id", *(["component"] if cross else [F.lit(0).cast("long").alias("component")]), F.least("own", "x").alias("p"), F.greatest("own", "x").alias("q"), F.when(F.col("own") > F.col("x"), 1).otherwise(0).cast("long").alias("side"))
-    base = F.greatest(F.lit(_LEAST_CLASS), F.floor(F.log2(F.col("n").cast("double") + 0.5)).cast("int"))
-    bits, up = (F.col("wide"), F.col("wide_up")) if cross else (F.col("bits"), F.col("bits_up"))
-    shaped = nodes.select(F.col("id").alias("_id"), "n", F.explode_outer(F.array_compact(F.array(F.struct(base.alias("class"), bits.alias("bits")), F.when(up.isNotNull(), F.struct((base + 1).alias("class"), up.alias("bits")))))).alias("s"))
-    out = rows.join(shaped, F.col("id") == F.col("_id")).select(F.col("s.class").alias("class"), "key", "p", "q", "side", "id", "n", "component", F.col("s.bits").alias("bits"))
-    return out.repartition("class", "key", "p", "q").sortWithinPartitions("class", "key", "p", "q", "side", "n", "id")
-
-
-def _verified_rows(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose exact similarity reaches the threshold.
+def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, s: Scratch, width: int, num: int, den: int) -> DataFrame:
+    """(node, low): the pairs (a, b) of nodes whose exact similarity reaches the threshold.
 
-    A bitmap bound comes first. Then the documents in question, which a filter of
-    bounded size picks from the table in a scan, send their shingle sets to their pairs.
+    The documents in question, which a filter of bounded size picks from the table in a scan,
+    send their shingle sets to their pairs.
     """
-    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, na, nb, xa, xb = (batch.column(k).to_pylist() for k in range(6))
-            keep = [i for i in range(len(a)) if _may_link(na[i], nb[i], xa[i], xb[i], num, den)]
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
-
-    # The narrow bitmaps leave few pairs for the wide ones.
-    likely = pairs
-    for bits in ("bits", "wide"):
-        left = nodes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col(bits).alias("xa"))
-        right = nodes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col(bits).alias("xb"))
-        likely = saved(likely.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(possible, "a long, b long"), "likely")
-
-    ids = saved(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct(), "ids")
-    size = min(1 << 28, max(1 << 16, 16 * ids.count()))
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
-    chunks = ids.select(place(F.col("id")).alias("v")).groupBy(F.expr("bitmap_bucket_number(v)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(v))").alias("bits")).collect()  # at most 32 MB
-    table = np.zeros((size // 32768 + 2, 4096), np.uint8)
-    for r in chunks:
-        table[r["k"]] = np.frombuffer(r["bits"], np.uint8)
-    wanted = docs.sparkSession.sparkContext.broadcast(table)
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            v = np.asarray(batch.column(2))
-            # Bucket 1 of bitmap_bucket_number holds values from 1 to 32768, and bit 0 is value 1.
-            number, bit = np.where(v > 0, (v - 1) // 32768 + 1, 0), np.where(v > 0, (v - 1) % 32768, 0)
-            hit = np.flatnonzero((wanted.value[number, bit >> 3] >> (bit & 7)) & 1)
-            some = batch.take(pa.array(hit))
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingles(t, width).tobytes() for t in some.column(1).to_pylist()], pa.binary())], ["id", "hashes"])
-
-    known = docs.where("doc_id is not null").select("doc_id", "text", place(F.col("doc_id")).alias("v")).mapInArrow(sets, "id long, hashes binary")
-    known = saved(known.join(ids, "id", "left_semi"), "sets")
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            a, b, ha, hb = (batch.column(k).to_pylist() for k in range(4))
-            keep = []
-            for i in range(len(a)):
-                x, y = np.frombuffer(ha[i], np.uint64), np.frombuffer(hb[i], np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if den * both >= num * (len(x) + len(y) - both):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([b[i] for i in keep], pa.int64()), pa.array([a[i] for i in keep], pa.int64())], ["node", "low"])
-
-    pairs = likely.join(known.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a").join(known.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
-    return pairs.select("a", "b", "ha", "hb").mapInArrow(exact, "node long, low long")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """_verified_rows, saved; its own tables go."""
-    with scratch(docs.sparkSession) as keep:
-        return keep(_verified_rows(pairs, docs, nodes, width, num, den), "links")
-
-
-def _may_link(na: int, nb: int, xa: bytes, xb: bytes, num: int, den: int) -> bool:
-    if den * min(na, nb) < num * max(na, nb):
-        return False
-    if len(xa) != len(xb):  # neighbouring classes: fold the longer bitmap onto the shorter
-        if len(xa) > len(xb):
-            xa, xb = xb, xa
-            na, nb = nb, na
-        long = np.frombuffer(xb, np.uint64)
-        y = long[: len(long) // 2] | long[len(long) // 2 :]
-    else:
-        y = np.frombuffer(xb, np.uint64)
-    x = np.frombuffer(xa, np.uint64)
-    only_x, only_y = (int(np.bitwise_count(v).sum()) for v in (x & ~y, y & ~x))
-    return (num + den) * min(na - only_x, nb - only_y) >= num * (na + nb)
-
-
-def near_duplicates(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, block: int = 1024, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    with Scratch(s.spark) as own:
+        ids = own.saved(reps.join(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id", "left_semi").select("id", "doc_id", "digest"), "ids")
+        wanted = _Members(ids.select(F.xxhash64("doc_id").alias("v")), own).tested()
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in _slices(batches):
+                some = batch.take(pa.array(np.flatnonzero(wanted(np.asarray(batch.column(2))))))
+                found = [shingles(t, width).tobytes() for t in some.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in found], pa.binary()), pa.array(found, pa.binary())], ["doc_id", "digest", "hashes"])
+
+        known = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("v")).mapInArrow(sets, "doc_id long, digest binary, hashes binary")
+        known = own.saved(known.join(ids, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select("id", "hashes"), "sets")
+
+        def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in _slices(batches):
+                a, b, ha, hb = (batch.column(k).to_pylist() for k in range(4))
+                keep = []
+                for i in range(len(a)):
+                    x, y = np.frombuffer(ha[i], np.uint64), np.frombuffer(hb[i], np.uint64)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if den * both >= num * (len(x) + len(y) - both):
+                        keep.append(i)
+                yield pa.RecordBatch.from_arrays([pa.array([b[i] for i in keep], pa.int64()), pa.array([a[i] for i in keep], pa.int64())], ["node", "low"])
+
+        met = pairs.join(known.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a").join(known.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
+        return s.saved(met.select("a", "b", "ha", "hb").mapInArrow(exact, "node long, low long"), "links")
+
+
+def near_duplicates(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, block: int = 1024, first_keys: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row; documents link at a Jaccard similarity of num / den or more."""
+    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    with small_batches(docs.sparkSession), scratch(docs.sparkSession) as keep:
-        signed = saved(_signed(docs, width, num, den), "signed")
-        full = signed.where("n > 0 and doc_id is not null")
-        classes = saved(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-        ids = classes.select(F.col("rep").alias("doc_id")).distinct()
-        nodes = saved(full.join(ids, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.max_by(F.struct("n", "keys", "bits", "bits_up", "wide", "wide_up"), "n").alias("s")).select("id", "s.*"), "nodes")
-
-        keyed = nodes.select(F.explode_outer("keys").alias("key"), "id")
-        buckets = saved(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("a"), F.max("id").alias("b")).where("c > 1"), "buckets")
-        larger = buckets.where("c > 2").select("key", "c")
-        shared = saved(keyed.join(larger, "key"), "shared")
-        first = _entries(shared, nodes, num, den, block, cross=False).mapInArrow(_traversal(num, den, True), "a long, b long")
-        pairs = saved(buckets.where("c = 2").select("a", "b").union(first).distinct(), "pairs")
-        links = _verified(pairs, docs, nodes, width, num, den)
-
-        found = saved(connected_components(links), "components")
-        labelled = saved(shared.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
-        mixed = saved(labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "mixed")
-        open_rows = labelled.join(mixed, "key", "left_semi")
-        second = _entries(open_rows, nodes, num, den, block, cross=True).mapInArrow(_traversal(num, den, False), "a long, b long").distinct()
-        more = _verified(second.join(pairs, ["a", "b"], "left_anti"), docs, nodes, width, num, den)
-
-        # A repeated doc_id may stand for several sets, so ids link to the classes of all their sets.
-        whole = signed.select("doc_id", "n", "digest").join(classes, "digest", "left")
-        own = whole.where("doc_id <> rep").select(F.col("doc_id").alias("node"), F.col("rep").alias("low"))
-        repeated = own.join(classes.select(F.col("rep").alias("node")).distinct(), "node", "left_semi")
-        final = saved(connected_components(links.unionByName(more).unionByName(repeated)), "components")
-        return keep(whole.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id")), "near")
+    with small_batches(spark), Scratch(spark) as s:
+        surveyed = s.saved(_surveyed(docs, width), "surveyed")
+        sets = surveyed.where("n >= 0").select("doc_id", "n", "digest")
+        # A class of equal sets is named by its smallest doc_id; if that stands for several classes, all but one get a hash.
+        reps = sets.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+        place = F.row_number().over(Window.partitionBy("doc_id").orderBy("digest"))
+        reps = s.saved(reps.withColumn("place", place).select("digest", "doc_id", F.when(F.col("place") == 1, F.col("doc_id")).otherwise(F.xxhash64("digest")).alias("id")), "reps")
+        order = spark.sparkContext.broadcast(_frequent(surveyed, s))
+        signed = _signed(docs.where("doc_id is not null"), order, width, num, den)
+        nodes = s.saved(signed.join(reps, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select("id", "n", "keys", "bits"), "nodes")
+        buckets = _buckets(nodes, s)
+
+        early = buckets.where(F.col("n") - F.col("rest") < first_keys)
+        crowd = early.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        cell = F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("c") / block))
+        early = early.join(crowd, "key").select("key", "id", "n", F.col("n").alias("rest"), F.col("id").alias("component"), cell.alias("p"), cell.alias("q"), F.lit(0).cast("long").alias("side"))
+        pairs = _shaped(early, nodes, num, den).mapInArrow(_traversal(num, den, True), "a long, b long, score double")
+        pairs = s.saved(pairs.groupBy("b").agg(F.max_by("a", F.struct("score", "a")).alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        links = _verified(pairs, docs, reps, s, width, num, den)
+
+        found = connected_components(links, s)
+        labelled = s.saved(buckets.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
+        mixed = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "c")
+        rows = _blocked(labelled.join(mixed, "key"), num, den, block)
+        dealt = rows.select("key", "p", "q", "side", "n", "id", "rest", "component").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "side", "n", "id")
+        rows = s.saved(dealt.mapInArrow(_possible(num, den), dealt.schema), "possible")
+        second = _shaped(rows, nodes, num, den).mapInArrow(_traversal(num, den, False), "a long, b long, score double").select("a", "b").distinct()
+        second = s.saved(second.join(pairs, ["a", "b"], "left_anti"), "second")
+        more = _verified(second, docs, reps, s, width, num, den)
+
+        # A doc_id with several texts is one document: it ties the classes of all of them.
+        whole = sets.join(reps.select("digest", F.col("doc_id").alias("rep"), "id"), "digest", "left")
+        again = whole.where("id is not null and doc_id is not null").groupBy("doc_id").agg(F.min("id").alias("low"), F.max("id").alias("node"), F.collect_set("id").alias("ids")).where("low <> node")
+        tied = again.select(F.explode("ids").alias("node"), "low").where("node <> low")
+        final = connected_components(links.unionByName(more).unionByName(tied), s)
+        named = final.join(reps.select(F.col("id").alias("node"), "doc_id"), "node")
+        named = named.join(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select(F.col("node").alias("id"), "component_id")
+        return s.keep(whole.join(named, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "rep", "doc_id")).alias("component_id")), "near")

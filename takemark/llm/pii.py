@@ -30,7 +30,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from takemark.llm.common import let, saved, scratch
+from takemark.llm.common import Scratch, let, saved
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -193,8 +193,8 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
     """docs with their text redacted; all other columns as they were."""
-    with scratch(docs.sparkSession) as keep:
-        found = keep(annotate(docs, id_col, text, **parameters).where("size(spans) > 0").select(F.col(id_col).alias("_id"), F.col("_text_hash").alias("_hash"), F.col("spans").alias("_spans")).distinct(), "found")
+    with Scratch(docs.sparkSession) as s:
+        found = s.keep(annotate(docs, id_col, text, **parameters).where("size(spans) > 0").select(F.col(id_col).alias("_id"), F.col("_text_hash").alias("_hash"), F.col("spans").alias("_spans")).distinct(), "found")
     hashed = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     joined = hashed.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left")
     return joined.withColumn(text, F.when(F.col("_spans").isNotNull(), redacted(F.col(text), F.col("_spans"))).otherwise(F.col(text))).select(*docs.columns)

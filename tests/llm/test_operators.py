@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from takemark.llm.common import Scratch
 from takemark.llm import ann, chat, components, jaccard_join, language, licenses, mixing, packing, pii, quality_gam, quality_rules
 
 DOCS = "doc_id long, text string, lang string, source string, spans string, n string"
@@ -291,7 +292,8 @@ def test_jaccard_join_edges(edges, nothing):
 
 def test_components_in_many_tasks(spark):
     edges = [(i, i + 1) for i in range(60)] + [(200, 150), (150, 300), (7, 7)]
-    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "node long, low long"), rows_per_task=5).collect()}
+    with Scratch(spark) as s:
+        got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "node long, low long"), s, rows_per_task=5).collect()}
     assert all(got[i] == 0 for i in range(61)) and {got[i] for i in (150, 200, 300)} == {150}
 
 
