@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from takemark.llm import jaccard_join, mixing, packing, pii, quality_gam
-from takemark.llm.common import saved, scratch, table
+from takemark.llm.common import saved, table
 
 THRESHOLD = 0.7
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -31,9 +31,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    with scratch(spark) as keep:
-        found = jaccard_join.near_duplicates(docs, width=5, num=80, den=100)
-        dropped = keep(found.where("component_id <> doc_id").select("doc_id").distinct(), "dropped")
+    found = jaccard_join.near_duplicates(docs, width=5, num=80, den=100)
+    dropped = found.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
 
 
@@ -46,9 +45,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keys = ["doc_id", "_hash", "source"]
     hashed = docs.withColumn("_hash", F.xxhash64("text"))
     # Equal rows are one row here, which takes the copies of all of them.
-    with scratch(spark) as keep:
-        mixed = mixing.copies(hashed, carry=("_hash",))
-        taken = keep(mixed.groupBy(*keys).agg(F.sum("copies").alias("copies")).where("copies > 0"), "taken")
+    mixed = mixing.copies(hashed, carry=("_hash",))
+    taken = mixed.groupBy(*keys).agg(F.sum("copies").alias("copies")).where("copies > 0")
     taken = taken.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "copies")
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     chosen = hashed.dropDuplicates(keys).join(taken, same)
