@@ -12,12 +12,13 @@ a threshold; components of links are the groups of near copies. The join is exac
 3. In a bucket, signature trees hold the nodes: every tree node has the OR of its members'
    token bitmaps, their range of sizes and their largest rest. A dual traversal from root to
    leaves drops pairs of tree nodes whose largest possible overlap is too small.
-4. A first traversal takes the buckets of each node's first few keys and keeps each member's best
-   earlier partner only. Exact checks give links, and links give components.
-5. A second traversal covers all buckets, skips tree nodes that already lie in one component and keeps all
-   other pairs. It goes over sizes, rests and components alone first, and only rows with a possible partner
-   get bitmaps for the traversal proper. Its pairs are checked exactly. So members of one component
-   are never expanded into all their pairs.
+4. Three rounds of traversals find candidates, exact checks turn them into links, and links into
+   components. The first two keep, for each member of a bucket, the best earlier partner only: first in
+   the rarest and the largest buckets of each node, then, between different components, in all
+   buckets. The third keeps all pairs between different components that no bound excludes. So members of one
+   component are never expanded into all their pairs.
+5. A round goes over sizes, rests and components alone first; only rows with a possible partner
+   get bitmaps for the traversal proper.
 
 A bucket with more than ``block`` members is cut into blocks by size and, for large components,
 by component; pairs of blocks that sizes and components don't exclude go to different
@@ -221,6 +222,13 @@ def _buckets(nodes: DataFrame, s: Scratch) -> DataFrame:
     return s.saved(near.join(mapped, "key").groupBy(F.col("one").alias("key"), "id").agg(F.first("n").alias("n"), F.max("rest").alias("rest")), "buckets")
 
 
+def _cells(rows: DataFrame, block: int) -> DataFrame:
+    """rows (key, id, n, rest, component) with p, q and side, buckets of more than ``block`` members dealt over cells at random."""
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    cell = F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("c") / block))
+    return rows.join(sizes, "key").select("key", "id", "n", "rest", "component", cell.alias("p"), cell.alias("q"), F.lit(0).cast("long").alias("side"))
+
+
 def _blocked(rows: DataFrame, num: int, den: int, block: int) -> DataFrame:
     """rows (key, id, n, rest, component, c) with p, q and side: the pair of blocks of its bucket that a row is in.
 
@@ -379,7 +387,7 @@ def _possible(num: int, den: int):
 
 
 def _traversal(num: int, den: int, forest_only: bool):
-    """A mapInArrow function over rows as _shaped() sorts them: candidate pairs (a, b, score), a < b.
+    """A mapInArrow function over rows as _shaped() sorts them: candidate pairs (a, b).
 
     With forest_only, of each entry (b) only the best earlier one (a) in its group.
     """
@@ -388,7 +396,6 @@ def _traversal(num: int, den: int, forest_only: bool):
         col = _columns(rows)
         bitmaps = rows["bits"].combine_chunks()
         found: list[np.ndarray] = []
-        scores: list[np.ndarray] = []
         starts = np.append(np.flatnonzero(np.diff(col["class"], prepend=-1)), rows.num_rows)
         for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
             ids, n, words = col["id"][lo:hi], col["n"][lo:hi], (4 << int(col["class"][lo])) // 64
@@ -398,8 +405,7 @@ def _traversal(num: int, den: int, forest_only: bool):
             full = np.frombuffer(b"".join(x if o else x + bytes(len(x)) for x, o in zip(raw, own)), np.uint64).reshape(hi - lo, 2, words)
             forest, roots = _grown(col, lo, hi, full[:, 0] | full[:, 1])
             pop = np.bitwise_count(full).sum((1, 2), dtype=np.int64)
-            best = np.zeros(hi - lo)
-            mate = np.full(hi - lo, -1)
+            best, mate = np.zeros(hi - lo), np.full(hi - lo, -1)
             for a, b, overlap in forest.pairs(roots, num, den):
                 both = np.flatnonzero(own[a] & own[b])
                 for c in range(0, len(both), 4096):  # all bits, where both have them
@@ -410,11 +416,10 @@ def _traversal(num: int, den: int, forest_only: bool):
                 a, b, overlap = a[keep], b[keep], overlap[keep]
                 if not len(a):
                     continue
-                score = overlap / (n[a] + n[b])
                 if not forest_only:
-                    found.append(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])], 1))
-                    scores.append(score)
+                    found.append(np.stack([ids[a], ids[b]], 1))
                     continue
+                score = overlap / (n[a] + n[b])
                 order = np.lexsort((a, score, b))
                 last = order[np.append(b[order][1:] != b[order][:-1], True)]
                 better = last[score[last] > best[b[last]]]
@@ -422,10 +427,8 @@ def _traversal(num: int, den: int, forest_only: bool):
             if forest_only:
                 one = np.flatnonzero(mate >= 0)
                 found.append(np.stack([ids[mate[one]], ids[one]], 1))
-                scores.append(best[one])
         pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        pairs, first = np.unique(pairs, axis=0, return_index=True)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.concatenate(scores)[first] if scores else np.zeros(0))], ["a", "b", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return _in_groups(("class", "key", "p", "q"), block)
 
@@ -472,7 +475,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, s: Scratch, wi
         return s.saved(met.select("a", "b", "ha", "hb").mapInArrow(exact, "node long, low long"), "links")
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, block: int = 1024, first_keys: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, block: int = 1024, first_keys: int = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row; documents link at a Jaccard similarity of num / den or more."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -488,29 +491,39 @@ def near_duplicates(docs: DataFrame, width: int = 4, num: int = 85, den: int = 1
         nodes = s.saved(signed.join(reps, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select("id", "n", "keys", "bits"), "nodes")
         buckets = _buckets(nodes, s)
 
-        early = buckets.where(F.col("n") - F.col("rest") < first_keys)
-        crowd = early.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-        cell = F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("c") / block))
-        early = early.join(crowd, "key").select("key", "id", "n", F.col("n").alias("rest"), F.col("id").alias("component"), cell.alias("p"), cell.alias("q"), F.lit(0).cast("long").alias("side"))
-        pairs = _shaped(early, nodes, num, den).mapInArrow(_traversal(num, den, True), "a long, b long, score double")
-        pairs = s.saved(pairs.groupBy("b").agg(F.max_by("a", F.struct("score", "a")).alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        links = _verified(pairs, docs, reps, s, width, num, den)
-
-        found = connected_components(links, s)
-        labelled = s.saved(buckets.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
-        mixed = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "c")
-        rows = _blocked(labelled.join(mixed, "key"), num, den, block)
-        dealt = rows.select("key", "p", "q", "side", "n", "id", "rest", "component").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "side", "n", "id")
-        rows = s.saved(dealt.mapInArrow(_possible(num, den), dealt.schema), "possible")
-        second = _shaped(rows, nodes, num, den).mapInArrow(_traversal(num, den, False), "a long, b long, score double").select("a", "b").distinct()
-        second = s.saved(second.join(pairs, ["a", "b"], "left_anti"), "second")
-        more = _verified(second, docs, reps, s, width, num, den)
+        def candidates(rows: DataFrame, all_pairs: bool) -> DataFrame:
+            dealt = rows.select("key", "p", "q", "side", "n", "id", "rest", "component").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "side", "n", "id")
+            rows = s.saved(dealt.mapInArrow(_possible(num, den), dealt.schema), "possible")
+            pairs = _shaped(rows, nodes, num, den).mapInArrow(_traversal(num, den, not all_pairs), "a long, b long")
+            return s.saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+
+        def labelled(links: DataFrame) -> DataFrame:
+            """The buckets that still hold several components."""
+            found = connected_components(links, s).withColumnRenamed("node", "id")
+            rows = s.saved(buckets.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
+            mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+            return s.saved(rows.join(mixed.select("key", "c"), "key"), "mixed")
+
+        crowds = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+        by_node = Window.partitionBy("id")
+        ranked = buckets.join(crowds, "key").withColumn("rarest", F.row_number().over(by_node.orderBy(F.desc("rest"), "key"))).withColumn("largest", F.row_number().over(by_node.orderBy(F.desc("c"), "key")))
+        early = ranked.where((F.col("rarest") <= first_keys) | (F.col("largest") <= first_keys))
+        tried = candidates(_cells(early.select("key", "id", "n", F.col("n").alias("rest"), F.col("id").alias("component")), block), False)
+        links = _verified(tried, docs, reps, s, width, num, den)
+
+        more = candidates(_cells(labelled(links).drop("c"), block), False)
+        more = s.saved(more.join(tried, ["a", "b"], "left_anti"), "untried")
+        tried, links = tried.unionByName(more), links.unionByName(_verified(more, docs, reps, s, width, num, den))
+
+        more = candidates(_blocked(labelled(links), num, den, block), True)
+        more = s.saved(more.join(tried, ["a", "b"], "left_anti"), "untried")
+        links = links.unionByName(_verified(more, docs, reps, s, width, num, den))
 
         # A doc_id with several texts is one document: it ties the classes of all of them.
         whole = sets.join(reps.select("digest", F.col("doc_id").alias("rep"), "id"), "digest", "left")
         again = whole.where("id is not null and doc_id is not null").groupBy("doc_id").agg(F.min("id").alias("low"), F.max("id").alias("node"), F.collect_set("id").alias("ids")).where("low <> node")
         tied = again.select(F.explode("ids").alias("node"), "low").where("node <> low")
-        final = connected_components(links.unionByName(more).unionByName(tied), s)
+        final = connected_components(links.unionByName(tied), s)
         named = final.join(reps.select(F.col("id").alias("node"), "doc_id"), "node")
         named = named.join(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select(F.col("node").alias("id"), "component_id")
         return s.keep(whole.join(named, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "rep", "doc_id")).alias("component_id")), "near")
