@@ -4,18 +4,19 @@ A source with target t and size s wants t / s copies of each of its documents: a
 whole number of copies, and one more with a fractional probability. Pivotal rounding
 decides that extra copy. Two undecided documents meet and words of expected copy move
 from one to the other, in a random direction that keeps both expectations, until
-one of them is decided; the other meets the next. So each partition decides
-all but one document per source, in one pass with one pending document per source in memory.
-Those residuals meet in a tree of ever fewer partitions, and at the root one draw with the
-share that is left decides the last one. So every document keeps its expected share, and a
+one of them is decided; the other meets the next. Each source is dealt over cells of
+bounded size; a task decides all but one document of a cell, in one pass with one pending
+document per cell in memory. The residuals of a source meet in ever fewer cells, and in
+its last one a draw with the share that is left decides the last document. So the tree is one per source and its roots
+are spread over tasks; every document keeps its expected share, and a
 source's words miss its target by less than one document.
 
-Random directions come from hashes of ids and the level of the tree, rows are dealt and ordered by hash and
-the number of partitions follows the number of rows: reruns agree on any cluster.
+Random directions come from hashes of ids, texts and the level of the tree, and cells depend on
+the number of a source's documents alone: reruns agree on any cluster.
 
 Cases: a null text has size 0; null is a source of its own, after all others; a
 source without words has target 0; repeated rows take part one by one; an empty
-table gives no rows; extra columns are ignored.
+table gives no rows; extra columns are ignored. Targets are set in one task, which holds one short row per source.
 """
 
 from __future__ import annotations
@@ -27,16 +28,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from takemark.llm.common import saved, words_of
+from takemark.llm.common import Scratch, words_of
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), ceiling: int = 3) -> DataFrame:
-    """(source, source_size, target): shares by weight of all words, none above ceiling times its source's size.
+    """(source, source_size, n_docs, target): shares by weight of all words, none above ceiling times its source's size.
 
     A source is at its ceiling exactly if its ceiling for each unit of weight is at most
     what the sources from it on would get, taken in that order; the rest share what is left.
     """
-    per = sizes.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("source_size"))
+    per = sizes.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     per = per.withColumn("w", F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (place % len(weights) + 1).cast("int")))
     order = Window.orderBy((F.col("source_size") / F.col("w")).asc(), F.col("source").asc_nulls_last())
@@ -48,61 +49,51 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), ceiling: int
     per = per.withColumn("full", F.col("source_size") * ceiling / F.col("w") <= F.col("fair"))
     left = F.col("total") - F.coalesce(F.sum(F.when(F.col("full"), F.col("source_size") * ceiling)).over(everything), F.lit(0))
     weight_left = F.sum(F.when(~F.col("full"), F.col("w"))).over(everything)
-    return per.select("source", "source_size", F.when(F.col("full"), (F.col("source_size") * ceiling).cast("double")).otherwise(left * F.col("w") / weight_left).alias("target"))
-
-
-def _pivotal(last: bool):
-    """A mapInArrow function: decides all rows but one per source (all, if last). Undecided rows keep a share."""
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending: dict = {}
-        for batch in batches:
-            cols = batch.to_pydict()
-            sizes, sources, shares, turns, copies = (cols[c] for c in ("size", "source", "share", "turn", "copies"))
-            out = {c: [] for c in cols}
-
-            def emit(row) -> None:
-                for c, x in zip(out, row, strict=True):
-                    out[c].append(x)
-
-            names = [*cols]
-            at_copies, at_share = names.index("copies"), names.index("share")
-            for i, row in enumerate(zip(*cols.values(), strict=True)):
-                share, size, source = shares[i], sizes[i], sources[i]
-                if share is None or share <= 0.0 or share >= 1.0 or size == 0:
-                    row = [*row]
-                    row[at_copies], row[at_share] = copies[i] + int(bool(share) and share >= 1.0), None
-                    emit(row)
-                    continue
-                if source not in pending:
-                    pending[source] = ([*row], share, size)
-                    continue
-                other, p, n = pending.pop(source)
+    return per.select("source", "source_size", "n_docs", F.when(F.col("full"), (F.col("source_size") * ceiling).cast("double")).otherwise(left * F.col("w") / weight_left).alias("target"))
+
+
+_AT = ("cell", "cells", "size", "share", "turn", "last", "copies")
+
+
+def _pivotal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Decides all rows but one of each cell; that one too if its source has no other cell. Undecided rows keep a share."""
+    pending: dict = {}
+    schema = None
+    for batch in batches:
+        schema = batch.schema
+        cell_at, cells_at, size_at, share_at, turn_at, last_at, copies_at = (schema.get_field_index(c) for c in _AT)
+        source_at = schema.get_field_index("source")
+        out: list[list] = []
+        for row in zip(*batch.to_pydict().values(), strict=True):
+            share, size = row[share_at], row[size_at]
+            if share is None or share <= 0.0 or share >= 1.0 or size == 0:
                 row = [*row]
-                # Words of expected copy that can move from the one to the other, and back.
-                forth, back = min(p * n, (1 - share) * size), min((1 - p) * n, share * size)
-                step = -forth if turns[i] * (forth + back) < back else back
-                p, share = p + step / n, share - step / size
-                eps = 1e-9
-                done = 0
-                for r, x, m in ((other, p, n), (row, share, size)):
-                    if x <= eps or x >= 1 - eps:
-                        r[at_copies], r[at_share] = r[at_copies] + int(x > 0.5), None
-                        emit(r)
-                        done += 1
-                    else:
-                        r[at_share] = x
-                        pending[source] = (r, x, m)
-            if out["doc_id"]:
-                yield pa.RecordBatch.from_pydict(out, schema=batch.schema)
-            schema = batch.schema
-        if pending:
-            rows = [x[0] for x in pending.values()]
-            for row, share, _ in pending.values() if last else ():
-                row[at_copies], row[at_share] = row[at_copies] + int(row[names.index("last")] < share), None
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-    return decide
+                row[copies_at], row[share_at] = row[copies_at] + int(bool(share) and share >= 1.0), None
+                out.append(row)
+                continue
+            at = (row[source_at], row[cell_at])
+            if at not in pending:
+                pending[at] = [*row]
+                continue
+            pair = (pending.pop(at), [*row])
+            p, n = pair[0][share_at], pair[0][size_at]
+            # Words of expected copy that can move from the one to the other, and back.
+            forth, back = min(p * n, (1 - share) * size), min((1 - p) * n, share * size)
+            step = -forth if row[turn_at] * (forth + back) < back else back
+            for r, x in zip(pair, (p + step / n, share - step / size)):
+                if x <= 1e-9 or x >= 1 - 1e-9:
+                    r[copies_at], r[share_at] = r[copies_at] + int(x > 0.5), None
+                    out.append(r)
+                else:
+                    r[share_at] = x
+                    pending[at] = r
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+    if pending:
+        for row in pending.values():
+            if row[cells_at] == 1:
+                row[copies_at], row[share_at] = row[copies_at] + int(row[last_at] < row[share_at]), None
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*pending.values(), strict=True), schema, strict=True)], schema=schema)
 
 
 def _draw(seed: int, *by: Column) -> Column:
@@ -110,26 +101,30 @@ def _draw(seed: int, *by: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *by), F.lit(1 << 53)).cast("double") / float(1 << 53)
 
 
-def copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), ceiling: int = 3, seed: int = 7, rows_per_task: int = 50_000, fan_in: int = 16, carry: tuple[str, ...] = ()) -> DataFrame:
+def copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), ceiling: int = 3, seed: int = 7, cell_rows: int = 50_000, fan_in: int = 16, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, and the columns of carry, for every row of docs."""
-    sizes = saved(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.size(words_of(F.col(text))).cast("long").alias("size"), *carry), "sizes")
-    per = saved(targets(sizes, weights, ceiling), "targets")
-    few = per.count() <= 10_000
-    wanted = F.least(F.col("target") / F.col("source_size"), F.lit(float(ceiling)))
-    rows = sizes.join((F.broadcast(per) if few else per).withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").select(
-        *carry, "doc_id", "source", "size", "source_size", "target",
-        F.coalesce(F.floor(wanted), F.lit(0)).alias("copies"), F.coalesce(wanted - F.floor(wanted), F.lit(0.0)).alias("share"), _draw(seed, F.col("doc_id"), F.col("size")).alias("draw"),
-        F.lit(0.0).alias("turn"), _draw(seed - 1, F.col("doc_id"), F.col("size")).alias("last"),
-    )
-    n = max(1, -(-sizes.count() // rows_per_task))
-    shape = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema])
-    decided, level = None, 0
-    while True:
-        turned = rows.withColumn("turn", _draw(seed + 1 + level, F.col("doc_id"), F.col("size"), F.col("draw")))
-        dealt = turned.repartition(n, F.xxhash64(F.lit(seed + level), "draw", "doc_id")).sortWithinPartitions("draw", "doc_id", "source", "size")
-        made = saved(dealt.mapInArrow(_pivotal(n == 1), shape), "mixed")
-        done = made.where("share is null").drop("share", "draw", "turn", "last")
-        decided = done if decided is None else decided.unionByName(done)
-        if n == 1:
-            return decided
-        rows, n, level = made.where("share is not null"), -(-n // fan_in), level + 1
+    with Scratch(docs.sparkSession) as s:
+        read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.size(words_of(F.col(text))).cast("long").alias("size"), F.xxhash64(text).alias("mark"), *carry)
+        sizes = s.saved(read, "sizes")
+        per = s.saved(targets(sizes, weights, ceiling).withColumnRenamed("source", "_s"), "targets")
+        few = per.count() <= 10_000
+        wanted = F.least(F.col("target") / F.col("source_size"), F.lit(float(ceiling)))
+        by = (F.col("doc_id"), F.col("size"), F.col("mark"))
+        rows = sizes.join(F.broadcast(per) if few else per, F.col("source").eqNullSafe(F.col("_s")), "left").select(
+            *carry, "doc_id", "source", "size", "source_size", "target",
+            F.coalesce(F.floor(wanted), F.lit(0)).alias("copies"), F.coalesce(wanted - F.floor(wanted), F.lit(0.0)).alias("share"), _draw(seed, *by).alias("draw"),
+            F.lit(0.0).alias("turn"), _draw(seed - 1, *by).alias("last"), F.ceil(F.col("n_docs") / cell_rows).alias("cells"), F.lit(0).cast("long").alias("cell"),
+        )
+        shape = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema])
+        decided, level, left = None, 0, sizes.count()
+        while True:
+            key = F.xxhash64(F.lit(seed + level), "draw", "doc_id")
+            dealt = rows.withColumn("turn", _draw(seed + 1 + level, F.col("draw"), F.col("doc_id"))).withColumn("cell", F.pmod(key, F.col("cells")))
+            dealt = dealt.repartition(max(1, -(-left // cell_rows)), "source", "cell").sortWithinPartitions("draw", "doc_id", "source", "size", *carry)
+            made = s.saved(dealt.mapInArrow(_pivotal, shape), "mixed")
+            done = made.where("share is null").drop("share", "draw", "turn", "last", "cell", "cells")
+            decided = done if decided is None else decided.unionByName(done)
+            rows = made.where("share is not null").withColumn("cells", F.ceil(F.col("cells") / fan_in))
+            left, level = rows.count(), level + 1
+            if not left:
+                return s.keep(decided, "copies")

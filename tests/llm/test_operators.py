@@ -177,8 +177,8 @@ def test_local_search_empties_bins():
 def test_mixing(spark, edges, nothing):
     rows = [(i, "w " * (1 + i % 90), f"s{i % 4}" if i % 5 else None) for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    one = {r.doc_id: r for r in mixing.copies(docs, rows_per_task=100, fan_in=4).collect()}
-    two = {r.doc_id: r.copies for r in mixing.copies(docs.repartition(7), rows_per_task=100, fan_in=4).collect()}
+    one = {r.doc_id: r for r in mixing.copies(docs, cell_rows=100, fan_in=4).collect()}
+    two = {r.doc_id: r.copies for r in mixing.copies(docs.repartition(7), cell_rows=100, fan_in=4).collect()}
     assert len(one) == 3000 and all(two[k] == r.copies for k, r in one.items())
     taken, target = Counter(), {}
     for r in one.values():
