@@ -43,14 +43,14 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keys = ["doc_id", "_hash", "source"]
-    hashed = docs.withColumn("_hash", F.xxhash64("text"))
-    # Equal rows are one row here, which takes the copies of all of them.
-    mixed = mixing.copies(hashed, carry=("_hash",))
-    taken = mixed.groupBy(*keys).agg(F.sum("copies").alias("copies")).where("copies > 0")
-    taken = taken.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "copies")
+    hashed = docs.withColumn("_hash", F.xxhash64("text", "lang", "n_chars"))
+    taken = mixing.copies(hashed, carry=("_hash",)).groupBy(*keys).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("equal"))
+    taken = saved(taken.where("copies > 0").select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "copies", "equal"), "taken")
+    repeated = saved(taken.where("equal > 1"), "repeated")
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    chosen = hashed.dropDuplicates(keys).join(taken, same)
-    return chosen.withColumn("_copy", F.explode_outer(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    # Texts move once, to their copies. Equal rows are rare; there one row takes the copies of all.
+    chosen = hashed.join(taken.where("equal = 1"), same).unionByName(hashed.join(repeated, same).dropDuplicates(keys))
+    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
