@@ -5,8 +5,7 @@ capacity. Pieces are dealt evenly over cells of bounded size (a round-robin deal
 no key can make one cell large). Each cell is packed by itself: best fit from the
 longest piece down, then a local search among underfull bins that moves one piece,
 exchanges one for one, or two for one, always towards the fuller bin. Every step
-raises the sum of squared fills; it goes on until bins become empty or no step is
-left. Bins that a cell couldn't fill go through the same packing again, together.
+raises the sum of squared fills; it goes on until no bin has a step left. Bins that a cell couldn't fill go through the same packing again, together.
 
 Cases: a null text is empty (its piece is the end id alone); repeated rows are
 packed as often as they occur; a null doc_id is kept; an empty table gives no rows;
@@ -15,85 +14,115 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
 import zlib
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from takemark.llm.common import saved
+from takemark.llm.common import Scratch
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-#: Ids of parts seen before, per tokenizer file: kept for all tasks that a worker runs, and emptied at a fixed size.
-_CACHES: dict[str, dict[bytes, bytes]] = {}
+#: Ids of parts seen before, per tokenizer file: the latest ones and those before them. Kept for all tasks that a worker runs.
+_CACHES: dict[str, list[dict[bytes, bytes]]] = {}
 
 
-def word_encoder(path: str, cache_words: int = 300_000):
-    """bytes of text -> packed little-endian uint32 ids, equal to the tokenizer's on the whole text.
+def _splits_words(tokenizer) -> bool:
+    """Whether the ids of a lower-cased text are those of its parts between blanks, and of a word and a mark after it."""
+    s = json.loads(tokenizer.to_str())
+    steps = (s["normalizer"] or {}).get("normalizers", [s["normalizer"]])
+    cuts = (s["pre_tokenizer"] or {}).get("pretokenizers", [s["pre_tokenizer"]])
+    apart = cuts[0] and cuts[0].get("type") == "Split" and cuts[0].get("invert") and cuts[0].get("behavior") == "Removed" and str(cuts[0]["pattern"].get("Regex", "")).endswith("|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+")
+    return bool(apart) and any(x and x["type"] == "Lowercase" for x in steps) and s["post_processor"] is None
 
-    The tokenizer lower-cases, and its own splitting never crosses a space or line
-    feed nor joins a letter to a mark, so the ids of a text are those of its parts in
-    a row. Parts seen before come from the cache; all new parts of a text are encoded together
-    and told apart by their offsets.
+
+def text_encoder(path: str, cache_words: int = 250_000):
+    """list of UTF-8 texts -> list of packed little-endian uint32 ids, equal to the tokenizer's on the whole texts.
+
+    Where the tokenizer's own settings say that it lower-cases and never joins across a blank nor a
+    letter to a mark, the ids of a text are those of its parts in a row. Parts seen before come from a cache of bounded size;
+    the new parts of all texts are encoded together and told apart by their offsets. Any other
+    tokenizer gets whole texts.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    cache = _CACHES.setdefault(path, {b"": b""})
+    if not _splits_words(tokenizer):
+        return lambda texts: [np.asarray(tokenizer.encode(x.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    special = [x.content.encode() for x in tokenizer.get_added_tokens_decoder().values()]
+    caches = _CACHES.setdefault(path, [{b"": b""}, {}])
+    model = tokenizer.model
 
-    def fill(parts: list[bytes]) -> None:
+    def fill(cache: dict[bytes, bytes], parts: list[bytes]) -> None:
         texts = [x.decode("utf-8") for x in parts]
         ends = np.cumsum([len(x) + 1 for x in texts])
         found = tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        ids = np.asarray(found.ids, "<u4")
+        ids = np.asarray(found.ids, "<u4").tobytes()
         at = np.asarray(found.offsets, np.int64).reshape(-1, 2)[:, 0]
-        cuts = [0, *np.searchsorted(at, ends).tolist()]
-        for k, x in enumerate(parts):
-            cache[x] = ids[cuts[k] : cuts[k + 1]].tobytes()
-
-    def encode(data: bytes) -> bytes:
-        if b"<|" not in data:  # else there may be a special token, which has a case
-            data = data.lower()
-        parts = data.replace(b"\n", b" ").split(b" ")
-        missing = {x for x in set(parts) if x not in cache}
+        cuts = [0, *(4 * np.searchsorted(at, ends)).tolist()]
+        cache.update(zip(parts, map(ids.__getitem__, map(slice, cuts[:-1], cuts[1:]))))
+
+    def encode(texts: list[bytes]) -> list[bytes]:
+        # A special token has a case, so texts with one keep theirs.
+        rows = [(x if any(token in x for token in special) else x.lower()).replace(b"\n", b" ").split(b" ") for x in texts]
+        words = set().union(*rows)
+        if len(caches[0]) > cache_words:
+            caches[:] = [{b"": b""}, caches[0]]
+        cache, before = caches
+        missing = words.difference(cache)
         if missing:
-            if len(cache) > cache_words:
-                cache.clear()
-                cache[b""] = b""
-                missing = {x for x in set(parts) if x not in cache}
+            cache.update((x, before[x]) for x in missing if x in before)
+            missing = missing.difference(before)
             # "word." is "word" and "."
             marked = [x for x in missing if x[-1:] in (b".", b",") and x[-2:-1].isalpha()]
-            bare = [x for x in {x[:-1] for x in marked} | {x[-1:] for x in marked} | missing.difference(marked) if x not in cache]
-            for k in range(0, len(bare), 2000):
-                fill(bare[k : k + 2000])
-            for x in marked:
-                cache[x] = cache[x[:-1]] + cache[x[-1:]]
-        return b"".join(map(cache.__getitem__, parts))
+            bare = [*{x[:-1] for x in marked}.union({b".", b","} if marked else (), missing.difference(marked)).difference(cache)]
+            # A run of ASCII letters is one word to the tokenizer, which its normaliser leaves as it is.
+            cache.update((x, array("I", [token.id for token in model.tokenize(x.decode())]).tobytes()) for x in bare if x.isalpha())
+            other = [x for x in bare if not x.isalpha()]
+            for k in range(0, len(other), 2000):
+                fill(cache, other[k : k + 2000])
+            cache.update((x, cache[x[:-1]] + cache[x[-1:]]) for x in marked)
+        return [b"".join(map(cache.__getitem__, row)) for row in rows]
 
     return encode
 
 
+def _shares(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes of text."""
+    sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0), np.int64))
+    cuts = np.flatnonzero(np.diff(sizes // most, prepend=-1))
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), batch.num_rows]):
+        yield batch.slice(a, b - a)
+
+
 def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
     """One row per piece; with keep_ids also ``ids`` (packed little-endian uint32)."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = word_encoder(tokenizer_path), np.asarray([end_id], "<u4").tobytes()
+        encode, end = text_encoder(tokenizer_path), np.asarray([end_id], "<u4").tobytes()
         width = 4 * capacity
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                data = memoryview(encode(value.as_py() or b"") + end)
-                for k in range(0, len(data), width):
-                    part = data[k : k + width]
-                    row = (doc, k // width, k // 4, len(part) // 4, zlib.crc32(part), bytes(part) if keep_ids else None)
-                    for column, x in zip(out, row, strict=True):
-                        column.append(x)
+            for some in _shares(batch):
+                texts = some.column(1).cast(pa.binary()).fill_null(b"").to_pylist()
+                for doc, ids in zip(some.column(0).to_pylist(), encode(texts), strict=True):
+                    data = memoryview(ids + end)
+                    for k in range(0, len(data), width):
+                        part = data[k : k + width]
+                        row = (doc, k // width, k // 4, len(part) // 4, zlib.crc32(part), bytes(part) if keep_ids else None)
+                        for column, x in zip(out, row, strict=True):
+                            column.append(x)
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
             n = 6 if keep_ids else 5
@@ -126,61 +155,82 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Empties the least filled bins by moves and exchanges into other underfull bins."""
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    fewest = -(-sum(fill) // capacity)
-    alive = sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: (fill[k], k))
-    n_bins = len(bins)
-    while n_bins > fewest and len(alive) > 1:
-        donor, others = alive[0], alive[1:]
-        progress = True
-        while bins[donor] and progress:
-            progress = False
-            others.sort(key=lambda k: (-fill[k], k))  # fullest first: best fit
-            for give in _gifts(bins[donor], lengths):
-                size = sum(lengths[i] for i in give)
-                step = _place(size, give, donor, others, bins, fill, lengths, capacity)
-                if step:
-                    progress = True
-                    break
-        if bins[donor]:
-            break  # a bin that can't be emptied: later ones are fuller still
-        n_bins -= 1
-        alive = sorted((k for k in others if fill[k] < capacity), key=lambda k: (fill[k], k))
-    return [b for b in bins if b]
+    """Moves and exchanges pieces between underfull bins until bins become empty or no step is left.
 
+    The donor is the emptiest bin that still has a step: it gives one piece, or one or two for a smaller one, to a
+    bin that is at least as full, which raises the sum of squared fills. ``fits[s]`` counts the
+    bins and pieces that could take s more tokens (a bin its room, a piece up to what its bin would hold instead), so
+    that a bin without a step is known as such at once.
+    """
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    alive = [k for k in range(len(bins)) if fill[k] < capacity]
+    fits = np.zeros((2, 2 * capacity + 2), np.int64)  # rooms of bins; exchanges for one piece
+    left, fewest = len(bins), -(-sum(fill) // capacity)
 
-def _gifts(items: list[int], lengths: list[int]) -> Iterator[tuple[int, ...]]:
-    """What a donor may give in one step: single pieces, then pairs (of the 64 longest)."""
-    items = sorted(items, key=lambda i: -lengths[i])
-    yield from ((i,) for i in items)
-    head = items[:64]
-    yield from ((i, j) for a, i in enumerate(head) for j in head[a + 1 :])
+    def count(k: int, by: int) -> None:
+        room = capacity - fill[k]
+        if room and bins[k]:
+            fits[0, 1 : room + 1] += by
+            for y in {lengths[i] for i in bins[k]}:
+                fits[1, y + 1 : y + room + 1] += by
+
+    def step(donor: int) -> bool:
+        """Tries all gifts of the donor, single pieces first and larger ones first."""
+        count(donor, -1)
+        try:
+            sizes = sorted({lengths[i] for i in bins[donor]}, reverse=True)
+            single = [(s, (s,)) for s in sizes if fits[:, s].any()]
+            held = Counter(lengths[i] for i in bins[donor])
+            double = ((s + u, (s, u)) for a, s in enumerate(sizes) for u in sizes[a:] if (s != u or held[s] > 1) and fits[1, s + u])
+            others = None
+            for size, gift in itertools.chain(single, double):
+                if others is None:  # fullest first: best fit
+                    others = sorted((k for k in alive if k != donor and bins[k] and (fill[k], -k) >= (fill[donor], -donor)), key=lambda k: (-fill[k], k))
+                found = _taker(size, len(gift) == 1, others, bins, fill, lengths, capacity)
+                if found:
+                    k, back = found
+                    give = []
+                    for s in gift:
+                        give.append(next(i for i in bins[donor] if lengths[i] == s and i not in give))
+                    count(k, -1)
+                    for src, dst, moved in ((donor, k, give), (k, donor, back)):
+                        for i in moved:
+                            bins[src].remove(i)
+                            bins[dst].append(i)
+                            fill[src] -= lengths[i]
+                            fill[dst] += lengths[i]
+                    count(k, 1)
+                    return True
+            return False
+        finally:
+            count(donor, 1)
+
+    for k in alive:
+        count(k, 1)
+    moved = True
+    while moved and left > fewest:
+        moved = False
+        for donor in sorted(alive, key=lambda k: (fill[k], k)):
+            while bins[donor] and left > fewest and step(donor):
+                moved = True
+            if not bins[donor]:
+                left -= 1
+                alive.remove(donor)
+    return [b for b in bins if b]
 
 
-def _place(size, give, donor, others, bins, fill, lengths, capacity) -> bool:
-    """Moves ``give`` into another bin, or exchanges it for a smaller piece there; False if no bin takes it."""
-    if len(give) == 1:
+def _taker(size: int, whole: bool, others: list[int], bins, fill, lengths, capacity: int):
+    """(bin, pieces it gives back): the first of others with room, or else the first that exchanges a piece; None if there is none."""
+    if whole:
         for k in others:
             if fill[k] + size <= capacity:
-                _swap(give, (), donor, k, bins, fill, lengths)
-                return True
+                return k, ()
     for k in others:
         room = capacity - fill[k]
         best = max((y for y in bins[k] if 0 < size - lengths[y] <= room), key=lambda y: (-lengths[y], -y), default=None)
         if best is not None:
-            _swap(give, (best,), donor, k, bins, fill, lengths)
-            return True
-    return False
-
-
-def _swap(give, take, a, b, bins, fill, lengths) -> None:
-    for src, dst, moved in ((a, b, give), (b, a, take)):
-        for i in moved:
-            bins[src].remove(i)
-            bins[dst].append(i)
-            fill[src] -= lengths[i]
-            fill[dst] += lengths[i]
+            return k, (best,)
+    return None
 
 
 def _packed(rows: DataFrame, capacity: int, cell_rows: int, level: int) -> DataFrame:
@@ -217,11 +267,13 @@ def _packed(rows: DataFrame, capacity: int, cell_rows: int, level: int) -> DataF
 
 def pack(pieces: DataFrame, capacity: int = 2048, cell_rows: int = 16_384) -> DataFrame:
     """Layout of all pieces: sequence_id and offset beside the columns of pieces."""
-    first = saved(_packed(pieces, capacity, cell_rows, 0), "packed")
-    second = _packed(first.where("loose"), capacity, cell_rows, 1)
-    return first.where("not loose").unionByName(second).drop("loose")
+    with Scratch(pieces.sparkSession) as s:
+        first = s.saved(_packed(pieces, capacity, cell_rows, 0), "packed")
+        second = _packed(first.where("loose"), capacity, cell_rows, 1)
+        return s.keep(first.where("not loose").unionByName(second).drop("loose"), "layout")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, cell_rows: int = 16_384, **columns) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document."""
-    return pack(saved(tokenized(docs, tokenizer_path, capacity, **columns), "pieces"), capacity, cell_rows)
+    with Scratch(docs.sparkSession) as s:
+        return pack(s.saved(tokenized(docs, tokenizer_path, capacity, **columns), "pieces"), capacity, cell_rows)
