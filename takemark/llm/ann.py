@@ -4,7 +4,9 @@ Distinct vectors are dealt over shards by hash. Each shard builds its graph in o
 task: every layer is one flat array of neighbour positions, -1 where there is none.
 Vectors join in batches; a batch searches the graph built so far in lockstep, in
 numpy, sees its own members by brute force, and keeps diverse neighbours. Every shard then
-answers all queries, and shard results are merged by a partially aggregated top-k.
+answers all queries with its k best, and these are cut to k in groups of shards before the last merge.
+Shards are as large as a task's memory takes, so that there are few of them: the queries
+are sent to each.
 
 Nearness is the inner product on the original vectors in double precision. Graphs are
 navigated by the inner product of vectors that got one more component, which makes
@@ -12,9 +14,10 @@ all lengths equal, so that the nearest by angle are those with the largest inner
 
 Cases: vectors that are null, zero, or hold null or non-finite components take no
 part, neither do rows with a null id; vectors of another length than the most
-common one take no part; equal vectors are one node that lists its smallest ids, k + 1 of them, which
-is as many as one result can hold; repeated ids of one vector count once; with fewer than k
-candidates all are returned; an empty table gives no rows; extra columns are ignored.
+common one take no part (an inner product with them is undefined); equal vectors are one node that
+lists its smallest ids, k + 1 of them, which is as many as one result can hold; an id with several vectors is one
+candidate with the best of them, and asks with the smallest; with fewer than k
+candidates all are returned; ties go to the smaller id; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from takemark.llm.common import saved
+from takemark.llm.common import Scratch
 
 
 class Graph:
@@ -147,24 +150,39 @@ def _usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
     return vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0)).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector: str = "embedding", shard_rows: int = 8192, breadth: int = 128, queries_at_once: int = 512) -> DataFrame:
+def _least_ids(rows: DataFrame, most: int) -> DataFrame:
+    """(v, ids): distinct vectors, each with its smallest ids. The limit on the rank is applied before the shuffle too, so copies of a vector never gather."""
+    place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    return rows.select("v", "vec_id").withColumn("place", place).where(F.col("place") <= most).groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+
+
+def _seats(s: Scratch, n: int) -> DataFrame:
+    """(shard, seat): for each of n shards a number that repartition(n, seat) puts in a partition of its own."""
+    at = F.pmod(F.hash("id"), F.lit(n))
+    return s.saved(s.spark.range(64 * n).select(at.cast("long").alias("shard"), "id").groupBy("shard").agg(F.min("id").alias("seat")), "seats")
+
+
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector: str = "embedding", shard_rows: int = 32_768, breadth: int = 128, queries_at_once: int = 512) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for every row whose id is divisible by ``every``."""
-    rows = saved(_usable(vectors, id_col, vector).withColumn("d", F.size("v")), "vectors")
+    with Scratch(vectors.sparkSession) as s:
+        return s.keep(_nearest(vectors, k, every, id_col, vector, shard_rows, breadth, queries_at_once, s), "nearest")
+
+
+def _nearest(vectors: DataFrame, k: int, every: int, id_col: str, vector: str, shard_rows: int, breadth: int, queries_at_once: int, s: Scratch) -> DataFrame:
+    rows = s.saved(_usable(vectors, id_col, vector).withColumn("d", F.size("v")), "vectors")
     usual = rows.groupBy("d").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
     if usual is None:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
     rows = rows.where(F.col("d") == usual["d"])
-    # Equal vectors are one node; partial top-k by id keeps the state of a hot vector at k + 1 ids.
-    nodes = saved(_least_ids(rows, k + 1), "nodes")
+    nodes = s.saved(_least_ids(rows.distinct(), k + 1), "nodes")
     facts = nodes.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("longest")).first()
     shards, longest = max(1, -(-facts["n"] // shard_rows)), float(facts["longest"])
-    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.first("v").alias("v"))
-    asked = asked.select(F.col("vec_id").alias("query_id"), "v")
-    # Queries are read by every shard: each of its tasks takes one block of queries at a time from the shared table.
-    queries = saved(asked, "queries")
-    tagged = nodes.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards))).select("shard", F.lit(None).cast("long").alias("query_id"), "v", "ids")
+    queries = s.saved(rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v")), "queries")
+    seats = F.broadcast(_seats(s, shards))  # one row a shard
+    tagged = nodes.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards))).join(seats, "shard", "left").select("seat", "shard", F.lit(None).cast("long").alias("query_id"), "v", "ids")
     spread = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")).alias("shard"), "query_id", "v", F.lit(None).cast("array<long>").alias("ids"))
-    dealt = tagged.unionByName(spread).repartition(shards, "shard").sortWithinPartitions("shard", F.col("query_id").asc_nulls_first(), F.xxhash64("v"))
+    spread = spread.join(seats, "shard", "left").select("seat", "shard", "query_id", "v", "ids")
+    dealt = tagged.unionByName(spread).repartition(shards, "seat").sortWithinPartitions("shard", F.col("query_id").asc_nulls_first(), F.xxhash64("v")).drop("seat")
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, xs, ids, graph = None, [], [], None
@@ -185,19 +203,27 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
             for i, (qid, _) in enumerate(waiting):
                 found = at[i][at[i] >= 0]
                 exact = xs[found] @ q[i]
-                for p in np.argsort(-exact, kind="stable")[: k + 1]:
-                    for x in ids[found[p]]:
-                        if x != qid:
-                            out[0].append(qid), out[1].append(x), out[2].append(float(exact[p]))
+                # All ids of all nodes found, nearest first and smaller ids first among equals; an id counts once.
+                own = [ids[p] for p in found]
+                score, name = np.repeat(exact, [len(x) for x in own]), np.concatenate(own)
+                taken: dict[int, float] = {}
+                for p in np.lexsort((name, -score)):
+                    if name[p] != qid and name[p] not in taken:
+                        taken[int(name[p])] = float(score[p])
+                        if len(taken) == k:
+                            break
+                out[0] += [qid] * len(taken)
+                out[1] += taken.keys()
+                out[2] += taken.values()
             waiting.clear()
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
+            return pa.RecordBatch.from_arrays([pa.array([shard] * len(out[0]), pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["shard", "query_id", "vec_id", "score"])
 
         for batch in batches:
-            for s, qid, v, own in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                if s != shard:
+            for at, qid, v, own in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                if at != shard:
                     if waiting and len(xs):
                         yield answers()
-                    shard, xs, ids, graph = s, [], [], None
+                    shard, xs, ids, graph = at, [], [], None
                     waiting.clear()
                 if qid is None:
                     xs.append(v)
@@ -209,15 +235,17 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
         if waiting and len(xs):
             yield answers()
 
-    found = saved(dealt.mapInArrow(searched, "query_id long, vec_id long, score double"), "found")
-    order = F.struct((-F.col("score")).alias("far"), F.col("vec_id").alias("vec_id"))
-    merged = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(order)), 1, k).alias("best"))
-    return merged.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "b.vec_id", (-F.col("b.far")).alias("score"))
+    found = s.saved(dealt.mapInArrow(searched, "shard long, query_id long, vec_id long, score double"), "found")
+    group = max(1, round(shards**0.5))
+    part = _best(found.withColumn("part", F.floor(F.col("shard") / group)), ["query_id", "part"], k)
+    best = _best(part, ["query_id"], k)
+    return best.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "b.vec_id", (-F.col("b.far")).alias("score"))
 
 
-def _least_ids(rows: DataFrame, most: int) -> DataFrame:
-    """(v, ids): distinct vectors, each with its smallest ids. Copies are first cut down per salt, so none gathers in one task."""
-    salted = rows.select("v", "vec_id", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")).distinct()
-    part = salted.groupBy("v", "salt").agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, most).alias("ids"))
-    return part.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, most).alias("ids"))
-
+def _best(found: DataFrame, by: list[str], k: int) -> DataFrame:
+    """The k nearest per group: (by, best) from rows with vec_id and score, or from (by, best) of smaller groups."""
+    if "best" in found.columns:
+        found = found.select(*by, F.explode("best").alias("b")).select(*by, "b.vec_id", (-F.col("b.far")).alias("score"))
+    once = found.groupBy(*by, "vec_id").agg(F.max("score").alias("score"))
+    order = F.struct((-F.col("score")).alias("far"), F.col("vec_id").alias("vec_id"))
+    return once.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list(order)), 1, k).alias("best"))

@@ -315,3 +315,12 @@ def test_ann(spark):
         hits, total = hits + len(best & {r.vec_id for r in mine}), total + 10
     assert hits / total >= 0.9 and {r.query_id for r in got} == {*range(0, 1500, 20)}
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_ann_ties_copies_and_repeated_ids(spark):
+    rows = [(i, [1.0, float(i % 2)]) for i in range(40)] + [(41, [5.0, 5.0]), (41, [9.0, 9.0]), (43, [1.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
+    got = ann.nearest(vectors, k=4, every=20, shard_rows=2).collect()
+    # Query 0 is (1, 0): all but the two vectors of 41 are equally near.
+    assert [(r["rank"], r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == 0), key=lambda r: r["rank"])] == [(1, 41, 9.0), (2, 1, 1.0), (3, 2, 1.0), (4, 3, 1.0)]
+    assert {r.query_id for r in got} == {0, 20}
