@@ -12,8 +12,9 @@ Terms of all of a document count as near a mention in it. Most values are in one
 so P(c | t) is smoothed instead of asking for support: ``prior`` documents in which c is
 as frequent as everywhere join those of t.
 
-A term whose disclosure exceeds a threshold gets a span of kind ``term``; from a second, higher
-threshold on it is removed, below that generalised. That holds throughout the documents with c.
+A term whose disclosure reaches a threshold gets a span of kind ``term``. Words with the same first
+letters are its general class, for which the same estimate is made: if the class is below the
+threshold, the term is generalised to it ("zanzibar" becomes "zan*"), else it is removed. That holds throughout the documents with c.
 In all others the estimate leaves out one document that has both, since a pair is looked at only
 because one has: a single shared document says nothing of the rest of the corpus, and otherwise
 every rare word beside some value would go from all texts.
@@ -30,7 +31,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from takemark.llm.common import Scratch, let, saved
+from takemark.llm.common import Scratch, let
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -46,6 +47,8 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 _TERM = "\\p{L}{3,}+"
+#: Letters that name the class of a term; the names of classes start with a mark that no term has.
+_CLASS_LETTERS, _CLASS_MARK = 3, "*"
 
 
 def _digits(value: Column) -> Column:
@@ -103,56 +106,76 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), F.lower))
 
 
-def disclosing_terms(mentions: DataFrame, docs: DataFrame, text: str = "text", prior: float = 1.0, threshold: float = 0.6, removal: float = 0.9) -> DataFrame:
+def _class_of(term: Column) -> Column:
+    return F.concat(F.lit(_CLASS_MARK), F.substring(term, 1, _CLASS_LETTERS))
+
+
+def _with_classes(terms: Column) -> Column:
+    """Distinct terms and the distinct classes that they fall in."""
+    return F.concat(terms, F.array_distinct(F.transform(terms, _class_of)))
+
+
+def disclosing_terms(mentions: DataFrame, docs: DataFrame, s: Scratch, text: str = "text", prior: float = 1.0, threshold: float = 0.6) -> DataFrame:
     """(entity, term, inside, outside): pairs whose disclosure reaches threshold; counts cover all documents.
 
-    mentions: one row (entity, term) per document with both. inside and outside are the actions
-    in documents with the entity and in others; outside may be null.
+    mentions: one row (entity, term) per document with both, terms and classes alike. inside and
+    outside are the actions in documents with the entity and in others; outside may be null.
     """
     n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    together = saved(mentions.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_ct")).where("term is not null"), "together")
+    together = s.saved(mentions.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_ct")).where("term is not null"), "together")
     # A document without a term is a row with a null term.
-    of_entity = saved(mentions.groupBy("entity").agg(F.sum("first").alias("df_c")), "entities")
-    of_term = docs.where(F.col(text).isNotNull()).select(F.explode_outer(_terms(F.col(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
+    of_entity = s.saved(mentions.groupBy("entity").agg(F.sum("first").alias("df_c")), "entities")
+    of_term = docs.where(F.col(text).isNotNull()).select(F.explode_outer(_with_classes(_terms(F.col(text)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
     # All terms are counted before the join: Spark would push a semi-join below the count, on every occurrence.
-    pairs = together.join(of_entity, "entity").join(of_term, "term").crossJoin(n_docs)  # one row on the right
+    pairs = together.join(of_entity, "entity").join(of_term, "term").crossJoin(n_docs).where(F.col("n_docs") > F.col("df_c"))  # one row on the right
     base = F.col("df_c") / F.col("n_docs")
 
-    def action(less: int) -> Column:
+    def reaches(less: int) -> Column:
         smoothed = F.least((F.col("df_ct") - less + prior * base) / (F.col("df_t") - less + prior), F.lit(1.0))
-        disclosure = 1 - F.log(smoothed) / F.log(base)
-        return F.when(disclosure >= removal, "remove").when(disclosure >= threshold, "generalise")
+        return 1 - F.log(smoothed) / F.log(base) >= threshold
+
+    scored = s.saved(pairs.select("entity", "term", reaches(0).alias("inside"), reaches(1).alias("outside")).where("inside"), "scored")
+    is_class = F.col("term").startswith(_CLASS_MARK)
+    classes = scored.where(is_class).select("entity", F.col("term").alias("class"), F.col("inside").alias("class_in"), F.col("outside").alias("class_out"))
+    met = scored.where(~is_class).withColumn("class", _class_of(F.col("term"))).join(classes, ["entity", "class"], "left")
 
-    scored = pairs.where(F.col("n_docs") > F.col("df_c"))
-    return scored.select("entity", "term", action(0).alias("inside"), action(1).alias("outside")).where("inside is not null")
+    def action(own: str, general: str) -> Column:
+        return F.when(F.col(own), F.when(F.col(general), "remove").otherwise("generalise"))
 
+    return met.select("entity", "term", action("inside", "class_in").alias("inside"), action("outside", "class_out").alias("outside"))
 
-def annotate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", prior: float = 1.0, threshold: float = 0.6, removal: float = 0.9) -> DataFrame:
-    """(id, _text_hash, spans): all spans of every row, array<struct<start, rank, kind, end, value>> in order.
+
+def annotate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", prior: float = 1.0, threshold: float = 0.6) -> DataFrame:
+    """(id, _text_hash, base, spans): all spans of every row, array<struct<start, rank, kind, end, value>> in order.
 
     value is the entity's value, or the action for a term.
     """
+    with Scratch(docs.sparkSession) as s:
+        return s.keep(_annotated(docs, id_col, text, prior, threshold, s), "annotated")
+
+
+def _annotated(docs: DataFrame, id_col: str, text: str, prior: float, threshold: float, s: Scratch) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     read = docs.select(F.col(id_col), t.alias("text"), F.xxhash64(t).alias("_text_hash"))
     based = read.select(id_col, "_text_hash", "text", base_spans(F.col("text")).alias("base"))
-    based = based.withColumn("terms", F.when(F.size("base") > 0, _terms(_replaced(F.col("text"), F.col("base"), lambda s: F.lit(" ")))))
-    rows = saved(based.drop("text"), "spans")
+    based = based.withColumn("terms", F.when(F.size("base") > 0, _terms(_replaced(F.col("text"), F.col("base"), lambda x: F.lit(" ")))))
+    rows = s.saved(based.drop("text"), "spans")
     row = F.struct(F.col(id_col).alias("id"), "_text_hash").alias("_row")
-    entities = F.array_distinct(F.transform("base", lambda s: F.concat(s["kind"], F.lit(":"), s["value"])))
-    each = rows.where("size(base) > 0").select(row, F.explode_outer(entities).alias("entity"), "terms")
+    entities = F.array_distinct(F.transform("base", lambda x: F.concat(x["kind"], F.lit(":"), x["value"])))
+    each = rows.where("size(base) > 0").select(row, F.explode_outer(entities).alias("entity"), _with_classes(F.col("terms")).alias("terms"))
     mentions = each.select("_row", "entity", F.posexplode_outer("terms").alias("place", "term")).withColumn("first", F.when(F.coalesce("place", F.lit(0)) == 0, 1).otherwise(0))
-    flagged = saved(disclosing_terms(mentions, docs, text, prior, threshold, removal), "flagged")
+    flagged = s.saved(disclosing_terms(mentions, docs, s, text, prior, threshold), "flagged")
     inside = mentions.join(flagged, ["entity", "term"]).select("_row", "term", F.col("inside").alias("action"))
     # A term that several entities ask for is removed if any of them does.
-    anywhere = saved(flagged.where("outside is not null").groupBy("term").agg(F.max("outside").alias("action")), "anywhere")  # saved, its size tells whether to broadcast it
+    anywhere = s.saved(flagged.where("outside is not null").groupBy("term").agg(F.max("outside").alias("action")), "anywhere")  # saved, its size tells whether to broadcast it
     words = read.select(row, F.explode_outer(_terms(F.col("text"))).alias("term"))
     outside = words.join(anywhere, "term").select("_row", "term", "action")
-    hits = saved(inside.unionByName(outside).groupBy("_row", "term").agg(F.max("action").alias("action")), "hits")
+    hits = s.saved(inside.unionByName(outside).groupBy("_row", "term").agg(F.max("action").alias("action")), "hits")
     asked = hits.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("asked")).select(F.col("_row.id").alias("_id"), F.col("_row._text_hash").alias("_hash"), "asked")
     same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
     places = located(F.col("text"), _TERM, lambda v: F.element_at(F.col("asked"), F.lower(v)))
-    extra = F.transform(places, lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), F.lit("term").alias("kind"), s["end"].alias("end"), s["value"].alias("value")))
-    found = saved(read.join(asked, same).select("_id", "_hash", extra.alias("extra")).dropDuplicates(["_id", "_hash"]), "extra")
+    extra = F.transform(places, lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), F.lit("term").alias("kind"), x["end"].alias("end"), x["value"].alias("value")))
+    found = s.saved(read.join(asked, same).select("_id", "_hash", extra.alias("extra")).dropDuplicates(["_id", "_hash"]), "extra")
     clear = F.filter("extra", lambda e: ~F.exists("base", lambda o: (e["start"] < o["end"]) & (o["start"] < e["end"])))
     return rows.join(found, same, "left").select(id_col, "_text_hash", "base", F.when(F.col("extra").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", clear))).alias("spans"))
 
@@ -187,14 +210,16 @@ def _replaced(text: Column, spans: Column, mark: Callable[[Column], Column]) ->
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with base spans replaced by <KIND>, removed terms dropped and generalised ones as <WORD>."""
-    return _replaced(text, spans, lambda s: F.when(s["kind"] != "term", F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))).when(s["value"] == "remove", F.lit("")).otherwise(F.lit("<WORD>")))
+    """The text with base spans replaced by <KIND>, removed terms dropped and generalised ones as their class."""
+    general = lambda s: F.concat(F.substring(text, s["start"] + 1, F.lit(_CLASS_LETTERS)), F.lit(_CLASS_MARK))
+    return _replaced(text, spans, lambda s: F.when(s["kind"] != "term", F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))).when(s["value"] == "remove", F.lit("")).otherwise(general(s)))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
     """docs with their text redacted; all other columns as they were."""
     with Scratch(docs.sparkSession) as s:
-        found = s.keep(annotate(docs, id_col, text, **parameters).where("size(spans) > 0").select(F.col(id_col).alias("_id"), F.col("_text_hash").alias("_hash"), F.col("spans").alias("_spans")).distinct(), "found")
-    hashed = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    joined = hashed.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left")
-    return joined.withColumn(text, F.when(F.col("_spans").isNotNull(), redacted(F.col(text), F.col("_spans"))).otherwise(F.col(text))).select(*docs.columns)
+        found = annotate(docs.select(id_col, text), id_col, text, **parameters).where("size(spans) > 0")
+        found = s.keep(found.select(F.col(id_col).alias("_pii_id"), F.col("_text_hash").alias("_pii_hash"), F.col("spans").alias("_pii_spans")).distinct(), "found")
+    same = F.col(id_col).eqNullSafe(F.col("_pii_id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_pii_hash"))
+    joined = docs.join(found, same, "left")
+    return joined.withColumn(text, F.when(F.col("_pii_spans").isNotNull(), redacted(F.col(text), F.col("_pii_spans"))).otherwise(F.col(text))).select(*docs.columns)

@@ -109,7 +109,7 @@ def test_pii_terms_that_disclose(spark, edges, nothing):
     rows = [(i, f"the call from zanzibar to ann@x.org about item {i}") for i in range(5)] + [(i, f"the plain text about ordinary matter {i}") for i in range(5, 60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     spans = {r.doc_id: r for r in pii.annotate(docs).collect()}
-    assert {(rows[1][1][s.start : s.end], s.value) for s in spans[1].spans if s.kind == "term"} >= {("zanzibar", "remove")}
+    assert {(rows[1][1][s.start : s.end], s.value) for s in spans[1].spans if s.kind == "term"} >= {("zanzibar", "remove")}  # no other word in zan-
     assert not {rows[1][1][s.start : s.end] for s in spans[1].spans if s.kind == "term"} & {"the", "about"}
     assert all(not spans[i].spans for i in range(5, 60))
     clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
@@ -124,6 +124,40 @@ def test_pii_terms_of_a_value_mentioned_once(spark):
     assert "kowalczyk" in terms and not terms & {"the", "plain", "text", "about", "matter"}
 
 
+def test_pii_disclosure_against_brute_force(spark):
+    """Spans of every text, from counts of all pairs of values and terms in Python."""
+    rng = random.Random(8)
+    vocabulary = [f"{a}{b}{c}" for a in ("kan", "mor", "tel") for b in ("a", "o", "ix") for c in "bcdefgh"]
+    rows = []
+    for i in range(80):
+        words = rng.choices(vocabulary[: 8 if i % 2 else 63], k=rng.choice([3, 12, 30]))
+        if i % 4 == 0:
+            words += [f"v{i % 12}@x.org", *(["zanzibar"] if i == 8 else [])]
+        rows.append((i, " ".join(words)))
+    rows += [rows[0], (90, None), (91, "")]
+    values = [set(re.findall(r"v[0-9]+@x\.org", t or "")) for _, t in rows]
+    terms = [set(re.findall("[a-z]{3,}", re.sub(r"v[0-9]+@x\.org", " ", t or ""))) for _, t in rows]
+    names = [w | {"*" + x[:3] for x in w} for w in terms]
+    df_t = Counter(x for t in ({*re.findall("[a-z]{3,}", t or "")} for _, t in rows) for x in t | {"*" + y[:3] for y in t})
+    df_c, df_ct = Counter(c for v in values for c in v), Counter((c, x) for v, w in zip(values, names) for c in v for x in w)
+
+    def reaches(c, x, less):
+        base = df_c[c] / len(rows)
+        return (c, x) in df_ct and 1 - np.log(min(1, (df_ct[c, x] - less + base) / (df_t[x] - less + 1))) / np.log(base) >= 0.6
+
+    def action(c, x, less):
+        return (("remove" if reaches(c, "*" + x[:3], less) else "generalise") if reaches(c, x, less) else "")
+
+    anywhere = {x: max(action(c, x, 1) for c in df_c) for x in df_t}
+    expect = []
+    for (i, t), own in zip(rows, values):
+        spans = [(m.start(), m.end(), a) for m in re.finditer("[a-z]{3,}", t or "") for a in [max([anywhere[m[0]], *(action(c, m[0], 0) for c in own)])] if a]
+        expect.append((i, [x for x in spans if not any(m.start() < x[1] and x[0] < m.end() for m in re.finditer(r"v[0-9]+@x\.org", t))]))
+    got = pii.annotate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, [(s.start, s.end, s.value) for s in r.spans if s.kind == "term"]) for r in got) == sorted(expect)
+    assert {a for _, x in expect for *_, a in x} == {"remove", "generalise"}
+
+
 def test_pii_terms_far_away_and_where_the_value_is_gone(spark):
     filler = "the plain text about ordinary matter " * 5
     rows = [(i, f"dear zanzibar {filler} ann@x.org {filler} yours kowalczyk") for i in range(6)] + [(i, filler + f"item {i}") for i in range(6, 60)] + [(60, "a passage on Zanzibar"), (60, "a passage on Zanzibar")]
