@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from takemark.storage import saved, shared_dir
 
-__all__ = ["SPACE_CLASS", "Scratch", "let", "saved", "small_batches", "table", "words_of"]
+__all__ = ["SPACE_CLASS", "Scratch", "let", "member_test", "saved", "small_batches", "table", "words_of"]
 
 #: The white space of every word definition here: space and the five control characters from tab to carriage return.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]+"
@@ -67,6 +67,25 @@ def small_batches(spark: SparkSession, rows: int = 1000):
         spark.conf.set(_BATCH, before)
 
 
+def member_test(values: DataFrame, s: Scratch, bits: int = 24) -> Callable[[Column], Column]:
+    """A test whether a hash may be among those of values, which has one column ``v`` of them. DataFrame functions only.
+
+    The hashes mark bits of one array of fixed size (2 MB), which a scalar subquery hands to all tasks.
+    With more values it lets more others through; none of values is ever left out.
+    """
+    at = values.select(F.pmod("v", F.lit(1 << bits)).alias("v"))
+    marked = at.groupBy(F.shiftright("v", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("v").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+    every = s.spark.range(1 << (bits - 6)).join(marked, F.col("id") == F.col("word"), "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    table = s.saved(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bits")), "members")
+
+    def test(hashed: Column) -> Column:
+        place = F.pmod(hashed, F.lit(1 << bits))
+        word = F.get(table.scalar(), F.shiftright(place, 6).cast("int"))
+        return F.call_function("shiftright", word, place.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return test
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once, however often body names it."""
     return F.transform(F.array(value), body)[0]

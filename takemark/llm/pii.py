@@ -31,7 +31,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from takemark.llm.common import Scratch, let
+from takemark.llm.common import Scratch, let, member_test
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -167,15 +167,19 @@ def _annotated(docs: DataFrame, id_col: str, text: str, prior: float, threshold:
     flagged = s.saved(disclosing_terms(mentions, docs, s, text, prior, threshold), "flagged")
     inside = mentions.join(flagged, ["entity", "term"]).select("_row", "term", F.col("inside").alias("action"))
     # A term that several entities ask for is removed if any of them does.
-    anywhere = s.saved(flagged.where("outside is not null").groupBy("term").agg(F.max("outside").alias("action")), "anywhere")  # saved, its size tells whether to broadcast it
-    words = read.select(row, F.explode_outer(_terms(F.col("text"))).alias("term"))
+    anywhere = s.saved(flagged.where("outside is not null").groupBy("term").agg(F.max("outside").alias("action")), "anywhere")
+    asked_for = member_test(anywhere.select(F.xxhash64("term").alias("v")), s)
+    # Few words of all texts are shuffled: those that may be asked for.
+    words = read.select(row, F.explode_outer(_terms(F.col("text"))).alias("term")).where(asked_for(F.xxhash64("term")))
     outside = words.join(anywhere, "term").select("_row", "term", "action")
     hits = s.saved(inside.unionByName(outside).groupBy("_row", "term").agg(F.max("action").alias("action")), "hits")
     asked = hits.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("asked")).select(F.col("_row.id").alias("_id"), F.col("_row._text_hash").alias("_hash"), "asked")
     same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
     places = located(F.col("text"), _TERM, lambda v: F.element_at(F.col("asked"), F.lower(v)))
     extra = F.transform(places, lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), F.lit("term").alias("kind"), x["end"].alias("end"), x["value"].alias("value")))
-    found = s.saved(read.join(asked, same).select("_id", "_hash", extra.alias("extra")).dropDuplicates(["_id", "_hash"]), "extra")
+    asked = s.saved(asked, "asked")
+    marked = member_test(asked.select(F.xxhash64("_id", "_hash").alias("v")), s)
+    found = s.saved(read.where(marked(F.xxhash64(id_col, "_text_hash"))).join(asked, same).select("_id", "_hash", extra.alias("extra")).dropDuplicates(["_id", "_hash"]), "extra")
     clear = F.filter("extra", lambda e: ~F.exists("base", lambda o: (e["start"] < o["end"]) & (o["start"] < e["end"])))
     return rows.join(found, same, "left").select(id_col, "_text_hash", "base", F.when(F.col("extra").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", clear))).alias("spans"))
 
@@ -216,10 +220,13 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
-    """docs with their text redacted; all other columns as they were."""
-    with Scratch(docs.sparkSession) as s:
-        found = annotate(docs.select(id_col, text), id_col, text, **parameters).where("size(spans) > 0")
-        found = s.keep(found.select(F.col(id_col).alias("_pii_id"), F.col("_text_hash").alias("_pii_hash"), F.col("spans").alias("_pii_spans")).distinct(), "found")
-    same = F.col(id_col).eqNullSafe(F.col("_pii_id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_pii_hash"))
-    joined = docs.join(found, same, "left")
-    return joined.withColumn(text, F.when(F.col("_pii_spans").isNotNull(), redacted(F.col(text), F.col("_pii_spans"))).otherwise(F.col(text))).select(*docs.columns)
+    """docs with their text redacted; all other columns as they were. Texts that have spans move, others stay where they are."""
+    s = Scratch(docs.sparkSession)  # not left: its two small tables are what the result reads
+    found = annotate(docs.select(id_col, text), id_col, text, **parameters).where("size(spans) > 0")
+    found = s.saved(found.select(F.col(id_col).alias("_pii_id"), F.col("_text_hash").alias("_pii_hash"), F.col("spans").alias("_pii_spans")).distinct(), "found")
+    text_hash = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    marked = member_test(found.select(F.xxhash64("_pii_id", "_pii_hash").alias("v")), s)(F.xxhash64(F.col(id_col), text_hash))
+    same = F.col(id_col).eqNullSafe(F.col("_pii_id")) & (text_hash == F.col("_pii_hash"))
+    joined = docs.where(marked).join(found, same, "left")
+    redone = joined.withColumn(text, F.when(F.col("_pii_spans").isNotNull(), redacted(F.col(text), F.col("_pii_spans"))).otherwise(F.col(text))).select(*docs.columns)
+    return docs.where(~marked).unionByName(redone)
