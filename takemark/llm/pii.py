@@ -15,9 +15,9 @@ as frequent as everywhere join those of t.
 A term whose disclosure reaches a threshold gets a span of kind ``term``. Words with the same first
 letters are its general class, for which the same estimate is made: if the class is below the
 threshold, the term is generalised to it ("zanzibar" becomes "zan*"), else it is removed. That holds throughout the documents with c.
-In all others the estimate leaves out one document that has both, since a pair is looked at only
-because one has: a single shared document says nothing of the rest of the corpus, and otherwise
-every rare word beside some value would go from all texts.
+In all others it holds only where t makes c likelier than not (``likely``), and the estimate leaves out one
+document that has both, since a pair is looked at only because one has: so texts that merely share
+a rare word with a mention stay as they are.
 
 Cases: a null text is empty; repeated rows are counted and answered one by one; rows of one doc_id with different
 texts are told apart by their text; a null doc_id is kept; an empty table gives no
@@ -115,7 +115,7 @@ def _with_classes(terms: Column) -> Column:
     return F.concat(terms, F.array_distinct(F.transform(terms, _class_of)))
 
 
-def disclosing_terms(mentions: DataFrame, docs: DataFrame, s: Scratch, text: str = "text", prior: float = 1.0, threshold: float = 0.6) -> DataFrame:
+def disclosing_terms(mentions: DataFrame, docs: DataFrame, s: Scratch, text: str = "text", prior: float = 1.0, threshold: float = 0.6, likely: float = 0.5) -> DataFrame:
     """(entity, term, inside, outside): pairs whose disclosure reaches threshold; counts cover all documents.
 
     mentions: one row (entity, term) per document with both, terms and classes alike. inside and
@@ -130,11 +130,12 @@ def disclosing_terms(mentions: DataFrame, docs: DataFrame, s: Scratch, text: str
     pairs = together.join(of_entity, "entity").join(of_term, "term").crossJoin(n_docs).where(F.col("n_docs") > F.col("df_c"))  # one row on the right
     base = F.col("df_c") / F.col("n_docs")
 
-    def reaches(less: int) -> Column:
-        smoothed = F.least((F.col("df_ct") - less + prior * base) / (F.col("df_t") - less + prior), F.lit(1.0))
-        return 1 - F.log(smoothed) / F.log(base) >= threshold
+    def chance(less: int) -> Column:
+        """P(c | t), smoothed."""
+        return F.least((F.col("df_ct") - less + prior * base) / (F.col("df_t") - less + prior), F.lit(1.0))
 
-    scored = s.saved(pairs.select("entity", "term", reaches(0).alias("inside"), reaches(1).alias("outside")).where("inside"), "scored")
+    inside, outside = 1 - F.log(chance(0)) / F.log(base) >= threshold, chance(1) >= likely
+    scored = s.saved(pairs.select("entity", "term", inside.alias("inside"), (inside & outside).alias("outside")).where("inside"), "scored")
     is_class = F.col("term").startswith(_CLASS_MARK)
     classes = scored.where(is_class).select("entity", F.col("term").alias("class"), F.col("inside").alias("class_in"), F.col("outside").alias("class_out"))
     met = scored.where(~is_class).withColumn("class", _class_of(F.col("term"))).join(classes, ["entity", "class"], "left")
@@ -145,16 +146,16 @@ def disclosing_terms(mentions: DataFrame, docs: DataFrame, s: Scratch, text: str
     return met.select("entity", "term", action("inside", "class_in").alias("inside"), action("outside", "class_out").alias("outside"))
 
 
-def annotate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", prior: float = 1.0, threshold: float = 0.6) -> DataFrame:
+def annotate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", prior: float = 1.0, threshold: float = 0.6, likely: float = 0.5) -> DataFrame:
     """(id, _text_hash, base, spans): all spans of every row, array<struct<start, rank, kind, end, value>> in order.
 
     value is the entity's value, or the action for a term.
     """
     with Scratch(docs.sparkSession) as s:
-        return s.keep(_annotated(docs, id_col, text, prior, threshold, s), "annotated")
+        return s.keep(_annotated(docs, id_col, text, prior, threshold, likely, s), "annotated")
 
 
-def _annotated(docs: DataFrame, id_col: str, text: str, prior: float, threshold: float, s: Scratch) -> DataFrame:
+def _annotated(docs: DataFrame, id_col: str, text: str, prior: float, threshold: float, likely: float, s: Scratch) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     read = docs.select(F.col(id_col), t.alias("text"), F.xxhash64(t).alias("_text_hash"))
     based = read.select(id_col, "_text_hash", "text", base_spans(F.col("text")).alias("base"))
@@ -164,7 +165,7 @@ def _annotated(docs: DataFrame, id_col: str, text: str, prior: float, threshold:
     entities = F.array_distinct(F.transform("base", lambda x: F.concat(x["kind"], F.lit(":"), x["value"])))
     each = rows.where("size(base) > 0").select(row, F.explode_outer(entities).alias("entity"), _with_classes(F.col("terms")).alias("terms"))
     mentions = each.select("_row", "entity", F.posexplode_outer("terms").alias("place", "term")).withColumn("first", F.when(F.coalesce("place", F.lit(0)) == 0, 1).otherwise(0))
-    flagged = s.saved(disclosing_terms(mentions, docs, s, text, prior, threshold), "flagged")
+    flagged = s.saved(disclosing_terms(mentions, docs, s, text, prior, threshold, likely), "flagged")
     inside = mentions.join(flagged, ["entity", "term"]).select("_row", "term", F.col("inside").alias("action"))
     # A term that several entities ask for is removed if any of them does.
     anywhere = s.saved(flagged.where("outside is not null").groupBy("term").agg(F.max("outside").alias("action")), "anywhere")

@@ -143,7 +143,8 @@ def test_pii_disclosure_against_brute_force(spark):
 
     def reaches(c, x, less):
         base = df_c[c] / len(rows)
-        return (c, x) in df_ct and 1 - np.log(min(1, (df_ct[c, x] - less + base) / (df_t[x] - less + 1))) / np.log(base) >= 0.6
+        chance = lambda k: min(1, (df_ct[c, x] - k + base) / (df_t[x] - k + 1))
+        return (c, x) in df_ct and 1 - np.log(chance(0)) / np.log(base) >= 0.6 and (not less or chance(1) >= 0.5)
 
     def action(c, x, less):
         return (("remove" if reaches(c, "*" + x[:3], less) else "generalise") if reaches(c, x, less) else "")
