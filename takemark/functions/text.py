@@ -6,12 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that carry no topic.
-STOPWORDS = tuple(sorted(set(
-    """a an and are as at be because been but by can could did do does for from get got had has have he her here him his
-    how i if in into is it its just like me more most my no not of on one or our out she so some than that the their
-    them then there these they this to up us very was we were what when which who will with would you your okay right going
-    want really actually thing things lot kind sort yeah uh um said say says let now about all also any being own""".split()
-)))
+STOPWORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "because", "been", "but", "by", "can", "could", "did", "do", "does",
+    "for", "from", "get", "got", "had", "has", "have", "he", "her", "here", "him", "his", "how", "i", "if", "in",
+    "into", "is", "it", "its", "just", "like", "me", "more", "most", "my", "no", "not", "of", "on", "one", "or",
+    "our", "out", "she", "so", "some", "than", "that", "the", "their", "them", "then", "there", "these", "they",
+    "this", "to", "up", "us", "very", "was", "we", "were", "what", "when", "which", "who", "will", "with", "would",
+    "you", "your", "okay", "right", "going", "want", "really", "actually", "thing", "things", "lot", "kind", "sort",
+    "yeah", "uh", "um", "said", "say", "says", "let", "now", "about", "all", "also", "any", "being", "own",
+)
 
 #: Number words.
 NUMBER_WORDS = {"zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12}
@@ -53,10 +56,10 @@ def tokenize(text: Column) -> Column:
 def numerals(text: Column) -> Column:
     """Distinct numbers of a text as strings, number words included."""
     low = F.lower(text)
-    named = F.filter(
-        F.array(*(F.when(low.rlike(f"\\b{w}\\b"), F.lit(str(n))) for w, n in NUMBER_WORDS.items())), lambda x: x.isNotNull()
-    )
-    return F.array_distinct(F.concat(matches(low, NUMBER), named))
+    named = F.create_map(*(F.lit(x) for w, n in NUMBER_WORDS.items() for x in (w, str(n))))
+    # One scan for the words; a letter, digit or underscore beside one makes it part of another word.
+    words = F.array_distinct(matches(low, f"\\b(?:{'|'.join(NUMBER_WORDS)})\\b"))
+    return F.array_distinct(F.concat(matches(low, NUMBER), F.transform(words, lambda w: F.element_at(named, w))))
 
 
 def claims(numbers: Column) -> Column:
@@ -64,6 +67,24 @@ def claims(numbers: Column) -> Column:
     return F.filter(numbers, lambda x: x.contains("%") | (x.rlike("^[0-9]+$") & (F.length(F.regexp_replace(x, "^0+", "")) >= 2)))
 
 
+def half_even(x: Column, places: int) -> Column:
+    """x rounded to decimal places by its exact binary value, ties to even."""
+    p = 10**places
+
+    def rounded(v: Column) -> Column:
+        low = F.floor(v * p)
+        high = v * 134217729.0 - (v * 134217729.0 - v)  # the upper half of v's bits, so that products are exact
+        over = (high * (2 * p) - (2 * low + 1)) + (v - high) * (2 * p)
+        return (low + F.when((over > 0) | ((over == 0) & (low % 2 != 0)), 1).otherwise(0)) / F.lit(float(p))
+
+    return F.transform(F.array(x.cast("double")), rounded)[0]
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, "(?U)^[\\s\\x1C-\\x1F]+|[\\s\\x1C-\\x1F]+$", "")
+
+
 def timecode(seconds: Column) -> Column:
     """HH:MM:SS, half a second rounded to the even one; --:--:-- for null."""
     s = F.bround(seconds).cast("long")
@@ -110,3 +131,51 @@ def zip_digits(text: Column) -> Column:
 
 def zip_display(digits: Column) -> Column:
     return F.when(F.length(digits) == 7, F.concat(F.substring(digits, 1, 3), F.lit("-"), F.substring(digits, 4, 4))).otherwise(digits)
+
+
+def one_line(text: Column) -> Column:
+    """Without carriage returns and line feeds, so that a value can't add a message header."""
+    return F.translate(text, "\r\n", "")
+
+
+def tel_link(number: Column) -> Column:
+    return F.replace(number, F.lit("-"), F.lit(""))
+
+
+def visitor_key(address: Column) -> Column:
+    return F.concat(F.lit("visitor_"), F.md5(address))
+
+
+#: Tags that are never closed.
+VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr", "!doctype")
+_TAG = "(?s)<(/?)([a-zA-Z0-9!]+)([^>]*?)(/?)>"
+
+
+def open_tags(html: Column) -> Column:
+    """struct<wrong, expected, open>: the first closing tag that doesn't close the innermost open one, that one, and what is open there or at the end."""
+    plain = F.regexp_replace(html, "(?s)<!--.*?-->", "")
+    part = lambda k: F.regexp_extract_all(plain, F.lit(_TAG), F.lit(k))
+    tags = F.filter(
+        F.transform(F.arrays_zip(part(1).alias("close"), part(2).alias("name"), part(4).alias("alone")), lambda x: F.struct((x["close"] == "/").alias("close"), F.lower(x["name"]).alias("name"), (x["alone"] == "/").alias("alone"))),
+        lambda x: ~x["alone"] & ~x["name"].isin(*VOID_TAGS),
+    )
+    first = F.struct(F.lit(None).cast("string").alias("wrong"), F.lit(None).cast("string").alias("expected"), F.array().cast("array<string>").alias("open"))
+
+    def step(a: Column, x: Column) -> Column:
+        top = F.try_element_at(a["open"], F.lit(-1))
+        popped = F.slice(a["open"], 1, F.greatest(F.size(a["open"]) - 1, F.lit(0)))
+        closed = F.struct(F.when(~top.eqNullSafe(x["name"]), x["name"]).alias("wrong"), F.when(~top.eqNullSafe(x["name"]), top).alias("expected"), popped.alias("open"))
+        opened = F.struct(a["wrong"].alias("wrong"), a["expected"].alias("expected"), F.concat(a["open"], F.array(x["name"])).alias("open"))
+        return F.when(a["wrong"].isNotNull(), a).when(x["close"], closed).otherwise(opened)
+
+    return F.aggregate(tags, first, step)
+
+
+def tag_balance(html: Column) -> Column:
+    """What is wrong with the nesting of tags, or an empty text."""
+    def told(f: Column) -> Column:
+        wrong = F.concat(F.lit("</"), f["wrong"], F.lit("> closes <"), F.coalesce(f["expected"], F.lit("nothing")), F.lit(">"))
+        unclosed = F.concat(F.lit("not closed: <"), F.array_join(f["open"], ">, <"), F.lit(">"))
+        return F.when(f["wrong"].isNotNull(), wrong).when(F.size(f["open"]) > 0, unclosed).otherwise("")
+
+    return F.transform(F.array(open_tags(html)), told)[0]

@@ -8,6 +8,7 @@ arrays of one take, in higher-order functions.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,22 +42,34 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def upto(n: Column) -> Column:
+    """0 to n - 1; nothing for 0."""
+    return F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+
+
 class Alignment:
     """The DataFrames of one alignment run. beats: lesson_id, beat_idx, beat_id, title, body,
-    est_seconds. segments: lesson_id, take_id, seg_idx, start, end, text. Indexes are dense from 0."""
+    est_seconds. segments: lesson_id, take_id, seg_idx, start, end, text. Indexes are dense from 0.
+    takes: lesson_id, take_id; those with segments if not given. A take without segments, or a lesson without beats, is no special case."""
 
-    def __init__(self, beats: DataFrame, segments: DataFrame, settings: Settings = Settings()):
+    def __init__(self, beats: DataFrame, segments: DataFrame, settings: Settings = Settings(), takes: DataFrame | None = None):
         self.settings = settings
         # What many steps read is a table: plans stay short and lost executors cost nothing.
         self.beats = saved(beats.withColumn("tokens", tokenize(F.concat(F.col("title"), F.lit(". "), F.col("body")))), "beats")
         self.segments = saved(segments.withColumn("tokens", tokenize(F.col("text"))), "segments")
         n_beats = self.beats.groupBy("lesson_id").agg(F.count(F.lit(1)).cast("int").alias("n_beats"))
-        self.takes = saved(self.segments.groupBy(*TAKE).agg(F.count(F.lit(1)).cast("int").alias("n_segments")).join(n_beats, "lesson_id"), "takes")
+        n_segments = self.segments.groupBy(*TAKE).agg(F.count(F.lit(1)).cast("int").alias("n_segments"))
+        every = n_segments if takes is None else takes.select(*TAKE).distinct().join(n_segments, TAKE, "left")
+        self.takes = saved(every.join(n_beats, "lesson_id", "left").fillna(0, ["n_segments", "n_beats"]), "takes")
         self.beat_terms = self.beats.select("lesson_id", "beat_idx", F.explode("tokens").alias("term"))
         self.segment_terms = self.segments.select(*TAKE, "seg_idx", F.explode("tokens").alias("term"))
         self.model = saved(vectors.idf(self.beat_terms, self.segment_terms, self.takes), "model")
         spread = self.takes.select(*TAKE).join(self.beat_terms, "lesson_id")
-        self.beat_vectors = saved(vectors.unit_vectors(spread, ["beat_idx"], self.model), "beat_vectors")
+        self._spread = spread
+
+    @cached_property
+    def beat_vectors(self) -> DataFrame:
+        return saved(vectors.unit_vectors(self._spread, ["beat_idx"], self.model), "beat_vectors")
 
     def scores(self) -> DataFrame:
         """(take, seg_idx, beat_idx, sim): every segment in its context against every beat, zeros included."""
@@ -89,7 +102,7 @@ class Alignment:
         edges = self.takes.join(found, TAKE, "left").select(*TAKE, "n_segments", F.aggregate(F.coalesce("minima", none), none, accept).alias("cuts"))
         starts = F.concat(F.array(F.lit(0)), F.col("cuts"))
         spans = F.transform(starts, lambda lo, k: F.struct(k.alias("block"), lo.alias("lo"), (F.coalesce(F.get(F.col("cuts"), k), F.col("n_segments")) - 1).alias("hi")))
-        return edges.select(*TAKE, F.explode(spans).alias("b")).select(*TAKE, "b.block", "b.lo", "b.hi")
+        return edges.where("n_segments > 0").select(*TAKE, F.explode(spans).alias("b")).select(*TAKE, "b.block", "b.lo", "b.hi")
 
     def block_scores(self) -> DataFrame:
         """(take, block, beat_idx, sim): whole blocks against every beat, zeros included."""
@@ -116,7 +129,9 @@ class Alignment:
         segments = self.segments.groupBy(*TAKE).agg(F.sort_array(F.collect_list(F.struct("seg_idx", "start", "end", "text", "tokens"))).alias("segs"))
         beats = self.beats.groupBy("lesson_id").agg(F.sort_array(F.collect_list(F.struct("beat_idx", "beat_id", "title", "body", "est_seconds", "tokens"))).alias("beats"))
         marks = self.distinctive().groupBy(*TAKE).agg(F.map_from_entries(F.collect_list(F.struct("beat_idx", "terms"))).alias("marks"))
-        rows = self.takes.join(grid, TAKE).join(blocks, TAKE).join(segments, TAKE).join(beats, "lesson_id").join(marks, TAKE, "left")
+        rows = self.takes.join(grid, TAKE, "left").join(blocks, TAKE, "left").join(segments, TAKE, "left").join(beats, "lesson_id", "left").join(marks, TAKE, "left")
+        for name in ("cells", "bcells", "segs", "beats"):
+            rows = rows.withColumn(name, F.coalesce(name, F.array().cast(rows.schema[name].dataType)))
         return rows.select(
             *TAKE, "n_segments", "n_beats", "segs", "beats", "marks",
             F.transform("cells", lambda c: c["sim"]).alias("score"), F.transform("cells", lambda c: c["cum"]).alias("cum"),
@@ -143,9 +158,9 @@ class Alignment:
         claimed = F.aggregate(F.filter(ranked, lambda p: p["sim"] >= s.match_threshold), empty, lambda acc, p: F.when(taken(acc, p), acc).otherwise(F.concat(acc, F.array(F.struct(p["k"], p["b"])))))
         rows = rows.withColumn("claimed", claimed)
         of_block = lambda k: F.coalesce(F.get(F.filter(F.col("claimed"), lambda a: a["k"] == k), F.lit(0))["b"], F.lit(-1))
-        rows = rows.withColumn("owner", F.transform(F.sequence(F.lit(0), nk - 1), lambda k: F.when(F.exists(F.col("claimed"), lambda a: a["k"] == k), of_block(k)).otherwise(-1)))
-        rows = rows.withColumn("peak", F.transform(F.sequence(F.lit(0), nb - 1), lambda b: F.array_max(F.transform(F.sequence(F.lit(0), nk - 1), lambda k: bsim[k * nb + b]))))
-        rows = rows.withColumn("best", F.transform(F.sequence(F.lit(0), nk - 1), lambda k: F.array_max(F.slice(bsim, k * nb + 1, nb))))
+        rows = rows.withColumn("owner", F.transform(upto(nk), lambda k: F.when(F.exists(F.col("claimed"), lambda a: a["k"] == k), of_block(k)).otherwise(-1)))
+        rows = rows.withColumn("peak", F.transform(upto(nb), lambda b: F.array_max(F.transform(upto(nk), lambda k: bsim[k * nb + b]))))
+        rows = rows.withColumn("best", F.transform(upto(nk), lambda k: F.array_max(F.slice(bsim, k * nb + 1, nb))))
 
         def absorb(owner: Column, k: Column) -> Column:
             def side(j: Column) -> Column:  # (similarity, owner) of a neighbouring block
@@ -160,17 +175,17 @@ class Alignment:
             found = let(F.struct(side(k - 1).alias("l"), side(k + 1).alias("r")), lambda z: decide(F.when(z["r"]["sim"] > z["l"]["sim"], z["r"]).otherwise(z["l"])))
             return F.when(owner[k] >= 0, owner).otherwise(let(found, lambda b: F.transform(owner, lambda x, i: F.when(i == k, b).otherwise(x))))
 
-        rows = rows.withColumn("owner", F.aggregate(F.sequence(F.lit(0), nk - 1), F.col("owner"), absorb))
+        rows = rows.withColumn("owner", F.aggregate(upto(nk), F.col("owner"), absorb))
         blocks, segs = F.col("blocks"), F.col("segs")
 
         def span(b: Column) -> Column:
-            own = F.filter(F.sequence(F.lit(0), nk - 1), lambda k: F.col("owner")[k] == b)
+            own = F.filter(upto(nk), lambda k: F.col("owner")[k] == b)
             return F.when(F.size(own) > 0, F.struct(
                 blocks[F.array_min(own)]["lo"].alias("lo"), b.alias("bi"), blocks[F.array_max(own)]["hi"].alias("hi"),
                 F.round(F.aggregate(own, F.lit(0.0), lambda a, k: a + bsim[k * nb + b]) / F.size(own), vectors.DECIMALS).alias("mean_sim"),
             ))
 
-        rows = rows.withColumn("spans0", F.array_compact(F.transform(F.sequence(F.lit(0), nb - 1), span)))
+        rows = rows.withColumn("spans0", F.array_compact(F.transform(upto(nb), span)))
 
         def supported(p: Column) -> Column:
             terms = F.coalesce(F.try_element_at(F.col("marks"), p["bi"]), F.array().cast("array<string>"))
@@ -179,13 +194,13 @@ class Alignment:
 
         rows = rows.withColumn("spans1", F.sort_array(F.filter("spans0", supported)))
         cum = F.col("cum")
-        upto = lambda i, b: F.when(i <= 0, 0.0).otherwise(cum[F.greatest(i - 1, F.lit(0)) * nb + b])  # noqa: E731  sum of scores before segment i
+        before = lambda i, b: F.when(i <= 0, 0.0).otherwise(cum[F.greatest(i - 1, F.lit(0)) * nb + b])  # noqa: E731  sum of scores before segment i
 
         def slide(acc: Column, right: Column) -> Column:
             def moved(left: Column) -> Column:
                 lo = F.greatest(left["lo"] + 1, right["lo"] - s.boundary_slack)
                 hi = F.least(right["hi"], right["lo"] + s.boundary_slack)
-                value = lambda c: upto(c, left["bi"]) - upto(left["lo"], left["bi"]) + upto(right["hi"] + 1, right["bi"]) - upto(c, right["bi"])
+                value = lambda c: before(c, left["bi"]) - before(left["lo"], left["bi"]) + before(right["hi"] + 1, right["bi"]) - before(c, right["bi"])
                 cut = F.when(lo <= hi, -F.array_max(F.transform(F.sequence(lo, F.greatest(lo, hi)), lambda c: F.struct(F.round(value(c), 9).alias("v"), (-c).alias("c"))))["c"]).otherwise(right["lo"])
                 put = lambda c: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(_edges(left, left["lo"], c - 1)), F.array(_edges(right, c, right["hi"])))
                 return F.when(left["hi"] + 1 == right["lo"], let(cut, put)).otherwise(F.concat(acc, F.array(right)))

@@ -38,13 +38,13 @@ def _line_findings(line: Column, spoken: Column, everywhere: Column, said: Colum
     return F.element_at(F.transform(F.array(content), check), 1)
 
 
-def change_orders(assets: DataFrame, verdicts: DataFrame, added: DataFrame, segments: DataFrame) -> DataFrame:
+def change_orders(assets: DataFrame, verdicts: DataFrame, added: DataFrame, segments: DataFrame, takes: DataFrame | None = None) -> DataFrame:
     """(take, asset_id, asset_title, asset_type, owner, action, severity, reason, beat_ids, start, end, conflicts, suggested_text).
 
     assets: lesson_id, asset_id, asset_type, asset_title, owner, depends_on, on_screen_text, verify_text.
-    A dependency on an unknown beat counts as skipped.
+    A dependency on an unknown beat counts as skipped. takes: as for the alignment.
     """
-    takes = segments.select(*TAKE).distinct()
+    takes = (segments if takes is None else takes).select(*TAKE).distinct()
     tokens = segments.select(*TAKE, "seg_idx", "text", tokenize(F.col("text")).alias("tokens"))
     everywhere = tokens.groupBy(*TAKE).agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("everywhere"))
     edges = takes.join(assets.select("lesson_id", "asset_id", F.posexplode_outer("depends_on").alias("pos", "beat_id")), "lesson_id")
@@ -58,7 +58,7 @@ def change_orders(assets: DataFrame, verdicts: DataFrame, added: DataFrame, segm
     heard = met.where("lo is not null").select(*TAKE, "asset_id", F.explode(F.sequence("lo", "hi")).alias("seg_idx")).distinct().join(tokens, [*TAKE, "seg_idx"])
     heard = heard.groupBy(*TAKE, "asset_id").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("spoken"), F.array_distinct(F.flatten(F.collect_list(numerals(F.col("text"))))).alias("said"))
     none = F.array().cast(FINDINGS)
-    rows = takes.join(assets, "lesson_id").join(rolled, [*TAKE, "asset_id"]).join(heard, [*TAKE, "asset_id"], "left").join(everywhere, TAKE)
+    rows = takes.join(assets, "lesson_id").join(rolled, [*TAKE, "asset_id"]).join(heard, [*TAKE, "asset_id"], "left").join(everywhere, TAKE, "left")
     lines = F.flatten(F.transform("on_screen_text", lambda x: _line_findings(x, F.col("spoken"), F.col("everywhere"), F.col("said"), F.col("asset_type"))))
     rows = rows.withColumn("conflicts", F.when(F.col("verify_text") & (F.size("spoken") > 0), lines.cast(FINDINGS)).otherwise(none))
     names = lambda c: F.array_join(c, ", ")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -42,50 +42,59 @@ def first_errors(rules: dict[str, list[tuple[Column, str]]]) -> Column:
     return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))
 
 
+def _walked(rows: DataFrame, flag: str, decide: Callable[[tuple, float, float], tuple[bool, tuple]]) -> DataFrame:
+    """rows (key, id, t, life) with flag: decide(state, t, life) -> (flag, state) along each key's rows in order of t and id.
+
+    The state of a key starts empty. Rows stream through in key order with the state of one key in memory.
+    """
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = object(), ()
+        for batch in batches:
+            flags = []
+            for k, t, life in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                if k != last:
+                    last, state = k, ()
+                found, state = decide(state, t, life)
+                flags.append(found)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(flags)], ["key", "id", flag])
+
+    schema = rows.select("key", "id").schema.add(flag, "boolean")
+    return rows.repartition("key").sortWithinPartitions("key", "t", "id").mapInArrow(walk, schema)
+
+
+def _keyed(rows: DataFrame, key: str, at: str, order: str, life: Column) -> DataFrame:
+    seconds = F.unix_micros(F.col(at).cast("timestamp")) / 1_000_000.0
+    return rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(order).alias("id"), seconds.alias("t"), life.cast("double").alias("life"))
+
+
 def rate_limited(events: DataFrame, key: str, at: str, order: str, most: int = 5, seconds: int = 3600) -> DataFrame:
     """events with allowed: at most ``most`` accepted per key until the last accepted one is ``seconds`` old.
 
-    Rejected events change nothing; a null key is always allowed. After a pause of
-    ``seconds`` no state is left, so each burst between pauses is a fold of its own.
+    Rejected events change nothing; a null key is always allowed. ``order`` tells the events of a key apart.
     """
-    t = F.unix_micros(F.col(at).cast("timestamp")) / 1_000_000.0
-    w = Window.partitionBy(key).orderBy(at, order)
-    keyed = events.where(F.col(key).isNotNull()).withColumn("_t", t)
-    keyed = keyed.withColumn("_new", (F.coalesce(F.col("_t") - F.lag("_t").over(w), F.lit(float(seconds))) >= seconds).cast("int")).withColumn("_burst", F.sum("_new").over(w))
-    lists = keyed.groupBy(key, "_burst").agg(F.sort_array(F.collect_list(F.struct("_t", order))).alias("e"))
-    first = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("until"), F.array().cast("array<boolean>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        live = F.when(x["_t"] >= a["until"], 0).otherwise(a["n"])
-        ok = live < most
-        return F.struct((live + ok.cast("int")).alias("n"), F.when(ok, x["_t"] + seconds).otherwise(a["until"]).alias("until"), F.concat(a["out"], F.array(ok)).alias("out"))
-
-    decided = lists.withColumn("out", F.aggregate("e", first, step, lambda a: a["out"])).select(key, F.explode(F.arrays_zip("e", "out")).alias("z")).select(key, F.col(f"z.e.{order}").alias(order), F.col("z.out").alias("allowed"))
+
+    def decide(state: tuple, t: float, life: float) -> tuple[bool, tuple]:
+        n, until = state or (0, t)
+        n = 0 if t >= until else n
+        return (True, (n + 1, t + life)) if n < most else (False, (n, until))
+
+    decided = _walked(_keyed(events, key, at, order, F.lit(seconds)), "allowed", decide)
     free = events.where(F.col(key).isNull()).withColumn("allowed", F.lit(True))
-    return events.join(decided, [key, order]).select(*events.columns, "allowed").unionByName(free)
+    return events.join(decided.select(F.col("key").alias(key), F.col("id").alias(order), "allowed"), [key, order]).select(*events.columns, "allowed").unionByName(free)
 
 
 def cached(lookups: DataFrame, key: str, at: str, order: str, ttl: Column) -> DataFrame:
     """(key, order, hit): whether a lookup finds an entry that an earlier one fetched less than its time to live ago.
 
     A lookup that fetches stores an entry for ``ttl`` seconds (long for found keys, short for
-    missing ones); hits don't prolong it. Rows stream through in key order with the state
-    of one key in memory.
+    missing ones); hits don't prolong it.
     """
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, until = object(), 0.0
-        for batch in batches:
-            hits = []
-            for k, t, life in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
-                fresh = k == last and t < until
-                if not fresh:
-                    last, until = k, t + life
-                hits.append(fresh)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits)], ["key", "id", "hit"])
-
-    rows = lookups.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(order).cast("long").alias("id"), (F.unix_micros(F.col(at).cast("timestamp")) / 1_000_000.0).alias("t"), ttl.cast("double").alias("life"))
-    return rows.repartition("key").sortWithinPartitions("key", "t", "id").mapInArrow(walk, "key long, id long, hit boolean").select(F.col("key").alias(key), F.col("id").alias(order), "hit")
+    def decide(state: tuple, t: float, life: float) -> tuple[bool, tuple]:
+        return (True, state) if state and t < state[0] else (False, (t + life,))
+
+    return _walked(_keyed(lookups, key, at, order, ttl), "hit", decide).select(F.col("key").alias(key), F.col("id").alias(order), "hit")
 
 
 def changed(events: DataFrame, group: str, at: str, order: str, value: str) -> DataFrame:

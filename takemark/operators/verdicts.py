@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from takemark.functions.text import claims, numerals, timecode, tokenize
-from takemark.operators.alignment import Alignment, let
+from takemark.functions.text import claims, half_even, numerals, timecode, tokenize
+from takemark.operators.alignment import Alignment, let, upto
 from takemark.operators.vectors import TAKE
 
 TAUGHT, MOVED, MODIFIED, SKIPPED, MERGED = "TAUGHT", "MOVED", "MODIFIED", "SKIPPED", "MERGED"
@@ -45,7 +45,7 @@ def in_order(values: Column) -> Column:
         back = lambda a, _: F.when(a["at"] >= 0, F.struct(chain[F.greatest(a["at"], F.lit(0))]["prev"].alias("at"), F.concat(a["kept"], F.array(a["at"])).alias("kept"))).otherwise(a)
         return F.sort_array(F.aggregate(chain, first, back, lambda a: a["kept"]))
 
-    chain = F.aggregate(F.sequence(F.lit(0), F.size(values) - 1), F.array().cast(pair), grow)
+    chain = F.aggregate(upto(F.size(values)), F.array().cast(pair), grow)
     return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(let(chain, trace))
 
 
@@ -58,7 +58,7 @@ def verdicts(alignment: Alignment, rows: DataFrame | None = None) -> DataFrame:
     tape = F.sort_array(F.transform("spans", lambda p: F.struct(segs[p["lo"]]["start"].alias("start"), p["bi"].alias("bi"))))
     rows = rows.withColumn("tape", F.transform(tape, lambda p: p["bi"])).withColumn("kept", in_order(F.col("tape")))
     score = F.col("score")
-    column = lambda b, lo, hi: F.aggregate(F.sequence(lo, hi), F.lit(0.0), lambda a, i: a + score[i * nb + b])
+    column = lambda b, lo, hi: F.aggregate(F.filter(upto(n), lambda i: (i >= lo) & (i <= hi)), F.lit(0.0), lambda a, i: a + score[i * nb + b])
 
     def host(b: Column) -> Column:
         """Where most of a skipped beat's material lies: struct<share, bi>."""
@@ -72,7 +72,7 @@ def verdicts(alignment: Alignment, rows: DataFrame | None = None) -> DataFrame:
         return F.struct(
             beat.alias("beat"), F.get(F.filter("spans", lambda p: p["bi"] == b), F.lit(0)).alias("span"),
             F.when(place >= 0, place).alias("actual_order"),
-            F.array_max(F.transform(F.sequence(F.lit(0), n - 1), lambda i: score[i * nb + b])).alias("peak"),
+            F.coalesce(F.array_max(F.transform(upto(n), lambda i: score[i * nb + b])), F.lit(0.0)).alias("peak"),
             F.when(place < 0, host(b)).alias("host"),
             F.when((place >= 0) & ~F.array_contains("kept", place), F.struct(F.try_element_at(F.filter(F.col("kept"), lambda k: k < place), F.lit(-1)).alias("after_at"), F.exists(F.col("kept"), lambda k: k < place).alias("has"))).alias("moved"),
         )
@@ -90,7 +90,7 @@ def verdicts(alignment: Alignment, rows: DataFrame | None = None) -> DataFrame:
     low = F.when(F.col("coverage") < s.coverage_floor, finding("COVERAGE_LOW", F.concat(F.lit("Only "), F.bround(F.col("coverage") * 100).cast("int"), F.lit("% of the planned language appears in the take."))))
     ran = F.col("end") - F.col("start")
     ratio = ran / F.col("beat.est_seconds")
-    off = F.when((F.col("beat.est_seconds") != 0) & (ran != 0) & ((ratio >= 1.6) | (ratio <= 0.5)), finding("DURATION_DRIFT", F.concat(F.lit("Planned "), timecode(F.col("beat.est_seconds")), F.lit(", ran "), timecode(ran), F.lit(" ("), F.format_string("%.1f", ratio), F.lit("x)."))))
+    off = F.when((F.col("beat.est_seconds") != 0) & (ran != 0) & ((ratio >= 1.6) | (ratio <= 0.5)), finding("DURATION_DRIFT", F.concat(F.lit("Planned "), timecode(F.col("beat.est_seconds")), F.lit(", ran "), timecode(ran), F.lit(" ("), F.format_string("%.1f", half_even(ratio, 1)), F.lit("x)."))))
     placed = some(reordered, numeric, low, off)
     absent = F.when(merged, some(finding("MERGED_INTO", F.concat(F.lit("Not taught as its own beat — the material appears inside "), host_beat["beat_id"], F.lit(" ("), host_beat["title"], F.lit(").")))))
     absent = absent.otherwise(some(finding("NOT_TAUGHT", F.lit("Planned beat never appears on camera."))))
@@ -101,7 +101,7 @@ def verdicts(alignment: Alignment, rows: DataFrame | None = None) -> DataFrame:
     folded = F.concat(F.lit("Folded into "), host_beat["beat_id"], F.lit(". Downstream assets that treat this as a separate item need rework."))
     return each.select(
         *TAKE, F.col("beat.beat_idx").alias("beat_idx"), F.col("beat.beat_id").alias("beat_id"), status.alias("status"), "actual_order", "start", "end", lo.alias("lo"), hi.alias("hi"),
-        F.bround(F.when(lo.isNull(), unsure).otherwise(sure), 2).alias("confidence"),
+        half_even(F.when(lo.isNull(), unsure).otherwise(sure), 2).alias("confidence"),
         F.when(lo.isNotNull(), F.substring("spoken", 1, 400)).when(merged, folded).otherwise(F.lit("No passage in the transcript covers this beat.")).alias("summary"),
         F.when(lo.isNull(), absent).otherwise(placed).alias("findings"),
     )
@@ -124,8 +124,8 @@ def _title(text: Column) -> Column:
 def unplanned(alignment: Alignment, rows: DataFrame | None = None) -> DataFrame:
     """(take, id, title, actual_order, start, end, lo, hi, summary, confidence): runs of segments that no beat claimed."""
     rows = alignment.assigned() if rows is None else rows
-    free = F.filter(F.sequence(F.lit(0), F.col("n_segments") - 1), lambda i: ~F.exists("spans", lambda p: (p["lo"] <= i) & (i <= p["hi"])))
-    peak = F.transform(F.sequence(F.lit(0), F.col("n_segments") - 1), lambda i: F.array_max(F.slice(F.col("score"), i * F.col("n_beats") + 1, F.col("n_beats"))))
+    free = F.filter(upto(F.col("n_segments")), lambda i: ~F.exists("spans", lambda p: (p["lo"] <= i) & (i <= p["hi"])))
+    peak = F.transform(upto(F.col("n_segments")), lambda i: F.coalesce(F.array_max(F.slice(F.col("score"), i * F.col("n_beats") + 1, F.col("n_beats"))), F.lit(0.0)))
     each = rows.withColumn("peaks", peak).select(*TAKE, "segs", "peaks", F.posexplode(free).alias("at", "seg_idx")).withColumn("island", F.col("seg_idx") - F.col("at"))
     seg = F.col("segs")[F.col("seg_idx")]
     runs = each.groupBy(*TAKE, "island").agg(
@@ -136,5 +136,5 @@ def unplanned(alignment: Alignment, rows: DataFrame | None = None) -> DataFrame:
     number = F.row_number().over(Window.partitionBy(*TAKE).orderBy("lo"))
     return runs.select(
         *TAKE, F.concat(F.lit("NEW-"), F.lpad(number.cast("string"), 2, "0")).alias("id"), _title(text).alias("title"), F.col("lo").alias("actual_order"), "start", "end", "lo", "hi",
-        F.substring(text, 1, 600).alias("summary"), F.bround(F.greatest(F.lit(0.4), F.least(F.lit(0.95), 0.9 - F.col("peak") * 2.0)), 2).alias("confidence"),
+        F.substring(text, 1, 600).alias("summary"), half_even(F.greatest(F.lit(0.4), F.least(F.lit(0.95), 0.9 - F.col("peak") * 2.0)), 2).alias("confidence"),
     )

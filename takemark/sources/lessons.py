@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from takemark.functions.text import duration
+from takemark.functions.text import duration, stripped
 from takemark.operators.impact import LABEL_TYPES
 
 _LINES = "\\r\\n|[\\n\\x0B\\x0C\\r\\x1C-\\x1E\\u0085\\u2028\\u2029]"
@@ -15,11 +15,14 @@ def _files(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.text(f"{root}/*/{name}", wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1).alias("folder"), "value")
 
 
-def missing_files(spark: SparkSession, root: str, folders: list[str]) -> DataFrame:
-    """(folder, name) for each mandatory file that a folder lacks."""
-    names = ("master-plan.md", "transcript.txt", "assets.json")
-    wanted = spark.createDataFrame([(f, n) for f in folders for n in names], "folder string, name string")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("folder"), F.regexp_extract("path", "([^/]+)$", 1).alias("name"))
+#: The files of a lesson folder.
+FILES = ("master-plan.md", "transcript.txt", "assets.json")
+
+
+def missing_files(spark: SparkSession, root: str) -> DataFrame:
+    """(folder, name) for each mandatory file that a folder under root lacks."""
+    found = spark.read.format("binaryFile").load(f"{root}/*/*").select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("folder"), F.regexp_extract("path", "([^/]+)$", 1).alias("name"))
+    wanted = found.select("folder").distinct().withColumn("name", F.explode(F.array(*map(F.lit, FILES))))
     return wanted.join(found, ["folder", "name"], "left_anti")
 
 
@@ -27,7 +30,7 @@ def parse_plans(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lessons, beats) of plan texts (folder, value)."""
     by_line = Window.partitionBy("folder").orderBy("pos")
     so_far = by_line.rowsBetween(Window.unboundedPreceding, 0)
-    lines = files.select("folder", F.posexplode(F.split("value", _LINES)).alias("pos", "raw")).withColumn("line", F.trim("raw"))
+    lines = files.select("folder", F.posexplode(F.split("value", _LINES)).alias("pos", "raw")).withColumn("line", stripped(F.col("raw")))
     section, beat = "^##\\s+([A-Za-z0-9_.-]+)\\s*[—–-]\\s*(.+?)\\s*$", "^###\\s+([A-Za-z0-9_.-]+)\\s*[—–-]\\s*(.+?)\\s*$"
     attr, meta = "(?i)^(est|type|must_cover)\\s*:\\s*(.+?)\\s*$", "(?i)^>\\s*([a-z_]+)\\s*:\\s*(.+?)\\s*$"
     lines = lines.withColumn("is_section", F.col("line").rlike(section)).withColumn("is_beat", F.col("line").rlike(beat))
@@ -35,17 +38,19 @@ def parse_plans(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     lines = lines.withColumn("open", F.coalesce(F.last(head, ignorenulls=True).over(so_far), F.lit(0)) == 1).withColumn("ordinal", F.sum(F.col("is_beat").cast("int")).over(so_far))
     grab = lambda p, k: F.regexp_extract("line", p, k)
     lines = lines.withColumn("section_id", F.last(F.when(F.col("is_section"), grab(section, 1)), ignorenulls=True).over(so_far)).withColumn("section_title", F.last(F.when(F.col("is_section"), grab(section, 2)), ignorenulls=True).over(so_far))
-    title = lines.where(F.col("line").startswith("# ")).groupBy("folder").agg(F.min_by(F.trim(F.substring("line", 3, 1 << 20)), "pos").alias("title"))
+    # Only the first line that starts so is the title; later ones are text.
+    lines = lines.withColumn("is_title", (F.col("pos") == F.min(F.when(F.col("line").startswith("# "), F.col("pos"))).over(Window.partitionBy("folder"))) & F.col("line").startswith("# ")).withColumn("is_title", F.coalesce("is_title", F.lit(False)))
+    title = lines.where("is_title").select("folder", stripped(F.substring("line", 3, 1 << 20)).alias("title"))
     metas = lines.where(~F.col("open") & F.col("line").rlike(meta)).select("folder", F.lower(grab(meta, 1)).alias("k"), grab(meta, 2).alias("v"), "pos").groupBy("folder", "k").agg(F.max_by("v", "pos").alias("v"))
     lessons = files.select("folder").join(title, "folder", "left").join(metas.groupBy("folder").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("meta")), "folder", "left")
     lessons = lessons.select("folder", F.coalesce(F.try_element_at("meta", F.lit("lesson_id")), F.lit("UNKNOWN")).alias("lesson_id"), F.coalesce("title", F.lit("")).alias("title"), "meta")
     body = lines.where("open")
     in_beat = Window.partitionBy("folder", "ordinal").orderBy("pos")
-    plain = ~F.col("is_beat") & (F.col("line") != "") & ~F.col("line").startswith("# ") & ~F.col("line").rlike(attr)
+    plain = ~F.col("is_beat") & (F.col("line") != "") & ~F.col("is_title") & ~F.col("line").rlike(attr)
     body = body.withColumn("past", F.coalesce(F.max(plain.cast("int")).over(in_beat.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1)
     is_attr = F.col("line").rlike(attr) & ~F.col("past") & ~F.col("is_beat")
     value = lambda name: F.max_by(F.when(is_attr & (F.lower(grab(attr, 1)) == name), grab(attr, 2)), F.when(is_attr & (F.lower(grab(attr, 1)) == name), F.col("pos")))
-    is_text = ~is_attr & ~F.col("is_beat") & (F.col("line") != "") & ~F.col("line").startswith("# ")
+    is_text = ~is_attr & ~F.col("is_beat") & (F.col("line") != "") & ~F.col("is_title")
     beats = body.groupBy("folder", "ordinal").agg(
         F.max(F.when(F.col("is_beat"), grab(beat, 1))).alias("beat_id"), F.max(F.when(F.col("is_beat"), grab(beat, 2))).alias("title"),
         F.first("section_id").alias("section_id"), F.first("section_title").alias("section_title"),
@@ -54,8 +59,8 @@ def parse_plans(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     order = (F.row_number().over(Window.partitionBy("folder").orderBy("ordinal")) - 1).alias("beat_idx")
     beats = beats.join(lessons.select("folder", "lesson_id"), "folder").select(
-        "folder", "lesson_id", order, "beat_id", "title", "section_id", "section_title", F.trim(F.regexp_replace("body", "(?U)\\s+", " ")).alias("body"),
-        duration(F.col("est")).alias("est_seconds"), F.coalesce("type", F.lit("content")).alias("beat_type"), F.coalesce(F.lower(F.trim("must")).isin("true", "yes", "y", "1"), F.lit(False)).alias("must_cover"),
+        "folder", "lesson_id", order, "beat_id", "title", "section_id", "section_title", stripped(F.regexp_replace("body", "(?U)\\s+", " ")).alias("body"),
+        duration(F.col("est")).alias("est_seconds"), F.coalesce("type", F.lit("content")).alias("beat_type"), F.coalesce(F.lower(stripped(F.col("must"))).isin("true", "yes", "y", "1"), F.lit(False)).alias("must_cover"),
     )
     return lessons, beats
 
@@ -63,10 +68,10 @@ def parse_plans(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 def parse_transcripts(files: DataFrame, tail: float = 8.0) -> DataFrame:
     """(folder, seg_idx, start, end, speaker, text) of transcript texts; lines that are no segments are dropped."""
     code = "^\\[(?:([0-9]{1,2}):)?([0-9]{1,2}):([0-9]{2})\\]\\s*(?:([A-Z][A-Z0-9 ._-]{0,24}):\\s*)?(.*)$"
-    lines = files.select("folder", F.posexplode(F.split("value", _LINES)).alias("pos", "raw")).withColumn("line", F.trim("raw")).where(F.col("line").rlike(code))
+    lines = files.select("folder", F.posexplode(F.split("value", _LINES)).alias("pos", "raw")).withColumn("line", stripped(F.col("raw"))).where(F.col("line").rlike(code))
     part = lambda k: F.regexp_extract("line", code, k)
     number = lambda k: F.coalesce(part(k).try_cast("double"), F.lit(0.0))
-    kept = lines.select("folder", "pos", (number(1) * 3600 + number(2) * 60 + number(3)).alias("start"), F.coalesce(F.nullif(part(4), F.lit("")), F.lit("UNKNOWN")).alias("speaker"), F.trim(part(5)).alias("text")).where("text <> ''")
+    kept = lines.select("folder", "pos", (number(1) * 3600 + number(2) * 60 + number(3)).alias("start"), F.coalesce(F.nullif(part(4), F.lit("")), F.lit("UNKNOWN")).alias("speaker"), stripped(part(5)).alias("text")).where("text <> ''")
     return close_segments(kept.withColumn("seg_idx", F.row_number().over(Window.partitionBy("folder").orderBy("pos")) - 1).drop("pos"), ["folder"], tail)
 
 
@@ -91,11 +96,15 @@ def _verify(kind: Column) -> Column:
 
 
 def read_folders(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """lessons, beats, segments and assets of all folders under root; the folder is the take."""
+    """lessons, takes, beats, segments and assets of all folders under root; the folder is the take. A mandatory file that is missing is an error."""
+    lacking = missing_files(spark, root)
+    if lacking.count():
+        raise FileNotFoundError(f"missing {lacking.orderBy('folder', 'name').first().asDict()}")
     lessons, beats = parse_plans(_files(spark, root, "master-plan.md"))
     owner = lessons.select("folder", "lesson_id")
     return {
         "lessons": lessons,
+        "takes": owner.select("lesson_id", F.col("folder").alias("take_id")),
         "beats": beats,
         "segments": parse_transcripts(_files(spark, root, "transcript.txt")).join(owner, "folder").withColumnRenamed("folder", "take_id"),
         "assets": parse_assets(_files(spark, root, "assets.json")).join(owner, "folder").drop("folder"),

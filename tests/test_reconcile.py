@@ -2,6 +2,7 @@ import pytest
 
 from takemark.operators import impact, verdicts
 from takemark.operators.alignment import Alignment
+from takemark.operators.vectors import TAKE
 from takemark.sources import lessons
 from takemark.storage import saved
 
@@ -77,3 +78,25 @@ def test_change_orders(run):
     assert {k: r.action for k, r in orders.items()} == {"A1": "KILL", "A2": "REVISE", "A3": "KILL", "NEW-01": "CREATE"}
     assert orders["A2"].conflicts[0].kind == "ON_SCREEN_CONFLICT" and orders["A2"].conflicts[0].severity == "high"
     assert orders["A1"].owner == "Unassigned"
+
+
+def test_takes_without_segments_and_lessons_without_beats(spark, run):
+    tables = run[0]
+    takes = spark.createDataFrame([("K1", "K1"), ("K1", "empty"), ("none", "talk")], "lesson_id string, take_id string")
+    talk = tables["segments"].select(*[c for c in tables["segments"].columns if c not in TAKE]).crossJoin(spark.createDataFrame([("none", "talk")], "lesson_id string, take_id string"))
+    segments = tables["segments"].unionByName(talk)
+    a = Alignment(tables["beats"], segments, takes=takes)
+    rows = a.assigned()
+    v, added = saved(verdicts.verdicts(a, rows), "v"), saved(verdicts.unplanned(a, rows), "u")
+    assert {(r.beat_id, r.status, r.confidence) for r in v.collect() if r.take_id == "empty"} == {(b, "SKIPPED", 0.95) for b in ("B01", "B02", "B03")}
+    assert [(r.take_id, r.lo, r.hi, r.confidence) for r in added.where("lesson_id = 'none'").collect()] == [("talk", 0, len(LINES) - 1, 0.9)]
+    orders = impact.change_orders(tables["assets"], v, added, a.segments, takes).collect()
+    assert {(r.asset_id, r.action) for r in orders if r.take_id == "empty"} == {("A1", "KILL"), ("A2", "KILL"), ("A3", "KILL")}
+
+
+def test_later_titles_are_text_and_tabs_are_blank(spark):
+    plan = "\t# First\n> lesson_id: T\n## S — one\n\t### B1 — Beat\n\test: 2\nbody\n# not a title\n"
+    made = lessons.parse_plans(spark.createDataFrame([("T", plan)], "folder string, value string"))
+    beat = made[1].first()
+    assert made[0].first().title == "First" and (beat.beat_id, beat.est_seconds, beat.body) == ("B1", 120.0, "body # not a title")
+    assert lessons.parse_transcripts(spark.createDataFrame([("T", "\t[0:05] ANN: \thello \n# [0:06] no\n")], "folder string, value string")).first().text == "hello"
