@@ -49,3 +49,19 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_compact(F.array("beat_id", "following")).alias("depends_on"), F.array("title").alias("on_screen_text"),
     )
     return rows.withColumn("verify_text", ~F.col("asset_type").isin("lower_third", "caption", "chapter_marker", "title_card"))
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's answer for each take, derived from its numbers: some beats are missing, some times blank, some verdicts unknown."""
+    n_segments = segments(spark, sf_dir).groupBy("lesson_id", "take_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = n_segments.join(beats(spark, sf_dir).select("lesson_id", "beat_idx", "beat_id"), "lesson_id")
+    mark = F.col("take_id") + F.col("beat_idx")
+    begin = 4 * ((F.col("take_id") * 7 + F.col("beat_idx") * 3) % F.col("n"))
+    code = lambda s: F.format_string("%d:%02d", F.floor(s / 60), s % 60)
+    status = F.element_at(F.array(*map(F.lit, ("TAUGHT", "MOVED", "BOGUS", "MODIFIED", "MERGED"))), (mark % 5 + 1).cast("int"))
+    item = F.struct("beat_id", status.alias("status"), F.when(mark % 4 == 1, "").otherwise(code(begin)).alias("start"), code(begin + 12).alias("end"), ((mark % 100) / 100.0).alias("confidence"), F.lit("seen").alias("summary"))
+    new = F.struct(F.lit("Aside").alias("title"), code(begin).alias("start"), F.when(mark % 2 == 0, code(begin + 8)).otherwise("").alias("end"))
+    made = rows.groupBy("lesson_id", "take_id").agg(
+        F.array_sort(F.collect_list(F.when(mark % 3 != 0, item))).alias("beats"), F.transform(F.array_sort(F.collect_list(F.when(F.col("beat_idx") < 2, F.struct("beat_idx", new.alias("new"))))), lambda x: x["new"]).alias("added")
+    )
+    return made.select("lesson_id", "take_id", F.to_json(F.struct("beats", "added")).alias("payload"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from takemark.functions import text as X
-from takemark.operators import impact, site, verdicts
+from takemark.operators import forms, impact, semantic, sinks, site, verdicts
 from takemark.operators.alignment import Alignment
 from takemark.operators.vectors import TAKE
 from takemark.plans import inputs, sql
@@ -37,8 +37,11 @@ def q_timecodes(spark, d):
 
 
 def q_durations(spark, d):
-    text = F.concat_ws(":", (F.col("l_linenumber") % 3).cast("string"), F.lpad((F.col("l_partkey") % 60).cast("string"), 2, "0"))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", X.duration(text).cast("long").alias("minutes_form"), X.duration(F.col("l_linenumber").cast("string")).cast("long").alias("bare"), X.clock(text).cast("long").alias("clock"))
+    """Times as people write them, from the numbers of documents: with hours, bare, blank, malformed, between blanks."""
+    i = F.col("doc_id")
+    forms_ = (F.format_string("%d:%02d", i % 100, i % 60), F.format_string("%d:%02d:%02d", i % 5, i % 60, i % 59), i.cast("string"), F.lit(""), F.format_string("%d:x", i), F.format_string(" %d:30 ", i % 7), F.lit("12 min"))
+    text = F.element_at(F.array(*forms_), (i % len(forms_) + 1).cast("int"))
+    return table(spark, d, "documents").where("doc_id is not null").select("doc_id", X.duration(text).cast("long").alias("duration"), X.clock(text).cast("long").alias("clock"))
 
 
 def q_segment_close(spark, d):
@@ -205,6 +208,121 @@ def q_accuracy(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.median(e).cast("double").alias("median"), F.max(e).alias("most"), F.count_if(e <= 15000).alias("near"))
 
 
+def q_runtimes(spark, d):
+    s = inputs.segments(spark, d)
+    found = sinks.runtimes(s.select(*TAKE).distinct(), inputs.beats(spark, d), s)
+    return found.select("take_id", _scaled("planned"), F.col("actual").cast("long").alias("actual"))
+
+
+def q_planned_shares(spark, d):
+    return sinks.planned_shares(inputs.beats(spark, d)).select("lesson_id", "beat_id", _scaled("share"))
+
+
+def q_taught_shares(spark, d):
+    a, rows, v = _verdicts(spark, d)
+    return sinks.taught_shares(v, verdicts.unplanned(a, rows)).select("take_id", "id", _scaled("share"))
+
+
+def q_strict_gate(spark, d):
+    return sinks.summary(inputs.segments(spark, d).select(*TAKE).distinct(), _orders(spark, d)).drop("lesson_id")
+
+
+def q_records(spark, d):
+    a, rows, v = _verdicts(spark, d)
+    return sinks.records(v, verdicts.unplanned(a, rows), sinks.runtimes(a.takes, a.beats, a.segments)).select("take_id", "record")
+
+
+def q_change_order_lines(spark, d):
+    o = _orders(spark, d)
+    return sinks.change_order_lines(o, inputs.segments(spark, d).select(*TAKE).distinct()).drop("lesson_id")
+
+
+def q_edit_sheet(spark, d):
+    a, rows, v = _verdicts(spark, d)
+    u = saved(verdicts.unplanned(a, rows), "unplanned")
+    return sinks.edit_sheet_lines(v, u, saved(impact.change_orders(inputs.assets(spark, d), v, u, a.segments), "orders"), a.beats).drop("lesson_id")
+
+
+def q_student_delta(spark, d):
+    a, rows, v = _verdicts(spark, d)
+    return sinks.student_delta_lines(v, saved(impact.change_orders(inputs.assets(spark, d), v, verdicts.unplanned(a, rows), a.segments), "orders"), a.beats).drop("lesson_id")
+
+
+def q_semantic_verdicts(spark, d):
+    found = semantic.semantic_verdicts(inputs.beats(spark, d), inputs.payloads(spark, d), inputs.segments(spark, d))
+    return found.select("take_id", "beat_id", "status", "actual_order", F.col("start").cast("long").alias("start_s"), F.col("end").cast("long").alias("end_s"), _scaled("confidence"), "summary", F.size("findings").alias("n_findings"), F.array_join(F.col("evidence").cast("array<string>"), ",").alias("evidence"))
+
+
+def q_semantic_added(spark, d):
+    found = semantic.semantic_added(inputs.payloads(spark, d), inputs.segments(spark, d))
+    return found.select("take_id", "id", "title", "actual_order", F.col("start").cast("long").alias("start_s"), F.array_join(F.col("evidence").cast("array<string>"), ",").alias("evidence"))
+
+
+def q_one_line(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(X.one_line(F.col("text"))).alias("header"))
+
+
+def q_tel_link(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(X.tel_link(F.col("text"))).alias("tel"))
+
+
+def q_visitor_key(spark, d):
+    return table(spark, d, "events").select("event_id", X.visitor_key(F.col("user_id").cast("string")).alias("visitor"))
+
+
+def q_tag_balance(spark, d):
+    return table(spark, d, "pages").select("page_id", X.tag_balance(F.col("html")).alias("told"))
+
+
+def _form() -> dict:
+    text, conv, turn = F.col("text"), F.col("conv_id"), F.col("turn")
+    subject = F.element_at(F.array(*map(F.lit, forms.SUBJECTS), F.lit("?")), (turn % 7 + 1).cast("int"))
+    return {
+        "company": F.col("role"), "department": F.lit(""), "name": F.substring(text, 1, 70), "kana": F.when(conv % 3 == 0, "カナ ひらがな").when(conv % 3 == 1, F.substring(text, 1, 5)),
+        "email": F.concat(F.regexp_extract(text, "[A-Za-z]+", 0), F.when(turn % 2 == 0, "@").otherwise(""), F.lit("mail.example")), "tel": F.regexp_replace(F.concat(F.lit("052-"), conv.cast("string"), F.lit("-"), (turn * 1000).cast("string")), "9", "x"),
+        "zip": F.concat(F.lpad(conv.cast("string"), 3, "0"), F.when(turn % 2 == 0, "-").otherwise(""), F.lpad((turn * 111).cast("string"), 4, "0")), "prefecture": F.col("role"), "city": F.substring(text, 1, 110), "address": F.substring(text, 1, 140),
+        "subject": subject, "message": text, "privacy": F.when(turn % 5 != 0, "on"),
+    }
+
+
+def q_contact_errors(spark, d):
+    raw = _form()
+    found = forms.contact_errors(forms.collected(raw.__getitem__), F.when(F.col("conv_id") % 50 == 0, "x"), F.col("conv_id") % 40)
+    told = F.array_join(F.transform(F.array_sort(F.map_entries(found)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return table(spark, d, "conversations").select("conv_id", "turn", told.alias("errors"))
+
+
+def q_form_steps(spark, d):
+    i = F.col("event_id")
+    action = F.element_at(F.array(*map(F.lit, ("confirm", "send", "back", "other"))), (i % 4 + 1).cast("int"))
+    step = forms.next_step(i % 11 == 0, i % 7 != 0, i % 5 != 0, action, F.coalesce(F.col("value") > 60, F.lit(False)), i % 3 != 0, i % 13 != 0)
+    return table(spark, d, "events").select("event_id", step.alias("step"))
+
+
+def q_zip_lookup(spark, d):
+    code = lambda c: F.lpad(F.col(c).cast("string"), 7, "0")
+    own = table(spark, d, "supplier").select(code("s_suppkey").alias("zip"), F.when(F.col("s_suppkey") % 5 != 0, F.concat(F.lit("P"), F.col("s_nationkey").cast("string"))).otherwise("").alias("prefecture"), F.col("s_name").alias("city"), F.lit("").alias("town"))
+    remote = table(spark, d, "part").select(code("p_partkey").alias("zip"), F.col("p_brand").alias("prefecture"), F.col("p_type").alias("city"), F.col("p_name").alias("town"))
+    asked = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("〒"), F.when(F.col("c_custkey") % 9 == 0, "").otherwise(code("c_custkey"))).alias("asked"))
+    return forms.address_of(asked, "asked", own, remote).select("c_custkey", "zip", "found", F.col("address.full").alias("address"))
+
+
+def q_nav(spark, d):
+    """Pages that the menu shows, in its order."""
+    place = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_name"))
+    return table(spark, d, "nation").where("n_nationkey % 4 <> 0").select("n_regionkey", "n_name", place.alias("place"))
+
+
+def q_body_class(spark, d):
+    kind = F.element_at(F.array(*map(F.lit, ("front", "page", "news", "archive", "category", "other"))), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", F.coalesce(forms.body_class(kind, F.lower("o_orderpriority")), F.lit("")).alias("css"))
+
+
+def q_first_category(spark, d):
+    """Of a post's categories the first by name."""
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min(F.struct("l_returnflag", "l_partkey")).alias("m")).select("l_orderkey", F.col("m.l_partkey").alias("part"), F.col("m.l_returnflag").alias("category"))
+
+
 QUERIES = {name: f for name, f in globals().items() if name.startswith("q_")}
 ORACLE_SQL = {name: text for name, text in sql.ORACLES.items() if name in QUERIES}
 

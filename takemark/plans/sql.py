@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from takemark.functions.text import NUMBER, NUMBER_WORDS, STOPWORDS, SUFFIXES, TOKEN, WEAK
+from takemark.operators.forms import FASTEST, FIELDS, RULES, SUBJECTS
 from takemark.plans.inputs import BEATS, PIECE, TYPES
 
 
@@ -72,6 +73,32 @@ _GAP_SIMS = f"""{_TERMS}, {_GAPS}, gaps AS (
 _NEWS = "news AS (SELECT o_orderkey AS post_id, o_orderdate AS post_date, o_orderpriority AS category, o_orderstatus AS status, o_custkey FROM orders)"
 _CLEAN = "regexp_replace(html, '<[^>]*>', '', 'g')"
 
+
+
+def _contact_errors() -> str:
+    raw = {
+        "company": "role", "department": "''", "name": "substr(text, 1, 70)", "kana": "CASE conv_id % 3 WHEN 0 THEN 'カナ ひらがな' WHEN 1 THEN substr(text, 1, 5) END",
+        "email": "regexp_extract(text, '[A-Za-z]+') || CASE WHEN turn % 2 = 0 THEN '@' ELSE '' END || 'mail.example'", "tel": "replace('052-' || conv_id || '-' || turn * 1000, '9', 'x')",
+        "zip": "left(lpad(CAST(conv_id AS VARCHAR), 3, '0'), 3) || CASE WHEN turn % 2 = 0 THEN '-' ELSE '' END || left(lpad(CAST(turn * 111 AS VARCHAR), 4, '0'), 4)", "prefecture": "role", "city": "substr(text, 1, 110)", "address": "substr(text, 1, 140)",
+        "subject": f"[{_list(SUBJECTS)}, '?'][turn % 7 + 1]", "message": "text", "privacy": "CASE WHEN turn % 5 <> 0 THEN 'on' END",
+    }
+    values, told = [], []
+    for f in sorted(FIELDS, key=lambda f: f.key):
+        bare = f"regexp_replace(coalesce({raw[f.key]}, ''), '<[^>]*>', '', 'g')"
+        values.append(f"trim({bare}) AS {f.key}" if f.kind == "textarea" else f"trim(regexp_replace({bare}, '[\\r\\n\\t]+', ' ', 'g')) AS {f.key}")
+        cases = [f"WHEN {f.key} = '' THEN '{f.key}=required'"] if f.required else [f"WHEN {f.key} = '' THEN NULL"]
+        if f.most:
+            cases.append(f"WHEN length({f.key}) > {f.most} THEN '{f.key}=too long'")
+        if f.kind == "select":
+            cases.append(f"WHEN {f.key} NOT IN ({_list(SUBJECTS)}) THEN '{f.key}=not an option'")
+        if f.rule:
+            pattern = RULES[f.rule].replace("'", "''")
+            cases.append(f"WHEN NOT regexp_matches({f.key}, '{pattern}') THEN '{f.key}=not a {f.rule}'")
+        told.append(f"CASE {' '.join(cases)} END")
+    return f"""WITH v AS (SELECT conv_id, turn, {', '.join(values)} FROM conversations)
+SELECT conv_id, turn, CASE WHEN conv_id % 50 = 0 OR coalesce(conv_id % 40 < {FASTEST}, false) THEN 'form=rejected' ELSE concat_ws(';', {', '.join(told)}) END AS errors FROM v"""
+
+
 ORACLES = {
     "q_tokenize": f"WITH {_BASE} SELECT take_id, seg_idx, array_to_string({_tokens('text')}, ' ') AS tokens FROM segments",
     "q_numerals": f"""WITH n AS (SELECT doc_id, {_numerals('text')} AS n FROM documents WHERE text IS NOT NULL)
@@ -79,7 +106,9 @@ SELECT doc_id, array_to_string(list_sort(n), ',') AS numerals,
   array_to_string(list_sort(list_filter(n, lambda x: contains(x, '%') OR (regexp_full_match(x, '[0-9]+') AND length(regexp_replace(x, '^0+', '')) >= 2))), ',') AS claims FROM n""",
     "q_timecodes": """WITH e AS (SELECT event_id, CAST(CASE WHEN v - floor(v) = 0.5 THEN 2 * round(v / 2) ELSE round(v) END AS BIGINT) AS s, v FROM (SELECT event_id, value * 37 AS v FROM events))
 SELECT event_id, CASE WHEN v IS NULL THEN '--:--:--' ELSE printf('%02d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) END AS tc FROM e""",
-    "q_durations": "SELECT l_orderkey, l_linenumber, CAST(l_linenumber % 3 * 60 + l_partkey % 60 AS BIGINT) AS minutes_form, CAST(l_linenumber * 60 AS BIGINT) AS bare, CAST(l_linenumber % 3 * 60 + l_partkey % 60 AS BIGINT) AS clock FROM lineitem",
+    "q_durations": """WITH d AS (SELECT doc_id AS i FROM documents WHERE doc_id IS NOT NULL), m AS (
+  SELECT i, CASE i % 7 WHEN 0 THEN i % 100 * 60 + i % 60 WHEN 1 THEN i % 5 * 3600 + i % 60 * 60 + i % 59 WHEN 2 THEN i WHEN 5 THEN i % 7 * 60 + 30 END AS s FROM d)
+SELECT i AS doc_id, CAST(CASE WHEN i % 7 = 2 THEN s * 60 ELSE s END AS BIGINT) AS duration, CAST(s AS BIGINT) AS clock FROM m""",
     "q_segment_close": f"WITH {_BASE} SELECT take_id, seg_idx, CAST(4 * seg_idx AS BIGINT) AS start_s, CAST(coalesce(lead(4 * seg_idx) OVER (PARTITION BY take_id ORDER BY seg_idx), 4 * seg_idx + 8) AS BIGINT) AS end_s FROM segments",
     "q_beats": f"WITH {_BASE} SELECT lesson_id, beat_idx, beat_id, title, CAST(floor(est_seconds * 1e6 + 0.5) AS BIGINT) AS est_seconds FROM beats",
     "q_idf": f"WITH {_TERMS} SELECT take_id, term, CAST(df AS BIGINT) AS df, CAST(floor(idf * 1e6 + 0.5) AS BIGINT) AS idf FROM model",
@@ -129,5 +158,33 @@ SELECT event_id, zip, hit FROM w""",
     "q_request_dedupe": "SELECT event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b IS DISTINCT FROM event_type",
     "q_last_decision": "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
     "q_accuracy": "WITH e AS (SELECT l_returnflag, CAST(trunc(abs(l_extendedprice - l_quantity * 1000)) AS BIGINT) AS e FROM lineitem) SELECT l_returnflag, CAST(median(e) AS DOUBLE) AS median, max(e) AS most, count(*) FILTER (e <= 15000) AS near FROM e GROUP BY l_returnflag",
+    "q_runtimes": f"""WITH {_BASE} SELECT s.take_id, any_value(p.planned) AS planned, CAST(4 * max(seg_idx) + 8 AS BIGINT) AS actual FROM segments s
+LEFT JOIN (SELECT lesson_id, CAST(floor(sum(est_seconds) FILTER (est_seconds <> 0) * 1e6 + 0.5) AS BIGINT) AS planned FROM beats GROUP BY ALL) p ON p.lesson_id = s.lesson_id GROUP BY s.take_id""",
+    "q_planned_shares": f"""WITH {_BASE}, e AS (SELECT lesson_id, beat_id, CASE WHEN coalesce(est_seconds, 0) = 0 THEN 60 ELSE est_seconds END AS e FROM beats)
+SELECT lesson_id, beat_id, CAST(floor(e / sum(e) OVER (PARTITION BY lesson_id) * 1e6 + 0.5) AS BIGINT) AS share FROM e""",
+    "q_semantic_verdicts": f"""WITH {_BASE}, t AS (SELECT lesson_id, take_id, count(*) AS n FROM segments GROUP BY ALL
+), r AS (SELECT t.take_id, beat_idx, beat_id, (t.take_id + beat_idx) % 3 <> 0 AS given, t.take_id + beat_idx AS mark, 4 * ((t.take_id * 7 + beat_idx * 3) % n) AS b FROM t JOIN beats USING (lesson_id)
+), v AS (SELECT *, CASE WHEN given AND mark % 4 <> 1 THEN b END AS s, CASE WHEN given THEN b + 12 END AS e FROM r)
+SELECT take_id, beat_id, CASE WHEN given AND mark % 5 <> 2 THEN ['TAUGHT', 'MOVED', '', 'MODIFIED', 'MERGED'][mark % 5 + 1] ELSE 'SKIPPED' END AS status,
+  CASE WHEN s IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY take_id ORDER BY s NULLS LAST, beat_idx) - 1 AS INT) END AS actual_order, CAST(s AS BIGINT) AS start_s, CAST(e AS BIGINT) AS end_s,
+  CAST(CASE WHEN given THEN mark % 100 * 10000 ELSE 300000 END AS BIGINT) AS confidence, CASE WHEN given THEN 'seen' ELSE 'Model returned no verdict for this beat.' END AS summary, CASE WHEN given THEN 0 ELSE 1 END AS n_findings,
+  coalesce((SELECT string_agg(CAST(x.seg_idx AS VARCHAR), ',' ORDER BY x.seg_idx) FROM segments x WHERE x.take_id = v.take_id AND 4 * x.seg_idx BETWEEN s AND e), '') AS evidence FROM v""",
+    "q_semantic_added": f"""WITH {_BASE}, t AS (SELECT lesson_id, take_id, count(*) AS n FROM segments GROUP BY ALL
+), r AS (SELECT t.take_id, beat_idx, 4 * ((t.take_id * 7 + beat_idx * 3) % n) AS s FROM t JOIN beats USING (lesson_id) WHERE beat_idx < 2 AND (t.take_id + beat_idx) % 2 = 0)
+SELECT take_id, 'NEW-0' || (beat_idx + 1) AS id, 'Aside' AS title, CAST(beat_idx + 1 AS INT) AS actual_order, CAST(s AS BIGINT) AS start_s,
+  coalesce((SELECT string_agg(CAST(x.seg_idx AS VARCHAR), ',' ORDER BY x.seg_idx) FROM segments x WHERE x.take_id = r.take_id AND 4 * x.seg_idx BETWEEN s AND s + 8), '') AS evidence FROM r""",
+    "q_one_line": "SELECT doc_id, md5(replace(replace(text, chr(13), ''), chr(10), '')) AS header FROM documents",
+    "q_tel_link": "SELECT doc_id, md5(replace(text, '-', '')) AS tel FROM documents",
+    "q_visitor_key": "SELECT event_id, 'visitor_' || md5(CAST(user_id AS VARCHAR)) AS visitor FROM events",
+    "q_contact_errors": _contact_errors(),
+    "q_form_steps": """SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'complete' WHEN event_id % 7 = 0 OR event_id % 5 = 0 OR event_id % 4 = 2 THEN 'input'
+  WHEN coalesce(value > 60, false) THEN 'input' WHEN event_id % 4 = 0 THEN 'confirm' WHEN event_id % 4 <> 1 THEN 'input'
+  WHEN event_id % 3 = 0 THEN 'input' WHEN event_id % 13 <> 0 THEN 'redirect' ELSE 'confirm' END AS step FROM events""",
+    "q_zip_lookup": """WITH q AS (SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN '' ELSE lpad(CAST(c_custkey AS VARCHAR), 7, '0') END AS zip FROM customer
+), o AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 7, '0') AS zip, 'P' || s_nationkey || s_name AS a FROM supplier WHERE s_suppkey % 5 <> 0
+), r AS (SELECT lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS zip, p_brand || p_type || p_name AS a FROM part WHERE coalesce(p_brand, '') <> '')
+SELECT c_custkey, q.zip, coalesce(o.a, r.a) IS NOT NULL AS found, coalesce(o.a, r.a) AS address FROM q LEFT JOIN o ON o.zip = q.zip LEFT JOIN r ON r.zip = q.zip""",
+    "q_nav": "SELECT n_regionkey, n_name, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS INT) AS place FROM nation WHERE n_nationkey % 4 <> 0",
+    "q_body_class": "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'p-home' WHEN 1 THEN 'p-' || lower(o_orderpriority) WHEN 2 THEN 'p-news-detail' WHEN 5 THEN '' ELSE 'p-news' END AS css FROM orders",
+    "q_first_category": "SELECT l_orderkey, arg_min(l_partkey, (l_returnflag, l_partkey)) AS part, min(l_returnflag) AS category FROM lineitem GROUP BY l_orderkey",
 }
-
