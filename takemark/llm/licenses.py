@@ -1,6 +1,6 @@
 """Licence scans by canonical digests (operator 10).
 
-A unit of text is a whole document or one of its lines. A unit is normalised (case,
+A unit of text is a whole document, one of its paragraphs (runs of lines that aren't blank) or one of its lines. A unit is normalised (case,
 punctuation, copyright lines, equivalent spellings), hashed, and joined by equality
 to the digests of known licence texts. There is no partial or fuzzy matching: a
 unit matches when all of it is a known text.
@@ -43,6 +43,89 @@ NOTICES = (
     ),
 )
 
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_ISC_DISCLAIMER = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_BSD_TERMS = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_NAMES = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+_BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+#: Complete licence texts, and the header blocks that longer licences ask for.
+TEXTS = (
+    ("MIT", _MIT),
+    ("MIT", "MIT License\n\n" + _MIT),
+    ("MIT", "The MIT License (MIT)\n\n" + _MIT),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\n" + _ISC_DISCLAIMER),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\n" + _ISC_DISCLAIMER),
+    ("BSD-2-Clause", _BSD_TERMS + "\n\n" + _BSD_DISCLAIMER),
+    ("BSD-2-Clause", "BSD 2-Clause License\n\n" + _BSD_TERMS + "\n\n" + _BSD_DISCLAIMER),
+    ("BSD-3-Clause", _BSD_TERMS + "\n\n" + _BSD_NAMES + "\n\n" + _BSD_DISCLAIMER),
+    ("BSD-3-Clause", "BSD 3-Clause License\n\n" + _BSD_TERMS + "\n\n" + _BSD_NAMES + "\n\n" + _BSD_DISCLAIMER),
+    (
+        "Zlib",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution.""",
+    ),
+    (
+        "Unlicense",
+        """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>""",
+    ),
+    (
+        "Apache-2.0",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    ),
+    (
+        "GPL-3.0-or-later",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    ),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ),
+)
+#: A paragraph of a complete text is known by itself from so many characters on, if no other licence has it too.
+_PARAGRAPH = 200
+
+
+def known_texts(notices=NOTICES, texts=TEXTS) -> list[tuple[str, str]]:
+    """(license, text): notices, complete texts, and the longer paragraphs of these that one licence alone has."""
+    parts = {(name, x) for name, text in texts for x in text.split("\n\n") if len(x) >= _PARAGRAPH and x != text}
+    owners: dict[str, set[str]] = {}
+    for name, x in parts:
+        owners.setdefault(x, set()).add(name)
+    return [*notices, *texts, *sorted(p for p in parts if len(owners[p[1]]) == 1)]
+
+
 #: Spellings that count as equal, as (pattern over normalised text, canonical form).
 SPELLINGS = (
     ("\\blicence", "license"),
@@ -64,8 +147,8 @@ _COPYRIGHT_LINE = "(?im)^[^a-z0-9\\n]*(copyright|\\(c\\)|©|all rights reserved)
 #: Every text that some spelling rule changes contains one of these.
 _ANY_SPELLING = "licenc|version|\\bv ?[0-9]|\\bunder\\b|non commercial|copyright holder|sub license|favour"
 
-#: No spelling rule shortens its match by this factor or more.
-_SHRINK = 4
+#: No spelling rule shortens its match by more than this factor: "version" becomes "v".
+_SHRINK = 7
 
 
 def _plain_lines(text: Column) -> Column:
@@ -87,25 +170,30 @@ def canonical(text: Column) -> Column:
     return _unified(F.array_join(F.array_remove(_plain_lines(text), ""), " "))
 
 
-def known_digests(spark, notices=NOTICES) -> DataFrame:
-    """(digest, license): one row per known text; the list is in this file, so its size is fixed."""
-    rows = spark.createDataFrame(list(notices), "license string, notice string")
+def known_digests(spark, known: list[tuple[str, str]]) -> DataFrame:
+    """(digest, license): one row per known text; the list is a parameter of the driver, so its size is bounded."""
+    rows = spark.createDataFrame(known, "license string, notice string")
     return rows.select(F.sha2(canonical(F.col("notice")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 
-def scan(docs: DataFrame, notices=NOTICES, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, notices=NOTICES, texts=TEXTS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (id, license, scope, n_units, first_unit): licences that whole units of a document state.
 
-    scope is "document" (first_unit 0) or "line" (first_unit counts lines from 0). A
+    scope is "document" (first_unit 0), "paragraph" or "line" (first_unit counts them from 0). A
     unit so long that no spelling rule could bring it down to the longest known text
     can't match; it is dropped after the plain normalisation, before the spellings.
     """
-    known = known_digests(docs.sparkSession, notices)
-    longest = _SHRINK * max([0, *(len(x) for _, x in notices)])
-    lines = F.transform(F.col("lines"), lambda x, i: F.struct(F.lit("line").alias("scope"), i.alias("unit"), x.alias("plain")))
-    whole = F.array(F.struct(F.lit("document").alias("scope"), F.lit(0).alias("unit"), F.array_join(F.array_remove("lines", ""), " ").alias("plain")))
+    listed = known_texts(notices, texts)
+    known = known_digests(docs.sparkSession, listed)
+    longest = _SHRINK * max([0, *(len(x) for _, x in listed)])
+    unit = lambda scope, i, x: F.struct(F.lit(scope).alias("scope"), i.alias("unit"), x.alias("plain"))
+    lines = F.transform(F.col("lines"), lambda x, i: unit("line", i, x))
+    paragraphs = F.transform(F.split(F.array_join("lines", "\n"), "\n{2,}", -1), lambda x, i: unit("paragraph", i, F.trim(F.translate(x, "\n", " "))))
+    # A unit of one line is a line, and a document of one paragraph is a document.
+    paragraphs = F.filter(paragraphs, lambda u: ~F.array_contains(F.col("lines"), u["plain"]))
+    whole = F.array(unit("document", F.lit(0), F.array_join(F.array_remove("lines", ""), " ")))
     # explode_outer: from explode() Spark infers a filter that would normalise every text again.
-    fits = F.filter(F.concat(whole, lines), lambda u: F.length(u["plain"]).between(1, longest))
+    fits = F.filter(F.concat(whole, F.filter(paragraphs, lambda u: u["plain"] != whole[0]["plain"]), lines), lambda u: F.length(u["plain"]).between(1, longest))
     parts = docs.where(F.col(text).isNotNull()).select(F.col(id_col), _plain_lines(F.col(text)).alias("lines"))
     units = parts.select(id_col, F.explode_outer(fits).alias("u")).select(id_col, "u.scope", "u.unit", F.sha2(_unified(F.col("u.plain")), 256).alias("digest"))
     return (
@@ -115,9 +203,10 @@ def scan(docs: DataFrame, notices=NOTICES, id_col: str = "doc_id", text: str = "
     )
 
 
-def oracle_sql(notices=NOTICES) -> str:
+def oracle_sql(notices=NOTICES, texts=TEXTS) -> str:
     """DuckDB SQL for scan over documents."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    listed = known_texts(notices, texts)
 
     def unified(x: str) -> str:
         out = x
@@ -127,15 +216,18 @@ def oracle_sql(notices=NOTICES) -> str:
 
     plain = "trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
     copyright_line = "'(?i)^[^a-z0-9]*(copyright|\\(c\\)|©|all rights reserved)'"
-    known = " UNION ALL ".join(f"SELECT {quoted(name)} AS license, {plain.format(x=quoted(notice))} AS p" for name, notice in notices)
+    known = " UNION ALL ".join(f"SELECT {quoted(name)} AS license, {plain.format(x=quoted(notice))} AS p" for name, notice in listed)
     return f"""WITH known AS (SELECT min(license) AS license, c FROM (SELECT license, {unified('p')} AS c FROM ({known})) GROUP BY c
 ), parts AS (
   SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: CASE WHEN regexp_matches(x, {copyright_line}) THEN '' ELSE {plain.format(x='x')} END) AS lines
   FROM documents WHERE text IS NOT NULL
+), whole AS (
+  SELECT doc_id, lines, array_to_string(list_filter(lines, lambda x: x <> ''), ' ') AS d, string_split_regex(array_to_string(lines, chr(10)), '\\n{{2,}}') AS paragraphs FROM parts
 ), units AS (
-  SELECT doc_id, 'line' AS scope, unnest(lines) AS p, unnest(range(len(lines))) AS unit FROM parts
-  UNION ALL SELECT doc_id, 'document', array_to_string(list_filter(lines, lambda x: x <> ''), ' '), 0 FROM parts
+  SELECT doc_id, 'line' AS scope, unnest(lines) AS p, unnest(range(len(lines))) AS unit FROM whole
+  UNION ALL SELECT doc_id, 'document', d, 0 FROM whole
+  UNION ALL SELECT doc_id, 'paragraph', p, unit FROM (SELECT doc_id, lines, d, trim(replace(unnest(paragraphs), chr(10), ' ')) AS p, unnest(range(len(paragraphs))) AS unit FROM whole) WHERE p <> d AND NOT list_contains(lines, p)
 )
 SELECT doc_id, license, scope, count(*) AS n_units, min(unit) AS first_unit
-FROM (SELECT doc_id, scope, unit, {unified('p')} AS c FROM units WHERE length(p) BETWEEN 1 AND {_SHRINK * max(len(x) for _, x in notices)}) u JOIN known USING (c)
+FROM (SELECT doc_id, scope, unit, {unified('p')} AS c FROM units WHERE length(p) BETWEEN 1 AND {_SHRINK * max(len(x) for _, x in listed)}) u JOIN known USING (c)
 GROUP BY ALL"""

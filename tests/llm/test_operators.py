@@ -83,6 +83,17 @@ def test_licenses(spark, nothing):
     assert licenses.scan(nothing).count() == 0
 
 
+def test_licenses_complete_texts(spark):
+    import textwrap
+
+    mit = dict(licenses.TEXTS)["MIT"].removeprefix("The MIT License (MIT)\n\n")
+    apache = dict(licenses.TEXTS)["Apache-2.0"]
+    block = lambda mark, text: "\n".join(f"{mark} {x}".rstrip() for part in text.split("\n\n") for x in [*textwrap.wrap(part, 70), ""])
+    rows = [(1, "The MIT License (MIT)\n\nCopyright (c) 2020 A\n\n" + mit), (2, "\n\n".join(textwrap.fill(x, 60) for x in mit.split("\n\n"))), (3, "code()\n\n" + block("#", apache) + "\ncode()"), (3, "x"), (None, mit)]
+    got = {(r.doc_id, r.license, r.scope) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").withColumn("license", F.lit("clash"))).collect()}
+    assert {(1, "MIT", "document"), (2, "MIT", "document"), (2, "MIT", "paragraph"), (3, "Apache-2.0", "paragraph"), (None, "MIT", "document")} <= got and not {x for x in got if x[0] == 3 and x[1] != "Apache-2.0"}
+
+
 def test_pii_base(spark):
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
