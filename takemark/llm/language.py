@@ -9,7 +9,7 @@ of the text's length. The prediction is the language with the largest share.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; so is every text
 if no language was learned; rows with null lang teach nothing; an empty table gives no
-rows; repeated documents give repeated rows; extra columns are ignored.
+rows; repeated documents give repeated rows; extra columns are kept, but for those with names of the result.
 """
 
 from __future__ import annotations
@@ -108,7 +108,7 @@ def predict(text: str | None, langs: list[str], logp: np.ndarray, penalty: float
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
-    """docs with lang_pred, score (0 to 1) and lang_set."""
+    """docs with lang_pred, score (0 to 1) and lang_set; columns of docs with these names give way."""
     langs, logp = model
     shared = docs.sparkSession.sparkContext.broadcast(logp)
 
@@ -116,8 +116,10 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
     def predicted(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([predict(t, langs, shared.value) for t in texts], columns=["lang_pred", "score", "lang_set"])
 
-    found = docs.withColumn("_found", predicted(F.col(text)))
-    return found.select("*", "_found.lang_pred", "_found.score", "_found.lang_set").drop("_found")
+    named = ("lang_pred", "score", "lang_set")
+    kept = [c for c in docs.columns if c not in named]
+    found = docs.select(*kept, predicted(F.col(text)).alias("_lang_found"))
+    return found.select(*kept, *(F.col(f"_lang_found.{c}") for c in named))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -211,7 +211,7 @@ def score_column(model: Gam, text: Column) -> Column:
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_rows: int = 20_000) -> DataFrame:
-    """docs with held_out, score and predicted."""
+    """docs with held_out, score and predicted; columns of docs with these names give way."""
     model = fit_on_labels(docs, labels, max_rows)
     out = docs.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("score", score_column(model, F.col("text")))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
