@@ -46,7 +46,7 @@ def _splits_words(tokenizer) -> bool:
     return bool(apart) and any(x and x["type"] == "Lowercase" for x in steps) and s["post_processor"] is None
 
 
-def text_encoder(path: str, cache_words: int = 250_000):
+def text_encoder(path: str, cache_words: int = 120_000):
     """list of UTF-8 texts -> list of packed little-endian uint32 ids, equal to the tokenizer's on the whole texts.
 
     Where the tokenizer's own settings say that it lower-cases and never joins across a blank nor a
@@ -98,7 +98,7 @@ def text_encoder(path: str, cache_words: int = 250_000):
     return encode
 
 
-def _shares(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _shares(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most`` bytes of text."""
     sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0), np.int64))
     cuts = np.flatnonzero(np.diff(sizes // most, prepend=-1))
