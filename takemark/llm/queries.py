@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from takemark.llm import ann, chat, jaccard_join, language, licenses, mixing, packing, pii, quality_gam, quality_rules
+from takemark.llm import ann, chat, jaccard_join, language, licenses, mixing, packing, pii, quality_gam, quality_rules, whitening
 from takemark.llm.common import table
 
 #: The tokenizer of the packing query.
@@ -61,6 +61,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_charpoly_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), k=8).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 QUERIES = {
     "op1_quality_gam": op1_quality_gam,
     "op2_hnsw_search": op2_hnsw_search,
@@ -72,6 +76,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_license_scan": op10_license_scan,
+    "op11_charpoly_whitening": op11_charpoly_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
