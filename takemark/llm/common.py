@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from takemark.storage import saved, shared_dir
 
-__all__ = ["SPACE_CLASS", "Scratch", "let", "member_test", "saved", "small_batches", "table", "words_of"]
+__all__ = ["SPACE_CLASS", "Scratch", "changes", "in_groups", "let", "member_test", "saved", "slices", "small_batches", "table", "words_of"]
 
 #: The white space of every word definition here: space and the five control characters from tab to carriage return.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]+"
@@ -94,3 +96,38 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def words_of(text: Column) -> Column:
     """The words of a text, in order: its maximal runs outside SPACE_CLASS. A null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS, -1), "")
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that little of a batch stands as Python objects at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def in_groups(names: tuple[str, ...], work):
+    """A mapInArrow function: work(table) on parts of bounded size of rows sorted by names, none of which is cut inside a group."""
+
+    def worked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []
+        for batch in batches:
+            parts.append(batch)
+            if sum(b.num_rows for b in parts) < 20_000 and sum(b.nbytes for b in parts) < 8 << 20:
+                continue
+            held = pa.Table.from_batches(parts)
+            starts = np.flatnonzero(changes(*(np.asarray(held[c].combine_chunks()) for c in names)))
+            if len(starts) > 1:
+                yield work(held.slice(0, int(starts[-1])).combine_chunks())
+                parts = held.slice(int(starts[-1])).to_batches()
+        if sum(b.num_rows for b in parts):
+            yield work(pa.Table.from_batches(parts).combine_chunks())
+
+    return worked

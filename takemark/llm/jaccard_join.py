@@ -41,7 +41,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from takemark.llm.common import Scratch, small_batches
+from takemark.llm.common import Scratch, changes, in_groups, member_test, slices, small_batches
 from takemark.llm.components import connected_components
 
 _SPACE = np.zeros(256, bool)
@@ -91,19 +91,14 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(_mixed(total + np.uint64(width)))
 
 
-def _bitmap(hashes: np.ndarray, k: int) -> bytes:
+def bitmap(hashes: np.ndarray) -> bytes:
+    """Bits that the hashes mark, of which there are 4 to 8 a hash and a power of two."""
+    k = max(_LEAST_CLASS, len(hashes).bit_length() - 1)
     bits = np.zeros(8 << k, np.uint8)
     bits[(hashes >> np.uint64(7)) & np.uint64((8 << k) - 1)] = 1
     return np.packbits(bits).tobytes()
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of few rows, so that little of a batch stands as Python objects at a time."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, rows):
-            yield batch.slice(k, rows)
-
-
 _SETS = "doc_id long, n long, digest binary, counts binary"
 
 
@@ -116,7 +111,7 @@ def _surveyed(docs: DataFrame, width: int) -> DataFrame:
         def rows(ids: list, sizes: list, digests: list, counts: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "n", "digest", "counts"])
 
-        for batch in _slices(batches):
+        for batch in slices(batches):
             sizes, digests = [], []
             for text in batch.column(1).to_pylist():
                 hashes = shingles(text, width)
@@ -155,7 +150,7 @@ def _signed(docs: DataFrame, order: Broadcast, width: int, num: int, den: int) -
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = order.value
-        for batch in _slices(batches):
+        for batch in slices(batches):
             columns: list[list] = [[] for _ in range(5)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 hashes = shingles(text, width)
@@ -163,7 +158,7 @@ def _signed(docs: DataFrame, order: Broadcast, width: int, num: int, den: int) -
                 if not n:
                     continue
                 keys = hashes[np.argsort(rare[hashes >> np.uint64(48)], kind="stable")[: n - -(-num * n // den) + 1]]
-                row = (doc, n, hashlib.blake2b(hashes.tobytes(), digest_size=16).digest(), keys.view(np.int64), _bitmap(hashes, max(_LEAST_CLASS, n.bit_length() - 1)))
+                row = (doc, n, hashlib.blake2b(hashes.tobytes(), digest_size=16).digest(), keys.view(np.int64), bitmap(hashes))
                 for column, x in zip(columns, row, strict=True):
                     column.append(x)
             kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
@@ -172,32 +167,6 @@ def _signed(docs: DataFrame, order: Broadcast, width: int, num: int, den: int) -
     return docs.select("doc_id", "text").mapInArrow(signed, "doc_id long, n long, digest binary, keys array<long>, bits binary")
 
 
-class _Members:
-    """A bitmap that every task reads: may a number be among those of a table? Its size is bounded; with more numbers it lets more others through."""
-
-    def __init__(self, values: DataFrame, s: Scratch):
-        """values has one column ``v``, spread over all longs."""
-        self.size = 1 << max(16, min(28, (16 * values.count()).bit_length()))  # at most 32 MB
-        at = values.select(F.pmod("v", F.lit(self.size)).alias("v"))
-        chunks = at.groupBy(F.expr("bitmap_bucket_number(v)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(v))").alias("bits")).collect()
-        table = np.zeros((self.size // 32768 + 2, 4096), np.uint8)
-        for r in chunks:
-            table[r["k"]] = np.frombuffer(r["bits"], np.uint8)
-        self.table = s.spark.sparkContext.broadcast(table)
-
-    def tested(self):
-        """A function on the tasks: int64 values -> booleans."""
-        table, size = self.table, self.size
-
-        def test(values: np.ndarray) -> np.ndarray:
-            v = values & (size - 1)
-            # Bucket 1 of bitmap_bucket_number holds values from 1 to 32768, and bit 0 is value 1.
-            number, bit = np.where(v > 0, (v - 1) // 32768 + 1, 0), np.where(v > 0, (v - 1) % 32768, 0)
-            return ((table.value[number, bit >> 3] >> (bit & 7)) & 1).astype(bool)
-
-        return test
-
-
 def _buckets(nodes: DataFrame, s: Scratch) -> DataFrame:
     """(key, id, n, rest): the members of all buckets of two or more; those with the same members are one, under their smallest key."""
     keyed = nodes.select("id", F.explode("keys").alias("key"))
@@ -206,19 +175,8 @@ def _buckets(nodes: DataFrame, s: Scratch) -> DataFrame:
     # Should two sets of members agree in count and sums, their bucket is their union, so no pair is lost.
     kept = same.groupBy("c", "members", "again").agg(F.min("key").alias("one"))
     mapped = s.saved(same.join(kept, ["c", "members", "again"]).select("key", "one"), "mapped")
-    test = _Members(mapped.select(F.col("key").alias("v")), s).tested()
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(2)
-            flat, sizes = np.asarray(keys.flatten()), np.asarray(keys.value_lengths())
-            owner = np.repeat(np.arange(batch.num_rows), sizes)
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            hit = np.flatnonzero(test(flat))
-            ids, n = np.asarray(batch.column(0))[owner[hit]], np.asarray(batch.column(1))[owner[hit]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (flat[hit], ids, n, n - place[hit])], ["key", "id", "n", "rest"])
-
-    near = nodes.select("id", "n", "keys").mapInArrow(rows, "key long, id long, n long, rest long")
+    test = member_test(mapped.select(F.col("key").alias("v")), s, bits=26)
+    near = nodes.select("id", "n", F.posexplode("keys").alias("place", "key")).where(test(F.col("key"))).select("key", "id", "n", (F.col("n") - F.col("place")).alias("rest"))
     return s.saved(near.join(mapped, "key").groupBy(F.col("one").alias("key"), "id").agg(F.first("n").alias("n"), F.max("rest").alias("rest")), "buckets")
 
 
@@ -229,7 +187,7 @@ def _cells(rows: DataFrame, block: int) -> DataFrame:
     return rows.join(sizes, "key").select("key", "id", "n", "rest", "component", cell.alias("p"), cell.alias("q"), F.lit(0).cast("long").alias("side"))
 
 
-def _blocked(rows: DataFrame, num: int, den: int, block: int) -> DataFrame:
+def blocked(rows: DataFrame, num: int, den: int, block: int) -> DataFrame:
     """rows (key, id, n, rest, component, c) with p, q and side: the pair of blocks of its bucket that a row is in.
 
     Buckets of up to ``block`` members are one block. Larger ones are cut by size, so that only blocks of
@@ -333,7 +291,7 @@ class _Forest:
 def _grown(col: dict, lo: int, hi: int, bits: np.ndarray) -> tuple[_Forest, list]:
     """The forest of rows lo to hi, and the pairs of roots to start from: a block with itself, or the two blocks of a pair."""
     p, q = col["p"][lo:hi], col["q"][lo:hi]
-    group = np.cumsum(_changes(col["key"][lo:hi], p, q)) - 1
+    group = np.cumsum(changes(col["key"][lo:hi], p, q)) - 1
     sub = 2 * group + col["side"][lo:hi]
     forest = _Forest(sub, col["n"][lo:hi], col["rest"][lo:hi], col["component"][lo:hi], bits)
     top = forest.levels[-1]["sub"]
@@ -351,26 +309,6 @@ def _columns(rows: pa.Table) -> dict:
     return {c: np.asarray(rows[c].combine_chunks()) for c in rows.column_names if c != "bits"}
 
 
-def _in_groups(names: tuple[str, ...], work):
-    """A mapInArrow function: work(table) on parts of bounded size of rows sorted by names, none of which is cut inside a group."""
-
-    def worked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[pa.RecordBatch] = []
-        for batch in batches:
-            parts.append(batch)
-            if sum(b.num_rows for b in parts) < 20_000 and sum(b.nbytes for b in parts) < 8 << 20:
-                continue
-            held = pa.Table.from_batches(parts)
-            starts = np.flatnonzero(_changes(*(np.asarray(held[c].combine_chunks()) for c in names)))
-            if len(starts) > 1:
-                yield work(held.slice(0, int(starts[-1])).combine_chunks())
-                parts = held.slice(int(starts[-1])).to_batches()
-        if sum(b.num_rows for b in parts):
-            yield work(pa.Table.from_batches(parts).combine_chunks())
-
-    return worked
-
-
 def _possible(num: int, den: int):
     """A mapInArrow function over rows sorted by (key, p, q, side, n, id): those that sizes, rests and components leave a partner."""
 
@@ -383,7 +321,7 @@ def _possible(num: int, den: int):
         mask = pa.array(hit)
         return pa.RecordBatch.from_arrays([rows[c].combine_chunks().filter(mask) for c in rows.column_names], rows.column_names)
 
-    return _in_groups(("key", "p", "q"), block)
+    return in_groups(("key", "p", "q"), block)
 
 
 def _traversal(num: int, den: int, forest_only: bool):
@@ -430,18 +368,10 @@ def _traversal(num: int, den: int, forest_only: bool):
         pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return _in_groups(("class", "key", "p", "q"), block)
-
-
-def _changes(*columns: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(columns[0]), bool)
-    out[:1] = True
-    for c in columns:
-        out[1:] |= c[1:] != c[:-1]
-    return out
+    return in_groups(("class", "key", "p", "q"), block)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, s: Scratch, width: int, num: int, den: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, s: Scratch, width: int, num: int, den: int) -> DataFrame:
     """(node, low): the pairs (a, b) of nodes whose exact similarity reaches the threshold.
 
     The documents in question, which a filter of bounded size picks from the table in a scan,
@@ -449,19 +379,18 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, s: Scratch, wi
     """
     with Scratch(s.spark) as own:
         ids = own.saved(reps.join(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id", "left_semi").select("id", "doc_id", "digest"), "ids")
-        wanted = _Members(ids.select(F.xxhash64("doc_id").alias("v")), own).tested()
+        wanted = member_test(ids.select(F.xxhash64("doc_id").alias("v")), own)
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in _slices(batches):
-                some = batch.take(pa.array(np.flatnonzero(wanted(np.asarray(batch.column(2))))))
+            for some in slices(batches):
                 found = [shingles(t, width).tobytes() for t in some.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in found], pa.binary()), pa.array(found, pa.binary())], ["doc_id", "digest", "hashes"])
 
-        known = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("v")).mapInArrow(sets, "doc_id long, digest binary, hashes binary")
+        known = docs.where(F.col("doc_id").isNotNull() & wanted(F.xxhash64("doc_id"))).select("doc_id", "text").mapInArrow(sets, "doc_id long, digest binary, hashes binary")
         known = own.saved(known.join(ids, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select("id", "hashes"), "sets")
 
         def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in _slices(batches):
+            for batch in slices(batches):
                 a, b, ha, hb = (batch.column(k).to_pylist() for k in range(4))
                 keep = []
                 for i in range(len(a)):
@@ -509,15 +438,15 @@ def near_duplicates(docs: DataFrame, width: int = 4, num: int = 85, den: int = 1
         ranked = buckets.join(crowds, "key").withColumn("rarest", F.row_number().over(by_node.orderBy(F.desc("rest"), "key"))).withColumn("largest", F.row_number().over(by_node.orderBy(F.desc("c"), "key")))
         early = ranked.where((F.col("rarest") <= first_keys) | (F.col("largest") <= first_keys))
         tried = candidates(_cells(early.select("key", "id", "n", F.col("n").alias("rest"), F.col("id").alias("component")), block), False)
-        links = _verified(tried, docs, reps, s, width, num, den)
+        links = verified(tried, docs, reps, s, width, num, den)
 
         more = candidates(_cells(labelled(links).drop("c"), block), False)
         more = s.saved(more.join(tried, ["a", "b"], "left_anti"), "untried")
-        tried, links = tried.unionByName(more), links.unionByName(_verified(more, docs, reps, s, width, num, den))
+        tried, links = tried.unionByName(more), links.unionByName(verified(more, docs, reps, s, width, num, den))
 
-        more = candidates(_blocked(labelled(links), num, den, block), True)
+        more = candidates(blocked(labelled(links), num, den, block), True)
         more = s.saved(more.join(tried, ["a", "b"], "left_anti"), "untried")
-        links = links.unionByName(_verified(more, docs, reps, s, width, num, den))
+        links = links.unionByName(verified(more, docs, reps, s, width, num, den))
 
         # A doc_id with several texts is one document: it ties the classes of all of them.
         whole = sets.join(reps.select("digest", F.col("doc_id").alias("rep"), "id"), "digest", "left")

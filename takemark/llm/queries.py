@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from takemark.llm import ann, chat, jaccard_join, language, licenses, mixing, packing, pii, quality_gam, quality_rules, whitening
+from takemark.llm import ann, chat, jaccard_join, language, licenses, lsh_forest, mixing, packing, pii, quality_gam, quality_rules, whitening
 from takemark.llm.common import table
 
 #: The tokenizer of the packing query.
@@ -65,6 +65,10 @@ def op11_charpoly_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), k=8).withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
+def op13_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"), width=5, num=85, den=100)
+
+
 QUERIES = {
     "op1_quality_gam": op1_quality_gam,
     "op2_hnsw_search": op2_hnsw_search,
@@ -77,14 +81,15 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_license_scan": op10_license_scan,
     "op11_charpoly_whitening": op11_charpoly_whitening,
+    "op13_lsh_forest": op13_lsh_forest,
 }
 
-ORACLE_SQL: dict[str, str] = {
-    "op9_jaccard_join": r"""
+def _near_sql(width: int) -> str:
+    return rf"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
 ), sets AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM words
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {width} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {width - 2}), lambda i: array_to_string(w[i:i + {width - 1}], ' ')) END) AS s FROM words
 ), sizes AS (
   SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
 ), links AS (
@@ -93,7 +98,12 @@ WITH RECURSIVE words AS (
 ), reach(a, b) AS (
   SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
 )
-SELECT d.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(b) FROM reach r WHERE r.a = d.doc_id) AS component_id FROM documents d LEFT JOIN sizes z ON z.doc_id = d.doc_id""",
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(b) FROM reach r WHERE r.a = d.doc_id) AS component_id FROM documents d LEFT JOIN sizes z ON z.doc_id = d.doc_id"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op9_jaccard_join": _near_sql(4),
+    "op13_lsh_forest": f"SELECT *, doc_id = component_id AS kept FROM ({_near_sql(5)}) near",
     "op10_license_scan": licenses.oracle_sql(),
     "op4_chat_format": r"""
 WITH turns AS (
