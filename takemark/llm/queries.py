@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from takemark.llm import ann, chat, jaccard_join, language, licenses, lsh_forest, mixing, packing, pii, quality_gam, quality_rules, whitening
+from takemark.llm import ann, chat, jaccard_join, language, licenses, lsh_forest, mixing, packing, pii, quality_gam, quality_rules, repair, whitening
 from takemark.llm.common import table
 
 #: The tokenizer of the packing query.
@@ -65,6 +65,10 @@ def op11_charpoly_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), k=8).withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
+def op12_path_ranking_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
 def op13_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"), width=5, num=85, den=100)
 
@@ -81,9 +85,11 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_license_scan": op10_license_scan,
     "op11_charpoly_whitening": op11_charpoly_whitening,
+    "op12_path_ranking_repair": op12_path_ranking_repair,
     "op13_lsh_forest": op13_lsh_forest,
 }
 
+
 def _near_sql(width: int) -> str:
     return rf"""
 WITH RECURSIVE words AS (

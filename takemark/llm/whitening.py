@@ -302,7 +302,7 @@ def usable(vector: Column) -> Column:
 
 
 def _integers(column: pa.ListArray, d: int) -> np.ndarray:
-    return np.floor(np.asarray(column.flatten()).reshape(-1, d) * UNITS).astype(np.int64)
+    return np.floor(np.asarray(column.flatten()).reshape(len(column), d) * UNITS).astype(np.int64)
 
 
 def _scatter(vectors: DataFrame, d: int) -> list[list[int]]:
