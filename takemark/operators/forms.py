@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from takemark.functions.text import sanitize, zip_digits
-from takemark.operators.site import first_errors
+from takemark.operators.site import first_errors, limit_decision, walked
 
 
 @dataclass(frozen=True)
@@ -86,6 +86,43 @@ def next_step(sent: Column, posted: Column, token: Column, action: Column, faile
     return F.when(sent, "complete").when(~posted | ~token | (action == "back"), "input").otherwise(checked)
 
 
+def form_decision(most: int, seconds: float, age: float, fastest: float = FASTEST):
+    """The step that each request of a visitor shows, along the visitor's requests.
+
+    Showing the form issues a token that holds for ``age`` seconds; a request that posts needs a token that holds, or else
+    gets the form anew. A send needs the confirmation before it, counts against the visitor's limit, and is known as sent afterwards:
+    only then the landing shows completion. All is forgotten when both the token and the limit are over. State: (shown at, confirmed, sent, sends, sends until, ends).
+    """
+    within = limit_decision(most, seconds)
+
+    def decide(state: tuple, t: float, action: str | None, failed: bool | None, mailed: bool | None) -> tuple[str, tuple]:
+        over = not state or t >= state[-1]
+        shown, confirmed, sent, n, until, _ = (None, False, False, 0, t, t) if over else state
+        step = "input"
+        if action == "landing":
+            step = "complete" if sent else "input"
+            sent = False
+        elif action in ("confirm", "send") and shown is not None and fastest <= t - shown < age and not failed:
+            if action == "confirm":
+                step, confirmed = "confirm", True
+            elif confirmed:
+                allowed, (n, until) = within((n, until), t)
+                step = ("redirect" if mailed else "confirm") if allowed else "input"
+                sent = sent or step == "redirect"
+        if step == "input":
+            shown, confirmed = t, False
+        elif step == "redirect":
+            shown, confirmed = None, False
+        return step, (shown, confirmed, sent, n, until, max(until, t + age))
+
+    return decide
+
+
+def form_steps(requests: DataFrame, visitor: str, at: str, order: str, action: Column, failed: Column, mailed: Column, most: int = 5, seconds: int = 3600, age: int = 43200) -> DataFrame:
+    """requests with step, the one that each shows (see form_decision). Requests without a visitor keep nothing and show the form."""
+    return walked(requests, visitor, at, order, "step", "string", form_decision(most, seconds, age), {"action": action, "failed": failed, "mailed": mailed}, F.lit("input"))
+
+
 def address_of(requests: DataFrame, zip_col: str, own: DataFrame, remote: DataFrame) -> DataFrame:
     """requests with zip, found and address: from own (zip, prefecture, city, town), or else from remote; blank prefectures don't count."""
     asked = requests.withColumn("zip", zip_digits(F.col(zip_col)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from takemark.functions.text import WEAK, claims, numerals, timecode, tokenize
+from takemark.operators.intervals import ranked
 from takemark.operators.vectors import TAKE
 from takemark.operators.verdicts import FINDINGS, finding
 
@@ -83,3 +84,8 @@ def change_orders(assets: DataFrame, verdicts: DataFrame, added: DataFrame, segm
     )
     severity = F.element_at(F.create_map(*(F.lit(x) for kv in SEVERITY.items() for x in kv)), F.col("action"))
     return orders.unionByName(new).withColumn("severity", severity)
+
+
+def final_order(orders: DataFrame) -> DataFrame:
+    """Change orders with pos, their place over all takes: by take, then the most severe first, then by asset; and rank, equal for equal places."""
+    return ranked(orders, [F.col(c) for c in TAKE] + [F.col("severity").desc(), F.col("asset_id")])

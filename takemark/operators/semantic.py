@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from takemark.functions.text import clock, half_even
+from takemark.operators.intervals import points_within
 from takemark.operators.vectors import TAKE
 
 _FINDING = "array<struct<kind:string,detail:string,evidence:string>>"
 #: The payload's shape, and the verdicts that a planned beat can have.
 PAYLOAD = f"beats array<struct<beat_id:string,status:string,start:string,end:string,confidence:double,summary:string,findings:{_FINDING}>>, added array<struct<title:string,start:string,end:string,summary:string,confidence:double>>"
+#: Seconds of the buckets in which segments and stretches meet.
+BUCKET = 64.0
 PLANNED = ("TAUGHT", "MOVED", "MODIFIED", "SKIPPED", "MERGED")
 
 
@@ -21,7 +24,7 @@ def _read(payloads: DataFrame) -> DataFrame:
 def _evidence(rows: DataFrame, key: str, segments: DataFrame) -> DataFrame:
     """(take, key, evidence): segments that begin between start and end, both included."""
     spoken = segments.select(*TAKE, "seg_idx", F.col("start").alias("_s"))
-    met = rows.select(*TAKE, key, "start", "end").join(spoken, TAKE).where("_s between start and end")
+    met = points_within(spoken, "_s", rows.select(*TAKE, key, "start", "end"), "start", "end", TAKE, BUCKET)
     return met.groupBy(*TAKE, key).agg(F.array_sort(F.collect_list("seg_idx")).alias("evidence"))
 
 

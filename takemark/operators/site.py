@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def top(news: DataFrame, n: int, date: str, key: str) -> DataFrame:
@@ -42,59 +43,67 @@ def first_errors(rules: dict[str, list[tuple[Column, str]]]) -> Column:
     return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))
 
 
-def _walked(rows: DataFrame, flag: str, decide: Callable[[tuple, float, float], tuple[bool, tuple]]) -> DataFrame:
-    """rows (key, id, t, life) with flag: decide(state, t, life) -> (flag, state) along each key's rows in order of t and id.
+#: A decision along a key: (state, seconds, *given) -> (value, state). The state is a tuple, () at the start; its last entry is when it ends, in seconds.
+Decision = Callable[..., tuple[object, tuple]]
 
-    The state of a key starts empty. Rows stream through in key order with the state of one key in memory.
-    """
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, state = object(), ()
-        for batch in batches:
-            flags = []
-            for k, t, life in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
-                if k != last:
-                    last, state = k, ()
-                found, state = decide(state, t, life)
-                flags.append(found)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(flags)], ["key", "id", flag])
+def limit_decision(most: int, seconds: float) -> Decision:
+    """Whether a send is accepted: at most ``most`` until the last accepted one is ``seconds`` old. Rejected ones change nothing."""
 
-    schema = rows.select("key", "id").schema.add(flag, "boolean")
-    return rows.repartition("key").sortWithinPartitions("key", "t", "id").mapInArrow(walk, schema)
+    def decide(state: tuple, t: float) -> tuple[bool, tuple]:
+        n, until = state or (0, t)
+        n = 0 if t >= until else n
+        return (True, (n + 1, t + seconds)) if n < most else (False, (n, until))
 
+    return decide
 
-def _keyed(rows: DataFrame, key: str, at: str, order: str, life: Column) -> DataFrame:
-    seconds = F.unix_micros(F.col(at).cast("timestamp")) / 1_000_000.0
-    return rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(order).alias("id"), seconds.alias("t"), life.cast("double").alias("life"))
 
+def cache_decision(state: tuple, t: float, life: float) -> tuple[bool, tuple]:
+    """Whether a lookup finds an entry; one that doesn't stores an entry for ``life`` seconds. Hits don't prolong it."""
+    return (True, state) if state and t < state[0] else (False, (t + life,))
 
-def rate_limited(events: DataFrame, key: str, at: str, order: str, most: int = 5, seconds: int = 3600) -> DataFrame:
-    """events with allowed: at most ``most`` accepted per key until the last accepted one is ``seconds`` old.
 
-    Rejected events change nothing; a null key is always allowed. ``order`` tells the events of a key apart.
+def walked(events: DataFrame, key: str, at: str, order: str, name: str, kind: str, decide: Decision, given: dict[str, Column] | None = None, unkeyed: Column | None = None) -> DataFrame:
+    """events with a column name, of type kind: what decide gives along each key's rows in order of ``at`` and ``order``.
+
+    Rows stream through in key order with the state of one key in memory. given: further inputs of decide.
+    A null key has no state: its rows get ``unkeyed``, null unless given. Rows with a null time come first, as if at 0.
     """
+    given = given or {}
+    seconds = F.coalesce(F.unix_micros(F.col(at).cast("timestamp")) / 1_000_000.0, F.lit(0.0))
+    rows = events.where(F.col(key).isNotNull()).select("*", seconds.alias("_t"), *(c.alias(f"_{n}") for n, c in given.items()))
+    k, width = events.columns.index(key), len(events.columns)
+    schema = StructType([*events.schema.fields]).add(name, kind)
 
-    def decide(state: tuple, t: float, life: float) -> tuple[bool, tuple]:
-        n, until = state or (0, t)
-        n = 0 if t >= until else n
-        return (True, (n + 1, t + life)) if n < most else (False, (n, until))
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = object(), ()
+        for batch in batches:
+            values = []
+            for own, *inputs in zip(batch.column(k).to_pylist(), *(batch.column(i).to_pylist() for i in range(width, batch.num_columns)), strict=True):
+                if own != last:
+                    last, state = own, ()
+                value, state = decide(state, *inputs)
+                values.append(value)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(values)], schema.names)
 
-    decided = _walked(_keyed(events, key, at, order, F.lit(seconds)), "allowed", decide)
-    free = events.where(F.col(key).isNull()).withColumn("allowed", F.lit(True))
-    return events.join(decided.select(F.col("key").alias(key), F.col("id").alias(order), "allowed"), [key, order]).select(*events.columns, "allowed").unionByName(free)
+    done = rows.repartition(key).sortWithinPartitions(key, "_t", order).mapInArrow(walk, schema)
+    free = events.where(F.col(key).isNull()).withColumn(name, (F.lit(None) if unkeyed is None else unkeyed).cast(kind))
+    return done.unionByName(free)
+
+
+def rate_limited(events: DataFrame, key: str, at: str, order: str, most: int = 5, seconds: int = 3600) -> DataFrame:
+    """events with allowed: at most ``most`` accepted per key until the last accepted one is ``seconds`` old; a null key is always allowed."""
+    return walked(events, key, at, order, "allowed", "boolean", limit_decision(most, seconds), unkeyed=F.lit(True))
 
 
 def cached(lookups: DataFrame, key: str, at: str, order: str, ttl: Column) -> DataFrame:
     """(key, order, hit): whether a lookup finds an entry that an earlier one fetched less than its time to live ago.
 
     A lookup that fetches stores an entry for ``ttl`` seconds (long for found keys, short for
-    missing ones); hits don't prolong it.
+    missing ones). A null key is never found.
     """
-
-    def decide(state: tuple, t: float, life: float) -> tuple[bool, tuple]:
-        return (True, state) if state and t < state[0] else (False, (t + life,))
-
-    return _walked(_keyed(lookups, key, at, order, ttl), "hit", decide).select(F.col("key").alias(key), F.col("id").alias(order), "hit")
+    rows = lookups.select(key, at, order, ttl.cast("double").alias("_life"))
+    return walked(rows, key, at, order, "hit", "boolean", cache_decision, {"l": F.col("_life")}, F.lit(False)).select(key, order, "hit")
 
 
 def changed(events: DataFrame, group: str, at: str, order: str, value: str) -> DataFrame:

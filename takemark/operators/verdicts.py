@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from takemark.functions.sequences import in_order
 from takemark.functions.text import claims, half_even, numerals, timecode, tokenize
 from takemark.operators.alignment import Alignment, let, upto
 from takemark.operators.vectors import TAKE
@@ -26,29 +27,6 @@ def _spoken(lo: Column, hi: Column) -> Column:
     return F.array_join(F.transform(F.slice(F.col("segs"), lo + 1, hi - lo + 1), lambda s: s["text"]), " ")
 
 
-def in_order(values: Column) -> Column:
-    """Positions of the longest strictly increasing run of an array; the earliest of equal ones."""
-    pair = "array<struct<len:int,prev:int>>"
-
-    def grow(acc: Column, i: Column) -> Column:
-        def better(best: Column, j: Column) -> Column:
-            ok = (values[j] < values[i]) & (acc[j]["len"] + 1 > best["len"])
-            return F.when(ok, F.struct((acc[j]["len"] + 1).alias("len"), j.alias("prev"))).otherwise(best)
-
-        first = F.struct(F.lit(1).alias("len"), F.lit(-1).alias("prev"))
-        best = F.when(i > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(i - 1, F.lit(0))), first, better)).otherwise(first)
-        return F.concat(acc, F.array(best))
-
-    def trace(chain: Column) -> Column:
-        end = (F.array_position(F.transform(chain, lambda c: c["len"]), F.array_max(F.transform(chain, lambda c: c["len"]))) - 1).cast("int")
-        first = F.struct(end.alias("at"), F.array().cast("array<int>").alias("kept"))
-        back = lambda a, _: F.when(a["at"] >= 0, F.struct(chain[F.greatest(a["at"], F.lit(0))]["prev"].alias("at"), F.concat(a["kept"], F.array(a["at"])).alias("kept"))).otherwise(a)
-        return F.sort_array(F.aggregate(chain, first, back, lambda a: a["kept"]))
-
-    chain = F.aggregate(upto(F.size(values)), F.array().cast(pair), grow)
-    return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(let(chain, trace))
-
-
 def verdicts(alignment: Alignment, rows: DataFrame | None = None) -> DataFrame:
     """(take, beat_idx, beat_id, status, actual_order, start, end, lo, hi, confidence, summary, findings)."""
     s = alignment.settings
@@ -58,7 +36,8 @@ def verdicts(alignment: Alignment, rows: DataFrame | None = None) -> DataFrame:
     tape = F.sort_array(F.transform("spans", lambda p: F.struct(segs[p["lo"]]["start"].alias("start"), p["bi"].alias("bi"))))
     rows = rows.withColumn("tape", F.transform(tape, lambda p: p["bi"])).withColumn("kept", in_order(F.col("tape")))
     score = F.col("score")
-    column = lambda b, lo, hi: F.aggregate(F.filter(upto(n), lambda i: (i >= lo) & (i <= hi)), F.lit(0.0), lambda a, i: a + score[i * nb + b])
+    upto_segment = lambda i, b: F.when(i < 0, 0.0).otherwise(F.coalesce(F.get(F.col("cum"), i * nb + b), F.lit(0.0)))
+    column = lambda b, lo, hi: upto_segment(hi, b) - upto_segment(lo - 1, b)  # noqa: E731  two lookups, however long the span
 
     def host(b: Column) -> Column:
         """Where most of a skipped beat's material lies: struct<share, bi>."""

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from takemark.functions import sequences
 from takemark.functions import text as X
-from takemark.operators import forms, impact, semantic, sinks, site, verdicts
+from takemark.operators import forms, impact, intervals, matching, semantic, sinks, site, verdicts
 from takemark.operators.alignment import Alignment
 from takemark.operators.vectors import TAKE
 from takemark.plans import inputs, sql
 from takemark.plans.inputs import table
 from takemark.storage import saved
+from takemark.streaming import keyed
 
 
 def _alignment(spark: SparkSession, d: str) -> Alignment:
@@ -194,6 +196,48 @@ def q_ttl_cache(spark, d):
     return site.cached(e, "zip", "ts", "event_id", F.when(F.col("zip") % 3 == 0, 3600).otherwise(30 * 86400))
 
 
+def _thirds(events: DataFrame) -> list:
+    """Two times that cut a table of events in three parts of equal length."""
+    lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
+    return [lo + (hi - lo) / 3, lo + (hi - lo) * 2 / 3]
+
+
+def q_rate_limit_stream(spark, d):
+    """q_rate_limit as a stream over files, stopped and restarted between its parts."""
+    e = table(spark, d, "events").select("event_id", "user_id", "ts")
+    follow = lambda s: keyed.walked(s, "user_id", "ts", "event_id", "allowed", "boolean", site.limit_decision(5, 3600), keyed.LIMIT_STATE)
+    free = e.where("user_id is null").select("event_id", F.lit(True).alias("allowed"))
+    return keyed.replayed(e, "ts", _thirds(e), follow, "limit").select("event_id", "allowed").unionByName(free)
+
+
+def q_ttl_cache_stream(spark, d):
+    e = table(spark, d, "events").select("event_id", (F.col("event_id") % 400).alias("zip"), "ts")
+    life = F.when(F.col("zip") % 3 == 0, 3600.0).otherwise(30 * 86400.0)
+    follow = lambda s: keyed.walked(s, "zip", "ts", "event_id", "hit", "boolean", site.cache_decision, keyed.CACHE_STATE, {"life": life})
+    return keyed.replayed(e, "ts", _thirds(e), follow, "cache").select("event_id", "zip", "hit")
+
+
+def _requests(spark, d) -> tuple[DataFrame, dict]:
+    """Events as requests for a form: what a visitor asks for, whether the fields fail, whether the mail goes out."""
+    kind = F.col("event_type")
+    action = F.when(kind == "click", "confirm").when(kind == "purchase", "send").when(kind == "signup", "landing").when(kind == "error", "back").otherwise("show")
+    given = {"action": action, "failed": F.col("value") > 90, "mailed": F.col("value") > 5}
+    return table(spark, d, "events").select("event_id", "user_id", "ts", "event_type", "value"), given
+
+
+def q_form_walk(spark, d):
+    """The steps that visitors see, each from what the same visitor did before."""
+    e, given = _requests(spark, d)
+    return forms.form_steps(e, "user_id", "ts", "event_id", **given, most=1, seconds=5 * 86400).select("event_id", "step")
+
+
+def q_form_walk_stream(spark, d):
+    e, given = _requests(spark, d)
+    follow = lambda s: keyed.walked(s, "user_id", "ts", "event_id", "step", "string", forms.form_decision(1, 5 * 86400, 43200), keyed.FORM_STATE, given)
+    free = e.where("user_id is null").select("event_id", F.lit("input").alias("step"))
+    return keyed.replayed(e, "ts", _thirds(e), follow, "form").select("event_id", "step").unionByName(free)
+
+
 def q_request_dedupe(spark, d):
     return site.changed(table(spark, d, "events"), "user_id", "ts", "event_id", "event_type").select("event_id", "event_type")
 
@@ -258,6 +302,72 @@ def q_semantic_added(spark, d):
     return found.select("take_id", "id", "title", "actual_order", F.col("start").cast("long").alias("start_s"), F.array_join(F.col("evidence").cast("array<string>"), ",").alias("evidence"))
 
 
+def q_segments_in_beats(spark, d):
+    """Segments of each take that begin in the time that the plan gives to a beat, its beats one after the other."""
+    plan = inputs.beats(spark, d).select("lesson_id", "beat_idx", F.sum("est_seconds").over(Window.partitionBy("lesson_id").orderBy("beat_idx")).alias("hi"), "est_seconds")
+    s = inputs.segments(spark, d)
+    spans = s.select(*TAKE).distinct().join(plan.select("lesson_id", "beat_idx", (F.col("hi") - F.col("est_seconds")).alias("lo"), "hi"), "lesson_id")
+    met = intervals.points_within(s.select(*TAKE, "seg_idx", "start"), "start", spans, "lo", "hi", TAKE, semantic.BUCKET)
+    return met.select("take_id", "beat_idx", "seg_idx")
+
+
+def _block_pairs(a: Alignment) -> DataFrame:
+    """Blocks and beats whose similarity counts, with the strength that their places leave it."""
+    s = a.settings
+    cells = saved(a.block_scores(), "block_scores")
+    sizes = cells.groupBy(*TAKE).agg((F.max("block") + 1).alias("nk"), (F.max("beat_idx") + 1).alias("nb"))
+    drift = F.abs(F.col("block") / (F.col("nk") - 1) - F.col("beat_idx") / (F.col("nb") - 1))
+    prior = F.when((F.col("nb") < 2) | (F.col("nk") < 2), 1.0).otherwise(F.greatest(F.lit(0.15), 1.0 - s.order_prior * drift))
+    return cells.join(sizes, TAKE).where(F.col("sim") >= s.match_threshold).select(*TAKE, "block", "beat_idx", F.round(F.col("sim") * prior, 9).alias("scored"))
+
+
+def q_greedy_match(spark, d):
+    """Which beat claims which block, strongest first."""
+    return matching.greedy_match(_block_pairs(_alignment(spark, d)), TAKE, "block", "beat_idx", "scored").select("take_id", "block", "beat_idx")
+
+
+def q_merge_share(spark, d):
+    """The part of a beat's material that lies in each block."""
+    a = _alignment(spark, d)
+    blocks = saved(a.blocks(), "blocks")
+    cells = a.scores().select(*TAKE, "beat_idx", "seg_idx", "sim")
+    found = intervals.sums_within(cells, [*TAKE, "beat_idx"], "seg_idx", "sim", blocks, TAKE, "lo", "hi")
+    share = F.col("inside") / F.when(F.col("total") == 0, 1.0).otherwise(F.col("total"))
+    return found.select("take_id", "block", "beat_idx", F.floor(share * 1e4 + 0.5).cast("long").alias("share"))
+
+
+def _first_said(spark, d) -> DataFrame:
+    """(take, tape): beats in the order in which the take first says a word of their titles; titles that are never touched are left out."""
+    s = inputs.segments(spark, d).select(*TAKE, "seg_idx", F.explode(X.tokenize(F.col("text"))).alias("term"))
+    first = s.groupBy(*TAKE, "term").agg(F.min("seg_idx").alias("seg_idx"))
+    titles = inputs.beats(spark, d).select("lesson_id", "beat_idx", F.explode(F.array_distinct(X.tokenize(F.col("title")))).alias("term"))
+    met = first.join(titles, ["lesson_id", "term"]).groupBy(*TAKE, "beat_idx").agg(F.min("seg_idx").alias("seg_idx"))
+    return met.groupBy(*TAKE).agg(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "beat_idx"))), lambda x: x["beat_idx"]).alias("tape"))
+
+
+def q_lis_moved(spark, d):
+    """Beats of a take that its longest stretch in planned order leaves out."""
+    rows = _first_said(spark, d).withColumn("places", sequences.in_order(F.col("tape")))
+    moved = F.filter(F.transform("tape", lambda b, i: F.when(~F.array_contains("places", i), b)), lambda b: b.isNotNull())
+    return rows.select("take_id", F.array_join(F.transform("places", lambda i: F.get(F.col("tape"), i)), ",").alias("kept"), F.array_join(moved, ",").alias("moved"))
+
+
+def q_rising_values(spark, d):
+    """The longest rising run of each user's values in order of time."""
+    rows = table(spark, d, "events").where("user_id is not null").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"]).alias("v"))
+    kept = sequences.in_order(F.col("v"))
+    return rows.select("user_id", F.array_join(F.transform(kept, lambda i: i + 1), ",").alias("places"))
+
+
+def q_ranked_orders(spark, d):
+    """Orders over the whole table, the most urgent first and then by key; rank counts urgencies and dates."""
+    severity = F.when(F.col("o_orderpriority").startswith("1"), 3).when(F.col("o_orderpriority").startswith("2"), 2).when(F.col("o_orderpriority").startswith("3"), 1).otherwise(0)
+    o = table(spark, d, "orders").select("o_orderkey", severity.alias("severity"), "o_orderdate")
+    placed = intervals.ranked(o, [F.col("severity").desc(), F.col("o_orderkey")]).withColumnRenamed("rank", "by_key")
+    dated = intervals.ranked(o, [F.col("severity").desc(), F.col("o_orderdate")]).select("o_orderkey", "rank")
+    return placed.join(dated, "o_orderkey").select("o_orderkey", "severity", "pos", "by_key", "rank")
+
+
 def q_one_line(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(X.one_line(F.col("text"))).alias("header"))
 

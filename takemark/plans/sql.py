@@ -188,3 +188,83 @@ SELECT c_custkey, q.zip, coalesce(o.a, r.a) IS NOT NULL AS found, coalesce(o.a,
     "q_body_class": "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'p-home' WHEN 1 THEN 'p-' || lower(o_orderpriority) WHEN 2 THEN 'p-news-detail' WHEN 5 THEN '' ELSE 'p-news' END AS css FROM orders",
     "q_first_category": "SELECT l_orderkey, arg_min(l_partkey, (l_returnflag, l_partkey)) AS part, min(l_returnflag) AS category FROM lineitem GROUP BY l_orderkey",
 }
+ORACLES["q_rate_limit_stream"] = ORACLES["q_rate_limit"]
+ORACLES["q_ttl_cache_stream"] = ORACLES["q_ttl_cache"]
+ORACLES["q_form_walk"] = ORACLES["q_form_walk_stream"] = """WITH RECURSIVE e AS (
+  SELECT event_id, user_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, coalesce(value > 90, false) AS failed, coalesce(value > 5, false) AS mailed,
+    CASE event_type WHEN 'click' THEN 'confirm' WHEN 'purchase' THEN 'send' WHEN 'signup' THEN 'landing' WHEN 'error' THEN 'back' ELSE 'show' END AS action
+  FROM events WHERE user_id IS NOT NULL
+), w AS (
+  SELECT user_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS event_id, '' AS step, CAST(NULL AS DOUBLE) AS shown, false AS confirmed, false AS sent, 0 AS n, min(t) AS until, CAST(NULL AS DOUBLE) AS ends FROM e GROUP BY user_id
+  UNION ALL
+  SELECT user_id, rn, event_id, step, CASE step WHEN 'input' THEN t WHEN 'redirect' THEN NULL ELSE shown END, CASE WHEN step IN ('input', 'redirect') THEN false WHEN asks THEN true ELSE confirmed END,
+    CASE WHEN action = 'landing' THEN false ELSE sent OR step = 'redirect' END, CASE WHEN tries THEN live + CAST(live < 1 AS INT) ELSE n END, CASE WHEN tries AND live < 1 THEN t + 432000 ELSE until END, greatest(CASE WHEN tries AND live < 1 THEN t + 432000 ELSE until END, t + 43200)
+  FROM (
+    SELECT *, CASE WHEN action = 'landing' THEN CASE WHEN sent THEN 'complete' ELSE 'input' END WHEN asks THEN 'confirm' WHEN tries AND live < 1 THEN CASE WHEN mailed THEN 'redirect' ELSE 'confirm' END ELSE 'input' END AS step
+    FROM (
+      SELECT *, valid AND action = 'confirm' AS asks, valid AND action = 'send' AND confirmed AS tries
+      FROM (
+        SELECT *, CASE WHEN t >= until THEN 0 ELSE n END AS live, action IN ('confirm', 'send') AND NOT failed AND coalesce(t - shown >= 3 AND t - shown < 43200, false) AS valid
+        FROM (
+          SELECT e.*, CASE WHEN fresh THEN NULL ELSE w.shown END AS shown, w.confirmed AND NOT fresh AS confirmed, w.sent AND NOT fresh AS sent, CASE WHEN fresh THEN 0 ELSE w.n END AS n, CASE WHEN fresh THEN e.t ELSE w.until END AS until
+          FROM (SELECT w.*, e.t AS now, coalesce(e.t >= w.ends, false) AS fresh FROM w JOIN e ON e.user_id = w.user_id AND e.rn = w.rn + 1) w JOIN e ON e.user_id = w.user_id AND e.rn = w.rn + 1
+        )
+      )
+    )
+  )
+)
+SELECT event_id, step FROM w WHERE rn > 0 UNION ALL SELECT event_id, 'input' FROM events WHERE user_id IS NULL"""
+ORACLES["q_segments_in_beats"] = f"""WITH {_BASE}, p AS (SELECT lesson_id, beat_idx, sum(est_seconds) OVER (PARTITION BY lesson_id ORDER BY beat_idx) AS hi, est_seconds FROM beats)
+SELECT take_id, beat_idx, seg_idx FROM segments s JOIN p ON p.lesson_id = s.lesson_id AND 4.0 * seg_idx BETWEEN hi - est_seconds AND hi"""
+_BLOCKS = ", blocks AS (SELECT".join(ORACLES["q_blocks"].rsplit("SELECT", 1)).replace(")\n, blocks AS", "), blocks AS") + ")"
+_BLOCK_VECTORS = _vectors("kv", "SELECT s.take_id, block, term FROM segment_terms s JOIN blocks b ON b.take_id = s.take_id AND s.seg_idx BETWEEN b.lo AND b.hi", "block")
+ORACLES["q_merge_share"] = f"""{_BLOCKS}, {_BEAT_VECTORS}, {_CONTEXT}, cells AS (
+  SELECT c.take_id, CAST(seg_idx AS INT) AS seg_idx, beat_idx, round(sum(c.w * b.w), 12) AS sim FROM cv c JOIN bv b ON c.take_id = b.take_id AND c.term = b.term GROUP BY c.take_id, seg_idx, beat_idx
+), grid AS (
+  SELECT k.take_id, k.block, k.lo, k.hi, b.beat_idx FROM blocks k JOIN takes t ON t.take_id = k.take_id JOIN beats b ON b.lesson_id = t.lesson_id
+)
+SELECT g.take_id, g.block, g.beat_idx, CAST(floor(coalesce(sum(sim) FILTER (seg_idx BETWEEN lo AND hi), 0) / CASE WHEN coalesce(sum(sim), 0) = 0 THEN 1 ELSE sum(sim) END * 1e4 + 0.5) AS BIGINT) AS share
+FROM grid g LEFT JOIN cells c ON c.take_id = g.take_id AND c.beat_idx = g.beat_idx GROUP BY g.take_id, g.block, g.beat_idx"""
+ORACLES["q_greedy_match"] = f"""{_BLOCKS}, {_BEAT_VECTORS}, {_BLOCK_VECTORS}, sims AS (
+  SELECT k.take_id, block, beat_idx, round(sum(k.w * b.w), 12) AS sim FROM kv k JOIN bv b ON k.take_id = b.take_id AND k.term = b.term GROUP BY k.take_id, block, beat_idx
+), sizes AS (
+  SELECT k.take_id, count(*) AS nk, any_value(n_beats) AS nb FROM blocks k JOIN takes t ON t.take_id = k.take_id GROUP BY k.take_id
+), ordered AS (
+  SELECT take_id, block, beat_idx, row_number() OVER (PARTITION BY take_id ORDER BY scored DESC, block DESC, beat_idx DESC) AS rn
+  FROM (SELECT s.*, round(sim * CASE WHEN nb < 2 OR nk < 2 THEN 1 ELSE greatest(0.15, 1 - 0.55::DOUBLE * abs(block / (nk - 1)::DOUBLE - beat_idx / (nb - 1)::DOUBLE)) END, 9) AS scored FROM sims s JOIN sizes z ON z.take_id = s.take_id WHERE sim >= 0.055)
+), claims AS (
+  SELECT take_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS INT) AS block, CAST(NULL AS INT) AS beat_idx, false AS taken, CAST([] AS INT[]) AS bs, CAST([] AS INT[]) AS es FROM sizes
+  UNION ALL
+  SELECT take_id, rn, block, beat_idx, ok, CASE WHEN ok THEN list_append(bs, block) ELSE bs END, CASE WHEN ok THEN list_append(es, beat_idx) ELSE es END
+  FROM (SELECT o.*, c.bs, c.es, NOT list_contains(c.bs, o.block) AND NOT list_contains(c.es, o.beat_idx) AS ok FROM claims c JOIN ordered o ON o.take_id = c.take_id AND o.rn = c.rn + 1)
+)
+SELECT take_id, block, beat_idx FROM claims WHERE taken"""
+ORACLES["q_ranked_orders"] = """WITH o AS (SELECT o_orderkey, o_orderdate, CAST(CASE left(o_orderpriority, 1) WHEN '1' THEN 3 WHEN '2' THEN 2 WHEN '3' THEN 1 ELSE 0 END AS INT) AS severity FROM orders)
+SELECT o_orderkey, severity, row_number() OVER (ORDER BY severity DESC, o_orderkey) - 1 AS pos, dense_rank() OVER (ORDER BY severity DESC, o_orderkey) AS by_key, dense_rank() OVER (ORDER BY severity DESC, o_orderdate) AS rank FROM o"""
+
+
+def _runs(source: str, group: str, out: str) -> str:
+    """Longest increasing runs of the lists v of source (group, v), by comparing each place with all before it."""
+    return f"""
+lens AS (
+  SELECT {group}, v, 1 AS i, [1] AS l, [0] AS b FROM {source}
+  UNION ALL
+  SELECT {group}, v, i + 1, list_append(l, 1 + best), list_append(b, CASE WHEN best = 0 THEN 0 ELSE list_position(fits, best) END)
+  FROM (SELECT *, list_transform(range(1, i + 1), lambda j: CASE WHEN v[j] < v[i + 1] THEN l[j] ELSE 0 END) AS fits, list_max(list_transform(range(1, i + 1), lambda j: CASE WHEN v[j] < v[i + 1] THEN l[j] ELSE 0 END)) AS best FROM lens WHERE i < len(v))
+), back AS (
+  SELECT {group}, v, b, list_position(l, list_max(l)) AS p, [list_position(l, list_max(l))] AS kept FROM lens WHERE i = len(v)
+  UNION ALL
+  SELECT {group}, v, b, b[p], list_prepend(b[p], kept) FROM back WHERE b[p] > 0
+)
+SELECT {out} FROM back WHERE b[p] = 0"""
+
+
+ORACLES["q_lis_moved"] = f"""WITH RECURSIVE {_TERMS}, firsts AS (
+  SELECT lesson_id, take_id, term, min(seg_idx) AS seg_idx FROM segment_terms GROUP BY ALL
+), titles AS (
+  SELECT DISTINCT lesson_id, beat_idx, unnest({_tokens('title')}) AS term FROM beats
+), tapes AS (
+  SELECT take_id, list(beat_idx ORDER BY seg_idx, beat_idx) AS v FROM (SELECT f.take_id, t.beat_idx, min(f.seg_idx) AS seg_idx FROM firsts f JOIN titles t ON t.lesson_id = f.lesson_id AND t.term = f.term GROUP BY ALL) GROUP BY take_id
+), {_runs("tapes", "take_id", "take_id, list_aggregate(list_transform(kept, lambda i: CAST(v[i] AS VARCHAR)), 'string_agg', ',') AS kept, coalesce(list_aggregate(list_transform(list_filter(range(1, len(v) + 1), lambda i: NOT list_contains(kept, i)), lambda i: CAST(v[i] AS VARCHAR)), 'string_agg', ','), '') AS moved")}"""
+ORACLES["q_rising_values"] = f"""WITH RECURSIVE users AS (SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM events WHERE user_id IS NOT NULL GROUP BY user_id
+), {_runs("users", "user_id", "user_id, list_aggregate(list_transform(kept, lambda i: CAST(i AS VARCHAR)), 'string_agg', ',') AS places")}"""
