@@ -9,7 +9,7 @@ bounded size; a task decides all but one document of a cell, in one pass with on
 document per cell in memory. The residuals of a source meet in ever fewer cells, and in
 its last one a draw with the share that is left decides the last document. So the tree is one per source and its roots
 are spread over tasks; every document keeps its expected share, and a
-source's words miss its target by less than one document.
+source's words miss its target by less than one document, mostly one of its shortest.
 
 Random directions come from hashes of ids, texts and the level of the tree, and cells depend on
 the number of a source's documents alone: reruns agree on any cluster.
@@ -52,48 +52,85 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), ceiling: int
     return per.select("source", "source_size", "n_docs", F.when(F.col("full"), (F.col("source_size") * ceiling).cast("double")).otherwise(left * F.col("w") / weight_left).alias("target"))
 
 
-_AT = ("cell", "cells", "size", "share", "turn", "last", "copies")
-
-
-def _pivotal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Decides all rows but one of each cell; that one too if its source has no other cell. Undecided rows keep a share."""
-    pending: dict = {}
-    schema = None
-    for batch in batches:
-        schema = batch.schema
-        cell_at, cells_at, size_at, share_at, turn_at, last_at, copies_at = (schema.get_field_index(c) for c in _AT)
-        source_at = schema.get_field_index("source")
-        out: list[list] = []
-        for row in zip(*batch.to_pydict().values(), strict=True):
-            share, size = row[share_at], row[size_at]
-            if share is None or share <= 0.0 or share >= 1.0 or size == 0:
-                row = [*row]
-                row[copies_at], row[share_at] = row[copies_at] + int(bool(share) and share >= 1.0), None
-                out.append(row)
-                continue
-            at = (row[source_at], row[cell_at])
-            if at not in pending:
-                pending[at] = [*row]
-                continue
-            pair = (pending.pop(at), [*row])
-            p, n = pair[0][share_at], pair[0][size_at]
+_AT = ("cells", "size", "share", "turn", "last", "copies")
+
+
+def _decided(rows: list[list], at: dict[str, int], ceiling: int) -> None:
+    """Decides all rows of a cell, sorted by falling size, but one; that too if its source has no other cell. The undecided one keeps a share."""
+    cells, size, share, turn, last, copies = (at[c] for c in _AT)
+    words = lowest = highest = None
+    suffix = []
+    for r in reversed(rows):
+        w = r[copies] + (r[share] or 0.0)
+        words, lowest, highest = (r[size], w, w) if words is None else (words + r[size], min(lowest, w), max(highest, w))
+        suffix.append((words, lowest, highest))
+    suffix.reverse()
+    shift, pending = 0.0, None
+
+    def settled(r: list, up: bool) -> None:
+        r[copies], r[share] = r[copies] + int(up), None
+
+    for k, r in enumerate(rows):
+        if not r[size]:
+            settled(r, False)
+            continue
+        if pending and 2 * r[size] < pending[size]:
+            x, n = pending[share], pending[size]
+            total, lo, hi = suffix[k]
+            if lo + shift - (1 - x) * n / total >= 0 and hi + shift + x * n / total <= ceiling:
+                up = pending[last] < x
+                settled(pending, up)
+                shift += (x - up) * n / total
+                pending = None
+        wanted = r[copies] + (r[share] or 0.0) + shift
+        r[copies] = int(wanted + 1e-9)
+        r[share] = wanted - r[copies]
+        if r[share] <= 1e-9:
+            settled(r, False)
+        elif pending is None:
+            pending = r
+        else:
+            x, n, y, m = pending[share], pending[size], r[share], r[size]
             # Words of expected copy that can move from the one to the other, and back.
-            forth, back = min(p * n, (1 - share) * size), min((1 - p) * n, share * size)
-            step = -forth if row[turn_at] * (forth + back) < back else back
-            for r, x in zip(pair, (p + step / n, share - step / size)):
-                if x <= 1e-9 or x >= 1 - 1e-9:
-                    r[copies_at], r[share_at] = r[copies_at] + int(x > 0.5), None
-                    out.append(r)
+            forth, back = min(x * n, (1 - y) * m), min((1 - x) * n, y * m)
+            step = -forth if r[turn] * (forth + back) < back else back
+            pair, pending = ((pending, x + step / n), (r, y - step / m)), None
+            for one, z in pair:
+                if z <= 1e-9 or z >= 1 - 1e-9:
+                    settled(one, z > 0.5)
                 else:
-                    r[share_at] = x
-                    pending[at] = r
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-    if pending:
-        for row in pending.values():
-            if row[cells_at] == 1:
-                row[copies_at], row[share_at] = row[copies_at] + int(row[last_at] < row[share_at]), None
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*pending.values(), strict=True), schema, strict=True)], schema=schema)
+                    one[share] = z
+                    pending = one
+    if pending and pending[cells] == 1:
+        settled(pending, pending[last] < pending[share])
+
+
+def _pivotal(ceiling: int):
+    """A mapInArrow function over rows sorted by source, cell and falling size."""
+
+    def pivotal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        schema, at = None, {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            _decided(held, at, ceiling)
+            for k in range(0, len(held), 4096):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held[k : k + 4096], strict=True), schema, strict=True)], schema=schema)
+
+        for batch in batches:
+            schema = batch.schema
+            at = {c: schema.get_field_index(c) for c in (*_AT, "source", "cell")}
+            for row in zip(*batch.to_pydict().values(), strict=True):
+                key = (row[at["source"]], row[at["cell"]])
+                if key != now and held:
+                    yield from told()
+                    held = []
+                now = key
+                held.append([*row])
+        if held:
+            yield from told()
+
+    return pivotal
 
 
 def _draw(seed: int, *by: Column) -> Column:
@@ -101,7 +138,7 @@ def _draw(seed: int, *by: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *by), F.lit(1 << 53)).cast("double") / float(1 << 53)
 
 
-def copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), ceiling: int = 3, seed: int = 7, cell_rows: int = 50_000, fan_in: int = 16, carry: tuple[str, ...] = ()) -> DataFrame:
+def copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), ceiling: int = 3, seed: int = 7, cell_rows: int = 20_000, fan_in: int = 16, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, and the columns of carry, for every row of docs."""
     with Scratch(docs.sparkSession) as s:
         read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.size(words_of(F.col(text))).cast("long").alias("size"), F.xxhash64(text).alias("mark"), *carry)
@@ -120,8 +157,8 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source:
         while True:
             key = F.xxhash64(F.lit(seed + level), "draw", "doc_id")
             dealt = rows.withColumn("turn", _draw(seed + 1 + level, F.col("draw"), F.col("doc_id"))).withColumn("cell", F.pmod(key, F.col("cells")))
-            dealt = dealt.repartition(max(1, -(-left // cell_rows)), "source", "cell").sortWithinPartitions("draw", "doc_id", "source", "size", *carry)
-            made = s.saved(dealt.mapInArrow(_pivotal, shape), "mixed")
+            dealt = dealt.repartition(max(1, -(-left // cell_rows)), "source", "cell").sortWithinPartitions("source", "cell", F.desc("size"), "draw", "doc_id", *carry)
+            made = s.saved(dealt.mapInArrow(_pivotal(ceiling), shape), "mixed")
             done = made.where("share is null").drop("share", "draw", "turn", "last", "cell", "cells")
             decided = done if decided is None else decided.unionByName(done)
             rows = made.where("share is not null").withColumn("cells", F.ceil(F.col("cells") / fan_in))
