@@ -134,6 +134,39 @@ def address_of(requests: DataFrame, zip_col: str, own: DataFrame, remote: DataFr
     return asked.withColumn("address", address).withColumn("found", F.col("address").isNotNull()).drop("_own", "_remote")
 
 
+#: The shape of a provider's answer, and what is said where nothing is found.
+PROVIDED = "results array<struct<address1:string,address2:string,address3:string>>"
+NOT_FOUND = "該当する住所が見つかりませんでした。"
+
+
+def provided_address(code: Column, status: Column, body: Column) -> Column:
+    """struct<state, address>: what a provider's answer says about a zip code.
+
+    state: not asked (no valid code), failed (no answer, or another status than 200), malformed (no JSON object), nothing (no first
+    result, or one without a prefecture) or found; the address is null but for found. Only the first result counts.
+    """
+    first = F.get(F.from_json(body, PROVIDED, {"mode": "PERMISSIVE"})["results"], F.lit(0))
+    part = lambda k: F.coalesce(first[f"address{k}"], F.lit(""))
+    readable = F.try_parse_json(body).isNotNull() & F.trim(body).startswith("{")
+    state = (
+        F.when(F.coalesce(F.length(code) != 7, F.lit(True)), "not asked").when(body.isNull() | F.coalesce(status != 200, F.lit(True)), "failed")
+        .when(~readable, "malformed").when(part(1) == "", "nothing").otherwise("found")
+    )
+    address = F.struct(part(1).alias("prefecture"), part(2).alias("city"), part(3).alias("town"), F.concat(part(1), part(2), part(3)).alias("full"))
+    return F.struct(state.alias("state"), F.when(state == "found", address).alias("address"))
+
+
+def zip_response(code: Column, address: Column) -> Column:
+    """The JSON that a lookup answers with."""
+    found = F.to_json(F.struct(F.lit(True).alias("found"), code.alias("zipcode"), address.alias("address")))
+    return F.when(address.isNotNull(), found).otherwise(F.to_json(F.struct(F.lit(False).alias("found"), F.lit(NOT_FOUND).alias("message"))))
+
+
+def cache_life(state: Column) -> Column:
+    """Seconds that an answer is kept: 30 days where something was found, an hour for all others, so that a provider's faults pass."""
+    return F.when(state == "found", 30 * 86400.0).otherwise(3600.0)
+
+
 def body_class(kind: Column, slug: Column) -> Column:
     """The class of a page by its kind; null for kinds without one."""
     return F.when(kind == "front", "p-home").when(kind == "page", F.concat(F.lit("p-"), slug)).when(kind == "news", "p-news-detail").when(kind.isin("archive", "category"), "p-news")

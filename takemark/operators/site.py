@@ -115,3 +115,18 @@ def changed(events: DataFrame, group: str, at: str, order: str, value: str) -> D
 def latest(events: DataFrame, key: list[str], at: str, order: str, value: str) -> DataFrame:
     """The last value written per key."""
     return events.groupBy(*key).agg(F.max_by(value, F.struct(at, order)).alias(value))
+
+
+def as_of(rows: DataFrame, key: str, at: str, changes: DataFrame, change_at: str, change_order: str, value: str) -> DataFrame:
+    """rows with value, what the last change of their key up to their time wrote; null before any change, and where that wrote null.
+
+    A change at the very time counts; of several at one time the one with the largest change_order. Both inputs meet in
+    one window by key, so each is shuffled once and no pairs arise. Rows with a null key or time get null.
+    """
+    names = rows.columns
+    left = rows.select(F.col(key).alias("_k"), F.col(at).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(changes.schema[change_order].dataType).alias("_o"), F.struct(*names).alias("_row"), F.lit(None).cast(f"struct<v:{changes.schema[value].dataType.simpleString()}>").alias("_new"))
+    right = changes.where(F.col(key).isNotNull() & F.col(change_at).isNotNull()).select(F.col(key).alias("_k"), F.col(change_at).alias("_t"), F.lit(0).alias("_side"), F.col(change_order).alias("_o"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), F.struct(F.col(value).alias("v")).alias("_new"))
+    before = Window.partitionBy("_k").orderBy("_t", "_side", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    met = left.where(F.col("_k").isNotNull() & F.col("_t").isNotNull()).unionByName(right).withColumn("_last", F.last("_new", True).over(before)).where("_side = 1")
+    free = left.where(F.col("_k").isNull() | F.col("_t").isNull()).withColumn("_last", F.col("_new"))
+    return met.unionByName(free).select("_row.*", F.col("_last.v").alias(value))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from takemark.functions import sequences
 from takemark.functions import text as X
-from takemark.operators import forms, impact, intervals, matching, semantic, sinks, site, verdicts
+from takemark.operators import forms, impact, intervals, matching, messages, semantic, sinks, site, verdicts
 from takemark.operators.alignment import Alignment
 from takemark.operators.vectors import TAKE
 from takemark.plans import inputs, sql
@@ -417,6 +417,56 @@ def q_zip_lookup(spark, d):
     return forms.address_of(asked, "asked", own, remote).select("c_custkey", "zip", "found", F.col("address.full").alias("address"))
 
 
+def q_zip_provider(spark, d):
+    """Answers of a provider, as the JSON that it sends, read into states, addresses and responses."""
+    k = F.col("c_custkey")
+    result = lambda one: F.to_json(F.struct(F.array(F.struct(one.alias("address1"), F.col("c_mktsegment").alias("address2"), F.col("c_name").alias("address3"))).alias("results")))
+    body = F.when(k % 7 == 0, '{"results":null}').when(k % 7 == 1, result(F.lit(""))).when(k % 7 == 2, F.concat(F.lit("{"), F.col("c_name"))).when(k % 7 == 3, F.lit(None)).otherwise(result(F.concat(F.lit("P"), F.col("c_nationkey").cast("string"))))
+    code = F.when(k % 11 == 0, "12").otherwise(F.lpad(k.cast("string"), 7, "0"))
+    rows = table(spark, d, "customer").select("c_custkey", code.alias("zip"), forms.provided_address(code, F.when(k % 13 == 0, 500).otherwise(200), body).alias("a"))
+    return rows.select("c_custkey", F.col("a.state").alias("state"), forms.zip_response(F.col("zip"), F.col("a.address")).alias("response"), forms.cache_life(F.col("a.state")).cast("long").alias("life"))
+
+
+def q_messages(spark, d):
+    """The notices and replies of all sent forms."""
+    at = F.timestamp_seconds(1_700_000_000 + F.col("conv_id") * 3600 + F.col("turn") * 60)
+    made = messages.messages(table(spark, d, "conversations"), ["conv_id", "turn"], forms.collected(_form().__getitem__), at, F.when(F.col("turn") % 2 == 0, "192.0.2.1"), "Takemark", "desk@mail.example", F.col("turn") % 4 != 3)
+    return made.select("conv_id", "turn", "kind", F.md5("recipient").alias("recipient"), F.md5("subject").alias("subject"), F.md5(F.array_join("headers", "|")).alias("headers"), F.md5("body").alias("body"))
+
+
+def _decisions(spark, d) -> DataFrame:
+    """Events of users as decisions: accepted, rejected, or taken back."""
+    kind = F.col("event_type")
+    return table(spark, d, "events").where(kind.isin("click", "purchase", "error")).select("user_id", "ts", "event_id", F.when(kind == "click", "accept").when(kind == "purchase", "reject").alias("decision"))
+
+
+def q_decision_as_of(spark, d):
+    """What had been decided for each user when they looked."""
+    views = table(spark, d, "events").where("event_type = 'view'").select("event_id", "user_id", "ts")
+    return site.as_of(views, "user_id", "ts", _decisions(spark, d), "ts", "event_id", "decision").select("event_id", "decision")
+
+
+def q_worklist(spark, d):
+    """Per owner, how many orders need work, and how many of them nobody had decided by the middle of the month."""
+    action = F.when(F.col("o_orderstatus") == "F", "KEEP").when(F.col("o_orderstatus") == "O", "REVISE").otherwise("KILL")
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("owner"), action.alias("action"))
+    made = _decisions(spark, d).select(F.col("event_id").alias("id"), F.col("ts").alias("at"), F.col("event_id").alias("order"), "decision")
+    again = made.withColumn("id", F.floor(F.col("id") / 2))  # two events decide about one order
+    return sinks.worklist(o, again, ["id"], F.lit("2024-01-16").cast("timestamp_ntz"))
+
+
+def q_changes(spark, d):
+    a, _, v = _verdicts(spark, d)
+    return sinks.changes(v, sinks.runtimes(a.takes, a.beats, a.segments)).select("take_id", _scaled("overrun"), "over", "changed")
+
+
+def q_time_errors(spark, d):
+    """Error statistics of quantities against a price of a thousand each, by flag and line."""
+    found = sinks.accuracy(table(spark, d, "lineitem"), ["l_returnflag", "l_linenumber"], F.col("l_quantity"), F.col("l_extendedprice") / 1000)
+    thousandths = lambda c: F.floor(F.col(c) * 1e3 + 0.5).cast("long").alias(c)
+    return found.select("l_returnflag", "l_linenumber", "n", *map(thousandths, ("mean", "median", "worst")), "near")
+
+
 def q_nav(spark, d):
     """Pages that the menu shows, in its order."""
     place = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_name"))

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from takemark.functions.text import NUMBER, NUMBER_WORDS, STOPWORDS, SUFFIXES, TOKEN, WEAK
-from takemark.operators.forms import FASTEST, FIELDS, RULES, SUBJECTS
+from takemark.operators.forms import FASTEST, FIELDS, NOT_FOUND, RULES, SUBJECTS
+from takemark.operators.messages import BLANK, CLOSING, LABELS, OPENING, PLAIN, RULE, THANKS, UNKNOWN
 from takemark.plans.inputs import BEATS, PIECE, TYPES
 
 
@@ -75,17 +76,20 @@ _CLEAN = "regexp_replace(html, '<[^>]*>', '', 'g')"
 
 
 
-def _contact_errors() -> str:
+def _form_values() -> dict[str, str]:
     raw = {
         "company": "role", "department": "''", "name": "substr(text, 1, 70)", "kana": "CASE conv_id % 3 WHEN 0 THEN 'カナ ひらがな' WHEN 1 THEN substr(text, 1, 5) END",
         "email": "regexp_extract(text, '[A-Za-z]+') || CASE WHEN turn % 2 = 0 THEN '@' ELSE '' END || 'mail.example'", "tel": "replace('052-' || conv_id || '-' || turn * 1000, '9', 'x')",
         "zip": "left(lpad(CAST(conv_id AS VARCHAR), 3, '0'), 3) || CASE WHEN turn % 2 = 0 THEN '-' ELSE '' END || left(lpad(CAST(turn * 111 AS VARCHAR), 4, '0'), 4)", "prefecture": "role", "city": "substr(text, 1, 110)", "address": "substr(text, 1, 140)",
         "subject": f"[{_list(SUBJECTS)}, '?'][turn % 7 + 1]", "message": "text", "privacy": "CASE WHEN turn % 5 <> 0 THEN 'on' END",
     }
-    values, told = [], []
+    bare = {f.key: f"regexp_replace(coalesce({raw[f.key]}, ''), '<[^>]*>', '', 'g')" for f in FIELDS}
+    return {f.key: f"trim({bare[f.key]})" if f.kind == "textarea" else f"trim(regexp_replace({bare[f.key]}, '[\\r\\n\\t]+', ' ', 'g'))" for f in FIELDS}
+
+
+def _contact_errors() -> str:
+    values, told = [f"{v} AS {k}" for k, v in _form_values().items()], []
     for f in sorted(FIELDS, key=lambda f: f.key):
-        bare = f"regexp_replace(coalesce({raw[f.key]}, ''), '<[^>]*>', '', 'g')"
-        values.append(f"trim({bare}) AS {f.key}" if f.kind == "textarea" else f"trim(regexp_replace({bare}, '[\\r\\n\\t]+', ' ', 'g')) AS {f.key}")
         cases = [f"WHEN {f.key} = '' THEN '{f.key}=required'"] if f.required else [f"WHEN {f.key} = '' THEN NULL"]
         if f.most:
             cases.append(f"WHEN length({f.key}) > {f.most} THEN '{f.key}=too long'")
@@ -268,3 +272,37 @@ ORACLES["q_lis_moved"] = f"""WITH RECURSIVE {_TERMS}, firsts AS (
 ), {_runs("tapes", "take_id", "take_id, list_aggregate(list_transform(kept, lambda i: CAST(v[i] AS VARCHAR)), 'string_agg', ',') AS kept, coalesce(list_aggregate(list_transform(list_filter(range(1, len(v) + 1), lambda i: NOT list_contains(kept, i)), lambda i: CAST(v[i] AS VARCHAR)), 'string_agg', ','), '') AS moved")}"""
 ORACLES["q_rising_values"] = f"""WITH RECURSIVE users AS (SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM events WHERE user_id IS NOT NULL GROUP BY user_id
 ), {_runs("users", "user_id", "user_id, list_aggregate(list_transform(kept, lambda i: CAST(i AS VARCHAR)), 'string_agg', ',') AS places")}"""
+
+
+def _messages() -> str:
+    values = ", ".join(f"{v} AS {k}" for k, v in _form_values().items())
+    flat = lambda x: f"replace(replace({x}, chr(13), ''), chr(10), '')"
+    listed = ", ".join(f"'{LABELS[f.key]}: ' || CASE WHEN {f.key} = '' THEN '{BLANK}' ELSE {f.key} END" for f in FIELDS if f.key != "privacy")
+    stamp = "strftime(sent, '%Y年') || month(sent) || '月' || day(sent) || strftime(sent, '日 %H:%M')"
+    notice = f"concat_ws(chr(10), '{OPENING}', '', '{RULE}', {listed}, '{RULE}', '', '送信日時: ' || {stamp}, '送信元 IP: ' || CASE WHEN turn % 2 = 0 THEN '192.0.2.1' ELSE '{UNKNOWN}' END)"
+    thanks = ", ".join(f"'{t}'" for t in THANKS)
+    reply = f"concat_ws(chr(10), company, name || ' 様', '', {thanks}, '', '{RULE}', '{LABELS['subject']}: ' || subject, '', message, '{RULE}', '', '{CLOSING}', '', 'Takemark')"
+    return f"""WITH v AS (SELECT conv_id, turn, {values.replace(" AS privacy", " AS consent")}, make_timestamp((1700000000 + conv_id * 3600 + turn * 60) * 1000000) AS sent FROM conversations)
+SELECT conv_id, turn, 'notice' AS kind, md5('desk@mail.example') AS recipient, md5({flat("'[Takemark] お問い合わせ（' || subject || '）'")}) AS subject, md5('{PLAIN}|Reply-To: ' || {flat("name")} || ' <' || {flat("email")} || '>') AS headers, md5({notice}) AS body FROM v
+UNION ALL SELECT conv_id, turn, 'reply', md5(email), md5('【Takemark】お問い合わせを受け付けました'), md5('{PLAIN}'), md5({reply}) FROM v WHERE turn % 4 <> 3"""
+
+
+ORACLES["q_messages"] = _messages()
+ORACLES["q_zip_provider"] = f"""WITH r AS (
+  SELECT *, CASE WHEN c_custkey % 11 = 0 THEN '12' ELSE lpad(CAST(c_custkey AS VARCHAR), 7, '0') END AS zip, 'P' || c_nationkey AS p FROM customer
+), s AS (
+  SELECT *, CASE WHEN length(zip) <> 7 THEN 'not asked' WHEN c_custkey % 13 = 0 OR c_custkey % 7 = 3 THEN 'failed' WHEN c_custkey % 7 = 2 THEN 'malformed' WHEN c_custkey % 7 < 2 THEN 'nothing' ELSE 'found' END AS state FROM r
+)
+SELECT c_custkey, state, CASE WHEN state = 'found' THEN '{{"found":true,"zipcode":"' || zip || '","address":{{"prefecture":"' || p || '","city":"' || c_mktsegment || '","town":"' || c_name || '","full":"' || p || c_mktsegment || c_name || '"}}}}'
+  ELSE '{{"found":false,"message":"{NOT_FOUND}"}}' END AS response, CAST(CASE WHEN state = 'found' THEN 2592000 ELSE 3600 END AS BIGINT) AS life FROM s"""
+_DECISIONS = "decisions AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'click' THEN 'accept' WHEN 'purchase' THEN 'reject' END AS decision FROM events WHERE event_type IN ('click', 'purchase', 'error'))"
+ORACLES["q_decision_as_of"] = f"""WITH {_DECISIONS}, met AS (
+  SELECT v.event_id, arg_max(coalesce(c.decision, ''), (c.ts, c.event_id)) AS decision FROM events v JOIN decisions c ON c.user_id = v.user_id AND c.ts <= v.ts WHERE v.event_type = 'view' GROUP BY v.event_id
+)
+SELECT v.event_id, nullif(m.decision, '') AS decision FROM events v LEFT JOIN met m ON m.event_id = v.event_id WHERE v.event_type = 'view'"""
+ORACLES["q_worklist"] = f"""WITH {_DECISIONS}, l AS (
+  SELECT CAST(floor(event_id / 2) AS BIGINT) AS id, arg_max(coalesce(decision, ''), (ts, event_id)) AS decision FROM decisions WHERE ts <= TIMESTAMP '2024-01-16' GROUP BY 1
+)
+SELECT o_orderpriority AS owner, count(*) AS shown, count(*) FILTER (coalesce(decision, '') = '') AS undecided FROM orders LEFT JOIN l ON id = o_orderkey WHERE o_orderstatus <> 'F' GROUP BY 1"""
+ORACLES["q_time_errors"] = """WITH e AS (SELECT l_returnflag, l_linenumber, abs(l_quantity - l_extendedprice / 1000) AS e FROM lineitem)
+SELECT l_returnflag, l_linenumber, count(e) AS n, CAST(floor(avg(e) * 1e3 + 0.5) AS BIGINT) AS mean, CAST(floor(median(e) * 1e3 + 0.5) AS BIGINT) AS median, CAST(floor(max(e) * 1e3 + 0.5) AS BIGINT) AS worst, count(*) FILTER (e <= 15) AS near FROM e GROUP BY ALL"""

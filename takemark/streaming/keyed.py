@@ -100,10 +100,14 @@ def state_store(spark: SparkSession):
         spark.conf.set(_PROVIDER, before)
 
 
-def appended(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Starts a query that appends the stream to Parquet files at path and ends when it has caught up with its source."""
+def appended(stream: DataFrame, path: str, checkpoint: str, live: bool = False) -> StreamingQuery:
+    """Starts a query that appends the stream to Parquet files at path; unless live, it ends when it has caught up with its source.
+
+    States that end by processing time need a live query: one of those always has something to wait for.
+    """
     with state_store(stream.sparkSession):
-        return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+        return (writer if live else writer.trigger(availableNow=True)).start()
 
 
 def replayed(events: DataFrame, at: str, cuts: list, follow, label: str) -> DataFrame:

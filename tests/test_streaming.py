@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,10 +37,20 @@ def test_replays_with_restarts_give_the_batch_rows(spark, name):
     assert got.count() == 300
 
 
-def test_states_end_by_processing_time(spark):
-    """With a time to live there is no watermark; a replay that is faster than it keeps all states."""
+def test_states_that_end_by_processing_time(spark, tmp_path):
+    """With a time to live there is no watermark; a run that is faster than it keeps all states."""
     e = events(spark, 60)
-    got = keyed.replayed(e, "ts", CUTS, lambda s: keyed.walked(s, "who", "ts", "id", "allowed", "boolean", site.limit_decision(2, 9000), keyed.LIMIT_STATE, ttl_seconds=3600), "ttl")
+    e.coalesce(1).write.parquet(f"{tmp_path}/source")
+    source = spark.readStream.schema(e.schema).parquet(f"{tmp_path}/source")
+    follow = keyed.walked(source, "who", "ts", "id", "allowed", "boolean", site.limit_decision(2, 9000), keyed.LIMIT_STATE, ttl_seconds=3600)
+    query = keyed.appended(follow, f"{tmp_path}/sink", f"{tmp_path}/checkpoint", live=True)
+    try:
+        deadline = time.time() + 90
+        while sum(p.numInputRows for p in query.recentProgress) < 60 and time.time() < deadline:
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    got = spark.read.schema(follow.schema).parquet(f"{tmp_path}/sink")
     assert sorted(got.select("id", "allowed").collect()) == sorted(site.rate_limited(e, "who", "ts", "id", 2, 9000).select("id", "allowed").collect())
 
 
