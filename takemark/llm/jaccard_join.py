@@ -405,7 +405,12 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, s: Scratch, wid
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, block: int = 1024, first_keys: int = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for every row; documents link at a Jaccard similarity of num / den or more."""
+    """doc_id, n_shingles, component_id for every row; documents link at a Jaccard similarity of num / den or more, at least one half.
+
+    Trees meet those of their own size class and the next, so sets that link may differ in size by a factor of two at most.
+    """
+    if not den <= 2 * num <= 2 * den:
+        raise ValueError("the similarity must be from one half to one")
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     with small_batches(spark), Scratch(spark) as s:

@@ -9,10 +9,11 @@ Links are confirmed on full sets; components of links are the groups of near cop
    its own, and on through the rest of it. Nodes with equal first ``depth`` values are a region of the order.
    The number of orders follows from the threshold: a pair that links shares no region with a chance below ``MISS``.
 3. The first round sorts a few orders over range partitions and takes, as candidates, each node with the one before it, which has
-   the longest common prefix with it. Confirmed links make components, so large groups of copies are one by then.
-4. The second round looks at all regions of all orders that still hold several components. In each, pairs between different
-   components are candidates, unless sizes or bitmaps bound their overlap too low.
-5. Depth adapts: a region with more than ``crowd`` such pairs per member isn't paired. Its members go to
+   the longest common prefix with it; of several orders the best. Confirmed links make components, so large groups of copies are one by then.
+4. Further rounds look at all regions of all orders that still hold several components, and at pairs between different
+   components only, unless sizes or bitmaps bound their overlap too low. The first deals regions over cells of ``cell``
+   members at random and takes each node's best partner in any of its cells; the next takes all pairs.
+5. Depth adapts: a region with more than ``crowd`` such pairs per member isn't paired then. Its members go to
    the next level, a forest of twice the depth over new hash functions, with as many more orders as the same chance needs.
    At the last level all regions are paired, however large, in blocks that go to different tasks.
 
@@ -88,23 +89,33 @@ def _in_orders(nodes: DataFrame, depth: int, first: int, last: int, *carry: str)
 
 
 def _neighbours(num: int, den: int):
-    """A mapInArrow function over rows (key, id, n) as sorted: pairs of neighbours in a region whose sizes allow a link."""
+    """A mapInArrow function over rows (key, id, n, bits) as sorted: neighbours (a, b) in a region whose sizes and bitmaps allow a link, and their share."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = np.zeros((3, 0), np.int64)
+        last: tuple | None = None
         for batch in batches:
-            rows = np.concatenate([last, np.stack([np.asarray(batch.column(k)) for k in range(3)])], 1)
-            last = rows[:, -1:]
-            (ka, a, na), (kb, b, nb) = rows[:, :-1], rows[:, 1:]
-            keep = (ka == kb) & (den * np.minimum(na, nb) >= num * np.maximum(na, nb))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], ["a", "b"])
+            key, ids, n, raw = (batch.column(k).to_pylist() for k in range(4))
+            out: list[tuple] = []
+            for row in zip(key, ids, n, raw):
+                if last and last[0] == row[0] and den * min(last[2], row[2]) >= num * max(last[2], row[2]):
+                    x, y = (np.frombuffer(r[3], np.uint64) for r in (last, row))
+                    wide = min(len(x), len(y))
+                    x, y = (np.bitwise_or.reduce(z.reshape(-1, wide), axis=0) for z in (x, y))
+                    px, py, both = (int(np.bitwise_count(z).sum()) for z in (x, y, x & y))
+                    most = min(last[2] - px, row[2] - py) + both
+                    if (num + den) * most >= num * (last[2] + row[2]):
+                        out.append((last[1], row[1], most / (last[2] + row[2])))
+                last = row
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "share"])
 
     return found
 
 
-def _pairs(num: int, den: int):
+def _pairs(num: int, den: int, best_only: bool):
     """A mapInArrow function over rows sorted by (key, p, q, side): pairs of different components whose overlap may be large enough.
 
+    With best_only, for each node a of a block the partner b with the largest share only.
+
     The overlap of two sets is at most the common bits of their bitmaps and what the set with
     fewer collisions has in excess of its bits. Bitmaps of different lengths are compared at the shorter one.
     """
@@ -114,6 +125,7 @@ def _pairs(num: int, den: int):
         raw = rows["bits"].combine_chunks()
         sizes = np.asarray(pa.compute.binary_length(raw))
         out: list[np.ndarray] = []
+        shares: list[np.ndarray] = []
         change = np.zeros(rows.num_rows, bool)
         change[:1] = True
         for c in ("key", "p", "q"):
@@ -124,6 +136,7 @@ def _pairs(num: int, den: int):
             n, component, side, ids, length = (x[lo:hi] for x in (col["n"], col["component"], col["side"], col["id"], sizes))
             texts = raw.slice(lo, hi - lo).to_pylist()
             kinds = {int(k): np.flatnonzero(length == k) for k in np.unique(length)}
+            mate, top = np.full(hi - lo, -1), np.zeros(hi - lo)
             full = {k: np.frombuffer(b"".join(texts[i] for i in at), np.uint64).reshape(len(at), -1) for k, at in kinds.items()}
             for ka, left in kinds.items():
                 for kb, right in kinds.items():
@@ -145,15 +158,28 @@ def _pairs(num: int, den: int):
                             xs, ys = x[c : c + 4096], y[c : c + 4096]
                             shared = np.bitwise_count(full[ka][k + xs] & wide[ys]).sum(1, dtype=np.int64)
                             most = np.minimum(over_a[k + xs], over_b[ys]) + shared
-                            good = (num + den) * most >= num * (n[i[xs]] + n[right[ys]])
-                            out.append(np.stack([ids[i[xs[good]]], ids[right[ys[good]]]], 1))
+                            xs, ys = i[xs], right[ys]
+                            good = (num + den) * most >= num * (n[xs] + n[ys])
+                            xs, ys, share = xs[good], ys[good], (most / (n[xs] + n[ys]))[good]
+                            if not best_only:
+                                out.append(np.stack([ids[xs], ids[ys]], 1))
+                                continue
+                            for one, other in ((xs, ys), (ys, xs)):
+                                order = np.lexsort((ids[other], share, one))
+                                at = order[np.append(one[order][1:] != one[order][:-1], True)] if len(order) else order
+                                better = at[share[at] > top[one[at]]]
+                                top[one[better]], mate[one[better]] = share[better], other[better]
+            some = np.flatnonzero(mate >= 0)
+            out.append(np.stack([ids[some], ids[mate[some]]], 1))
+            shares.append(top[some])
         pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        columns = [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *([pa.array(np.concatenate([*shares, np.zeros(0)]))] if best_only else [])]
+        return pa.RecordBatch.from_arrays(columns, ["a", "b", "share"][: len(columns)])
 
     return in_groups(("key", "p", "q"), block)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, num: int = 85, den: int = 100, block: int = 1024, crowd: int = 32, first_orders: int = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, num: int = 85, den: int = 100, block: int = 1024, cell: int = 128, crowd: int = 32, first_orders: int = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row; documents link at a Jaccard similarity of num / den or more.
 
     A row with a null or empty text has an empty set, links with nothing and is kept. A null doc_id has no component and is kept.
@@ -178,32 +204,50 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 85, den: int = 1
             return s.saved(rows.join(reps, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select("id", "n", "signature", "bits"), "nodes")
 
         nodes = as_nodes(signed)
-        sorted_ = _in_orders(nodes, depth, 0, min(first_orders, orders)).repartitionByRange("key", "tail", "id").sortWithinPartitions("key", "tail", "id")
-        tried = s.saved(sorted_.select("key", "id", "n").mapInArrow(_neighbours(num, den), "a long, b long").distinct(), "neighbours")
+        sorted_ = _in_orders(nodes, depth, 0, min(first_orders, orders), "bits").repartitionByRange("key", "tail", "id").sortWithinPartitions("key", "tail", "id")
+        tried = sorted_.select("key", "id", "n", "bits").mapInArrow(_neighbours(num, den), "a long, b long, share double").groupBy("b").agg(F.max_by("a", F.struct("share", "a")).alias("a"))
+        tried = s.saved(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "neighbours")
         links = verified(tried, docs, reps, s, width, num, den)
 
-        for level, (depth, orders) in enumerate(plan):
+        def confirmed(pairs: DataFrame) -> None:
+            nonlocal links, tried
+            fresh = s.saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+            links, tried = links.unionByName(verified(fresh, docs, reps, s, width, num, den)), tried.unionByName(fresh)
+
+        def labelled(rows: DataFrame) -> DataFrame:
             found = connected_components(links, s).withColumnRenamed("node", "id")
-            labelled = s.saved(nodes.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
-            rows = _in_orders(labelled, depth, 0, orders, "component").select("key", "id", "n", "component")
-            mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-            mixed = s.saved(mixed.select("key", "c"), "mixed")
-            rows = s.saved(rows.where(member_test(mixed.select(F.col("key").alias("v")), s)(F.col("key"))).join(mixed, "key"), "regions")
-            alike = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.sum(F.col("m") * F.col("m")).alias("alike"))
+            return s.saved(rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
+
+        def mixed(rows: DataFrame) -> DataFrame:
+            """Regions with several components and their sizes."""
+            return s.saved(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "c"), "mixed")
+
+        def traversed(rows: DataFrame, best_only: bool) -> DataFrame:
+            """rows (key, id, n, component, p, q, side)."""
+            dealt = rows.join(nodes.select("id", "bits"), "id").select("key", "p", "q", "side", "id", "n", "component", "bits").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "side", "n", "id")
+            return dealt.mapInArrow(_pairs(num, den, best_only), "a long, b long" + (", share double" if best_only else ""))
+
+        for level, (depth, orders) in enumerate(plan):
+            rows = _in_orders(labelled(nodes), depth, 0, orders, "component").select("key", "id", "n", "component")
+            several = mixed(rows)
+            rows = s.saved(rows.where(member_test(several.select(F.col("key").alias("v")), s)(F.col("key"))).join(several, "key"), "regions")
+            if level == 0:
+                at = F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("c") / cell))
+                found = traversed(rows.withColumns({"p": at, "q": at, "side": F.lit(0).cast("long")}), True)
+                confirmed(found.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b")))
+                rows = labelled(rows.drop("component", "c"))
+                rows = s.saved(rows.join(mixed(rows), "key"), "regions")
+            alike = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"), F.first("c").alias("c")).groupBy("key").agg(F.sum(F.col("m") * F.col("m")).alias("alike"), F.first("c").alias("c"))
             last = level == len(plan) - 1
-            full = alike.join(mixed, "key").where(F.lit(not last) & (F.col("c") * F.col("c") - F.col("alike") > 2 * crowd * F.col("c"))).select("key")
-            full = s.saved(full, "crowded")
+            full = s.saved(alike.where(F.lit(not last) & (F.col("c") * F.col("c") - F.col("alike") > 2 * crowd * F.col("c"))).select("key"), "crowded")
             ready = rows.join(full, "key", "left_anti").withColumn("rest", F.col("n"))
-            dealt = blocked(ready, num, den, block).join(labelled.select("id", "bits"), "id").select("key", "p", "q", "side", "id", "n", "component", "bits")
-            dealt = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "side", "n", "id")
-            pairs = dealt.mapInArrow(_pairs(num, den), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            pairs = s.saved(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-            links, tried = links.unionByName(verified(pairs, docs, reps, s, width, num, den)), tried.unionByName(pairs)
+            confirmed(traversed(blocked(ready, num, den, block), False))
             dense = s.saved(rows.join(full, "key", "left_semi").select("id").distinct(), "dense")
             if last or dense.isEmpty():
                 break
             deeper_depth, deeper_orders = plan[level + 1]
-            some = docs.join(reps.join(dense, "id", "left_semi").select("doc_id").distinct(), "doc_id", "left_semi")
+            wanted = member_test(reps.join(dense, "id", "left_semi").select(F.xxhash64("doc_id").alias("v")), s)
+            some = docs.where(F.col("doc_id").isNotNull() & wanted(F.xxhash64("doc_id")))  # a filter in the scan: texts aren't shuffled
             nodes = as_nodes(_signed(some, width, deeper_depth * deeper_orders, level + 1)).join(dense, "id", "left_semi")
 
         # A doc_id with several texts is one document: it ties the classes of all of them.
