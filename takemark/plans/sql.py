@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from takemark.functions.text import NUMBER, NUMBER_WORDS, STOPWORDS, SUFFIXES, TOKEN, WEAK
+from takemark.functions.text import NUMBER, NUMBER_WORDS, STOPWORDS, SUFFIXES, TOKEN, VOID_TAGS, WEAK
 from takemark.operators.forms import FASTEST, FIELDS, NOT_FOUND, RULES, SUBJECTS
 from takemark.operators.messages import BLANK, CLOSING, LABELS, OPENING, PLAIN, RULE, THANKS, UNKNOWN
 from takemark.plans.inputs import BEATS, PIECE, TYPES
@@ -306,3 +306,15 @@ ORACLES["q_worklist"] = f"""WITH {_DECISIONS}, l AS (
 SELECT o_orderpriority AS owner, count(*) AS shown, count(*) FILTER (coalesce(decision, '') = '') AS undecided FROM orders LEFT JOIN l ON id = o_orderkey WHERE o_orderstatus <> 'F' GROUP BY 1"""
 ORACLES["q_time_errors"] = """WITH e AS (SELECT l_returnflag, l_linenumber, abs(l_quantity - l_extendedprice / 1000) AS e FROM lineitem)
 SELECT l_returnflag, l_linenumber, count(e) AS n, CAST(floor(avg(e) * 1e3 + 0.5) AS BIGINT) AS mean, CAST(floor(median(e) * 1e3 + 0.5) AS BIGINT) AS median, CAST(floor(max(e) * 1e3 + 0.5) AS BIGINT) AS worst, count(*) FILTER (e <= 15) AS near FROM e GROUP BY ALL"""
+_TAG_PARTS = ", ".join(f"regexp_extract_all(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g'), '(?s)<(/?)([a-zA-Z0-9!]+)([^>]*?)(/?)>', {k}) AS g{k}" for k in (1, 2, 4))
+ORACLES["q_tag_balance"] = f"""WITH RECURSIVE parts AS (SELECT page_id, {_TAG_PARTS} FROM pages
+), tags AS (
+  SELECT page_id, list_filter(list_transform(range(1, len(g2) + 1), lambda i: CASE WHEN g4[i] = '/' OR lower(g2[i]) IN ({_list(VOID_TAGS)}) THEN NULL ELSE g1[i] || lower(g2[i]) END), lambda x: x IS NOT NULL) AS t FROM parts
+), walk AS (
+  SELECT page_id, t, 0 AS i, CAST([] AS VARCHAR[]) AS stack, CAST(NULL AS VARCHAR) AS wrong, CAST(NULL AS VARCHAR) AS expected FROM tags
+  UNION ALL
+  SELECT page_id, t, i + 1, CASE WHEN x[1] = '/' THEN stack[:len(stack) - 1] ELSE list_append(stack, x) END, CASE WHEN x[1] = '/' AND stack[-1] IS DISTINCT FROM x[2:] THEN x[2:] END, CASE WHEN x[1] = '/' AND stack[-1] IS DISTINCT FROM x[2:] THEN stack[-1] END
+  FROM (SELECT *, t[i + 1] AS x FROM walk WHERE i < len(t) AND wrong IS NULL)
+)
+SELECT page_id, CASE WHEN wrong IS NOT NULL THEN '</' || wrong || '> closes <' || coalesce(expected, 'nothing') || '>' WHEN len(stack) > 0 THEN 'not closed: <' || array_to_string(stack, '>, <') || '>' ELSE '' END AS told
+FROM walk WHERE wrong IS NOT NULL OR i = len(t)"""
