@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from takemark.functions.text import WEAK, claims, numerals, timecode, tokenize
 from takemark.operators.intervals import ranked
 from takemark.operators.vectors import TAKE
-from takemark.operators.verdicts import FINDINGS, finding
+from takemark.operators.verdicts import FINDINGS, filled, finding
 
 #: Asset types whose text is a label; actions by severity.
 LABEL_TYPES = ("lower_third", "caption", "chapter_marker", "title_card")
@@ -18,6 +18,19 @@ SUGGESTIONS = (
     "Lower third or caption if it introduces a named example",
     "Handout callout so the student materials cover it",
 )
+#: The sentences of findings and reasons, {} for what a row fills in.
+LINE_CONFLICT = 'On-screen text "{}" refers to {} — never said anywhere in this take.'
+LINE_UNSUPPORTED = 'On-screen text "{}" is not supported by the audio under it.'
+REASONS = {
+    "dead": "Every beat this depends on ({}) was not taught. Do not produce it.",
+    "orphaned": "Partly orphaned — {} was not taught, so the content this asset presents is no longer complete.",
+    "wrong": "On-screen content contradicts what was said on camera.",
+    "modified": "Depends on {}, whose substance changed in the take.",
+    "wording": "On-screen wording may no longer match the take — worth a read.",
+    "moved": "Content is unchanged but {} moved in the running order — reposition to {}.",
+    "kept": "Taught as planned. Bind to {}–{}.",
+    "new": "{} of unplanned teaching at {} with no graphic, chapter marker or handout coverage.",
+}
 GONE = ("SKIPPED", "MERGED")
 _ENUMERATED = "(?i)^\\s*(?:[0-9]+[.)]|lever\\s+[0-9]|step\\s+[0-9])"
 
@@ -29,8 +42,8 @@ def _line_findings(line: Column, spoken: Column, everywhere: Column, said: Colum
         missing = F.filter(c, lambda t: ~F.array_contains(spoken, t))
         never = F.filter(missing, lambda t: ~F.array_contains(everywhere, t))
         high = line.rlike(_ENUMERATED) | (asset_type == "quiz_item") | (F.size(never) > 1)
-        conflict = finding("ON_SCREEN_CONFLICT", F.concat(F.lit('On-screen text "'), line, F.lit('" refers to '), F.array_join(F.array_sort(never), ", "), F.lit(" — never said anywhere in this take.")), severity=F.when(high, "high").otherwise("low"))
-        unsupported = finding("ON_SCREEN_UNSUPPORTED", F.concat(F.lit('On-screen text "'), line, F.lit('" is not supported by the audio under it.')), severity=F.lit("low"))
+        conflict = finding("ON_SCREEN_CONFLICT", filled(LINE_CONFLICT, line, F.array_join(F.array_sort(never), ", ")), severity=F.when(high, "high").otherwise("low"))
+        unsupported = finding("ON_SCREEN_UNSUPPORTED", filled(LINE_UNSUPPORTED, line), severity=F.lit("low"))
         wrong = F.array_sort(F.array_except(claims(numerals(line)), said))
         number = finding("ON_SCREEN_NUMBER", F.concat(F.lit("On-screen figure "), F.array_join(wrong, ", "), F.lit(' in "'), line, F.lit('" is not the figure given on camera.')))
         words = F.when(F.size(never) > 0, conflict).when(F.size(missing) == F.size(c), unsupported)
@@ -63,23 +76,22 @@ def change_orders(assets: DataFrame, verdicts: DataFrame, added: DataFrame, segm
     lines = F.flatten(F.transform("on_screen_text", lambda x: _line_findings(x, F.col("spoken"), F.col("everywhere"), F.col("said"), F.col("asset_type"))))
     rows = rows.withColumn("conflicts", F.when(F.col("verify_text") & (F.size("spoken") > 0), lines.cast(FINDINGS)).otherwise(none))
     names = lambda c: F.array_join(c, ", ")
-    say = lambda *p: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in p))
     dead, orphaned, wrong = F.size("live") == 0, F.size("gone") > 0, F.exists("conflicts", lambda c: c["severity"] == "high")
     modified, any_, moved = F.size("modified") > 0, F.size("conflicts") > 0, F.size("moved") > 0
     action = F.when(dead, "KILL").when(orphaned | wrong | modified | any_, "REVISE").when(moved, "RETIME").otherwise("KEEP")
     reason = (
-        F.when(dead, say("Every beat this depends on (", names(F.col("depends_on")), ") was not taught. Do not produce it."))
-        .when(orphaned, say("Partly orphaned — ", names(F.col("gone")), " was not taught, so the content this asset presents is no longer complete."))
-        .when(wrong, F.lit("On-screen content contradicts what was said on camera."))
-        .when(modified, say("Depends on ", names(F.col("modified")), ", whose substance changed in the take."))
-        .when(any_, F.lit("On-screen wording may no longer match the take — worth a read."))
-        .when(moved, say("Content is unchanged but ", names(F.col("moved")), " moved in the running order — reposition to ", timecode(F.col("start")), "."))
-        .otherwise(say("Taught as planned. Bind to ", timecode(F.col("start")), "–", timecode(F.col("end")), "."))
+        F.when(dead, filled(REASONS["dead"], names(F.col("depends_on"))))
+        .when(orphaned, filled(REASONS["orphaned"], names(F.col("gone"))))
+        .when(wrong, F.lit(REASONS["wrong"]))
+        .when(modified, filled(REASONS["modified"], names(F.col("modified"))))
+        .when(any_, F.lit(REASONS["wording"]))
+        .when(moved, filled(REASONS["moved"], names(F.col("moved")), timecode(F.col("start"))))
+        .otherwise(filled(REASONS["kept"], timecode(F.col("start")), timecode(F.col("end"))))
     )
     orders = rows.select(*TAKE, "asset_id", "asset_title", "asset_type", "owner", action.alias("action"), reason.alias("reason"), F.col("depends_on").alias("beat_ids"), "start", "end", "conflicts", F.array().cast("array<string>").alias("suggested_text"))
     new = added.select(
         *TAKE, F.col("id").alias("asset_id"), F.col("title").alias("asset_title"), F.lit("unplanned_content").alias("asset_type"), F.lit("Producer").alias("owner"), F.lit("CREATE").alias("action"),
-        say(timecode(F.col("end") - F.col("start")), " of unplanned teaching at ", timecode(F.col("start")), " with no graphic, chapter marker or handout coverage.").alias("reason"),
+        filled(REASONS["new"], timecode(F.col("end") - F.col("start")), timecode(F.col("start"))).alias("reason"),
         F.array().cast("array<string>").alias("beat_ids"), "start", "end", none.alias("conflicts"), F.array(*map(F.lit, SUGGESTIONS)).alias("suggested_text"),
     )
     severity = F.element_at(F.create_map(*(F.lit(x) for kv in SEVERITY.items() for x in kv)), F.col("action"))

@@ -13,6 +13,26 @@ from takemark.operators.vectors import TAKE
 TAUGHT, MOVED, MODIFIED, SKIPPED, MERGED = "TAUGHT", "MOVED", "MODIFIED", "SKIPPED", "MERGED"
 FINDINGS = "array<struct<kind:string,detail:string,evidence:string,severity:string>>"
 
+#: The sentences of findings and summaries, {} for what a row fills in.
+SENTENCES = {
+    "REORDERED": "Planned in position {} of the written order; taught out of sequence, {}.",
+    "NUMERIC_DRIFT": "Plan states {} — not said on camera.",
+    "COVERAGE_LOW": "Only {}% of the planned language appears in the take.",
+    "DURATION_DRIFT": "Planned {}, ran {} ({}x).",
+    "MERGED_INTO": "Not taught as its own beat — the material appears inside {} ({}).",
+    "NOT_TAUGHT": "Planned beat never appears on camera.",
+    "after": "after {}",
+    "first": "at the top of the lesson",
+    "folded": "Folded into {}. Downstream assets that treat this as a separate item need rework.",
+    "absent": "No passage in the transcript covers this beat.",
+}
+
+
+def filled(sentence: str, *values: Column) -> Column:
+    """The sentence with values in place of its {}; null if one is null."""
+    first, *rest = sentence.split("{}")
+    return F.concat(F.lit(first), *(x for v, part in zip(values, rest, strict=True) for x in (v.cast("string"), F.lit(part))))
+
 
 def finding(kind: str, detail: Column, evidence: Column | None = None, severity: Column | None = None) -> Column:
     return F.struct(F.lit(kind).alias("kind"), detail.alias("detail"), (F.lit("") if evidence is None else evidence).alias("evidence"), (F.lit("high") if severity is None else severity).alias("severity"))
@@ -61,27 +81,27 @@ def verdicts(alignment: Alignment, rows: DataFrame | None = None) -> DataFrame:
     each = each.withColumn("spoken", F.when(lo.isNotNull(), _spoken(lo, hi))).withColumn("start", F.get(segs, lo)["start"]).withColumn("end", F.get(segs, hi)["end"])
     host_beat = F.get(F.col("beats"), -F.col("host.neg"))
     merged = F.coalesce(F.col("host.share") >= s.merge_overlap, F.lit(False))
-    after = F.when(F.col("moved.has"), F.concat(F.lit("after "), F.get(F.col("beats"), F.get(F.col("tape"), F.col("moved.after_at")))["beat_id"])).otherwise(F.lit("at the top of the lesson"))
-    reordered = F.when(F.col("moved").isNotNull(), finding("REORDERED", F.concat(F.lit("Planned in position "), F.col("beat.beat_idx") + 1, F.lit(" of the written order; taught out of sequence, "), after, F.lit("."))))
+    after = F.when(F.col("moved.has"), filled(SENTENCES["after"], F.get(F.col("beats"), F.get(F.col("tape"), F.col("moved.after_at")))["beat_id"])).otherwise(F.lit(SENTENCES["first"]))
+    reordered = F.when(F.col("moved").isNotNull(), finding("REORDERED", filled(SENTENCES["REORDERED"], F.col("beat.beat_idx") + 1, after)))
     missing = F.array_sort(claims(F.array_except(numerals(F.col("beat.body")), numerals(F.col("spoken")))))
     each = each.withColumn("missing", F.when(lo.isNotNull(), missing)).withColumn("coverage", F.when(lo.isNotNull() & (F.size("beat.tokens") > 0), F.size(F.array_intersect("beat.tokens", tokenize(F.col("spoken")))) / F.size(F.array_distinct("beat.tokens"))))
-    numeric = F.when(F.size("missing") > 0, finding("NUMERIC_DRIFT", F.concat(F.lit("Plan states "), F.array_join("missing", ", "), F.lit(" — not said on camera.")), F.substring("spoken", 1, 240)))
-    low = F.when(F.col("coverage") < s.coverage_floor, finding("COVERAGE_LOW", F.concat(F.lit("Only "), F.bround(F.col("coverage") * 100).cast("int"), F.lit("% of the planned language appears in the take."))))
+    numeric = F.when(F.size("missing") > 0, finding("NUMERIC_DRIFT", filled(SENTENCES["NUMERIC_DRIFT"], F.array_join("missing", ", ")), F.substring("spoken", 1, 240)))
+    low = F.when(F.col("coverage") < s.coverage_floor, finding("COVERAGE_LOW", filled(SENTENCES["COVERAGE_LOW"], F.bround(F.col("coverage") * 100).cast("int"))))
     ran = F.col("end") - F.col("start")
     ratio = ran / F.col("beat.est_seconds")
-    off = F.when((F.col("beat.est_seconds") != 0) & (ran != 0) & ((ratio >= 1.6) | (ratio <= 0.5)), finding("DURATION_DRIFT", F.concat(F.lit("Planned "), timecode(F.col("beat.est_seconds")), F.lit(", ran "), timecode(ran), F.lit(" ("), F.format_string("%.1f", half_even(ratio, 1)), F.lit("x)."))))
+    off = F.when((F.col("beat.est_seconds") != 0) & (ran != 0) & ((ratio >= 1.6) | (ratio <= 0.5)), finding("DURATION_DRIFT", filled(SENTENCES["DURATION_DRIFT"], timecode(F.col("beat.est_seconds")), timecode(ran), F.format_string("%.1f", half_even(ratio, 1)))))
     placed = some(reordered, numeric, low, off)
-    absent = F.when(merged, some(finding("MERGED_INTO", F.concat(F.lit("Not taught as its own beat — the material appears inside "), host_beat["beat_id"], F.lit(" ("), host_beat["title"], F.lit(").")))))
-    absent = absent.otherwise(some(finding("NOT_TAUGHT", F.lit("Planned beat never appears on camera."))))
+    absent = F.when(merged, some(finding("MERGED_INTO", filled(SENTENCES["MERGED_INTO"], host_beat["beat_id"], host_beat["title"]))))
+    absent = absent.otherwise(some(finding("NOT_TAUGHT", F.lit(SENTENCES["NOT_TAUGHT"]))))
     changed = (F.size("missing") > 0) | F.coalesce(F.col("coverage") < s.coverage_floor, F.lit(False))
     status = F.when(lo.isNull(), F.when(merged, MERGED).otherwise(SKIPPED)).when(F.col("moved").isNotNull(), MOVED).when(changed, MODIFIED).otherwise(TAUGHT)
     sure = F.least(F.lit(0.97), 0.35 + 0.5 * F.least(F.lit(1.0), F.col("span.mean_sim") / 0.16) + 0.15 * F.least(F.lit(1.0), (hi - lo + 1) / 6.0))
     unsure = F.greatest(F.lit(0.4), F.least(F.lit(0.95), 0.95 - F.col("peak") * 3.0))
-    folded = F.concat(F.lit("Folded into "), host_beat["beat_id"], F.lit(". Downstream assets that treat this as a separate item need rework."))
+    folded = filled(SENTENCES["folded"], host_beat["beat_id"])
     return each.select(
         *TAKE, F.col("beat.beat_idx").alias("beat_idx"), F.col("beat.beat_id").alias("beat_id"), status.alias("status"), "actual_order", "start", "end", lo.alias("lo"), hi.alias("hi"),
         half_even(F.when(lo.isNull(), unsure).otherwise(sure), 2).alias("confidence"),
-        F.when(lo.isNotNull(), F.substring("spoken", 1, 400)).when(merged, folded).otherwise(F.lit("No passage in the transcript covers this beat.")).alias("summary"),
+        F.when(lo.isNotNull(), F.substring("spoken", 1, 400)).when(merged, folded).otherwise(F.lit(SENTENCES["absent"])).alias("summary"),
         F.when(lo.isNull(), absent).otherwise(placed).alias("findings"),
     )
 
