@@ -130,3 +130,19 @@ def as_of(rows: DataFrame, key: str, at: str, changes: DataFrame, change_at: str
     met = left.where(F.col("_k").isNotNull() & F.col("_t").isNotNull()).unionByName(right).withColumn("_last", F.last("_new", True).over(before)).where("_side = 1")
     free = left.where(F.col("_k").isNull() | F.col("_t").isNull()).withColumn("_last", F.col("_new"))
     return met.unionByName(free).select("_row.*", F.col("_last.v").alias(value))
+
+
+def menu(pages: DataFrame, group: list[str], before: str, title: str, url: str) -> DataFrame:
+    """(group, position, kind, title, target): the items of each group's menu.
+
+    pages: group, slug, title, order, nav, and id, null for a page that doesn't exist. Pages with nav that exist stand one after
+    their order; right in front of the page with the slug ``before`` stands a link. A null nav is no.
+    """
+    shown = pages.where(F.coalesce("nav", F.lit(False)) & F.col("id").isNotNull())
+    page = F.struct((F.col("order") + 1).alias("position"), F.lit("page").alias("kind"), F.col("title").alias("title"), F.col("id").cast("string").alias("target"))
+    link = F.struct(F.col("order").alias("position"), F.lit("link").alias("kind"), F.lit(title).alias("title"), F.lit(url).alias("target"))
+    both = F.when(F.col("slug") == before, F.array(link.cast(_ITEM), page.cast(_ITEM))).otherwise(F.array(page.cast(_ITEM)))
+    return shown.select(*group, F.explode(both).alias("_i")).select(*group, "_i.*")
+
+
+_ITEM = "struct<position:long,kind:string,title:string,target:string>"

@@ -13,6 +13,8 @@ BEATS = 8
 #: Asset types and owners, dealt in turn.
 TYPES = ("chapter_marker", "handout_section", "quiz_item", "list_build", "lower_third", "stat_card", "caption", "full_frame")
 OWNERS = ("Curriculum", "Design", "Edit")
+#: The page in front of which menus link to the news.
+NEWS_BEFORE = "nation_12"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -467,6 +467,16 @@ def q_time_errors(spark, d):
     return found.select("l_returnflag", "l_linenumber", "n", *map(thousandths, ("mean", "median", "worst")), "near")
 
 
+def q_menu(spark, d):
+    """A menu per region: nations with suppliers are its pages, those with more than one customer in a hundred are shown, and the news stand before one of them."""
+    people = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("c"))
+    known = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.min("s_suppkey").alias("id"))
+    total = people.where("n_nationkey is not null").agg(F.sum("c").alias("total"))  # one row
+    rows = table(spark, d, "nation").join(people, "n_nationkey", "left").join(known, "n_nationkey", "left").crossJoin(F.broadcast(total))
+    pages = rows.select("n_regionkey", F.lower("n_name").alias("slug"), F.col("n_name").alias("title"), (F.col("n_nationkey") * 10).alias("order"), (F.col("c") * 100 > F.col("total")).alias("nav"), "id")
+    return site.menu(pages, ["n_regionkey"], inputs.NEWS_BEFORE, "お知らせ", "/news/")
+
+
 def q_nav(spark, d):
     """Pages that the menu shows, in its order."""
     place = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_name"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from takemark.functions.text import NUMBER, NUMBER_WORDS, STOPWORDS, SUFFIXES, TOKEN, VOID_TAGS, WEAK
 from takemark.operators.forms import FASTEST, FIELDS, NOT_FOUND, RULES, SUBJECTS
 from takemark.operators.messages import BLANK, CLOSING, LABELS, OPENING, PLAIN, RULE, THANKS, UNKNOWN
-from takemark.plans.inputs import BEATS, PIECE, TYPES
+from takemark.plans.inputs import BEATS, NEWS_BEFORE, PIECE, TYPES
 
 
 def _list(values) -> str:
@@ -318,3 +318,8 @@ ORACLES["q_tag_balance"] = f"""WITH RECURSIVE parts AS (SELECT page_id, {_TAG_PA
 )
 SELECT page_id, CASE WHEN wrong IS NOT NULL THEN '</' || wrong || '> closes <' || coalesce(expected, 'nothing') || '>' WHEN len(stack) > 0 THEN 'not closed: <' || array_to_string(stack, '>, <') || '>' ELSE '' END AS told
 FROM walk WHERE wrong IS NOT NULL OR i = len(t)"""
+ORACLES["q_menu"] = f"""WITH p AS (
+  SELECT n_regionkey, lower(n_name) AS slug, n_name AS title, CAST(n_nationkey * 10 AS BIGINT) AS place, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) * 100 > (SELECT count(*) FROM customer WHERE c_nationkey IS NOT NULL) AS nav,
+    (SELECT min(s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey) AS id FROM nation
+), s AS (SELECT * FROM p WHERE nav AND id IS NOT NULL)
+SELECT n_regionkey, place + 1 AS position, 'page' AS kind, title, CAST(id AS VARCHAR) AS target FROM s UNION ALL SELECT n_regionkey, place, 'link', 'お知らせ', '/news/' FROM s WHERE slug = '{NEWS_BEFORE}'"""

@@ -66,3 +66,10 @@ def test_engines():
     assert engines.engine("local") and engines.engine("model")
     with pytest.raises(ValueError):
         engines.engine("other")
+
+
+def test_menu(spark):
+    rows = [(1, "about", "About", 10, True, 5), (1, "quality", "Quality", 20, True, 6), (1, "gone", "Gone", 30, True, None), (1, "hidden", "Hidden", 40, False, 7), (1, "odd", "Odd", 50, None, 8)]
+    pages = spark.createDataFrame(rows, "site int, slug string, title string, `order` int, nav boolean, id int")
+    got = site.menu(pages, ["site"], "quality", "News", "/news/").orderBy("position").collect()
+    assert [tuple(r) for r in got] == [(1, 11, "page", "About", "5"), (1, 20, "link", "News", "/news/"), (1, 21, "page", "Quality", "6")]
