@@ -2,13 +2,20 @@
 
 Every rule rejects a document whose rate lies above (or below) a cutoff. The
 cutoffs aren't set by hand. Documents that labels call good are the holdout. A setting is a
-cutoff or none for every rule; k of the n good documents of a stratum (language) would be
-rejected by any of its rules. By the exact binomial (Clopper-Pearson) bound the true
-false-rejection rate of the whole setting is at most ``risk`` with confidence 1 - d exactly when
-P(Binomial(n, risk) <= k) <= d. With d = ``error`` / (number of settings * number of strata), all
-certified settings hold at once (Bonferroni), however they are searched. In each stratum the rules
-tighten in turn, from the loosest cutoffs on; a rule stops where its next one isn't certified
-together with the others as they are by then.
+cutoff or none for every rule. The settings form one sequence that is fixed before any data is
+seen: from none on, the rules take their next stricter cutoff in turn, so that each setting rejects
+all that the one before it does. k of the n good documents of a stratum (language) are rejected by
+any rule of a setting. By the exact binomial (Clopper-Pearson) bound the true false-rejection
+rate of the whole setting is at most ``risk`` with confidence 1 - d exactly when
+P(Binomial(n, risk) <= k) <= d. Settings are tested in order up to the first failure, so each test of
+a sequence may use all of d (fixed-sequence testing); over sequences the error is
+split: d = ``error`` / (number of sequences).
+
+A stratum with enough good documents that a setting without any rejection could be certified at
+``error`` / (strata + 1) has a sequence of its own. All good documents together have one more.
+Smaller strata, and those without good documents, use the setting of that one, whose bound is
+for the corpus as a whole, no further than where it would reject more than ``risk`` of their own good documents.
+Which strata are small follows from their counts alone.
 
 Cases: a null text is empty; null lang is a stratum of its own; label rows with
 null or repeated ids count once per id (good only if every one of its labels is
@@ -18,8 +25,8 @@ columns are ignored; repeated documents give repeated rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from math import prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +34,6 @@ from pyspark.sql import functions as F
 from takemark.llm.common import let, saved, words_of
 
 SYMBOLS = "#*$%&|<>"
-_POS_BITS = 20
-_POS_MASK = (1 << _POS_BITS) - 1
 
 
 @dataclass(frozen=True)
@@ -57,30 +62,31 @@ def _repeated(words: Column) -> Column:
     """How many words lie in three-word windows that occur twice or more in the text."""
     n_windows = F.size(words) - 2
 
-    def window_hash(i: Column) -> Column:
-        return F.xxhash64(words[i], words[i + 1], words[i + 2])
-
     def same_words(a: Column, b: Column) -> Column:
         return (F.get(words, a) == F.get(words, b)) & (F.get(words, a + 1) == F.get(words, b + 1)) & (F.get(words, a + 2) == F.get(words, b + 2))
 
-    def position(x: Column) -> Column:
-        return x.bitwiseAND(F.lit(_POS_MASK)).cast("int")
-
-    # A window is one long: the upper bits of its hash above its position, so that sorting longs brings like windows together.
-    packed = F.sort_array(F.transform(F.sequence(F.lit(0), n_windows - 1), lambda i: window_hash(i).bitwiseAND(F.lit(~_POS_MASK)).bitwiseOR(i.cast("long"))))
+    def repeated(mask: Column) -> Column:
+        """Positions of windows that occur again; mask has as many bits as the text's positions need."""
+        place = lambda x: x.bitwiseAND(mask).cast("int")
+        upper = lambda x: x.bitwiseAND(F.bitwise_not(mask))
 
-    def twins(a: Column, b: Column) -> Column:
-        return F.coalesce((F.shiftright(a, _POS_BITS) == F.shiftright(b, _POS_BITS)) & same_words(position(a), position(b)), F.lit(False))
+        # A window is one long: the upper bits of its hash above its position, so that sorting longs brings like windows together.
+        def packed(i: Column) -> Column:
+            return upper(F.xxhash64(words[i], words[i + 1], words[i + 2])).bitwiseOR(i.cast("long"))
 
-    short = let(packed, lambda s: F.transform(F.filter(s, lambda x, j: twins(x, F.get(s, j - 1)) | twins(x, F.get(s, j + 1))), position))
-    # Texts with more windows than positions have bits: the same with a struct for each window.
-    pairs = F.sort_array(F.transform(F.sequence(F.lit(0), n_windows - 1), lambda i: F.struct(window_hash(i).alias("h"), i.alias("p"))))
+        def again(s: Column, x: Column, j: Column) -> Column:
+            near = [F.get(s, j - 1), F.get(s, j + 1)]
+            alike = [F.coalesce(upper(x) == upper(y), F.lit(False)) for y in near]
+            twin = [a & same_words(place(x), place(y)) for a, y in zip(alike, near)]
+            # Next to another window with the same bits, its like may be further off: all are searched.
+            far = F.exists(s, lambda y: (upper(x) == upper(y)) & (x != y) & same_words(place(x), place(y)))
+            return F.when(~alike[0] & ~alike[1], False).when(twin[0] | twin[1], True).otherwise(far)
 
-    def alike(a: Column, b: Column) -> Column:
-        return F.coalesce(a["h"] == b["h"], F.lit(False))
+        windows = F.sort_array(F.transform(F.sequence(F.lit(0), n_windows - 1), packed))
+        return let(windows, lambda s: F.transform(F.filter(s, lambda x, j: again(s, x, j)), place))
 
-    long = let(pairs, lambda s: F.transform(F.filter(s, lambda x, j: alike(x, F.get(s, j - 1)) | alike(x, F.get(s, j + 1))), lambda x: x["p"]))
-    found = F.sort_array(F.when(n_windows <= _POS_MASK, short).otherwise(long))
+    bits = F.length(F.bin(n_windows.cast("long")))
+    found = F.sort_array(let(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1, repeated))
     covered = let(found, lambda f: F.aggregate(F.transform(f, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(f, j + 1) - x, F.lit(3)))), F.lit(0).cast("long"), lambda a, b: a + b))
     return F.when(n_windows < 2, F.lit(0).cast("long")).otherwise(covered)
 
@@ -135,49 +141,68 @@ def _rejects(rule: Rule, cutoff: Column) -> Column:
     return rule.sign * (rule.scale * F.col(rule.numerator) - cutoff * F.col(rule.denominator)) > 0
 
 
+def sequence(rules: tuple[Rule, ...] = RULES) -> list[tuple[int, int]]:
+    """(rule, place of its cutoff) by which each setting differs from the one before: loosest cutoffs first, rules in turn."""
+    return [(q, i) for i in reversed(range(max(len(r.cutoffs) for r in rules))) for q, r in enumerate(rules) if i < len(r.cutoffs)]
+
+
+def _with_cutoffs(found: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(stratum, cutoffs) from (stratum, depth), the number of settings that hold."""
+    steps = sequence(rules)
+
+    def cutoff(q: int, r: Rule) -> Column:
+        by_depth = [r.cutoffs[min((i for p, i in steps[:depth] if p == q), default=0)] if any(p == q for p, _ in steps[:depth]) else None for depth in range(len(steps) + 1)]
+        return F.get(F.array(*(F.lit(c).cast("int") for c in by_depth)), F.col("depth")).alias(f"cut_{r.name}")
+
+    return found.select("stratum", "pooled", *(cutoff(q, r) for q, r in enumerate(rules)))
+
+
 def certified_cutoffs(holdout: DataFrame, risk: float = 0.01, error: float = 0.05, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per stratum, a column per rule: its cutoff in the certified setting, or null.
+    """One row per stratum, a column per rule: its cutoff in the last setting that holds, or null.
 
-    holdout: measures of good documents that passed the base rules, with ``stratum``.
+    holdout: measures of good documents that passed the base rules, with ``stratum``. The row with ``pooled``
+    holds the setting of all of them together, for strata that the holdout lacks.
     """
-    # How many of a rule's cutoffs reject: cutoffs are nested, so those from that place on don't.
-    place = [sum((_rejects(r, F.lit(c)).cast("int") for c in r.cutoffs), F.lit(0)).alias(f"_p{q}") for q, r in enumerate(rules)]
-    cells = holdout.select("stratum", *place).groupBy("stratum", *(f"_p{q}" for q in range(len(rules)))).agg(F.count(F.lit(1)).alias("c"))
-    # At most one cell per combination of places, so the size of a row here doesn't follow the input.
-    strata = cells.groupBy("stratum").agg(F.sum("c").alias("n"), F.collect_list(F.struct(F.array(*(f"_p{q}" for q in range(len(rules)))).alias("places"), "c")).alias("cells"))
-    strata = strata.crossJoin(strata.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n_strata")))  # one row on the right
-    level = F.lit(error) / (F.col("n_strata") * float(prod(len(r.cutoffs) + 1 for r in rules)))
-
-    def rejected(setting: Column) -> Column:
-        def hit(cell: Column) -> Column:
-            return F.exists(F.zip_with(cell["places"], setting, lambda p, s: p > s), lambda x: x)
-
-        return F.aggregate("cells", F.lit(0).cast("long"), lambda a, x: a + F.when(hit(x), x["c"]).otherwise(F.lit(0).cast("long")))
-
-    def tighten(setting: Column, step: Column) -> Column:
-        tried = F.transform(setting, lambda s, q: F.when((q == step["q"]) & (s == step["place"] + 1), step["place"]).otherwise(s))
-        certified = let(rejected(tried), lambda k: binomial_tail(k, F.col("n"), risk) <= level)
-        return F.when(certified, tried).otherwise(setting)
-
-    steps = [(i, q) for i in reversed(range(max(len(r.cutoffs) for r in rules))) for q, r in enumerate(rules) if i < len(r.cutoffs)]
-    walk = F.aggregate(
-        F.array(*(F.struct(F.lit(i).alias("place"), F.lit(q).alias("q")) for i, q in steps)),
-        F.array(*(F.lit(len(r.cutoffs)) for r in rules)),
-        tighten,
-    )
-    found = strata.select("stratum", walk.alias("setting"))
-    return found.select("stratum", *(F.get(F.array(*(F.lit(c) for c in r.cutoffs)), F.col("setting")[q]).alias(f"cut_{r.name}") for q, r in enumerate(rules)))
+    steps = sequence(rules)
+    # The first setting that rejects a document; all later ones do, too.
+    first = F.coalesce(*(F.when(_rejects(rules[q], F.lit(rules[q].cutoffs[i])), j) for j, (q, i) in enumerate(steps)), F.lit(-1))
+    rejected = [F.sum(F.col("_first").between(0, j).cast("long")).alias(f"k{j}") for j in range(len(steps))]
+    places = [f"k{j}" for j in range(len(steps))]
+    strata = holdout.select("stratum", first.alias("_first")).groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *rejected).withColumn("pooled", F.lit(False))
+    total = strata.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", *places)), F.count(F.lit(1)).alias("_s"))
+    return _settled(strata, total, places, risk, error, rules)
+
+
+def _settled(strata: DataFrame, total: DataFrame, places: list[str], risk: float, error: float, rules: tuple[Rule, ...]) -> DataFrame:
+    """Cutoffs by stratum from the counts of rejected good documents per setting."""
+    own = F.pow(F.lit(1 - risk), F.col("n")) <= F.lit(error) / (F.col("_s") + 1)
+    sized = strata.crossJoin(total.select("_s")).withColumn("own", own)  # one row on the right
+    level = F.lit(error) / (F.col("_m") + 1)
+    m = sized.agg(F.coalesce(F.sum(F.col("own").cast("long")), F.lit(0)).alias("_m"))
+
+    def depth(holds: Callable[[Column], Column]) -> Column:
+        """How many settings hold, in order; counts rise along the sequence, so those that hold come first."""
+        return F.size(F.filter(F.array(*places), holds))
+
+    certified = depth(lambda k: binomial_tail(k, F.col("n"), risk) <= level)
+    pool = total.crossJoin(m).select(certified.alias("_pool"), "_m")  # one row on either side
+    harmless = depth(lambda k: k <= risk * F.col("n"))
+    each = sized.crossJoin(pool).select("stratum", "pooled", F.when(F.col("own"), certified).otherwise(F.least(F.col("_pool"), harmless)).alias("depth"))
+    return _with_cutoffs(each.unionByName(pool.select(F.lit(None).cast("string").alias("stratum"), F.lit(True).alias("pooled"), F.col("_pool").alias("depth"))), rules)
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", stratum: str = "lang", risk: float = 0.01, error: float = 0.05, rules: tuple[Rule, ...] = RULES, broadcast_rows: int = 10_000) -> DataFrame:
     """Measures of every document, base_failed and kept (base rules, then the certified cutoffs)."""
-    rows = saved(measures(docs.select(F.col(id_col), F.col(text), F.col(stratum).alias("stratum")), text).drop(text), "rules")
+    rows = saved(measures(docs.select(F.col(id_col), F.col(text), F.col(stratum).cast("string").alias("stratum")), text).drop(text), "rules")
     good = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_q")).where("_q = 1")
     cuts = saved(certified_cutoffs(rows.where(~F.col("base_failed")).join(good, F.col(id_col) == F.col("_id"), "left_semi"), risk, error, rules), "cutoffs")
     small = cuts.count() <= broadcast_rows  # strata are few as a rule; many of them are joined by a shuffle
-    cuts = cuts.withColumnRenamed("stratum", "_stratum")
-    met = rows.join(F.broadcast(cuts) if small else cuts, F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
+    names = [f"cut_{r.name}" for r in rules]
+    by_stratum = cuts.where("not pooled").select(F.col("stratum").alias("_stratum"), F.lit(True).alias("_known"), *names)
+    pool = cuts.where("pooled").select(*(F.col(c).alias(f"_pool_{c}") for c in names))
+    met = rows.join(F.broadcast(by_stratum) if small else by_stratum, F.col("stratum").eqNullSafe(F.col("_stratum")), "left").crossJoin(F.broadcast(pool))  # one row
     failed = F.lit(False)
     for r in rules:
-        failed = failed | F.coalesce(_rejects(r, F.col(f"cut_{r.name}")), F.lit(False))
-    return met.withColumn("kept", ~F.col("base_failed") & ~failed).drop("_stratum", *(f"cut_{r.name}" for r in rules))
+        cutoff = F.when(F.col("_known"), F.col(f"cut_{r.name}")).otherwise(F.col(f"_pool_cut_{r.name}"))
+        failed = failed | F.coalesce(_rejects(r, cutoff), F.lit(False))
+    return met.withColumn("kept", ~F.col("base_failed") & ~failed).drop("_stratum", "_known", *names, *(f"_pool_{c}" for c in names))

@@ -70,6 +70,74 @@ def test_quality_rules_bound_the_union(spark):
     assert used and lost <= 0.01 * len(rows)
 
 
+def _brute_settings(good, risk=0.01, error=0.05):
+    """Cutoffs per stratum (and None of the pool) in plain Python; good: (stratum, measures)."""
+    from math import comb
+
+    tail = lambda k, n: 1.0 if n == 0 or k > n * risk else sum(comb(n, i) * risk**i * (1 - risk) ** (n - i) for i in range(k + 1))
+    rejects = lambda r, c, x: r.sign * (r.scale * x[r.numerator] - c * x[r.denominator]) > 0
+    settings = [{}]
+    for place in range(7, -1, -1):
+        for r in quality_rules.RULES:
+            settings.append(settings[-1] | {r: r.cutoffs[place]})
+    by = {}
+    for stratum, x in good:
+        by.setdefault(stratum, []).append(x)
+    large = {v for v, xs in by.items() if (1 - risk) ** len(xs) <= error / (len(by) + 1)}
+    level = error / (len(large) + 1)
+
+    def walk(xs, holds):
+        now = settings[0]
+        for setting in settings[1:]:
+            if not holds(sum(any(rejects(r, c, x) for r, c in setting.items()) for x in xs), len(xs)):
+                break
+            now = setting
+        return now
+
+    certified = lambda k, n: tail(k, n) <= level
+    pool = walk([x for xs in by.values() for x in xs], certified)
+    found = {v: walk(xs, certified) if v in large else min(pool, walk(xs, lambda k, n: k <= risk * n), key=settings.index) for v, xs in by.items()}
+    return found, pool, rejects
+
+
+def test_quality_rules_against_brute_force(spark):
+    rng = random.Random(5)
+
+    def text(lang, good):
+        words = [f"{lang}{rng.randrange(4000)}" for _ in range(rng.randrange(40, 70))]
+        if rng.random() < (0.004 if good else 0.5):
+            words[: rng.choice([5, 40])] = ["#" * rng.choice([1, 3])] * 5
+        if not good and rng.random() < 0.5:
+            words += [words[-1]] * rng.randrange(3, 40)
+        return " ".join(words)
+
+    sizes = {"en": 1300, "de": 700, "fr": 150, None: 20}
+    rows = [(v, text(v, i % 10 < 8), int(i % 10 < 8)) for v, n in sizes.items() for i in range(n)] + [("it", text("it", False), None)] * 2
+    docs = spark.createDataFrame([(i, t, v) for i, (v, t, _) in enumerate(rows)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, q) for i, (_, _, q) in enumerate(rows)], "doc_id long, quality int")
+    got = quality_rules.apply_rules(docs, labels).collect()
+    assert len(got) == len(rows)
+    good = [(r.stratum, r) for r in got if rows[r.doc_id][2] == 1 and not r.base_failed]
+    settings, pool, rejects = _brute_settings(good)
+    assert settings["en"] and settings["de"]
+    for r in got:
+        assert r.kept == (not r.base_failed and not any(rejects(q, c, r) for q, c in settings.get(r.stratum, pool).items()))
+    assert any(not r.kept and not r.base_failed for r in got)
+
+
+def test_quality_rules_risk_holds(spark):
+    """Many strata whose true rates are known: settings that lose more than the risk are certified seldom enough."""
+    rng = np.random.default_rng(3)
+    plain = {"n_words": 100, "n_repeat_words": 0, "n_dup_lines": 0, "n_lines": 10, "word_chars": 500}
+    names = ["stratum", "n_symbols", *plain]
+    rows = []
+    for run in range(40):
+        # The loosest cutoff of symbols loses 1.1 % in truth, more than the risk of 1 %.
+        rows += [(f"s{run}", 150 if bad else 0, *plain.values()) for bad in rng.random(1200) < 0.011]
+    cuts = quality_rules.certified_cutoffs(spark.createDataFrame(rows, "stratum string, " + ", ".join(f"{c} long" for c in names[1:]))).where("not pooled").collect()
+    assert len(cuts) == 40 and sum(c.cut_symbols is not None for c in cuts) == 0
+
+
 def test_quality_rules_edges(edges, labels, nothing):
     assert quality_rules.apply_rules(edges, labels).count() == edges.count()
     assert quality_rules.apply_rules(nothing, labels).count() == 0
