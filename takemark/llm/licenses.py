@@ -3,7 +3,9 @@
 A unit of text is a whole document, one of its paragraphs (runs of lines that aren't blank) or one of its lines. A unit is normalised (case,
 punctuation, copyright lines, equivalent spellings), hashed, and joined by equality
 to the digests of known licence texts. There is no partial or fuzzy matching: a
-unit matches when all of it is a known text.
+unit matches when all of it is a known text. Inside a longer document, a known text of several paragraphs
+matches where all of them follow each other; one of them alone, which other licences may share, says nothing.
+Of the long licences only digests of their published files are kept.
 
 Cases: null and empty texts have no units; repeated rows give repeated counts; a
 null doc_id is kept as it is; extra columns are ignored.
@@ -113,17 +115,35 @@ You should have received a copy of the GNU General Public License along with thi
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     ),
 )
-#: A paragraph of a complete text is known by itself from so many characters on, if no other licence has it too.
-_PARAGRAPH = 200
+#: SHA-256 of the canonical complete texts of long licences, as published.
+DIGESTS = (
+    ("Apache-2.0", "24b1148fba3fab26629dbb442fb2e2c6528ccd4dec8b3683ec180689d9c34831"),
+    ("Artistic-1.0-Perl", "05c96b8e63213b4f15a737fd0299a0bb13a0f48d798fd9dd0bc233e1d52b483a"),
+    ("BSD-3-Clause", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),
+    ("CC0-1.0", "df66a4bde110f717d64b1a02b0cd37d0e073acaa972cca9ec6bbfb7cd273db98"),
+    ("GFDL-1.2", "b40e2ec1ca73eb52792fd5d91539ecc14dac3e18f35807d88914ffacded126ec"),
+    ("GFDL-1.3", "6a1f61b487e2a10d2d4ab03efee8131f2607187649d3f7fad06644809a153f78"),
+    ("GPL-1.0", "f402a08de837977cc02f0ecd7d0b41559f7fdcd9e6c7bd75f47eba75638c0c38"),
+    ("GPL-2.0", "eef2fdcac2df173b049fab1b5ff8a38873af8e73a43af9f8ed6cc7fea23d58cb"),
+    ("GPL-3.0", "41d85be030bfff7e3c3a07e62a568c32c18572987b44ae8a074dc74d10451106"),
+    ("LGPL-2.0", "d5e1cd1a7f88b88f1bae975a3aa0c2fa48039a9e1a44285b4cfe63a83cf7f3d0"),
+    ("LGPL-2.1", "f771e727a00c5247ab8b4e074c9a61e583518f8d7805074d391b18ce584f06d0"),
+    ("LGPL-3.0", "9f541b239899814e09b617e6ebf4633f2d9e91a9463fb74125633e1b687eca9e"),
+    ("MPL-1.1", "db2c68e9ed485d27ab6db05089216c47e8ba5a12b9fa1e85694e84139a872302"),
+    ("MPL-2.0", "10e5c11a1e75b721e76579dcffeb8294317680015851e3986b7738c57c26635c"),
+)
+#: No published text of these is longer, nor is any without the word "license" outside of "licensed under".
+_LONGEST_FILE = 40_000
 
 
-def known_texts(notices=NOTICES, texts=TEXTS) -> list[tuple[str, str]]:
-    """(license, text): notices, complete texts, and the longer paragraphs of these that one licence alone has."""
-    parts = {(name, x) for name, text in texts for x in text.split("\n\n") if len(x) >= _PARAGRAPH and x != text}
-    owners: dict[str, set[str]] = {}
-    for name, x in parts:
-        owners.setdefault(x, set()).add(name)
-    return [*notices, *texts, *sorted(p for p in parts if len(owners[p[1]]) == 1)]
+def blocks(texts=TEXTS) -> list[tuple[str, list[str]]]:
+    """(license, paragraphs) of texts with several paragraphs, without those that contain another block of their licence."""
+    found = sorted({(name, tuple(text.split("\n\n"))) for name, text in texts if "\n\n" in text}, key=lambda x: (len(x[1]), x))
+    out: list[tuple[str, tuple[str, ...]]] = []
+    for name, parts in found:
+        if not any(n == name and parts[i : i + len(p)] == p for n, p in out for i in range(len(parts) - len(p) + 1)):
+            out.append((name, parts))
+    return [(name, list(parts)) for name, parts in out]
 
 
 #: Spellings that count as equal, as (pattern over normalised text, canonical form).
@@ -170,43 +190,62 @@ def canonical(text: Column) -> Column:
     return _unified(F.array_join(F.array_remove(_plain_lines(text), ""), " "))
 
 
-def known_digests(spark, known: list[tuple[str, str]]) -> DataFrame:
-    """(digest, license): one row per known text; the list is a parameter of the driver, so its size is bounded."""
-    rows = spark.createDataFrame(known, "license string, notice string")
-    return rows.select(F.sha2(canonical(F.col("notice")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+def known_digests(spark, notices=NOTICES, texts=TEXTS, digests=DIGESTS) -> DataFrame:
+    """(digest, license, block, position, length): whole known texts as block -1, and the paragraphs of blocks.
+
+    The lists are parameters of the driver, so their size is bounded.
+    """
+    rows = [(name, x, -1, 0, 1) for name, x in (*notices, *texts)]
+    rows += [(name, x, i, j, len(parts)) for i, (name, parts) in enumerate(blocks(texts)) for j, x in enumerate(parts)]
+    stated = spark.createDataFrame(rows, "license string, notice string, block int, position int, length int").withColumn("digest", F.sha2(canonical(F.col("notice")), 256))
+    listed = spark.createDataFrame([(name, d, -1, 0, 1) for name, d in digests], "license string, digest string, block int, position int, length int")
+    return stated.select("digest", "license", "block", "position", "length").unionByName(listed).groupBy("digest", "block", "position", "length").agg(F.min("license").alias("license"))
 
 
-def scan(docs: DataFrame, notices=NOTICES, texts=TEXTS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, notices=NOTICES, texts=TEXTS, id_col: str = "doc_id", text: str = "text", digests=DIGESTS) -> DataFrame:
     """Rows (id, license, scope, n_units, first_unit): licences that whole units of a document state.
 
-    scope is "document" (first_unit 0), "paragraph" or "line" (first_unit counts them from 0). A
-    unit so long that no spelling rule could bring it down to the longest known text
-    can't match; it is dropped after the plain normalisation, before the spellings.
+    scope is "document" (first_unit 0), "paragraph" (one, or as many in a row as the known text has) or "line"
+    (first_unit counts them from 0). A unit so long that no spelling rule could bring it down to the longest known
+    text can't match; it is dropped after the plain normalisation, before the spellings.
     """
-    listed = known_texts(notices, texts)
-    known = known_digests(docs.sparkSession, listed)
-    longest = _SHRINK * max([0, *(len(x) for _, x in listed)])
+    known = known_digests(docs.sparkSession, notices, texts, digests)
+    longest = _SHRINK * max([0, *(len(x) for _, x in (*notices, *texts))])
     unit = lambda scope, i, x: F.struct(F.lit(scope).alias("scope"), i.alias("unit"), x.alias("plain"))
     lines = F.transform(F.col("lines"), lambda x, i: unit("line", i, x))
     paragraphs = F.transform(F.split(F.array_join("lines", "\n"), "\n{2,}", -1), lambda x, i: unit("paragraph", i, F.trim(F.translate(x, "\n", " "))))
-    # A unit of one line is a line, and a document of one paragraph is a document.
-    paragraphs = F.filter(paragraphs, lambda u: ~F.array_contains(F.col("lines"), u["plain"]))
     whole = F.array(unit("document", F.lit(0), F.array_join(F.array_remove("lines", ""), " ")))
+
+    def scoped(u: Column) -> Column:
+        # A paragraph of one line is a line, and one that is all of a document is a document; both are still parts of blocks.
+        seen = F.array_contains(F.col("lines"), u["plain"]) | (u["plain"] == whole[0]["plain"])
+        return F.struct(F.when(seen, "part").otherwise(u["scope"]).alias("scope"), u["unit"].alias("unit"), u["plain"].alias("plain"))
+
+    def may_match(u: Column) -> Column:
+        size = F.length(u["plain"])
+        return size.between(1, longest) | ((size <= _SHRINK * _LONGEST_FILE) & (u["scope"] == "document") & u["plain"].contains("licen"))
+
     # explode_outer: from explode() Spark infers a filter that would normalise every text again.
-    fits = F.filter(F.concat(whole, F.filter(paragraphs, lambda u: u["plain"] != whole[0]["plain"]), lines), lambda u: F.length(u["plain"]).between(1, longest))
-    parts = docs.where(F.col(text).isNotNull()).select(F.col(id_col), _plain_lines(F.col(text)).alias("lines"))
-    units = parts.select(id_col, F.explode_outer(fits).alias("u")).select(id_col, "u.scope", "u.unit", F.sha2(_unified(F.col("u.plain")), 256).alias("digest"))
+    fits = F.filter(F.concat(whole, F.transform(paragraphs, scoped), lines), may_match)
+    parts = docs.where(F.col(text).isNotNull()).select(F.col(id_col), F.xxhash64(text).alias("_text"), _plain_lines(F.col(text)).alias("lines"))
+    units = parts.select(id_col, "_text", F.explode_outer(fits).alias("u")).select(id_col, "_text", "u.scope", "u.unit", F.sha2(_unified(F.col("u.plain")), 256).alias("digest"))
+    in_block = F.col("block") >= 0
+    met = units.join(F.broadcast(known), "digest").where(F.when(in_block, F.col("scope").isin("paragraph", "part")).otherwise(F.col("scope") != "part"))
+    met = met.select(id_col, "_text", F.when(in_block, "paragraph").otherwise(F.col("scope")).alias("scope"), "license", "block", "length", "position", (F.col("unit") - F.col("position")).alias("start"))
+    # Copies of a row meet in one group, each with all of the block's paragraphs or none.
+    runs = met.groupBy(id_col, "_text", "scope", "license", "block", "length", "start").agg(F.count(F.lit(1)).alias("c"), F.size(F.collect_set("position")).alias("places"))
     return (
-        units.join(F.broadcast(known), "digest")
+        runs.where("places = length")
         .groupBy(id_col, "license", "scope")
-        .agg(F.count(F.lit(1)).alias("n_units"), F.min("unit").cast("long").alias("first_unit"))
+        .agg(F.sum(F.expr("c div length")).alias("n_units"), F.min("start").cast("long").alias("first_unit"))
     )
 
 
-def oracle_sql(notices=NOTICES, texts=TEXTS) -> str:
+def oracle_sql(notices=NOTICES, texts=TEXTS, digests=DIGESTS) -> str:
     """DuckDB SQL for scan over documents."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    listed = known_texts(notices, texts)
+    listed = [(name, x, -1, 0, 1) for name, x in (*notices, *texts)] + [(name, x, i, j, len(parts)) for i, (name, parts) in enumerate(blocks(texts)) for j, x in enumerate(parts)]
+    longest = _SHRINK * max(len(x) for _, x, *_ in listed)
 
     def unified(x: str) -> str:
         out = x
@@ -216,18 +255,24 @@ def oracle_sql(notices=NOTICES, texts=TEXTS) -> str:
 
     plain = "trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
     copyright_line = "'(?i)^[^a-z0-9]*(copyright|\\(c\\)|©|all rights reserved)'"
-    known = " UNION ALL ".join(f"SELECT {quoted(name)} AS license, {plain.format(x=quoted(notice))} AS p" for name, notice in listed)
-    return f"""WITH known AS (SELECT min(license) AS license, c FROM (SELECT license, {unified('p')} AS c FROM ({known})) GROUP BY c
+    known = " UNION ALL ".join(f"SELECT {quoted(name)} AS license, {plain.format(x=quoted(notice))} AS p, {i} AS block, {j} AS position, {n} AS length" for name, notice, i, j, n in listed)
+    files = " UNION ALL ".join(f"SELECT {quoted(name)} AS license, {quoted(d)} AS digest, -1 AS block, 0 AS position, 1 AS length" for name, d in digests)
+    return f"""WITH stated AS (SELECT license, sha256({unified('p')}) AS digest, block, position, length FROM ({known}) UNION ALL {files}
+), known AS (SELECT digest, block, position, length, min(license) AS license FROM stated GROUP BY ALL
 ), parts AS (
-  SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: CASE WHEN regexp_matches(x, {copyright_line}) THEN '' ELSE {plain.format(x='x')} END) AS lines
+  SELECT doc_id, hash(text) AS h, list_transform(string_split(text, chr(10)), lambda x: CASE WHEN regexp_matches(x, {copyright_line}) THEN '' ELSE {plain.format(x='x')} END) AS lines
   FROM documents WHERE text IS NOT NULL
 ), whole AS (
-  SELECT doc_id, lines, array_to_string(list_filter(lines, lambda x: x <> ''), ' ') AS d, string_split_regex(array_to_string(lines, chr(10)), '\\n{{2,}}') AS paragraphs FROM parts
+  SELECT doc_id, h, lines, array_to_string(list_filter(lines, lambda x: x <> ''), ' ') AS d, string_split_regex(array_to_string(lines, chr(10)), '\\n{{2,}}') AS paragraphs FROM parts
 ), units AS (
-  SELECT doc_id, 'line' AS scope, unnest(lines) AS p, unnest(range(len(lines))) AS unit FROM whole
-  UNION ALL SELECT doc_id, 'document', d, 0 FROM whole
-  UNION ALL SELECT doc_id, 'paragraph', p, unit FROM (SELECT doc_id, lines, d, trim(replace(unnest(paragraphs), chr(10), ' ')) AS p, unnest(range(len(paragraphs))) AS unit FROM whole) WHERE p <> d AND NOT list_contains(lines, p)
+  SELECT doc_id, h, 'line' AS scope, unnest(lines) AS p, unnest(range(len(lines))) AS unit FROM whole
+  UNION ALL SELECT doc_id, h, 'document', d, 0 FROM whole
+  UNION ALL SELECT doc_id, h, CASE WHEN p = d OR list_contains(lines, p) THEN 'part' ELSE 'paragraph' END, p, unit FROM (SELECT doc_id, h, lines, d, trim(replace(unnest(paragraphs), chr(10), ' ')) AS p, unnest(range(len(paragraphs))) AS unit FROM whole)
+), met AS (
+  SELECT doc_id, h, CASE WHEN block >= 0 THEN 'paragraph' ELSE scope END AS scope, license, block, length, position, unit - position AS start
+  FROM (SELECT doc_id, h, scope, unit, sha256({unified('p')}) AS digest FROM units WHERE length(p) BETWEEN 1 AND {longest} OR scope = 'document' AND length(p) <= {_SHRINK * _LONGEST_FILE} AND contains(p, 'licen')) u JOIN known USING (digest)
+  WHERE CASE WHEN block >= 0 THEN scope IN ('paragraph', 'part') ELSE scope <> 'part' END
+), runs AS (
+  SELECT doc_id, scope, license, length, start, count(*) AS c FROM met GROUP BY doc_id, h, scope, license, block, length, start HAVING count(DISTINCT position) = length
 )
-SELECT doc_id, license, scope, count(*) AS n_units, min(unit) AS first_unit
-FROM (SELECT doc_id, scope, unit, {unified('p')} AS c FROM units WHERE length(p) BETWEEN 1 AND {_SHRINK * max(len(x) for _, x in listed)}) u JOIN known USING (c)
-GROUP BY ALL"""
+SELECT doc_id, license, scope, CAST(sum(c // length) AS BIGINT) AS n_units, min(start) AS first_unit FROM runs GROUP BY doc_id, license, scope"""

@@ -162,6 +162,37 @@ def test_licenses_complete_texts(spark):
     assert {(1, "MIT", "document"), (2, "MIT", "document"), (2, "MIT", "paragraph"), (3, "Apache-2.0", "paragraph"), (None, "MIT", "document")} <= got and not {x for x in got if x[0] == 3 and x[1] != "Apache-2.0"}
 
 
+def test_licenses_blocks(spark):
+    """A run of paragraphs is evidence, one that licences share is not; repeated rows count, rows of one id don't mix."""
+    header = dict(licenses.TEXTS)["GPL-3.0-or-later"].split("\n\n")
+    mit = licenses.blocks()[[n for n, _ in licenses.blocks()].index("MIT")][1]
+    rows = [
+        (1, "code\n\n" + "\n\n".join(header) + "\n\ncode"),
+        (2, header[1] + "\n\nother terms\n\n" + header[2]),
+        (3, "\n\n".join(reversed(header))),
+        *[(4, "a\n\n" + "\n\n".join(mit) + "\n\n" + "\n\n".join(mit))] * 2,
+        (5, "a\n\n" + header[0] + "\n\n" + header[1]),
+        (5, "a\n\nb\n\nc\n\n" + header[2]),
+    ]
+    got = {tuple(r) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, "GPL-3.0-or-later", "paragraph", 1, 1), (4, "MIT", "paragraph", 4, 1)}
+
+
+def test_licenses_published_files(spark):
+    """Published files, where the system has them, each give their own document row and no other licence."""
+    from pathlib import Path
+
+    names = {"GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3"}
+    files = [(i, n, Path("/usr/share/common-licenses", f)) for i, (f, n) in enumerate(names.items())]
+    rows = [(i, f.read_text()) for i, _, f in files if f.exists()] + [(99, "no licence here")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    documents = {(r.doc_id, r.license, r.n_units) for r in got if r.scope == "document"}
+    assert documents == {(i, n, 1) for i, n, f in files if f.exists()}
+    # Some files quote their own notice, and it may name "or later"; none names another family.
+    family = {i: n.rsplit("-", 1)[0] for i, n, _ in files}
+    assert all(family[r.doc_id] in r.license for r in got)
+
+
 def test_pii_base(spark):
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
