@@ -13,6 +13,10 @@ null doc_id is kept as it is; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,6 +150,28 @@ def blocks(texts=TEXTS) -> list[tuple[str, list[str]]]:
     return [(name, list(parts)) for name, parts in out]
 
 
+#: Words that spelling rules read or write, and how many words before or after one of these a rule may take with it.
+_TOUCHED = re.compile("licen|v$|v[0-9]|version|under$|non|commercial|copyright|owner|holder|sub|favou?r")
+_REACH = 4
+
+
+def marks(texts=TEXTS) -> list[str]:
+    """For each block the longest run of its words that no spelling rule touches: every text with the block has it as it is."""
+    out = set()
+    for _, parts in blocks(texts):
+        runs = []
+        for x in parts:
+            run: list[str] = []
+            for word in [*re.sub("[\\W_]+", " ", x.lower()).split(), "license"]:
+                if _TOUCHED.match(word):
+                    runs.append(" ".join(run[_REACH:-_REACH]))
+                    run = []
+                else:
+                    run.append(word)
+        out.add(max(runs, key=len))
+    return sorted(out)
+
+
 #: Spellings that count as equal, as (pattern over normalised text, canonical form).
 SPELLINGS = (
     ("\\blicence", "license"),
@@ -226,8 +252,11 @@ def scan(docs: DataFrame, notices=NOTICES, texts=TEXTS, id_col: str = "doc_id",
         return size.between(1, longest) | ((size <= _SHRINK * _LONGEST_FILE) & (u["scope"] == "document") & u["plain"].contains("licen"))
 
     # explode_outer: from explode() Spark infers a filter that would normalise every text again.
-    fits = F.filter(F.concat(whole, F.transform(paragraphs, scoped), lines), may_match)
+    fits = F.filter(F.concat(whole, F.filter(F.transform(paragraphs, scoped), lambda u: (u["scope"] != "part") | F.col("marked")), lines), may_match)
     parts = docs.where(F.col(text).isNotNull()).select(F.col(id_col), F.xxhash64(text).alias("_text"), _plain_lines(F.col(text)).alias("lines"))
+    # Lines that are paragraphs are read as such, too, only where a block may be.
+    joined = F.array_join("lines", " ")
+    parts = parts.withColumn("marked", reduce(or_, (joined.contains(m) for m in marks(texts)), F.lit(False)))
     units = parts.select(id_col, "_text", F.explode_outer(fits).alias("u")).select(id_col, "_text", "u.scope", "u.unit", F.sha2(_unified(F.col("u.plain")), 256).alias("digest"))
     in_block = F.col("block") >= 0
     met = units.join(F.broadcast(known), "digest").where(F.when(in_block, F.col("scope").isin("paragraph", "part")).otherwise(F.col("scope") != "part"))
