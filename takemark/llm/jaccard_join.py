@@ -168,16 +168,17 @@ def _signed(docs: DataFrame, order: Broadcast, width: int, num: int, den: int) -
 
 
 def _buckets(nodes: DataFrame, s: Scratch) -> DataFrame:
-    """(key, id, n, rest): the members of all buckets of two or more; those with the same members are one, under their smallest key."""
-    keyed = nodes.select("id", F.explode("keys").alias("key"))
-    same = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("id").bitwiseAND(F.lit((1 << 40) - 1))).alias("members"), F.sum(F.xxhash64("id", F.lit(1)).bitwiseAND(F.lit((1 << 40) - 1))).alias("again")).where("c > 1")
-    same = s.saved(same, "same")
+    """(key, id, n, rest): the members of all buckets of two or more; those with the same members are one, under a hash of them.
+
+    Members meet in one shuffle by key; nothing of them passes through the driver.
+    """
+    keyed = nodes.select("id", "n", F.posexplode("keys").alias("place", "key")).select("key", "id", "n", (F.col("n") - F.col("place")).alias("rest"))
+    by_key = Window.partitionBy("key")
+    sums = [F.sum(F.xxhash64("id", *salt).bitwiseAND(F.lit((1 << 40) - 1))).over(by_key) for salt in ((), (F.lit(1),))]
+    shared = keyed.withColumns({"c": F.count(F.lit(1)).over(by_key), "members": sums[0], "again": sums[1]}).where("c > 1")
     # Should two sets of members agree in count and sums, their bucket is their union, so no pair is lost.
-    kept = same.groupBy("c", "members", "again").agg(F.min("key").alias("one"))
-    mapped = s.saved(same.join(kept, ["c", "members", "again"]).select("key", "one"), "mapped")
-    test = member_test(mapped.select(F.col("key").alias("v")), s, bits=26)
-    near = nodes.select("id", "n", F.posexplode("keys").alias("place", "key")).where(test(F.col("key"))).select("key", "id", "n", (F.col("n") - F.col("place")).alias("rest"))
-    return s.saved(near.join(mapped, "key").groupBy(F.col("one").alias("key"), "id").agg(F.first("n").alias("n"), F.max("rest").alias("rest")), "buckets")
+    named = shared.select(F.xxhash64("c", "members", "again").alias("key"), "id", "n", "rest")
+    return s.saved(named.groupBy("key", "id").agg(F.first("n").alias("n"), F.max("rest").alias("rest")), "buckets")
 
 
 def _cells(rows: DataFrame, block: int) -> DataFrame:

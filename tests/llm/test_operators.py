@@ -428,6 +428,28 @@ def test_jaccard_join(spark, num, block):
     assert got == brute_components(rows, 4, num)
 
 
+def test_jaccard_join_buckets_pass_no_filter_through_the_driver(spark, monkeypatch):
+    """An array of 8 MB as a scalar subquery went into the closure of every task: dedup took more than 1500 MB of the driver."""
+    monkeypatch.setattr(jaccard_join, "member_test", lambda *_, **__: pytest.fail("a filter that the driver collects"))
+    draw = random.Random(5)
+    nodes = [(i, 50 + i, draw.sample(range(60), 12)) for i in range(40)] + [(100, 30, [1000, 1001, 1002, 1003]), (101, 31, [1001, 1003, 1000])]
+    members: dict[int, dict[int, int]] = {}
+    for i, n, keys in nodes:
+        for place, key in enumerate(keys):
+            members.setdefault(key, {})[i] = n - place
+    expected: dict[frozenset, dict[int, int]] = {}
+    for rests in members.values():
+        if len(rests) > 1:
+            one = expected.setdefault(frozenset(rests), rests)
+            one |= {i: max(one[i], r) for i, r in rests.items()}
+    with Scratch(spark) as s:
+        got: dict[int, dict[int, int]] = {}
+        for r in jaccard_join._buckets(spark.createDataFrame(nodes, "id long, n long, keys array<long>"), s).collect():
+            assert r.n == next(n for i, n, _ in nodes if i == r.id)
+            got.setdefault(r.key, {})[r.id] = r.rest
+    assert sorted(map(sorted, (x.items() for x in got.values()))) == sorted(map(sorted, (x.items() for x in expected.values())))
+
+
 def test_jaccard_join_edges(edges, nothing):
     got = jaccard_join.near_duplicates(edges).collect()
     assert len(got) == edges.count() and [r.component_id for r in got if r.doc_id is None] == [None]
