@@ -17,6 +17,7 @@ from __future__ import annotations
 import itertools
 import json
 import os
+import re
 import zlib
 from array import array
 from collections import Counter
@@ -46,23 +47,42 @@ def _splits_words(tokenizer) -> bool:
     return bool(apart) and any(x and x["type"] == "Lowercase" for x in steps) and s["post_processor"] is None
 
 
+#: Lower-cased Latin letters that are their own normal form, then ASCII marks but apostrophes: two words to such a tokenizer.
+_PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+#: The characters by which a byte-level model knows bytes that have no visible ones of their own.
+_BYTE_CHARS = dict(zip([*range(33), *range(127, 161), 173], range(256, 324)))
+
+
+def _bytes_only(tokenizer) -> bool:
+    """Whether what _PLAIN matches reaches the model as its two parts, byte by byte and otherwise unchanged."""
+    s = json.loads(tokenizer.to_str())
+    steps = (s["normalizer"] or {}).get("normalizers", [s["normalizer"]])
+    cuts = (s["pre_tokenizer"] or {}).get("pretokenizers", [s["pre_tokenizer"]])
+    known = all(x and (x["type"] in ("NFC", "Lowercase") or x["type"] == "Replace" and x["pattern"] == {"Regex": "\\s+"}) for x in steps)
+    return known and len(cuts) == 2 and cuts[1]["type"] == "ByteLevel" and not cuts[1]["add_prefix_space"] and not cuts[1].get("use_regex", True)
+
+
 def text_encoder(path: str, cache_words: int = 120_000):
-    """list of UTF-8 texts -> list of packed little-endian uint32 ids, equal to the tokenizer's on the whole texts.
+    """Arrow array of texts -> list of packed little-endian uint32 ids, equal to the tokenizer's on the whole texts; a null text has none.
 
     Where the tokenizer's own settings say that it lower-cases and never joins across a blank nor a
-    letter to a mark, the ids of a text are those of its parts in a row. Parts seen before come from a cache of bounded size;
-    the new parts of all texts are encoded together and told apart by their offsets. Any other
-    tokenizer gets whole texts.
+    letter to a mark, the ids of a text are those of its parts in a row. Arrow numbers the different parts of all texts.
+    Parts seen before come from a cache of bounded size; new ones of letters and marks go to the model as they are, others
+    are encoded together and told apart by their offsets. Any other tokenizer gets whole texts.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     if not _splits_words(tokenizer):
-        return lambda texts: [np.asarray(tokenizer.encode(x.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
-    special = [x.content.encode() for x in tokenizer.get_added_tokens_decoder().values()]
+        return lambda texts: [np.asarray(tokenizer.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in texts.to_pylist()]
+    special = [pc.ascii_lower(x.content).as_py() for x in tokenizer.get_added_tokens_decoder().values()]
     caches = _CACHES.setdefault(path, [{b"": b""}, {}])
-    model = tokenizer.model
+    tokenize, plain = tokenizer.model.tokenize, _PLAIN if _bytes_only(tokenizer) else lambda _: None
+
+    def word(x: bytes) -> bytes:
+        chars = x.decode() if x.isascii() else x.decode("latin-1").translate(_BYTE_CHARS)
+        return array("I", [token.id for token in tokenize(chars)]).tobytes()
 
     def fill(cache: dict[bytes, bytes], parts: list[bytes]) -> None:
         texts = [x.decode("utf-8") for x in parts]
@@ -73,32 +93,65 @@ def text_encoder(path: str, cache_words: int = 120_000):
         cuts = [0, *(4 * np.searchsorted(at, ends)).tolist()]
         cache.update(zip(parts, map(ids.__getitem__, map(slice, cuts[:-1], cuts[1:]))))
 
-    def encode(texts: list[bytes]) -> list[bytes]:
-        # A special token has a case, so texts with one keep theirs.
-        rows = [(x if any(token in x for token in special) else x.lower()).replace(b"\n", b" ").split(b" ") for x in texts]
-        words = set().union(*rows)
+    def ids_of(words: list[bytes]) -> list[bytes]:
         if len(caches[0]) > cache_words:
             caches[:] = [{b"": b""}, caches[0]]
         cache, before = caches
-        missing = words.difference(cache)
-        if missing:
-            cache.update((x, before[x]) for x in missing if x in before)
-            missing = missing.difference(before)
-            # "word." is "word" and "."
-            marked = [x for x in missing if x[-1:] in (b".", b",") and x[-2:-1].isalpha()]
-            bare = [*{x[:-1] for x in marked}.union({b".", b","} if marked else (), missing.difference(marked)).difference(cache)]
-            # A run of ASCII letters is one word to the tokenizer, which its normaliser leaves as it is.
-            cache.update((x, array("I", [token.id for token in model.tokenize(x.decode())]).tobytes()) for x in bare if x.isalpha())
-            other = [x for x in bare if not x.isalpha()]
+        known = [*map(cache.get, words)]
+        if None in known:
+            other = []
+            for x, ids in zip(words, known, strict=True):
+                if ids is not None:
+                    continue
+                ids = before.get(x)
+                if ids is None:
+                    found = plain(x)
+                    if not found:
+                        other.append(x)
+                        continue
+                    head, marks = found.groups()
+                    if marks:
+                        for part in (head, marks):
+                            if part not in cache:
+                                cache[part] = before.get(part) or word(part)
+                        ids = cache[head] + cache[marks]
+                    else:
+                        ids = word(x)
+                cache[x] = ids
             for k in range(0, len(other), 2000):
                 fill(cache, other[k : k + 2000])
-            cache.update((x, cache[x[:-1]] + cache[x[-1:]]) for x in marked)
-        return [b"".join(map(cache.__getitem__, row)) for row in rows]
+            known = [*map(cache.__getitem__, words)]
+        return known
+
+    def encode(texts: pa.Array) -> list[bytes]:
+        if not len(texts):
+            return []
+        texts = texts.cast(pa.string()).fill_null("")
+        lower = pc.ascii_lower(texts)
+        kept = lower
+        for token in special:  # it has a case, so texts with one, in any case, keep theirs
+            kept = pc.if_else(pc.match_substring(lower, token), texts, kept)
+        rows = pc.split_pattern(pc.replace_substring(kept, "\n", " "), " ")
+        numbered = rows.flatten().dictionary_encode()
+        words = numbered.dictionary.cast(pa.binary())
+        _, bounds, data = words.buffers()
+        at = np.frombuffer(bounds, np.int32)[words.offset : words.offset + len(words) + 1].tolist()
+        ids = ids_of([*map((data.to_pybytes() if data else b"").__getitem__, map(slice, at[:-1], at[1:]))])
+        # The ids of all different words stand in a row; each word of the texts takes its own from there.
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        number = numbered.indices.to_numpy(zero_copy_only=False)
+        n = sizes[number]
+        ends = np.cumsum(n)
+        place = np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[number] - (ends - n), n)
+        flat = np.frombuffer(b"".join(ids), "<u4")[place].tobytes()
+        offsets = rows.offsets.to_numpy()
+        cuts = (4 * np.append(0, ends)[offsets - offsets[0]]).tolist()
+        return [*map(flat.__getitem__, map(slice, cuts[:-1], cuts[1:]))]
 
     return encode
 
 
-def _shares(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def _shares(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most`` bytes of text."""
     sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0), np.int64))
     cuts = np.flatnonzero(np.diff(sizes // most, prepend=-1))
@@ -115,8 +168,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for some in _shares(batch):
-                texts = some.column(1).cast(pa.binary()).fill_null(b"").to_pylist()
-                for doc, ids in zip(some.column(0).to_pylist(), encode(texts), strict=True):
+                for doc, ids in zip(some.column(0).to_pylist(), encode(some.column(1)), strict=True):
                     data = memoryview(ids + end)
                     for k in range(0, len(data), width):
                         part = data[k : k + width]

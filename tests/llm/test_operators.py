@@ -308,6 +308,25 @@ def test_tokens_equal_the_tokenizer(spark):
     assert max(at.values()) <= 2048
 
 
+def test_text_encoder_equals_the_tokenizer_on_mixed_words(monkeypatch):
+    """Words of a text with a special token keep their case until the tokenizer lower-cases them ("Hello" got the ids of no word)."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    draw = random.Random(9)
+    parts = ["hello", "World", "éße", "Éa", "o\u0301", "ñ", "ÿ÷×", "straße", "x'", "'s", ".", ",,", "!!", "&%", "12", "–", "Σ", "日本", "\t", "\xa0", "\xad", "a\u0308", "<|", "|>", "İ", "-", "_", "\x7f", "\0", "º", "<|ENDOFTEXT|>"]
+    words = ["".join(draw.choices(parts, k=draw.randint(1, 4))) for _ in range(3000)]
+    texts = ["Hello <|endoftext|> World, Été", None, "", "\n", "plain words, ÄÖ äö."]
+    texts += [" ".join(draw.choices(words, k=draw.randint(1, 60))) + draw.choice(["", "\n", " <|endoftext|>B c"]) for _ in range(400)]
+    monkeypatch.setattr(packing, "_CACHES", {})
+    encode, tokenizer = packing.text_encoder(path, 500), Tokenizer.from_file(path)
+    expect = [np.asarray(tokenizer.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert encode(pa.array(texts, pa.string()).slice(0, 0)) == []
+    for k in (1, 7, len(texts)):
+        assert [x for i in range(0, len(texts), k) for x in encode(pa.array(texts, pa.string()).slice(i, k))] == expect
+
+
 def test_local_search_empties_bins():
     rng = random.Random(4)
     lengths = sorted((rng.randint(300, 1400) for _ in range(400)), reverse=True)
