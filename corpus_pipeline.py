@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from takemark.llm import jaccard_join, mixing, packing, pii, quality_gam
-from takemark.llm.common import saved, table
+from takemark.llm.common import Scratch, member_test, saved, table
 
 THRESHOLD = 0.7
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -32,8 +32,12 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = jaccard_join.near_duplicates(docs, width=5, num=80, den=100)
-    dropped = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    s = Scratch(spark)  # its two small tables stay, since the result reads them
+    dropped = s.saved(found.where("component_id <> doc_id").select("doc_id").distinct(), "dropped")
+    # Most texts stay where they are: a filter of fixed size in the scan leaves few for the exact join.
+    asked = F.coalesce(member_test(dropped.select(F.xxhash64("doc_id").alias("v")), s)(F.xxhash64("doc_id")), F.lit(False))
+    kept = docs.where(~asked).select(*COLUMNS)
+    return kept.unionByName(docs.where(asked).join(dropped, "doc_id", "left_anti").select(*COLUMNS))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

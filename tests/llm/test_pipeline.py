@@ -51,6 +51,20 @@ def test_classify_keeps_what_the_model_scores_high(spark, made):
     assert texts(made["classify"]) == [r for r, s in zip(rows, scores) if s >= 0.7]
 
 
+def test_dedup_shuffles_no_text_of_documents_that_stay(spark, monkeypatch):
+    """The texts that meet the ids to drop are few, whatever the size of that table; null ids, repeated ids and ids to drop are exact."""
+    found = spark.range(0, 5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 50 == 7, F.col("id") - 1).otherwise(F.col("id")).alias("component_id"))
+    monkeypatch.setattr(corpus_pipeline.jaccard_join, "near_duplicates", lambda *_, **__: found)
+    text = F.concat(F.lit("text "), F.col("doc_id"))
+    docs = spark.range(0, 5000).select(F.when(F.col("id") != 3, F.col("id")).alias("doc_id")).select("doc_id", text.alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    docs = saved(docs.unionByName(docs.where("doc_id in (7, 8)")), "docs")
+    kept = corpus_pipeline.dedup(spark, docs, SF)
+    below = kept._jdf.queryExecution().optimizedPlan().toString().partition("Join LeftAnti")[2]
+    assert "scalar-subquery" in below  # the filter stands under the join
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert got == Counter((r.doc_id, r.text) for r in docs.collect() if r.doc_id is None or r.doc_id % 50 != 7)
+
+
 def test_dedup_against_brute_force(made):
     """Every pair of documents is compared; the first of each component stays, with its own text."""
     rows = {i: r for r in texts(made["classify"]) for i in [r[0]]}
