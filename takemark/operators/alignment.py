@@ -1,8 +1,6 @@
 """Aligns planned beats with recorded segments, for all takes in one job.
 
-Similarities are relational (see vectors). What is sequential by definition (greedy
-claims, absorption, boundary slides, longest increasing runs) is a fold over the
-arrays of one take, in higher-order functions.
+A take is one row, which meets the beats of its lesson once; all else is computed from that row (see takes).
 """
 
 from __future__ import annotations
@@ -10,11 +8,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from takemark.functions.text import tokenize
-from takemark.operators import vectors
+from takemark.operators import takes
 from takemark.operators.vectors import TAKE
 from takemark.storage import saved
 
@@ -38,178 +36,70 @@ class Settings:
     merge_overlap: float = 0.5
 
 
-def let(value: Column, body) -> Column:
-    return F.transform(F.array(value), body)[0]
+SEGS = "array<struct<seg_idx:int,start:double,end:double,text:string>>"
 
 
-def upto(n: Column) -> Column:
-    """0 to n - 1; nothing for 0."""
-    return F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+def packed(segments: DataFrame) -> DataFrame:
+    """(take, segs): a row per take, its segments in order. Segments that are packed already stay as they are."""
+    if "segs" in segments.columns:
+        return segments.select(*TAKE, F.col("segs").cast(SEGS).alias("segs"))
+    return saved(segments.groupBy(*TAKE).agg(F.sort_array(F.collect_list(F.struct(F.col("seg_idx").cast("int").alias("seg_idx"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), "text"))).alias("segs")), "takes")
 
 
 class Alignment:
     """The DataFrames of one alignment run. beats: lesson_id, beat_idx, beat_id, title, body,
-    est_seconds. segments: lesson_id, take_id, seg_idx, start, end, text. Indexes are dense from 0.
+    est_seconds. segments: lesson_id, take_id, seg_idx, start, end, text, or lesson_id, take_id and segs, an array of the rest. Indexes are dense from 0.
     takes: lesson_id, take_id; those with segments if not given. A take without segments, or a lesson without beats, is no special case."""
 
     def __init__(self, beats: DataFrame, segments: DataFrame, settings: Settings = Settings(), takes: DataFrame | None = None):
         self.settings = settings
         # What many steps read is a table: plans stay short and lost executors cost nothing.
         self.beats = saved(beats.withColumn("tokens", tokenize(F.concat(F.col("title"), F.lit(". "), F.col("body")))), "beats")
-        self.segments = saved(segments.withColumn("tokens", tokenize(F.col("text"))), "segments")
-        n_beats = self.beats.groupBy("lesson_id").agg(F.count(F.lit(1)).cast("int").alias("n_beats"))
-        n_segments = self.segments.groupBy(*TAKE).agg(F.count(F.lit(1)).cast("int").alias("n_segments"))
-        every = n_segments if takes is None else takes.select(*TAKE).distinct().join(n_segments, TAKE, "left")
-        self.takes = saved(every.join(n_beats, "lesson_id", "left").fillna(0, ["n_segments", "n_beats"]), "takes")
-        self.beat_terms = self.beats.select("lesson_id", "beat_idx", F.explode("tokens").alias("term"))
-        self.segment_terms = self.segments.select(*TAKE, "seg_idx", F.explode("tokens").alias("term"))
-        self.model = saved(vectors.idf(self.beat_terms, self.segment_terms, self.takes), "model")
-        spread = self.takes.select(*TAKE).join(self.beat_terms, "lesson_id")
-        self._spread = spread
+        self.packed = packed(segments)
+        self.segments = self.packed.select(*TAKE, F.explode("segs").alias("s")).select(*TAKE, "s.*") if "segs" in segments.columns else segments
+        every = self.packed if takes is None else takes.select(*TAKE).distinct().join(self.packed, TAKE, "left").select(*TAKE, F.coalesce("segs", F.array().cast(SEGS)).alias("segs"))
+        lessons = self.beats.groupBy("lesson_id").agg(F.sort_array(F.collect_list(F.struct("beat_idx", "beat_id", "title", "body", "est_seconds", "tokens"))).alias("beats"))
+        self.lessons = lessons
+        tokens = F.array_join(F.transform("beats", lambda b: F.coalesce(F.array_join(b["tokens"], " "), F.lit(""))), "\n")
+        self._rows = every.join(lessons.select("lesson_id", tokens.alias("plan"), F.size("beats").alias("n_beats")), "lesson_id", "left")
 
     @cached_property
-    def beat_vectors(self) -> DataFrame:
-        return saved(vectors.unit_vectors(self._spread, ["beat_idx"], self.model), "beat_vectors")
+    def takes(self) -> DataFrame:
+        """(take, n_segments, n_beats)."""
+        return saved(self._rows.select(*TAKE, F.size("segs").alias("n_segments"), F.coalesce("n_beats", F.lit(0)).alias("n_beats")), "takes")
 
-    def scores(self) -> DataFrame:
-        """(take, seg_idx, beat_idx, sim): every segment in its context against every beat, zeros included."""
-        found = vectors.cosines(vectors.unit_vectors(vectors.context(self.segment_terms, self.takes, self.settings.context), ["seg_idx"], self.model), ["seg_idx"], self.beat_vectors, ["beat_idx"])
-        grid = self.segments.select(*TAKE, "seg_idx").join(self.beats.select("lesson_id", "beat_idx"), "lesson_id")
-        return grid.join(found, [*TAKE, "seg_idx", "beat_idx"], "left").select(*TAKE, "seg_idx", "beat_idx", F.coalesce("sim", F.lit(0.0)).alias("sim"))
+    def _made(self, make, columns: str) -> DataFrame:
+        return takes.made(self._rows.select(*TAKE, "segs", "plan"), make, self.settings, columns)
+
+    @property
+    def model(self) -> DataFrame:
+        """(take, term, df, idf): the documents of a take's model are the beats of its lesson and its segments; empty ones count."""
+        return self._made(takes.terms, "term string, df long, idf double")
+
+    def coverage(self) -> DataFrame:
+        """(take, beat_idx, planned, said): how many terms a beat has, and how many of them the take says anywhere."""
+        return self._made(takes.coverage, "beat_idx int, planned long, said long")
+
+    def scores(self, zeros: bool = True) -> DataFrame:
+        """(take, seg_idx, beat_idx, sim): every segment in its context against every beat; zeros included, unless they are not wanted."""
+        return self._made(takes.scores if zeros else takes.found_scores, "seg_idx int, beat_idx int, sim double")
 
     def gaps(self) -> DataFrame:
         """(take, gap, sim): similarity of the windows on both sides of every gap between segments."""
-        sides = vectors.unit_vectors(vectors.gap_sides(self.segment_terms, self.takes, self.settings.block_window), ["gap", "side"], self.model)
-        left, right = sides.where("side = 0").drop("side"), sides.where("side = 1").select(*TAKE, F.col("gap").alias("gap2"), "term", F.col("w").alias("w2"))
-        found = left.join(right.withColumnRenamed("gap2", "gap"), [*TAKE, "gap", "term"]).groupBy(*TAKE, "gap").agg(F.round(F.sum(F.col("w") * F.col("w2")), vectors.DECIMALS).alias("sim"))
-        every = self.segments.where("seg_idx >= 1").select(*TAKE, F.col("seg_idx").alias("gap"))
-        return every.join(found, [*TAKE, "gap"], "left").select(*TAKE, "gap", F.coalesce("sim", F.lit(0.0)).alias("sim"))
+        return self._made(takes.gaps, "gap int, sim double")
 
     def blocks(self) -> DataFrame:
         """(take, block, lo, hi): topic blocks, cut at deep local minima of gap similarity, greedily from the left."""
-        s = self.settings
-        gaps = saved(self.gaps(), "gaps")
-        cut = gaps.groupBy(*TAKE).agg(F.round(F.avg("sim") - s.block_sigma * F.stddev_pop("sim"), vectors.DECIMALS).alias("cutoff"))
-        order = Window.partitionBy(*TAKE).orderBy("gap")
-        minima = gaps.withColumn("before", F.lag("sim", 1, 1.0).over(order)).withColumn("after", F.lead("sim", 1, 1.0).over(order)).join(cut, TAKE).where("sim <= cutoff and sim <= before and sim <= after")
-        found = minima.groupBy(*TAKE).agg(F.sort_array(F.collect_list("gap")).alias("minima"))
-        n, none = F.col("n_segments"), F.array().cast("array<int>")
-
-        def accept(kept: Column, i: Column) -> Column:
-            last = F.when(F.size(kept) > 0, F.element_at(kept, -1)).otherwise(0)
-            return F.when((i - last >= s.min_block) & (n - i >= s.min_block), F.concat(kept, F.array(i))).otherwise(kept)
-
-        edges = self.takes.join(found, TAKE, "left").select(*TAKE, "n_segments", F.aggregate(F.coalesce("minima", none), none, accept).alias("cuts"))
-        starts = F.concat(F.array(F.lit(0)), F.col("cuts"))
-        spans = F.transform(starts, lambda lo, k: F.struct(k.alias("block"), lo.alias("lo"), (F.coalesce(F.get(F.col("cuts"), k), F.col("n_segments")) - 1).alias("hi")))
-        return edges.where("n_segments > 0").select(*TAKE, F.explode(spans).alias("b")).select(*TAKE, "b.block", "b.lo", "b.hi")
+        return self._made(takes.blocks, "block int, lo int, hi int")
 
     def block_scores(self) -> DataFrame:
-        """(take, block, beat_idx, sim): whole blocks against every beat, zeros included."""
-        blocks = saved(self.blocks(), "blocks")
-        member = blocks.select(*TAKE, "block", F.explode(F.sequence("lo", "hi")).alias("seg_idx"))
-        terms = self.segment_terms.join(member, [*TAKE, "seg_idx"]).select(*TAKE, "block", "term")
-        found = vectors.cosines(vectors.unit_vectors(terms, ["block"], self.model), ["block"], self.beat_vectors, ["beat_idx"])
-        grid = blocks.join(self.beats.select("lesson_id", "beat_idx"), "lesson_id")
-        return grid.join(found, [*TAKE, "block", "beat_idx"], "left").select(*TAKE, "block", "lo", "hi", "beat_idx", F.coalesce("sim", F.lit(0.0)).alias("sim"))
-
-    def distinctive(self) -> DataFrame:
-        """(take, beat_idx, terms): a beat's rarest terms among those spoken somewhere in the take."""
-        spoken = self.segment_terms.select(*TAKE, "term").distinct()
-        mine = self.takes.select(*TAKE).join(self.beat_terms.distinct(), "lesson_id").join(spoken, [*TAKE, "term"], "left_semi").join(self.model.select(*TAKE, "term", "df"), [*TAKE, "term"])
-        ranked = mine.withColumn("r", F.row_number().over(Window.partitionBy(*TAKE, "beat_idx").orderBy("df", "term"))).where(F.col("r") <= self.settings.support_terms)
-        return ranked.groupBy(*TAKE, "beat_idx").agg(F.array_sort(F.collect_list("term")).alias("terms"))
-
-    def take_rows(self) -> DataFrame:
-        """One row per take with the arrays that the folds read."""
-        order = Window.partitionBy(*TAKE, "beat_idx").orderBy("seg_idx").rowsBetween(Window.unboundedPreceding, 0)
-        cells = self.scores().withColumn("cum", F.round(F.sum("sim").over(order), 10))
-        grid = cells.groupBy(*TAKE).agg(F.sort_array(F.collect_list(F.struct("seg_idx", "beat_idx", "sim", "cum"))).alias("cells"))
-        blocks = self.block_scores().groupBy(*TAKE).agg(F.sort_array(F.collect_list(F.struct("block", "beat_idx", "sim", "lo", "hi"))).alias("bcells"))
-        segments = self.segments.groupBy(*TAKE).agg(F.sort_array(F.collect_list(F.struct("seg_idx", "start", "end", "text", "tokens"))).alias("segs"))
-        beats = self.beats.groupBy("lesson_id").agg(F.sort_array(F.collect_list(F.struct("beat_idx", "beat_id", "title", "body", "est_seconds", "tokens"))).alias("beats"))
-        marks = self.distinctive().groupBy(*TAKE).agg(F.map_from_entries(F.collect_list(F.struct("beat_idx", "terms"))).alias("marks"))
-        rows = self.takes.join(grid, TAKE, "left").join(blocks, TAKE, "left").join(segments, TAKE, "left").join(beats, "lesson_id", "left").join(marks, TAKE, "left")
-        for name in ("cells", "bcells", "segs", "beats"):
-            rows = rows.withColumn(name, F.coalesce(name, F.array().cast(rows.schema[name].dataType)))
-        return rows.select(
-            *TAKE, "n_segments", "n_beats", "segs", "beats", "marks",
-            F.transform("cells", lambda c: c["sim"]).alias("score"), F.transform("cells", lambda c: c["cum"]).alias("cum"),
-            F.transform("bcells", lambda c: c["sim"]).alias("bsim"),
-            F.transform(F.filter("bcells", lambda c: c["beat_idx"] == 0), lambda c: F.struct(c["lo"].alias("lo"), c["hi"].alias("hi"))).alias("blocks"),
-        )
+        """(take, block, lo, hi, beat_idx, sim): whole blocks against every beat, zeros included."""
+        return self._made(takes.block_scores, "block int, lo int, hi int, beat_idx int, sim double")
+
+    def shares(self) -> DataFrame:
+        """(take, block, beat_idx, share): the part of a beat's scores that lies in each block."""
+        return self._made(takes.shares, "block int, beat_idx int, share double")
 
     def assigned(self) -> DataFrame:
-        """take_rows with spans: array<struct<bi, lo, hi, mean_sim>> by lo, after claims, absorption, support gate and slide."""
-        s = self.settings
-        rows = saved(self.take_rows(), "take_rows").withColumn("n_blocks", F.size("blocks"))
-        nb, nk, bsim = F.col("n_beats"), F.col("n_blocks"), F.col("bsim")
-        # Greedy claims: strongest pair first; ties go to the later block, then the later beat.
-        drift = lambda k, b: F.abs(k / (nk - 1) - b / (nb - 1))
-        prior = lambda k, b: F.when((nb < 2) | (nk < 2), 1.0).otherwise(F.greatest(F.lit(0.15), 1.0 - s.order_prior * drift(k, b)))
-
-        def pair(sim: Column, i: Column) -> Column:
-            k, b = F.floor(i / nb).cast("int"), (i % nb).cast("int")
-            return F.struct(F.round(sim * prior(k, b), vectors.DECIMALS).alias("scored"), k.alias("k"), b.alias("b"), sim.alias("sim"))
-
-        ranked = F.sort_array(F.transform(bsim, pair), asc=False)
-        empty = F.array().cast("array<struct<k:int,b:int>>")
-        taken = lambda acc, p: F.exists(acc, lambda a: (a["k"] == p["k"]) | (a["b"] == p["b"]))
-        claimed = F.aggregate(F.filter(ranked, lambda p: p["sim"] >= s.match_threshold), empty, lambda acc, p: F.when(taken(acc, p), acc).otherwise(F.concat(acc, F.array(F.struct(p["k"], p["b"])))))
-        rows = rows.withColumn("claimed", claimed)
-        of_block = lambda k: F.coalesce(F.get(F.filter(F.col("claimed"), lambda a: a["k"] == k), F.lit(0))["b"], F.lit(-1))
-        rows = rows.withColumn("owner", F.transform(upto(nk), lambda k: F.when(F.exists(F.col("claimed"), lambda a: a["k"] == k), of_block(k)).otherwise(-1)))
-        rows = rows.withColumn("peak", F.transform(upto(nb), lambda b: F.array_max(F.transform(upto(nk), lambda k: bsim[k * nb + b]))))
-        rows = rows.withColumn("best", F.transform(upto(nk), lambda k: F.array_max(F.slice(bsim, k * nb + 1, nb))))
-
-        def absorb(owner: Column, k: Column) -> Column:
-            def side(j: Column) -> Column:  # (similarity, owner) of a neighbouring block
-                b = F.coalesce(F.get(owner, j), F.lit(-1))
-                return F.struct(F.when(b >= 0, bsim[k * nb + F.greatest(b, F.lit(0))]).otherwise(0.0).alias("sim"), b.alias("b"))
-
-            def decide(p: Column) -> Column:
-                b, sim = p["b"], p["sim"]
-                same_topic = (sim >= s.match_threshold) & (sim >= s.absorb_ratio * F.col("peak")[F.greatest(b, F.lit(0))])
-                return F.when((sim > 0) & (same_topic | (F.col("best")[k] < s.match_threshold)), b).otherwise(-1)
-
-            found = let(F.struct(side(k - 1).alias("l"), side(k + 1).alias("r")), lambda z: decide(F.when(z["r"]["sim"] > z["l"]["sim"], z["r"]).otherwise(z["l"])))
-            return F.when(owner[k] >= 0, owner).otherwise(let(found, lambda b: F.transform(owner, lambda x, i: F.when(i == k, b).otherwise(x))))
-
-        rows = rows.withColumn("owner", F.aggregate(upto(nk), F.col("owner"), absorb))
-        blocks, segs = F.col("blocks"), F.col("segs")
-
-        def span(b: Column) -> Column:
-            own = F.filter(upto(nk), lambda k: F.col("owner")[k] == b)
-            return F.when(F.size(own) > 0, F.struct(
-                blocks[F.array_min(own)]["lo"].alias("lo"), b.alias("bi"), blocks[F.array_max(own)]["hi"].alias("hi"),
-                F.round(F.aggregate(own, F.lit(0.0), lambda a, k: a + bsim[k * nb + b]) / F.size(own), vectors.DECIMALS).alias("mean_sim"),
-            ))
-
-        rows = rows.withColumn("spans0", F.array_compact(F.transform(upto(nb), span)))
-
-        def supported(p: Column) -> Column:
-            terms = F.coalesce(F.try_element_at(F.col("marks"), p["bi"]), F.array().cast("array<string>"))
-            here = lambda t: F.exists(F.slice(segs, p["lo"] + 1, p["hi"] - p["lo"] + 1), lambda x: F.array_contains(x["tokens"], t))
-            return F.size(F.filter(terms, here)) >= s.min_support
-
-        rows = rows.withColumn("spans1", F.sort_array(F.filter("spans0", supported)))
-        cum = F.col("cum")
-        before = lambda i, b: F.when(i <= 0, 0.0).otherwise(cum[F.greatest(i - 1, F.lit(0)) * nb + b])  # noqa: E731  sum of scores before segment i
-
-        def slide(acc: Column, right: Column) -> Column:
-            def moved(left: Column) -> Column:
-                lo = F.greatest(left["lo"] + 1, right["lo"] - s.boundary_slack)
-                hi = F.least(right["hi"], right["lo"] + s.boundary_slack)
-                value = lambda c: before(c, left["bi"]) - before(left["lo"], left["bi"]) + before(right["hi"] + 1, right["bi"]) - before(c, right["bi"])
-                cut = F.when(lo <= hi, -F.array_max(F.transform(F.sequence(lo, F.greatest(lo, hi)), lambda c: F.struct(F.round(value(c), 9).alias("v"), (-c).alias("c"))))["c"]).otherwise(right["lo"])
-                put = lambda c: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(_edges(left, left["lo"], c - 1)), F.array(_edges(right, c, right["hi"])))
-                return F.when(left["hi"] + 1 == right["lo"], let(cut, put)).otherwise(F.concat(acc, F.array(right)))
-
-            return F.when(F.size(acc) == 0, F.array(right)).otherwise(let(F.element_at(acc, -1), moved))
-
-        none = F.slice(F.col("spans1"), 1, 0)
-        return saved(rows.withColumn("spans", F.aggregate("spans1", none, slide)).drop("claimed", "peak", "best", "spans0", "spans1", "marks", "bsim"), "assigned")
-
-
-def _edges(span: Column, lo: Column, hi: Column) -> Column:
-    return F.struct(lo.alias("lo"), span["bi"].alias("bi"), hi.alias("hi"), span["mean_sim"].alias("mean_sim"))
+        """(take, beat_idx, lo, hi, ...), see takes.facts: where each beat is after claims, absorption, support gate and slide, and what no beat claims."""
+        return saved(self._made(takes.facts, takes.FACTS), "assigned")

@@ -1,56 +1,7 @@
-"""TF-IDF vectors and cosines for all takes at once.
-
-One model per (lesson_id, take_id): its documents are the beats of the lesson and the
-segments of the take. All joins are equi-joins on take and term; windows of segments
-are made by exploding each segment to the windows that hold it.
-"""
+"""Names that all operators on takes share. The vectors themselves are in takes."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
 TAKE = ["lesson_id", "take_id"]
 #: Cosines are compared with each other, so they are rounded beyond the noise of summation order.
 DECIMALS = 12
-
-
-def idf(beat_terms: DataFrame, segment_terms: DataFrame, takes: DataFrame) -> DataFrame:
-    """(take, term, df, idf). takes: n_segments and n_beats per take; empty documents count."""
-    by_beat = beat_terms.select("lesson_id", "beat_idx", "term").distinct().groupBy("lesson_id", "term").agg(F.count(F.lit(1)).alias("n"))
-    by_segment = segment_terms.select(*TAKE, "seg_idx", "term").distinct().groupBy(*TAKE, "term").agg(F.count(F.lit(1)).alias("n"))
-    spread = takes.select(*TAKE).join(by_beat, "lesson_id").select(*TAKE, "term", "n")
-    df = by_segment.unionByName(spread).groupBy(*TAKE, "term").agg(F.sum("n").alias("df"))
-    n = F.greatest(F.col("n_segments") + F.col("n_beats"), F.lit(1))
-    return df.join(takes, TAKE).select(*TAKE, "term", "df", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-
-
-def unit_vectors(terms: DataFrame, key: list[str], model: DataFrame) -> DataFrame:
-    """(take, key, term, w): weights (1 + ln tf) * idf of length one. terms: a row per occurrence."""
-    tf = terms.groupBy(*TAKE, *key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    raw = tf.join(model.select(*TAKE, "term", "idf"), [*TAKE, "term"]).withColumn("w", (1 + F.log(F.col("tf"))) * F.col("idf"))
-    norms = raw.groupBy(*TAKE, *key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, [*TAKE, *key]).select(*TAKE, *key, "term", (F.col("w") / F.col("norm")).alias("w"))
-
-
-def cosines(a: DataFrame, a_key: list[str], b: DataFrame, b_key: list[str]) -> DataFrame:
-    """(take, a_key, b_key, sim): pairs of vectors that share a term; all others have 0."""
-    right = b.select(*TAKE, *b_key, "term", F.col("w").alias("w2"))
-    return a.join(right, [*TAKE, "term"]).groupBy(*TAKE, *a_key, *b_key).agg(F.round(F.sum(F.col("w") * F.col("w2")), DECIMALS).alias("sim"))
-
-
-def context(segment_terms: DataFrame, takes: DataFrame, reach: int) -> DataFrame:
-    """Occurrences of each segment's window of reach neighbours on either side (seg_idx is the centre)."""
-    near = F.explode(F.sequence(F.greatest(F.col("seg_idx") - reach, F.lit(0)), F.least(F.col("seg_idx") + reach, F.col("n_segments") - 1)))
-    return segment_terms.join(takes.select(*TAKE, "n_segments"), TAKE).select(*TAKE, near.alias("centre"), "term").withColumnRenamed("centre", "seg_idx")
-
-
-def gap_sides(segment_terms: DataFrame, takes: DataFrame, window: int) -> DataFrame:
-    """Occurrences left (side 0) and right (side 1) of each gap before segment gap, window segments wide."""
-    s, n = F.col("seg_idx"), F.col("n_segments")
-
-    def gaps(lo: Column, hi: Column, side: int) -> Column:
-        return F.when(lo <= hi, F.transform(F.sequence(lo, hi), lambda g: F.struct(g.alias("gap"), F.lit(side).alias("side")))).otherwise(F.array().cast("array<struct<gap:int,side:int>>"))
-
-    both = F.concat(gaps(F.greatest(s + 1, F.lit(1)), F.least(s + window, n - 1), 0), gaps(F.greatest(s - window + 1, F.lit(1)), F.least(s, n - 1), 1))
-    return segment_terms.join(takes.select(*TAKE, "n_segments"), TAKE).select(*TAKE, F.explode(both).alias("g"), "term").select(*TAKE, "g.gap", "g.side", "term")

@@ -15,6 +15,8 @@ def _files(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.text(f"{root}/*/{name}", wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1).alias("folder"), "value")
 
 
+#: Seconds that the last segment runs.
+TAIL = 8.0
 #: The files of a lesson folder.
 FILES = ("master-plan.md", "transcript.txt", "assets.json")
 
@@ -65,7 +67,7 @@ def parse_plans(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return lessons, beats
 
 
-def parse_transcripts(files: DataFrame, tail: float = 8.0) -> DataFrame:
+def parse_transcripts(files: DataFrame, tail: float = TAIL) -> DataFrame:
     """(folder, seg_idx, start, end, speaker, text) of transcript texts; lines that are no segments are dropped."""
     code = "^\\[(?:([0-9]{1,2}):)?([0-9]{1,2}):([0-9]{2})\\]\\s*(?:([A-Z][A-Z0-9 ._-]{0,24}):\\s*)?(.*)$"
     lines = files.select("folder", F.posexplode(F.split("value", _LINES)).alias("pos", "raw")).withColumn("line", stripped(F.col("raw"))).where(F.col("line").rlike(code))
@@ -75,7 +77,7 @@ def parse_transcripts(files: DataFrame, tail: float = 8.0) -> DataFrame:
     return close_segments(kept.withColumn("seg_idx", F.row_number().over(Window.partitionBy("folder").orderBy("pos")) - 1).drop("pos"), ["folder"], tail)
 
 
-def close_segments(segments: DataFrame, key: list[str], tail: float = 8.0) -> DataFrame:
+def close_segments(segments: DataFrame, key: list[str], tail: float = TAIL) -> DataFrame:
     """Adds end: the next segment's start, in order of seg_idx; the last one's start plus tail."""
     return segments.withColumn("end", F.coalesce(F.lead("start").over(Window.partitionBy(*key).orderBy("seg_idx")), F.col("start") + tail))
 
